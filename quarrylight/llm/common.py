@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -54,16 +56,13 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def with_shard(df: DataFrame, key: str, shards: int, per_shard: int = 64) -> DataFrame:
+def with_shard(df: DataFrame, key: str, shards: int, per_shard: int = 32) -> DataFrame:
     """Adds `_shard`: ranges of `key` (a long; null first) with about as many rows each.
 
     The bounds are quantiles of those keys whose hash falls below a fraction that gives
     about `per_shard` keys a shard. So they depend on the rows alone: not on partitions,
     on the session or on the order of tasks. Every row gets a shard; equal keys share one.
     """
-    import numpy as np
-    import pandas as pd
-
     rows = df.select(key).count()
     keep = min(1.0, shards * per_shard / max(rows, 1))
     limit = int((2**63 - 1) * keep)
@@ -73,7 +72,7 @@ def with_shard(df: DataFrame, key: str, shards: int, per_shard: int = 64) -> Dat
     keys = np.sort(np.fromiter((r.k for r in picked.collect()), np.int64))
     at = np.linspace(0, len(keys), shards, endpoint=False)[1:].astype(int)
     bounds = np.unique(keys[at]) if len(keys) else keys
-    df.sparkSession.sparkContext  # noqa: B018  the bounds travel in the function below: one long a shard
+    # the bounds travel in the function: one long a shard
 
     @F.pandas_udf("int")
     def shard(k: pd.Series) -> pd.Series:
