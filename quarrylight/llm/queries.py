@@ -25,6 +25,21 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.decontaminate import contaminated, mark
+
+    marked = mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], window=13)
+    c = F.col("contamination")
+    return marked.select("doc_id", c.n_words.alias("n_words"), c.n_hit.alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
+def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), radius=4, shingle=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
