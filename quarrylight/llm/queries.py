@@ -33,6 +33,14 @@ def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", c.n_words.alias("n_words"), c.n_hit.alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+def op5_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.warc import read_warc, write_warc
+
+    folder = shared_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder, shard_bytes=16 << 20, roll_bytes=2 << 20, revisit_bytes=0)
+    return read_warc(spark, folder).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.simhash import near_duplicates
 
