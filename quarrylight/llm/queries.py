@@ -48,9 +48,41 @@ def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _remainder(n: int, column: str = "doc_id") -> F.Column:
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+def op8_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(_remainder(5) != 0))
+    return identify(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.line_dedup import remove_boilerplate
+
+    return remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=8, min_words=4, counts=True).select("doc_id", "text", "n_chars", "n_lines", "n_removed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": OP10}
+
+
+#: Lines of at least 4 words on at least 8 distinct sources go; the rest of each text stays.
+OP10 = """
+WITH cut AS (SELECT doc_id, text, n_chars, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (SELECT doc_id, source, unnest(lines) AS l, generate_subscripts(lines, 1) AS i FROM cut),
+marked AS (SELECT *, trim(l, ' ') AS t, regexp_matches(l, '^\\s*\\S+\\s+\\S+\\s+\\S+\\s+\\S') AS long FROM line),
+spread AS (SELECT t AS b FROM marked WHERE long GROUP BY 1 HAVING count(DISTINCT source) >= 8),
+flagged AS (SELECT m.*, long AND b IS NOT NULL AS gone FROM marked m LEFT JOIN spread ON t = b),
+kept AS (SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '') AS stay, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed FROM flagged GROUP BY 1)
+SELECT doc_id, CASE WHEN n_removed = 0 THEN text ELSE stay END AS text, CASE WHEN n_removed = 0 THEN n_chars ELSE length(stay) END AS n_chars, n_lines, n_removed
+FROM cut JOIN kept USING (doc_id)
+"""
