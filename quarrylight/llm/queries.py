@@ -17,6 +17,15 @@ def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_ngram_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.quality_rules import judge, log_ratios
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    judged = judge(docs, log_ratios(docs, trusted))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.token_blocks import read_tokens, write_tokens
 
@@ -61,6 +70,14 @@ def op8_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.quality_fm import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = train(docs, table(spark, sf_dir, "labels").where(_remainder(4) != 2), label_col="quality", max_rows=6000)
+    return score(docs, machine, keep=["doc_id"], threshold=0.7).select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.line_dedup import remove_boilerplate
 
