@@ -38,7 +38,7 @@ SYMBOLS_SET = frozenset(bytes([x]) for x in SYMBOLS)
 
 
 def features(text: bytes | None, buckets: int) -> tuple[list[int], float, list[float]]:
-    """Buckets of the distinct words, the value each has (their vector has length 1), and the statistics."""
+    """Buckets of the distinct words, the value each has (their vector has length 1/2), and the statistics."""
     raw = text or b""
     words = Counter(raw.split())
     if len(_BUCKET) > 500_000:
@@ -51,7 +51,7 @@ def features(text: bytes | None, buckets: int) -> tuple[list[int], float, list[f
             if len(w) <= 40:
                 _BUCKET[w] = b
         hashed.append(b % buckets)
-    return hashed, 1 / np.sqrt(len(hashed)) if hashed else 0.0, statistics(raw, words)
+    return hashed, 0.5 / np.sqrt(len(hashed)) if hashed else 0.0, statistics(raw, words)
 
 
 @dataclass
@@ -75,18 +75,18 @@ class Machine:
         rows, wide = len(words), dense.shape[1]
         size = np.fromiter(map(len, words), np.int64, rows)
         index = np.concatenate([np.fromiter((b for w in words for b in w), np.int64, int(size.sum())), np.tile(self.buckets + np.arange(wide), rows)])
-        value = np.concatenate([np.repeat(np.array(weight, float), size), (np.clip((dense - self.mean) / self.scale, -6, 6) / np.sqrt(wide)).ravel()])
+        value = np.concatenate([np.repeat(np.array(weight, float), size), (np.clip((dense - self.mean) / self.scale, -6, 6) / np.sqrt(wide) * 2).ravel()])
         return index, value, np.concatenate([np.repeat(np.arange(rows), size), np.repeat(np.arange(rows), wide)])
 
 
-def fit(words: list[list[int]], weight: list[float], dense: np.ndarray, label: np.ndarray, buckets: int, factors: int = 4, epochs: int = 12, batch: int = 256, rate: float = 0.02, decay: float = 1e-3, seed: int = 1) -> Machine:
+def fit(words: list[list[int]], weight: list[float], dense: np.ndarray, label: np.ndarray, buckets: int, factors: int = 4, epochs: int = 12, batch: int = 128, least_steps: int = 500, rate: float = 0.02, decay: float = 1e-3, seed: int = 1) -> Machine:
     rng = np.random.default_rng(seed)
     total = buckets + dense.shape[1]
     base = np.clip(label.mean(), 0.01, 0.99)
     m = Machine(buckets, float(np.log(base / (1 - base))), np.zeros(total), rng.normal(0, 0.02, (total, factors)), dense.mean(axis=0), dense.std(axis=0) + 1e-6)
     held = [np.zeros((2, total)), np.zeros((2, total, factors)), np.zeros(2)]
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // len(label)))):
         order = rng.permutation(len(label))
         for lo in range(0, len(order), batch):
             some = order[lo : lo + batch]

@@ -3,7 +3,7 @@ under a trusted target than under the raw corpus.
 
 Words and neighbouring pairs are hashed to `buckets`. The target's and the raw corpus's multinomials over these
 come from one aggregation of all documents (partial counts of at most `buckets` rows leave a task). A text's score is its
-sum of log ratios by its number of n-grams, read from an array with one weight for each bucket.
+sum of log ratios by its number of n-grams; the weights are a broadcast table with one row for each bucket.
 """
 
 from __future__ import annotations
@@ -52,10 +52,11 @@ def buckets_of(w: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smoothing: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smoothing: float = 10.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, weight): log of the trusted side's probability by the raw corpus's, for every bucket.
 
-    trusted: the ids of the trusted documents. Raw: all documents.
+    trusted: the ids of the trusted documents. Raw: all documents. smoothing: added to the trusted count of each
+    bucket; the raw side gets as much more as the raw corpus is larger, so that what either side has hardly seen weighs little.
     """
     spark = prepare(docs.sparkSession)
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
@@ -65,23 +66,28 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smoo
     counts = rows.select(F.explode(buckets_of(F.col("w"), buckets)).alias("bucket"), F.coalesce("_in", F.lit(0)).alias("t")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     counts = written(counts, "ngrams")
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
-    room = smoothing * buckets
-    p = lambda c, n: (F.coalesce(F.col(c), F.lit(0)) + smoothing) / ((n or 0) + room)
+    share = max(total["target"] or 0, 1) / max(total["raw"] or 0, 1)
+
+    def p(count: str, n: int, more: float) -> Column:
+        return (F.coalesce(F.col(count), F.lit(0)) + more) / (n + more * buckets)
+
     every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    return every.join(counts, "bucket", "left").select("bucket", F.log(p("target", total["target"]) / p("raw", total["raw"])).alias("weight"))
+    return every.join(counts, "bucket", "left").select("bucket", F.log(p("target", total["target"] or 0, smoothing) / p("raw", total["raw"] or 0, smoothing / share)).alias("weight"))
 
 
-def judge(docs: DataFrame, weights: DataFrame, buckets: int = 1 << 16, threshold: float = -0.1, min_words: int = 20, repeat_percent: int = 30, text_col: str = "text") -> DataFrame:
-    """docs with the base counts, llr (by n-gram), base_failed and kept.
+def judge(docs: DataFrame, weights: DataFrame, keep: list[str], threshold: float = -0.15, buckets: int = 1 << 16, min_words: int = 20, repeat_percent: int = 30, text_col: str = "text") -> DataFrame:
+    """The columns `keep` of docs with the base counts, llr (by n-gram), base_failed and kept.
 
     base_failed: fewer than min_words words, or over repeat_percent of 100 of these in 8-word windows found twice or more.
     kept: not failed, and llr >= threshold. A text without words has llr 0 and fails. Columns named like
     these are replaced; repeated rows each come back; null texts count as empty.
     """
-    array = weights.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "weight"))), lambda x: x.weight).alias("a")).select("a")  # one value for each bucket
-    counted = base_counts(docs, text_col)
-    placed = counted.withColumn("_buckets", buckets_of(F.col("_words"), buckets)).withColumn("_weights", array.scalar())
-    total = F.aggregate("_buckets", F.lit(0.0), lambda a, b: a + F.get(F.col("_weights"), b))
-    out = placed.withColumn("llr", F.when(F.size("_buckets") > 0, total / F.size("_buckets")).otherwise(F.lit(0.0)))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    keep = [c for c in keep if c not in (*counts, "llr", "base_failed", "kept")]
+    counted = base_counts(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])]), text_col)
+    # a row's n-grams stay together in its task, so the partial sums that leave it are one row for each text
+    spread = counted.select(F.monotonically_increasing_id().alias("_row"), *keep, *counts, F.explode_outer(buckets_of(F.col("_words"), buckets)).alias("bucket"))
+    weighed = spread.join(F.broadcast(weights), "bucket", "left")  # `buckets` rows
+    summed = weighed.groupBy("_row", *keep).agg(*[F.max(c).alias(c) for c in counts], F.coalesce(F.avg("weight"), F.lit(0.0)).alias("llr"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold)).drop("_words", "_buckets", "_weights")
+    return summed.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold)).drop("_row")

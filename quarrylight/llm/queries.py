@@ -22,7 +22,7 @@ def op2_ngram_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    judged = judge(docs, log_ratios(docs, trusted))
+    judged = judge(docs, log_ratios(docs, trusted), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
