@@ -27,13 +27,17 @@ def windows(w: Column, n: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def repeated_words(hashes: Column, n: int) -> Column:
-    """Words in windows found twice or more: equal hashes are neighbours once sorted; then the windows' union is measured."""
+def placed_repeats(hashes: Column) -> Column:
+    """Hash and place of each window, equal hashes side by side; empty where no window occurs twice."""
     placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+
+
+def repeated_words(placed: Column, n: int) -> Column:
+    """Words in windows found twice or more: how much the windows with an equal neighbour cover. placed: a column of its own, as each element looks into it."""
     again = F.filter(placed, lambda x, i: (x.h == F.get(placed, i - 1).h) | (x.h == F.get(placed, i + 1).h))
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-n).alias("i"))
-    union = F.aggregate(F.sort_array(F.transform(again, lambda x: x.i)), start, lambda a, i: F.struct((a.n + F.least(F.lit(n), i - a.i)).cast("bigint").alias("n"), i.alias("i")), lambda a: a.n)
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("bigint")).otherwise(union)
+    return F.aggregate(F.sort_array(F.transform(again, lambda x: x.i)), start, lambda a, i: F.struct((a.n + F.least(F.lit(n), i - a.i)).cast("bigint").alias("n"), i.alias("i")), lambda a: a.n)
 
 
 def base_counts(docs: DataFrame, text_col: str = "text", window: int = 8) -> DataFrame:
@@ -42,7 +46,8 @@ def base_counts(docs: DataFrame, text_col: str = "text", window: int = 8) -> Dat
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     first = docs.withColumns({"_words": words(F.col(text_col)), "_lines": lines, "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"), "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")})
     second = first.withColumns({"_windows": windows(F.col("_words"), window), "n_words": F.size("_words").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")})
-    return second.withColumn("_placed", F.col("_windows")).withColumn("n_repeat_words", repeated_words(F.col("_placed"), window)).drop("_windows", "_lines", "_placed")
+    third = second.withColumn("_placed", placed_repeats(F.col("_windows")))
+    return third.withColumn("n_repeat_words", repeated_words(F.col("_placed"), window)).drop("_windows", "_lines", "_placed")
 
 
 def buckets_of(w: Column, buckets: int) -> Column:
@@ -86,7 +91,7 @@ def judge(docs: DataFrame, weights: DataFrame, keep: list[str], threshold: float
     keep = [c for c in keep if c not in (*counts, "llr", "base_failed", "kept")]
     counted = base_counts(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])]), text_col)
     # a row's n-grams stay together in its task, so the partial sums that leave it are one row for each text
-    spread = counted.select(F.monotonically_increasing_id().alias("_row"), *keep, *counts, F.explode_outer(buckets_of(F.col("_words"), buckets)).alias("bucket"))
+    spread = counted.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keep, *counts, F.explode_outer(buckets_of(F.col("_words"), buckets)).alias("bucket"))
     weighed = spread.join(F.broadcast(weights), "bucket", "left")  # `buckets` rows
     summed = weighed.groupBy("_row", *keep).agg(*[F.max(c).alias(c) for c in counts], F.coalesce(F.avg("weight"), F.lit(0.0)).alias("llr"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
