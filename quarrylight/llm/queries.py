@@ -62,6 +62,12 @@ def _remainder(n: int, column: str = "doc_id") -> F.Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+def op7_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.hmm_lm import language_model
+
+    return language_model(table(spark, sf_dir, "documents"), train=_remainder(7) != 2)
+
+
 def op8_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.langid import identify, train
 
