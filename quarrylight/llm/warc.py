@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrylight.llm.common import filesystem, prepare, with_shard
+from quarrylight.llm.common import filesystem, prepare, with_shard, written
 
 MANIFEST = "shard int, number int, file string, records long, bytes long, first_key long, last_key long"
 RECORD = "record_id string, record_type string, target_uri string, key long, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -91,6 +91,7 @@ def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", url_col:
     size = F.octet_length("payload")
     total = source.agg(F.sum(size)).first()[0] or 0
     again = source.where(F.lit(revisit_bytes is not None) & (size >= (revisit_bytes or 0))).groupBy("sha").agg(F.max_by(F.struct("key", "url"), "key").alias("ref"), F.count("*").alias("n")).where("n > 1 and ref.key is not null").select("sha", "ref")
+    again = written(again, "payloads")  # so that Spark sees its size: pages are shuffled for it only if it is large
     joined = source.join(again, "sha", "left").select("key", "url", "payload", "sha", F.when(F.col("key").isNull() | (F.col("key") < F.col("ref.key")), F.col("ref")).alias("ref"))
     shards = max(1, -(-total // shard_bytes))
     ranged = with_shard(joined, "key", shards).repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "key", "url", "sha")
