@@ -24,40 +24,60 @@ from quarrylight.llm.components import connected_components
 BITS, TILE, PART = 64, 512, 2048
 
 
-def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
-    """Of a whole text: words between ASCII white space, A-Z lower-cased. No word: 0. Unsigned."""
+def _hashes(text: bytes | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle, repeats included: words between ASCII white space, A-Z lower-cased; fewer words make one."""
     words = text.lower().split() if text else []
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+    joined, shingle = b" ".join(words), min(shingle, len(words))
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
-    start = (end - size)[: len(words) - shingle + 1].tolist()
-    ends = end[shingle - 1 :].tolist()
-    total = np.zeros(BITS, np.int64)
+    start = (end - size)[: len(words) - shingle + 1].tolist() if words else []
+    ends = end[shingle - 1 :].tolist() if words else []
     for lo in range(0, len(start), 1 << 16):
         some = map(joined.__getitem__, map(slice, start[lo : lo + (1 << 16)], ends[lo : lo + (1 << 16)]))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(seed)), np.uint64)
+        yield np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(seed)), np.uint64)
+
+
+def _majority(parts: list[np.ndarray]) -> int:
+    total, n = np.zeros(BITS, np.int64), sum(map(len, parts))
+    for h in parts:
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(start), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42, wide: bool = False) -> list[int]:
+    """Of a whole text, unsigned; a text without words has 0. wide: three more, of the hashes mixed anew."""
+    parts = list(_hashes(text, shingle, seed))
+    out = [_majority(parts)]
+    for j in range(3 if wide else 0):
+        mixed = []
+        for h in parts:
+            x = (h + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            mixed.append(x ^ (x >> np.uint64(32)))
+        out.append(_majority(mixed))
+    return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of every row, fp the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, wide: bool = False) -> DataFrame:
+    """(doc_id, fp, w1, w2, w3) of every row: bits as signed longs; the last three are 0 unless wide."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            bits = np.zeros((batch.num_rows, 4), np.uint64)
+            for i, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                got = fingerprint(t, shingle, seed, wide)
+                bits[i, : len(got)] = got
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, j]).view(np.int64)) for j in range(4))], names=["doc_id", "fp", "w1", "w2", "w3"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long, w1 long, w2 long, w3 long")
 
 
-def forest(fp: np.ndarray, part: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as positions) that connect what links of at most `radius` bits connect. With two parts: links between them only."""
+def forest(fp: np.ndarray, part: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as positions) that connect what links of at most `radius` bits connect. With two parts: links between them only.
+
+    wide: three more fingerprints of each; a link then has at most wide_radius bits in all four.
+    """
     order = np.argsort(np.bitwise_count(fp), kind="stable")
     f, own = fp[order], part[order]
     pop, cross = np.bitwise_count(f).astype(np.int64), bool(len(part)) and part.min() != part.max()
@@ -74,6 +94,9 @@ def forest(fp: np.ndarray, part: np.ndarray, radius: int) -> tuple[np.ndarray, n
             x, y = np.nonzero(near)
             x, y = x + i, y + j
             x, y = x[x < y], y[x < y]
+            if wide is not None and len(x):
+                kept = np.bitwise_count(f[x] ^ f[y]) + np.bitwise_count(wide[order[x]] ^ wide[order[y]]).sum(axis=1) <= wide_radius
+                x, y = x[kept], y[kept]
             while len(x):  # merge the labels that these links join
                 u, v = label[x], label[y]
                 apart = u != v
@@ -85,16 +108,18 @@ def forest(fp: np.ndarray, part: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return order[far], order[label[far]]
 
 
-def _links(radius: int):
+def _links(radius: int, wide_radius: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        width = 6 if wide_radius is None else 9
 
         def compare(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
             edges = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
             a, b = [], []
             for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)]):
                 if hi - lo > 1:
-                    x, y = forest(rows[lo:hi, 4].view(np.uint64), rows[lo:hi, 3], radius)
+                    bits = np.ascontiguousarray(rows[lo:hi, 4])
+                    x, y = forest(bits.view(np.uint64), rows[lo:hi, 3], radius, None if wide_radius is None else np.ascontiguousarray(rows[lo:hi, 6:]).view(np.uint64), wide_radius or 0)
                     a.append(rows[lo + x, 5])
                     b.append(rows[lo + y, 5])
             return (np.concatenate(a), np.concatenate(b)) if a else None
@@ -104,18 +129,18 @@ def _links(radius: int):
                 yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
 
         for batch in batches:
-            rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]).astype(np.int64, copy=False)
+            rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)]).astype(np.int64, copy=False)
             rows = np.concatenate([*held, rows])
             last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
             yield from emit(np.ascontiguousarray(rows[:cut]))
             held = [rows[cut:]]
-        yield from emit(np.ascontiguousarray(np.concatenate(held)) if held else np.empty((0, 6), np.int64))
+        yield from emit(np.ascontiguousarray(np.concatenate(held)) if held else np.empty((0, width), np.int64))
 
     return run
 
 
-def blocks_for(nodes: int, radius: int, most: int = 4096) -> int:
+def blocks_for(nodes: int, radius: int, most: int = 1024) -> int:
     """The fewest blocks with which a file of evenly spread fingerprints stays under `most`."""
     m = radius + 1
     while m < 3 * radius and nodes >> (BITS * (m - radius) // m) > most:
@@ -134,29 +159,32 @@ def _files(fp: F.Column, m: int, radius: int) -> list[F.Column]:
     return out
 
 
-def links(nodes: DataFrame, radius: int, m: int) -> DataFrame:
-    """nodes: (fp, rep), distinct. Links (a, b) of reps that connect what fingerprints within the radius connect."""
-    filed = nodes.select("fp", "rep", F.explode(F.array(*_files(F.col("fp"), m, radius))).alias("file"))
+def links(nodes: DataFrame, radius: int, m: int, wide_radius: int | None = None) -> DataFrame:
+    """nodes: (fp, w1, w2, w3, rep), distinct. Links (a, b) of reps that connect what fingerprints within the radius connect."""
+    more = [] if wide_radius is None else ["w1", "w2", "w3"]
+    filed = nodes.select("fp", "rep", *more, F.explode(F.array(*_files(F.col("fp"), m, radius))).alias("file"))
     parts = filed.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("file", F.ceil(F.col("n") / PART).cast("int").alias("k"))
     dealt = filed.join(parts, "file", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    grouped = dealt.select("file", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "fp", "rep")
-    grouped = grouped.select("file", *[F.col(c).cast("long").alias(c) for c in ("p", "q", "part")], "fp", "rep")
-    return grouped.repartition("file", "p", "q").sortWithinPartitions("file", "p", "q").mapInArrow(_links(radius), "a long, b long")
+    grouped = dealt.select("file", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "fp", "rep", *more)
+    grouped = grouped.select("file", *[F.col(c).cast("long").alias(c) for c in ("p", "q", "part")], "fp", "rep", *more)
+    return grouped.repartition("file", "p", "q").sortWithinPartitions("file", "p", "q").mapInArrow(_links(radius, wide_radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, wide_radius: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id: the least doc_id that links reach from it.
 
+    wide_radius: if given, a link also differs in at most so many of 256 bits, which tells apart what 64 bits cannot.
     Null and empty texts have fingerprint 0 and link like any other. A row with a null id gets the
     component of its fingerprint. Repeated rows each come back. Further columns are not read.
     """
-    marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    bits = ["fp", "w1", "w2", "w3"]
+    marked = written(fingerprints(docs, id_col, text_col, shingle, wide=wide_radius is not None), "fingerprints")
+    nodes = written(marked.groupBy(*bits).agg(F.min("doc_id").alias("rep")), "nodes")
     known = nodes.where("rep is not null")
-    found = connected_components(links(known, radius, blocks_for(known.count(), radius)))
-    whole = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(whole, "fp", "left").select("doc_id", "fp", "component_id")
+    found = connected_components(links(known, radius, blocks_for(known.count(), radius), wide_radius))
+    whole = nodes.join(found, nodes.rep == found.node, "left").select(*bits, F.coalesce("component", "rep").alias("component_id"))
+    return marked.join(whole, bits, "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", **options) -> DataFrame:
