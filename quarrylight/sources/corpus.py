@@ -19,7 +19,10 @@ def admissibility(path: Column, size: Column, content: Column, parse_limit: int
 
 
 def source_tree(spark: SparkSession, root: str, parse_limit: int = PARSE_LIMIT, fallback_limit: int = FALLBACK_LIMIT) -> DataFrame:
-    """(path, language, size, state, content) of every file below root; content is null unless it is indexed or fallback."""
+    """(path, language, size, state, content) of every file below root; content is null unless it is indexed or fallback.
+
+    Spark's file scan leaves out files without a byte, so these have no row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.col("path"), F.lit("^.*?" + root.rstrip("/").replace(".", r"\.") + "/"), F.lit(""))
     named = files.select(base.alias("path"), F.col("length").alias("size"), F.col("content").alias("raw"))

@@ -126,9 +126,9 @@ def test_source_tree(spark, tmp_path):
     for name, data in {"A.java": b"class A {}\r\n", "b.bin": b"x", "c.txt": b"\xff\xfe", "d.kt": b"", "e.smali": b"a\0b", "f.txt": b"y" * 60}.items():
         (tmp_path / "src" / name).write_bytes(data)
     t = corpus.source_tree(spark, str(tmp_path / "src"), parse_limit=50)
-    assert {r.path: r.state for r in t.collect()} == {"A.java": "indexed", "b.bin": "unsupported-suffix", "c.txt": "invalid-utf8", "d.kt": "empty", "e.smali": "binary", "f.txt": "fallback"}
+    assert {r.path: r.state for r in t.collect()} == {"A.java": "indexed", "b.bin": "unsupported-suffix", "c.txt": "invalid-utf8", "e.smali": "binary", "f.txt": "fallback"}
     a = corpus.accounting(t).first()
-    assert (a.indexed, a.skipped, a.fallback, a.warnings) == (2, 4, 1, 5)
+    assert (a.indexed, a.skipped, a.fallback, a.warnings) == (2, 3, 1, 4)
 
 
 def test_packages(spark, tmp_path):
