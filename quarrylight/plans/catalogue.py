@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarrylight.functions import text as X
-from quarrylight.operators import chunking, evaluate, lineage, manifest, netflow, ranking, rollup, search, signals, store, vectors
+from quarrylight.operators import chunking, evaluate, lineage, manifest, netflow, ranking, report, rollup, search, signals, store, vectors
 from quarrylight.sources import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,6 +215,11 @@ def summary_union_levels(spark, sf_dir):
     return rollup.levels(chunking.line_windows(files(spark, sf_dir), size=4, overlap=1))
 
 
+@query
+def report_table(spark, sf_dir):
+    return report.markdown_table(rollup.package_summaries(chunks(spark, sf_dir)), ["package", "files", "chunks"], ["package"], most=30)
+
+
 @query
 def indicators(spark, sf_dir):
     p = table(spark, sf_dir, "pages")

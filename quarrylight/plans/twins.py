@@ -77,6 +77,8 @@ TWINS = {
       SELECT package, len(ps) AS files, chunks, 'Package ' || package || ': ' || len(ps) || ' files, ' || chunks || ' chunks. Files: ' || array_to_string(ps[1:15], ', ') || CASE WHEN len(ps) > 15 THEN ' (+' || (len(ps) - 15) || ' more)' ELSE '' END || '. Symbols: ' || array_to_string(ss[1:25], ', ') || '.' AS content FROM g""",
     "summary_project": f"WITH {CHUNKS} SELECT count(DISTINCT path) AS files, count(*) AS chunks, string_agg(DISTINCT language, ', ' ORDER BY language) AS languages FROM c",
     "summary_union_levels": f"WITH {WINDOWS}, g AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS package, count(*) AS n FROM w GROUP BY 1, 2) SELECT 'class' AS level, path AS scope, 1::BIGINT AS files, n AS chunks FROM g UNION ALL SELECT 'package', package, count(*), sum(n)::BIGINT FROM g GROUP BY 2 UNION ALL SELECT 'project', 'project', count(*), sum(n)::BIGINT FROM g",
+    "report_table": f"""WITH {CHUNKS}, g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS package, count(DISTINCT path) AS files, count(*) AS chunks FROM c GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY package) AS n FROM g)
+      SELECT '| package | files | chunks |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || package || ' | ' || files || ' | ' || chunks || ' |', chr(10) ORDER BY package) FILTER (n <= 30) AS markdown, count(*) FILTER (n <= 30) AS shown, count(*) AS total FROM t""",
     "indicators": r"""SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(html, '(?i)\b(?:Cipher|SecretKey|MessageDigest|Mac|encrypt|decrypt)\b') THEN 'cryptography' END, CASE WHEN regexp_matches(html, '(?i)\b(?:https?|Retrofit|OkHttp|Request|Response|socket)\b') THEN 'networking' END, CASE WHEN regexp_matches(html, '(?i)\b(?:auth|login|token|jwt|oauth|credential)\b') THEN 'authentication' END, CASE WHEN regexp_matches(html, '\b(?:native|System\.loadLibrary|JNI)\b') THEN 'native/JNI' END, CASE WHEN regexp_matches(html, '\b(?:Class\.forName|getDeclaredMethod|reflect)\b') THEN 'reflection' END], lambda x: x IS NOT NULL), ',') AS indicators FROM pages""",
     "signal_scores": f"WITH {SCORES} SELECT k, files, names, short_names, reflection, encoded, control, lines, round(name_score, 6) AS name_score, round(reflection_score, 6) AS reflection_score, round(string_score, 6) AS string_score, round(control_score, 6) AS control_score FROM sc",
     "signal_classification": f"""WITH {SCORES}, x AS (SELECT *, greatest(name_score, string_score, control_score) AS best, (name_score >= 0.55)::INT + (string_score >= 0.55)::INT + (control_score >= 0.55)::INT AS strong FROM sc)
