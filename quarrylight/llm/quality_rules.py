@@ -21,10 +21,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), "")
 
 
-def windows(w: Column, n: int) -> Column:
-    """A 64-bit hash of each n successive words."""
-    count = F.size(w) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<bigint>"))
+def hashes(w: Column) -> Column:
+    """XXH64 of each word. Windows and pairs are hashed from these, so that a word's letters are read once."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def windows(h: Column, n: int) -> Column:
+    """A 64-bit hash of each n successive words, from their hashes."""
+    count = F.size(h) - (n - 1)
+    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def placed_repeats(hashes: Column) -> Column:
@@ -41,20 +46,24 @@ def repeated_words(placed: Column, n: int) -> Column:
 
 
 def base_counts(docs: DataFrame, text_col: str = "text", window: int = 8) -> DataFrame:
-    """Adds _words, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (replaced if there). A null text has none."""
+    """Adds _hashes, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (replaced if there). A null text has none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    first = docs.withColumns({"_words": words(F.col(text_col)), "_lines": lines, "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"), "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")})
-    second = first.withColumns({"_windows": windows(F.col("_words"), window), "n_words": F.size("_words").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")})
-    third = second.withColumn("_placed", placed_repeats(F.col("_windows")))
-    return third.withColumn("n_repeat_words", repeated_words(F.col("_placed"), window)).drop("_windows", "_lines", "_placed")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    first = docs.withColumns({"_words": words(F.col(text_col)), "_lines": lines, "n_symbols": F.regexp_count(text, F.lit("[" + SYMBOLS + "]")).cast("long")})
+    second = first.withColumns({"_hashes": hashes(F.col("_words")), "n_words": F.size("_words").cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}).drop("_words", "_lines")
+    third = second.withColumn("_windows", windows(F.col("_hashes"), window))
+    fourth = third.withColumn("_placed", placed_repeats(F.col("_windows"))).drop("_windows")
+    return fourth.withColumn("n_repeat_words", repeated_words(F.col("_placed"), window)).drop("_placed")
+
+
+def pairs(h: Column) -> Column:
+    """Each word's hash with the next word's; null behind the last."""
+    return F.arrays_zip(h.alias("one"), F.slice(h, 2, F.greatest(F.size(h), F.lit(1))).alias("two"))
 
 
-def buckets_of(w: Column, buckets: int) -> Column:
-    """The buckets of a text's words and pairs of words."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    two = F.transform(windows(w, 2), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    return F.concat(one, two)
+def buckets_of(one: Column, two: Column, buckets: int) -> tuple[Column, Column]:
+    """The buckets of a word and of the pair that it begins; the latter is null for a last word."""
+    return F.pmod(one, F.lit(buckets)).cast("int"), F.when(two.isNotNull(), F.pmod(F.xxhash64(one, two), F.lit(buckets)).cast("int"))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smoothing: float = 10.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,8 +76,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smoo
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    rows = docs.select(F.col(id_col).alias("_doc"), words(F.col(text_col)).alias("w")).join(ids.withColumn("_in", F.lit(1)), F.col("_doc") == F.col("_id"), "left")
-    counts = rows.select(F.explode(buckets_of(F.col("w"), buckets)).alias("bucket"), F.coalesce("_in", F.lit(0)).alias("t")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
+    rows = docs.select(F.col(id_col).alias("_doc"), words(F.col(text_col)).alias("w")).select("_doc", hashes(F.col("w")).alias("h")).join(ids.withColumn("_in", F.lit(1)), F.col("_doc") == F.col("_id"), "left")
+    each = rows.select(F.explode(pairs(F.col("h"))).alias("p"), F.coalesce("_in", F.lit(0)).alias("t"))
+    each = each.select("t", F.explode(F.array(*buckets_of(F.col("p.one"), F.col("p.two"), buckets))).alias("bucket")).where("bucket is not null")
+    counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     counts = written(counts, "ngrams")
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     share = max(total["target"] or 0, 1) / max(total["raw"] or 0, 1)
@@ -91,8 +102,13 @@ def judge(docs: DataFrame, weights: DataFrame, keep: list[str], threshold: float
     keep = [c for c in keep if c not in (*counts, "llr", "base_failed", "kept")]
     counted = base_counts(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])]), text_col)
     # a row's n-grams stay together in its task, so the partial sums that leave it are one row for each text
-    spread = counted.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keep, *counts, F.explode_outer(buckets_of(F.col("_words"), buckets)).alias("bucket"))
-    weighed = spread.join(F.broadcast(weights), "bucket", "left")  # `buckets` rows
-    summed = weighed.groupBy("_row", *keep).agg(*[F.max(c).alias(c) for c in counts], F.coalesce(F.avg("weight"), F.lit(0.0)).alias("llr"))
+    spread = counted.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keep, *counts, F.explode_outer(pairs(F.col("_hashes"))).alias("p"))
+    one, two = buckets_of(F.col("p.one"), F.col("p.two"), buckets)
+    spread = spread.select("_row", *keep, *counts, one.alias("_one"), two.alias("_two"))
+    for name in ("_one", "_two"):  # `buckets` rows are broadcast
+        spread = spread.join(F.broadcast(weights.select(F.col("bucket").alias(name), F.col("weight").alias(f"_w{name}"))), name, "left")
+    total = F.coalesce(F.sum("_w_one"), F.lit(0.0)) + F.coalesce(F.sum("_w_two"), F.lit(0.0))
+    grams = F.count("_w_one") + F.count("_w_two")
+    summed = spread.groupBy("_row", *keep).agg(*[F.max(c).alias(c) for c in counts], F.when(grams > 0, total / grams).otherwise(F.lit(0.0)).alias("llr"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     return summed.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold)).drop("_row")
