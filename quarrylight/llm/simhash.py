@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quarrylight.llm.common import prepare, written
 from quarrylight.llm.components import connected_components
 
-BITS, TILE, PART = 64, 512, 2048
+BITS, TILE = 64, 512
+#: Fingerprints in a file that more blocks would make smaller, without and with wide fingerprints: the latter's rows cost more to move.
+MOST, MOST_WIDE = 1024, 4096
 
 
 def _hashes(text: bytes | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
@@ -88,6 +91,8 @@ def forest(fp: np.ndarray, part: np.ndarray, radius: int, wide: np.ndarray | Non
             b = slice(j, min(j + TILE, len(f)))
             if pop[j] - pop[a.stop - 1] > radius:
                 break
+            if (label[a] == label[i]).all() and (label[b] == label[i]).all():
+                continue  # connected already: in a large group of copies most tiles are
             near = np.bitwise_count(f[a, None] ^ f[None, b]) <= radius
             if cross:
                 near &= own[a, None] != own[None, b]
@@ -140,7 +145,7 @@ def _links(radius: int, wide_radius: int | None):
     return run
 
 
-def blocks_for(nodes: int, radius: int, most: int = 1024) -> int:
+def blocks_for(nodes: int, radius: int, most: int = MOST) -> int:
     """The fewest blocks with which a file of evenly spread fingerprints stays under `most`."""
     m = radius + 1
     while m < 3 * radius and nodes >> (BITS * (m - radius) // m) > most:
@@ -148,23 +153,34 @@ def blocks_for(nodes: int, radius: int, most: int = 1024) -> int:
     return m
 
 
-def _files(fp: F.Column, m: int, radius: int) -> list[F.Column]:
+def _files(fp: F.Column, m: int, radius: int, first: int = 0) -> list[F.Column]:
     cuts = [round(i * BITS / m) for i in range(m + 1)]
     masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:])]
     out = []
-    for number, chosen in enumerate(combinations(range(m), m - radius)):
+    for number, chosen in enumerate(combinations(range(m), m - radius), first * comb(m, radius)):
         mask = sum(masks[i] for i in chosen)
         mask -= (1 << 64) if mask >> 63 else 0
         out.append(F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(mask).cast("long"))))  # files that a hash throws together only add comparisons
     return out
 
 
-def links(nodes: DataFrame, radius: int, m: int, wide_radius: int | None = None) -> DataFrame:
-    """nodes: (fp, w1, w2, w3, rep), distinct. Links (a, b) of reps that connect what fingerprints within the radius connect."""
-    more = [] if wide_radius is None else ["w1", "w2", "w3"]
-    filed = nodes.select("fp", "rep", *more, F.explode(F.array(*_files(F.col("fp"), m, radius))).alias("file"))
-    parts = filed.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("file", F.ceil(F.col("n") / PART).cast("int").alias("k"))
-    dealt = filed.join(parts, "file", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int"))
+def links(nodes: DataFrame, radius: int, wide_radius: int | None = None) -> DataFrame:
+    """nodes: (fp, w1, w2, w3, rep), distinct. Links (a, b) of reps that connect what fingerprints within the radius connect.
+
+    wide_radius: if given, linked are those within the radius in any one of the four fingerprints and
+    within wide_radius in all four together.
+    """
+    words = ["fp"] if wide_radius is None else ["fp", "w1", "w2", "w3"]
+    most = MOST if wide_radius is None else MOST_WIDE
+    m, part = blocks_for(nodes.count(), radius, most), 2 * most
+    more = words[1:]
+    filed = None
+    for i, word in enumerate(words):
+        others = [F.col(w).alias(name) for w, name in zip([w for w in words if w != word], more)]
+        one = nodes.select(F.col(word).alias("fp"), "rep", *others, F.explode(F.array(*_files(F.col(word), m, radius, i))).alias("file"))
+        filed = one if filed is None else filed.union(one)
+    parts = filed.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > part).select("file", F.ceil(F.col("n") / part).cast("int").alias("k"))
+    dealt = filed.join(parts, "file", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp", "rep", F.lit(7)), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     grouped = dealt.select("file", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "fp", "rep", *more)
     grouped = grouped.select("file", *[F.col(c).cast("long").alias(c) for c in ("p", "q", "part")], "fp", "rep", *more)
@@ -174,7 +190,8 @@ def links(nodes: DataFrame, radius: int, m: int, wide_radius: int | None = None)
 def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, wide_radius: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id: the least doc_id that links reach from it.
 
-    wide_radius: if given, a link also differs in at most so many of 256 bits, which tells apart what 64 bits cannot.
+    wide_radius: if given, four fingerprints are taken of each text; linked are texts within the radius in any one of
+    them and within wide_radius in all 256 bits, which finds what one misses and tells apart what 64 bits cannot.
     Null and empty texts have fingerprint 0 and link like any other. A row with a null id gets the
     component of its fingerprint. Repeated rows each come back. Further columns are not read.
     """
@@ -182,7 +199,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     marked = written(fingerprints(docs, id_col, text_col, shingle, wide=wide_radius is not None), "fingerprints")
     nodes = written(marked.groupBy(*bits).agg(F.min("doc_id").alias("rep")), "nodes")
     known = nodes.where("rep is not null")
-    found = connected_components(links(known, radius, blocks_for(known.count(), radius), wide_radius))
+    found = connected_components(links(known, radius, wide_radius))
     whole = nodes.join(found, nodes.rep == found.node, "left").select(*bits, F.coalesce("component", "rep").alias("component_id"))
     return marked.join(whole, bits, "left").select("doc_id", "fp", "component_id")
 

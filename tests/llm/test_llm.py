@@ -215,9 +215,9 @@ def brute_components(fps, radius):
     return {i: find(i) for i in fps}
 
 
-@pytest.mark.parametrize("part", [2048, 16])
-def test_simhash_links_all(spark, monkeypatch, part):
-    monkeypatch.setattr(simhash, "PART", part)
+@pytest.mark.parametrize("most", [1024, 8])
+def test_simhash_links_all(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST", most)
     rng = np.random.default_rng(2)
     near = [(0x0123456789ABCDEF ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False))) for _ in range(120)]
     fps = dict(enumerate([*near, *(int(x) for x in rng.integers(0, 2**63, 300))]))
@@ -226,11 +226,28 @@ def test_simhash_links_all(spark, monkeypatch, part):
     for i, f in fps.items():
         rows.setdefault(signed(f), i)
     nodes = spark.createDataFrame([(f, i, 0, 0, 0) for f, i in rows.items()], "fp long, rep long, w1 long, w2 long, w3 long")
-    found = {r.node: r.component for r in components.connected_components(simhash.links(nodes, 4, 5)).collect()}
+    found = {r.node: r.component for r in components.connected_components(simhash.links(nodes, 4)).collect()}
     want = brute_components({i: fps[i] for i in rows.values()}, 4)
     assert {i: found.get(i, i) for i in want} == want
 
 
+@pytest.mark.parametrize("most", [4096, 16])
+def test_simhash_links_all_in_four_fingerprints(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST_WIDE", most)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2, (6, 256))
+    bits = np.concatenate([base[rng.integers(0, 6, 150)] ^ (rng.random((150, 256)) < 0.09), rng.integers(0, 2, (80, 256))]).astype(np.uint8)
+    words = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    rows = [(*map(int, w.view(np.int64)), i) for i, w in enumerate(words)]
+    found = {r.node: r.component for r in components.connected_components(simhash.links(spark.createDataFrame(rows, "fp long, w1 long, w2 long, w3 long, rep long"), 5, 36)).collect()}
+    apart = np.bitwise_count(words[:, None] ^ words[None])
+    near = (apart.min(axis=2) <= 5) & (apart.sum(axis=2) <= 36)
+    want = np.arange(len(words))
+    for _ in words:
+        want = np.where(near, want[None], len(words)).min(axis=1)
+    assert {i: found.get(i, i) for i in range(len(words))} == dict(enumerate(want.tolist())) and len(set(want)) < len(words)
+
+
 def test_simhash_on_odd_rows(spark, odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count() and {r.component_id for r in got if r.fp == 0} == {0}
