@@ -35,10 +35,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one of least id. Documents left without a word are one group.
 
-    SimHash of five-word shingles. Texts of similarity 0.8 differ in 15 of 100 bits on average: linked are those that
-    differ in at most 8 of 64 bits in one of four fingerprints, and in at most 44 of all 256. Rows with a null id stay.
+    Linked are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, each link confirmed by
+    the sets; SimHash bits only sort out candidates. Rows with a null id stay.
     """
-    return keep_one(docs, radius=8, shingle=5, wide_radius=44)
+    return keep_one(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

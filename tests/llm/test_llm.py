@@ -257,6 +257,42 @@ def test_simhash_on_odd_rows(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("part", [8192, 8])
+def test_similar_sets_by_brute_force(spark, monkeypatch, part):
+    """Every pair at 0.8 or more is linked, none below: short and long texts, chains, a large group, repeated lines."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = np.random.default_rng(8)
+    texts = ["a b c d e f g h", "a b c d e f g h i", "A b c\td e f g h i", "x y", "x  Y", "", None, "same line of five words\n" * 9 + "and then some more"]
+    for size in (30, 60, 200):
+        for base in range(4):
+            words = [f"w{i}" for i in rng.integers(0, 5000, size)]
+            for _ in range(40 if base else 100):
+                one = list(words)
+                for at in rng.integers(0, size, rng.integers(0, max(2, size // 20))):
+                    one[at] = f"n{rng.integers(0, 10**6)}"
+                texts.append(" ".join(one[rng.integers(0, 3) : size - rng.integers(0, size // 6)]))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = np.array([[(not a and not b) or 9 * len(a & b) >= 4 * (len(a) + len(b)) for b in sets] for a in sets])
+    want = np.arange(len(texts))
+    for _ in texts:
+        want = np.where(near, want[None], len(texts)).min(axis=1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs, 0.8).collect()} == dict(enumerate(want.tolist()))
+    assert 20 < len(set(want.tolist())) < len(texts) / 2
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(want.tolist())
+
+
+def test_similar_on_odd_rows(spark, odd, none):
+    kept = simhash.keep_one(odd, similarity=0.8)
+    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([None, 0, 3, 4, 5, 6, 7, 9, 10])
+    assert simhash.similar(none).count() == 0 and simhash.keep_one(none, similarity=0.8).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(e).collect()}
