@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -23,10 +25,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset and all run on one machine."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_quarrylight_shared", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = sc._quarrylight_shared = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     return base.rstrip("/")
 
@@ -56,26 +60,91 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def with_shard(df: DataFrame, key: str, shards: int, per_shard: int = 32) -> DataFrame:
-    """Adds `_shard`: ranges of `key` (a long; null first) with about as many rows each.
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Names like these that are not among `taken` (case does not tell names apart), so that helper columns never clash."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
-    The bounds are quantiles of those keys whose hash falls below a fraction that gives
-    about `per_shard` keys a shard. So they depend on the rows alone: not on partitions,
-    on the session or on the order of tasks. Every row gets a shard; equal keys share one.
+
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of a long key with about `target` bytes each. Null keys come first. All rows of a key share a range but for a
+    key with so many bytes that it takes several: these are told apart by the hash of the row's content.
+    """
+
+    first: np.ndarray  # least key of each run of ranges but the first
+    base: np.ndarray  # number of the first range of each run
+    parts: np.ndarray  # ranges of each run: 1, or more for one large key
+    null_parts: int
+
+    @property
+    def count(self) -> int:
+        return self.null_parts + int(self.parts.sum())
+
+    def of(self, key: Column, tie: Column) -> Column:
+        """The range of a row, from 0. tie: a long that depends on the row's content alone."""
+        first, base, parts, nulls = self.first, self.base, self.parts, self.null_parts  # a few longs for each range
+
+        @F.pandas_udf("int")
+        def place(k: pd.Series, t: pd.Series) -> pd.Series:
+            missing = k.isna().to_numpy()
+            run = np.searchsorted(first, k.fillna(0).to_numpy(np.int64), side="right")
+            n = np.where(missing, nulls, parts[run])
+            share = (t.to_numpy(np.int64) >> 32) + 2**31  # 0 to 2**32 - 1, in the order of t
+            return pd.Series((np.where(missing, 0, base[run]) + share * n // 2**32).astype(np.int32))
+
+        return place(key.cast("long"), tie)
+
+
+def _cell(lo: np.ndarray, hi: np.ndarray, width: np.ndarray):
+    """The span that a key lies in (-1: none) and its cell there."""
+
+    @F.pandas_udf("struct<s:long,c:long>")
+    def cell(keys: pd.Series) -> pd.DataFrame:
+        k = keys.to_numpy(np.int64)
+        s = np.maximum(np.searchsorted(lo, k, side="right") - 1, 0)
+        c = (k.view(np.uint64) - lo[s].view(np.uint64)) // width[s]
+        return pd.DataFrame({"s": np.where((k >= lo[s]) & (k <= hi[s]), s, -1), "c": c.astype(np.int64)})
+
+    return cell
+
+
+def ranges(df: DataFrame, key: Column, size: Column, target: int, fewest: int = 64, least: int = 4 << 20, cells: int = 4096) -> Ranges:
+    """Ranges of about `target` bytes; of fewer, but not under `least`, if there would not be `fewest` ranges.
+
+    Bytes are summed by cells of the key's span; cells with too many bytes and several keys are cut again, until none is
+    left. So the bounds depend on the rows alone, and only sums by cell reach the driver: a few for each range.
     """
-    rows = df.select(key).count()
-    keep = min(1.0, shards * per_shard / max(rows, 1))
-    limit = int((2**63 - 1) * keep)
-    picked = df.select(F.col(key).cast("long").alias("k")).where(F.col("k").isNotNull())
-    if keep < 1:
-        picked = picked.where(F.abs(F.xxhash64("k") / 2) <= limit / 2)
-    keys = np.sort(np.fromiter((r.k for r in picked.collect()), np.int64))
-    at = np.linspace(0, len(keys), shards, endpoint=False)[1:].astype(int)
-    bounds = np.unique(keys[at]) if len(keys) else keys
-    # the bounds travel in the function: one long a shard
-
-    @F.pandas_udf("int")
-    def shard(k: pd.Series) -> pd.Series:
-        return pd.Series(np.where(k.isna(), 0, np.searchsorted(bounds, k.fillna(0).to_numpy(np.int64), side="right")).astype(np.int32))
-
-    return df.withColumn("_shard", shard(F.col(key).cast("long")))
+    rows = df.select(key.cast("long").alias("k"), size.cast("long").alias("n"))
+    r = rows.agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("n").alias("n"), F.sum(F.when(F.col("k").isNull(), F.col("n"))).alias("nulls"), F.count_if(F.col("k").isNull()).alias("some")).first()
+    total = r.n or 0
+    target = max(1, min(target, max(least, total // fewest)))
+    null_parts = max(1, -(-(r.nulls or 0) // target)) if r.some else 0
+    if r.lo is None:
+        return Ranges(np.zeros(0, np.int64), np.zeros(1, np.int64), np.ones(1, np.int64) * (not null_parts), null_parts)
+    open_spans, done = [(r.lo, r.hi)], []
+    while open_spans:
+        lo = np.array([a for a, _ in open_spans], np.int64)
+        hi = np.array([b for _, b in open_spans], np.int64)
+        each = max(cells, 4 * (total // target) // len(lo))
+        width = np.array([(b - a) // each + 1 for a, b in open_spans], np.uint64)
+
+        sums = rows.where("k is not null").withColumn("at", _cell(lo, hi, width)("k")).where("at.s >= 0").groupBy("at").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.sum("n").alias("n"))
+        got = [(x.a, x.b, x.n or 0) for x in sums.collect()]
+        open_spans = sorted((a, b) for a, b, n in got if n > target // 2 and a < b)
+        done += [x for x in got if x[2] <= target // 2 or x[0] == x[1]]
+    first, parts, held = [], [], 0
+    for a, b, n in sorted(done):
+        alone = a == b and n > target
+        if not parts or held + n > target or alone:
+            first.append(a)
+            parts.append(-(-n // target) if alone else 1)
+            held = target if alone else 0
+        held += n
+    base = null_parts + np.cumsum([0, *parts[:-1]])
+    return Ranges(np.array(first[1:], np.int64), base.astype(np.int64), np.array(parts, np.int64), null_parts)

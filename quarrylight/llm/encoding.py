@@ -60,7 +60,8 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         """Encodes unseen pieces. A piece that white space makes unfit to stand alone gets None.
 
-        Letters and the punctuation behind them never share a pre-token, so these are learnt apart.
+        An ASCII letter and the punctuation behind it never share a pre-token, so these are learnt apart. Other letters may
+        end in a combining mark once they are normalised, and a mark does share one with punctuation.
         """
         parts: list[tuple[str, str, str, str]] = []  # piece, prefix, head, tail
         for p in pieces:
@@ -70,7 +71,7 @@ class Encoder:
                 self.known[p] = b"" if p == _BARE else None
                 continue
             head = core.rstrip(_TAIL)
-            if not head or not head[-1].isalpha():
+            if not head or not (head[-1].isascii() and head[-1].isalpha()):
                 head = core
             parts.append((p, prefix, head, core[len(head) :]))
         known, bare = self.known, _BARE if self.spaced else ""

@@ -30,7 +30,7 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.token_blocks import read_tokens, write_tokens
 
     folder = shared_path(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2, shard_bytes=48 << 20)
+    write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2, shard_bytes=1 << 30)
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -46,7 +46,7 @@ def op5_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.warc import read_warc, write_warc
 
     folder = shared_path(spark, "warc")
-    write_warc(table(spark, sf_dir, "pages"), folder, shard_bytes=16 << 20, roll_bytes=2 << 20, revisit_bytes=0)
+    write_warc(table(spark, sf_dir, "pages"), folder, shard_bytes=4 << 30, roll_bytes=1 << 30, revisit_bytes=0)
     return read_warc(spark, folder).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 

@@ -1,15 +1,16 @@
 """Token ids as binary files of patched frame-of-reference blocks.
 
-A file holds the ids of a range of documents in ascending doc_id order (equal ids: by text), cut into
-blocks of 4096 ids that run across documents:
+A file holds the ids of a range of documents in ascending doc_id order (null ids first, equal ids by a hash of the
+text), cut into blocks of 4096 ids that run across documents:
 
-    file    b"QPF1", blocks, index, footer
+    file    b"QPF2", blocks, index, footer
     block   <u4 minimum, u1 width, u1 wide, <u2 exceptions>, then the ids less the minimum, each packed into
             `width` bits (least significant bit first), then the exceptions' positions (<u2) and what of them lies
-            above `width` bits (<u4). width: the bits that all but `outliers` of the block's ids need,
-            or the fewest bytes over neighbouring widths; `wide` is kept zero.
-    index   zstandard of: <u8 start of each block, <i8 doc_id and <u4 ids of each document
-    footer  <u8 start of the index, <u8 blocks, <u8 documents, <u8 ids, <u4 crc32 of the index, b"QPF1"
+            above `width` bits (<u4). width: the bits that all but the share `outliers` of the block's ids need; `wide` is
+            kept zero.
+    index   zstandard of: <u8 documents without an id (they come first, with 0 below), <u8 start of each block, <i8 doc_id
+            and <u4 ids of each document
+    footer  <u8 start of the index, <u8 blocks, <u8 documents, <u8 ids, <u4 crc32 of the index, b"QPF2"
 
 Files are written under temporary names and renamed; a repeated task writes the same bytes to the same name.
 A manifest table (one row for each file) makes them visible: readers open only what it lists.
@@ -24,12 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrylight.llm.common import filesystem, prepare, with_shard
+from quarrylight.llm.common import filesystem, prepare, ranges
 from quarrylight.llm.encoding import encoder
 
-MAGIC, BLOCK = b"QPF1", 4096
+MAGIC, BLOCK = b"QPF2", 4096
 MANIFEST = "shard int, file string, first_doc long, last_doc long, documents long, ids long, bytes long"
 
 
@@ -50,9 +51,7 @@ def encode_block(ids: np.ndarray, outliers: float = 0.02) -> bytes:
     low = int(ids.min())
     rest = (ids - np.uint32(low)).astype(np.uint32)
     widths = np.frexp(rest.astype(np.float64))[1]  # bits of each
-    at_percentile = int(np.quantile(widths, 1 - outliers, method="higher"))
-    cost = {w: len(ids) * w / 8 + 6 * int((widths > w).sum()) for w in {at_percentile, max(0, at_percentile - 1), int(widths.max())}}
-    width = min(cost, key=lambda w: (cost[w], w))
+    width = int(np.quantile(widths, 1 - outliers, method="higher"))
     odd = np.flatnonzero(widths > width)
     head = np.array([low], "<u4").tobytes() + bytes([width, 0]) + np.array([len(odd)], "<u2").tobytes()
     packed = pack_bits(rest & np.uint32((1 << width) - 1), width)
@@ -91,7 +90,7 @@ class ShardWriter:
             self.at += len(block)
         self.waiting, self.waits = [raw[end:]], len(raw) - end
 
-    def add(self, doc: int, ids: bytes) -> None:
+    def add(self, doc: int | None, ids: bytes) -> None:
         self.docs.append(doc)
         self.lengths.append(len(ids) // 4)
         self.ids += len(ids) // 4
@@ -102,7 +101,11 @@ class ShardWriter:
 
     def close(self) -> tuple:
         self._flush(last=True)
-        index = zstandard.compress(np.array(self.starts, "<u8").tobytes() + np.array(self.docs, "<i8").tobytes() + np.array(self.lengths, "<u4").tobytes())
+        named = [d for d in self.docs if d is not None]
+        nameless = len(self.docs) - len(named)
+        index = zstandard.compress(
+            np.array([nameless, *self.starts], "<u8").tobytes() + np.array([0] * nameless + named, "<i8").tobytes() + np.array(self.lengths, "<u4").tobytes()
+        )
         self.out.write(index + np.array([self.at, len(self.starts), len(self.docs), self.ids], "<u8").tobytes() + np.array([zlib.crc32(index)], "<u4").tobytes() + MAGIC)
         self.out.close()
         size = self.at + len(index) + 40
@@ -110,7 +113,7 @@ class ShardWriter:
         return self.docs[0], self.docs[-1], len(self.docs), self.ids, size
 
 
-def read_shard(folder: str, name: str, block_batch: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+def read_shard(folder: str, name: str, block_batch: int = 256) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of each document, in order; a bounded number of blocks is held at a time."""
     fs, root = filesystem(folder)
     with fs.open_input_file(f"{root}/{name}") as f:
@@ -121,10 +124,11 @@ def read_shard(folder: str, name: str, block_batch: int = 256) -> Iterator[tuple
         if foot[36:] != MAGIC or zlib.crc32(raw) != int(np.frombuffer(foot, "<u4", 1, 32)[0]):
             raise ValueError(f"{name} is damaged")
         index = zstandard.decompress(raw)
-        starts = [*np.frombuffer(index, "<u8", blocks).tolist(), index_at]
-        names, lengths = np.frombuffer(index, "<i8", docs, 8 * blocks), np.frombuffer(index, "<u4", docs, 8 * (blocks + docs))
+        nameless = int(np.frombuffer(index, "<u8", 1)[0])
+        starts = [*np.frombuffer(index, "<u8", blocks, 8).tolist(), index_at]
+        names, lengths = np.frombuffer(index, "<i8", docs, 8 + 8 * blocks), np.frombuffer(index, "<u4", docs, 8 + 8 * (blocks + docs))
         have, done = np.empty(0, "<u4"), 0
-        for doc, n in zip(names.tolist(), lengths.tolist()):
+        for doc, n in zip([None] * nameless + names[nameless:].tolist(), lengths.tolist()):
             if len(have) < n:
                 more = [have]
                 held = len(have)
@@ -140,19 +144,20 @@ def read_shard(folder: str, name: str, block_batch: int = 256) -> Iterator[tuple
             have = have[n:]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_bytes: int, outliers: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_bytes: int = 1 << 30, outliers: float = 0.02, id_col: str = "doc_id", text_col: str = "text", fewest: int = 64, least_bytes: int = 4 << 20) -> DataFrame:
     """Writes the files and returns their manifest, which lies in {folder}/manifest.
 
-    shard_bytes: about how many bytes of text go to a file. A null text is empty (the end id alone); a null
-    id counts as the least long; repeated rows are written each; further columns are not read. An
-    empty table gives an empty manifest.
+    shard_bytes: about how many bytes of text go to a file; fewer, but least_bytes or more, where that would give under
+    `fewest` files. A null text is empty (the end id alone); rows with a null id come first and keep it; repeated rows
+    are written each; further columns are not read, whatever their names. An empty table gives an empty manifest. The tokenizer
+    file is opened by its path on the executors.
     """
-    spark = prepare(docs.sparkSession)
-    least = -(2**63)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    ranged = with_shard(source, "doc_id", shards).repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "doc_id", "text")
+    prepare(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    tie = F.xxhash64("text")
+    cut = ranges(source, F.col("doc_id"), F.octet_length("text") + 1, shard_bytes, fewest, least_bytes)
+    placed = source.withColumns({"_shard": cut.of(F.col("doc_id"), tie), "_tie": tie})
+    ranged = placed.repartitionById(cut.count, "_shard").sortWithinPartitions("_shard", "doc_id", "_tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, at = encoder(tokenizer, end_id, spaced=False).encode, None, None
@@ -173,14 +178,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
             yield done()
 
     ranged.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (binary), from the files that the manifest lists."""
-    manifest = prepare(spark).read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    files = manifest.select("shard", "file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
+    """doc_id, start (ids of all documents before it), n_tokens and ids (binary), from the files that the manifest lists.
+
+    The manifest, one row for each file, passes through the driver; each file is read by a task of its own.
+    """
+    rows = prepare(spark).read.schema(MANIFEST).parquet(f"{folder}/manifest").select("shard", "file", "ids").orderBy("shard").collect()
+    base = np.cumsum([0, *(r.ids for r in rows)]).tolist()
+    listed = spark.createDataFrame([(i, r.file, b) for i, (r, b) in enumerate(zip(rows, base))], "number int, file string, base long")
+    files = listed.repartitionById(max(1, len(rows)), "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +204,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 if out:
                     yield _rows(out)
 
-    return files.repartition(F.col("shard")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrylight.llm.common import filesystem, prepare, with_shard, written
+from quarrylight.llm.common import filesystem, prepare, ranges, written
 
 MANIFEST = "shard int, number int, file string, records long, bytes long, first_key long, last_key long"
 RECORD = "record_id string, record_type string, target_uri string, key long, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -77,24 +77,26 @@ class RollingWriter:
         return {"shard": self.shard, "number": self.number, "file": self.name, "records": self.records, "bytes": self.size, "first_key": self.first, "last_key": self.last}
 
 
-def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shard_bytes: int = 1 << 30, roll_bytes: int = 1 << 30, revisit_bytes: int | None = 0, date: str = "1970-01-01T00:00:00Z", level: int = 6) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shard_bytes: int = 4 << 30, roll_bytes: int = 1 << 30, revisit_bytes: int | None = 0, date: str = "1970-01-01T00:00:00Z", level: int = 6, fewest: int = 64, least_bytes: int = 4 << 20) -> DataFrame:
     """Writes one record for each row and returns the manifest, which lies in {folder}/manifest.
 
     revisit_bytes: of records with equal payloads of at least so many bytes, the one with the largest key is the
     response and the others are revisits of it (None: all are responses). Where that key has several rows,
-    all of these are responses. shard_bytes: about how much payload goes to a range;
-    roll_bytes: compressed size at which a file is full. A null payload is empty, a null key comes first and is never referred
-    to, a null url is an empty header. Further columns are not read. An empty table gives an empty manifest.
+    all of these are responses. shard_bytes: about how much payload goes to a range (less, but least_bytes or
+    more, where that would give under `fewest` ranges); roll_bytes: compressed size at which a file is full. Records are in the
+    order of key, then of a hash of payload and url. A null payload is empty, a null key comes first and is never referred
+    to, a null url is an empty header. Further columns are not read, whatever their names. An empty table gives an empty manifest.
     """
     spark = prepare(pages.sparkSession)
     source = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha1("payload"))
     size = F.octet_length("payload")
-    total = source.agg(F.sum(size)).first()[0] or 0
     again = source.where(F.lit(revisit_bytes is not None) & (size >= (revisit_bytes or 0))).groupBy("sha").agg(F.max_by(F.struct("key", "url"), "key").alias("ref"), F.count("*").alias("n")).where("n > 1 and ref.key is not null").select("sha", "ref")
     again = written(again, "payloads")  # so that Spark sees its size: pages are shuffled for it only if it is large
     joined = source.join(again, "sha", "left").select("key", "url", "payload", "sha", F.when(F.col("key").isNull() | (F.col("key") < F.col("ref.key")), F.col("ref")).alias("ref"))
-    shards = max(1, -(-total // shard_bytes))
-    ranged = with_shard(joined, "key", shards).repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "key", "url", "sha")
+    cut = ranges(source, F.col("key"), size + 500, shard_bytes, fewest, least_bytes)  # headers have about 500 bytes
+    tie = F.xxhash64("sha", "url")
+    placed = joined.withColumns({"_shard": cut.of(F.col("key"), tie), "_tie": tie})
+    ranged = placed.repartitionById(cut.count, "_shard").sortWithinPartitions("_shard", "key", "_tie", "url", "sha")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, rows = None, []
@@ -149,8 +151,11 @@ def members(f, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each record of the files that the manifest lists. payload is null for revisits;
-    payload_digest (bare) and payload_bytes are of the full payload, checked against it where it is there."""
-    files = prepare(spark).read.schema(MANIFEST).parquet(f"{folder}/manifest").select("shard", "number", "file", "records")
+    payload_digest (bare) and payload_bytes are of the full payload, checked against it where it is there.
+    The manifest's file names pass through the driver; each file is read by a task of its own. An empty manifest gives no row."""
+    listed = prepare(spark).read.schema(MANIFEST).parquet(f"{folder}/manifest").select("file", "records").orderBy("file").collect()
+    rows = [(i, r.file, r.records) for i, r in enumerate(listed)]
+    files = spark.createDataFrame(rows, "at int, file string, records long").repartitionById(max(1, len(rows)), "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
@@ -174,7 +179,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield _table(rows)
 
-    return files.repartition("shard", "number").mapInArrow(run, RECORD)
+    return files.mapInArrow(run, RECORD)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
