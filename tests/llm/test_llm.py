@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on rows that are null, empty, long, tied or repeated."""
 
 import hashlib
+import itertools
 import math
 import re
 import unicodedata
@@ -333,7 +334,7 @@ def test_hidden_markov_model(spark, none):
     kinds = [["le", "la", "un", "chat"], ["the", "a", "an", "cat"]]
     texts = [" ".join(rng.choice(kinds[i % 2], rng.integers(0, 30))) for i in range(60)]
     d = spark.createDataFrame([*enumerate(texts), (60, None), (61, "Unseen le")], "doc_id long, text string")
-    shape = hmm_lm.Shape(states=3, frequent=6, classes=4, segment=8, block_bytes=400)
+    shape = hmm_lm.Shape(states=3, frequent=4, classes=4, cached=6, cells=64)
     rows = hmm_lm.language_model(d, F.col("doc_id") % 5 != 0, shape).collect()
     words = {r.doc_id: [*(r.text or "").translate(LOWER).split(), "\n"] for r in d.collect()}
     c = Counter(w for i, ws in words.items() if i % 5 for w in ws)
@@ -356,14 +357,35 @@ def test_forward_is_exact_and_sums_to_one():
     for s, x in zip(every, p):
         paths = [(i, j, k) for i in range(2) for j in range(2) for k in range(2)]
         assert math.isclose(x, sum(t.start[i] * t.emit[s[0], i] * t.move[i, j] * t.emit[s[1], j] * t.move[j, k] * t.emit[s[2], k] for i, j, k in paths))
-    flat, ll = np.concatenate(every), []
+    ll = []
     for _ in range(4):
-        new, x = hmm_lm.expected(t, flat, np.full(27, 3), segment=8)
+        new, x = hmm_lm.expected(t, every)
         ll.append(x)
         t = hmm_lm.Tables(new.start / new.start.sum(), new.move / new.move.sum(axis=1, keepdims=True), new.emit / new.emit.sum(axis=0))
     assert all(b >= a - 1e-9 for a, b in zip(ll, ll[1:]))
 
 
+def test_baum_welch_over_whole_texts():
+    """Counts equal those of every path, whatever the texts' lengths and however long texts are cut on the way."""
+    rng = np.random.default_rng(2)
+    t = hmm_lm.Tables(rng.random(2), rng.random((2, 2)), rng.random((4, 2))).normalised()
+    texts = [rng.integers(0, 4, n) for n in (1, 7, 3, 9, 2, 9, 0)]
+    start, move, emit, ll = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2)), 0.0
+    for x in texts[:-1]:
+        paths = list(itertools.product(range(2), repeat=len(x)))
+        p = np.array([t.start[z[0]] * np.prod([t.move[a, b] for a, b in zip(z, z[1:])]) * np.prod([t.emit[s, q] for s, q in zip(x, z)]) for z in paths])
+        ll += math.log(p.sum())
+        for z, w in zip(paths, p / p.sum()):
+            start[z[0]] += w
+            for a, b in zip(z, z[1:]):
+                move[a, b] += w
+            for s, q in zip(x, z):
+                emit[s, q] += w
+    for cells in (1, 4, 20, 1000):
+        got, l = hmm_lm.expected(t, texts, cells)
+        assert np.allclose(got.start, start) and np.allclose(got.move, move) and np.allclose(got.emit, emit) and math.isclose(l, ll)
+
+
 def test_language_models(spark, odd, none):
     text = {"en": "the cat sat on the mat and the dog ran", "de": "die katze und der hund sind nicht auf dem dach", "fr": "le chat est sur la table avec les chiens"}
     d = spark.createDataFrame([(i, " ".join(np.random.default_rng(i).permutation(t.split())), k) for i in range(20) for k, t in text.items()], "doc_id long, text string, lang string")
