@@ -395,15 +395,55 @@ def test_language_models(spark, odd, none):
     rows = langid.identify(odd, model, keep=["doc_id", "start", "words"]).collect()
     assert len(rows) == odd.count() and {r.lang_pred for r in rows if r.doc_id in (0, 1, 2)} == {"und"}
     assert langid.identify(none, model, keep=["doc_id"]).count() == 0
-    with pytest.raises(ValueError):
-        langid.train(none)
+    unknown = langid.identify(odd, langid.train(none), keep=["doc_id"]).collect()
+    assert len(unknown) == odd.count() and {(r.lang_pred, r.score, r.accepted) for r in unknown} == {("und", 0.0, False)}
+    assert {r.lang_pred for r in langid.identify(odd, langid.train(odd.withColumn("lang", F.lit(None).cast("string"))), keep=["doc_id"]).collect()} == {"und"}
+    clash = langid.identify(odd.withColumnRenamed("words", "_text"), model, keep=["doc_id", "_text"]).collect()
+    assert {r["_text"] for r in clash} == {"w", None}
 
 
-def test_kneser_ney_sums_to_about_one(spark):
-    d = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(["abba baba ab", "aab bab abab b"])], "doc_id long, text string, lang string")
+def plain_kneser_ney(texts, order=4):
+    """log P(c | before) of interpolated Kneser-Ney, by dictionaries; before: a tuple of order - 1 codes."""
+    counts = {order: Counter()}
+    for t in texts:
+        for w in t.lower().split():
+            codes = [langid.BORDER] * (order - 1) + [ord(c) + 3 for c in w] + [langid.BORDER]
+            for i in range(order - 1, len(codes)):
+                counts[order][tuple(codes[i - order + 1 : i + 1])] += 1
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    d = {n: (sum(x == 1 for x in c.values()) + 0.5) / (sum(x == 1 for x in c.values()) + 2 * sum(x == 2 for x in c.values()) + 1) for n, c in counts.items()}
+    return counts, d
+
+
+def plain_probability(counts, d, vocabulary, gram):
+    p = 1 / vocabulary
+    for n in range(1, len(gram) + 1):
+        own = gram[len(gram) - n :]
+        same = {g: c for g, c in counts[n].items() if g[:-1] == own[:-1]}
+        if same:
+            total = sum(same.values())
+            p = max(counts[n][own] - d[n], 0) / total + d[n] * len(same) / total * p
+    return p
+
+
+def test_kneser_ney_by_brute_force(spark):
+    """Every conditional probability equals that of the plain model, and each language's sum to one, also when n-grams are pruned."""
+    texts = {"xx": ["abba baba ab", "aab bab abab b éa"], "yy": ["cab bac acca", "cc c abc"]}
+    d = spark.createDataFrame([(i, t, k) for k, ts in texts.items() for i, t in enumerate(ts)], "doc_id long, text string, lang string")
+    symbols = [langid.BORDER, *(ord(c) + 3 for c in "abcé"), ord("z") + 3]  # z stands for what is unseen
+    contexts = [c for c in itertools.product(symbols, repeat=3)][::7]
+    codes = np.array([[*c, s] for c in contexts for s in symbols])
     model = langid.train(d)
-    codes = np.array([[langid.BORDER] * 3 + [c] for c in (langid.BORDER, ord("a") + 3, ord("b") + 3)])
-    assert 0.8 < np.exp(model.log_probability(codes)).sum() < 1.2
+    got = np.exp(model.log_probability(codes))
+    for j, lang in enumerate(model.langs):
+        counts, discounts = plain_kneser_ney(texts[lang])
+        want = [plain_probability(counts, discounts, 6, tuple(map(int, c))) for c in codes]
+        assert np.allclose(got[:, j], want, rtol=1e-4)
+    assert np.allclose(got.reshape(len(contexts), 6, 2).sum(axis=1), 1, atol=1e-5)
+    pruned = langid.train(d, most=20)
+    assert max(len(k) for k, _ in pruned.seen.values()) <= 10 < max(len(k) for k, _ in model.seen.values())
+    assert np.allclose(np.exp(pruned.log_probability(codes)).reshape(len(contexts), 6, 2).sum(axis=1), 1, atol=1e-5)
 
 
 def test_factorisation_machine_identity():
