@@ -11,26 +11,22 @@ spanning forest of each group's links leaves it. Equal fingerprints are one node
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 from itertools import combinations, repeat
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quarrylight.llm.common import prepare, written
 from quarrylight.llm.components import connected_components
 
 BITS, TILE = 64, 512
-#: Fingerprints in a file that more blocks would make smaller, without and with wide fingerprints: the latter's rows cost more to move.
-MOST, MOST_WIDE = 1024, 4096
-#: Of 256 bits, texts of Jaccard similarity 0.8 differ in 39 on average (48 in the worst case, four shingles beside five), by 6 more or less.
-FAR, PART = 80, 8192
+#: Fingerprints in a file that more blocks would make smaller.
+MOST = 1024
 
 
-def _hashes(text: bytes | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+def hashes(text: bytes | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
     """XXH64 of every shingle, repeats included: words between ASCII white space, A-Z lower-cased; fewer words make one."""
     words = text.lower().split() if text else []
     joined, shingle = b" ".join(words), min(shingle, len(words))
@@ -43,51 +39,48 @@ def _hashes(text: bytes | None, shingle: int, seed: int) -> Iterator[np.ndarray]
         yield np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(seed)), np.uint64)
 
 
-def _majority(parts: list[np.ndarray]) -> int:
+def majority(parts: list[np.ndarray]) -> int:
+    """Bits that are set in over half of the hashes."""
     total, n = np.zeros(BITS, np.int64), sum(map(len, parts))
     for h in parts:
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42, wide: bool = False) -> list[int]:
-    """Of a whole text, unsigned; a text without words has 0. wide: three more, of the hashes mixed anew."""
-    parts = list(_hashes(text, shingle, seed))
-    return _four(*parts) if wide else [_majority(parts)]
+def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
+    """Of a whole text, unsigned; a text without words has 0."""
+    return majority(list(hashes(text, shingle, seed)))
 
 
-def _four(*parts: np.ndarray) -> list[int]:
-    out = [_majority(list(parts))]
-    for j in range(3):
-        mixed = []
-        for h in parts:
-            x = (h + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            mixed.append(x ^ (x >> np.uint64(32)))
-        out.append(_majority(mixed))
-    return out
-
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
+    """(doc_id, tie, fp) of every row: fp as a signed long, tie a hash of the text. A null text counts as empty.
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, wide: bool = False) -> DataFrame:
-    """(doc_id, fp, w1, w2, w3) of every row: bits as signed longs; the last three are 0 unless wide."""
+    Repeated rows each come back; an empty table gives no row; further columns are not read, whatever their names.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.zeros((batch.num_rows, 4), np.uint64)
-            for i, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                got = fingerprint(t, shingle, seed, wide)
-                bits[i, : len(got)] = got
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, j]).view(np.int64)) for j in range(4))], names=["doc_id", "fp", "w1", "w2", "w3"])
+            bits = np.array([fingerprint(t, shingle, seed) for t in batch.column(2).cast(pa.binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits.view(np.int64))], names=["doc_id", "tie", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long, w1 long, w2 long, w3 long")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, "doc_id long, tie long, fp long")
 
 
-def forest(fp: np.ndarray, part: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as positions) that connect what links of at most `radius` bits connect. With two parts: links between them only.
+def merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Gives what the links (x, y) join one label, in place. A label is the position of a member that has it."""
+    while len(x):
+        u, v = label[x], label[y]
+        apart = u != v
+        x, y, u, v = x[apart], y[apart], u[apart], v[apart]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label[label] != label).any():
+            label[:] = label[label]
 
-    wide: three more fingerprints of each; a link then has at most wide_radius bits in all four.
-    """
+
+def forest(fp: np.ndarray, part: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as positions) that connect what links of at most `radius` bits connect. With two parts: links between them only."""
     order = np.argsort(np.bitwise_count(fp), kind="stable")
     f, own = fp[order], part[order]
     pop, cross = np.bitwise_count(f).astype(np.int64), bool(len(part)) and part.min() != part.max()
@@ -105,54 +98,50 @@ def forest(fp: np.ndarray, part: np.ndarray, radius: int, wide: np.ndarray | Non
                 near &= own[a, None] != own[None, b]
             x, y = np.nonzero(near)
             x, y = x + i, y + j
-            x, y = x[x < y], y[x < y]
-            if wide is not None and len(x):
-                kept = np.bitwise_count(f[x] ^ f[y]) + np.bitwise_count(wide[order[x]] ^ wide[order[y]]).sum(axis=1) <= wide_radius
-                x, y = x[kept], y[kept]
-            while len(x):  # merge the labels that these links join
-                u, v = label[x], label[y]
-                apart = u != v
-                x, y, u, v = x[apart], y[apart], u[apart], v[apart]
-                np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
-                while (label[label] != label).any():
-                    label = label[label]
+            merge(label, x[x < y], y[x < y])
     far = np.flatnonzero(label != np.arange(len(f)))
     return order[far], order[label[far]]
 
 
-def _links(radius: int, wide_radius: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        width = 6 if wide_radius is None else 9
-
-        def compare(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-            edges = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-            a, b = [], []
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)]):
-                if hi - lo > 1:
-                    bits = np.ascontiguousarray(rows[lo:hi, 4])
-                    x, y = forest(bits.view(np.uint64), rows[lo:hi, 3], radius, None if wide_radius is None else np.ascontiguousarray(rows[lo:hi, 6:]).view(np.uint64), wide_radius or 0)
-                    a.append(rows[lo + x, 5])
-                    b.append(rows[lo + y, 5])
-            return (np.concatenate(a), np.concatenate(b)) if a else None
-
-        def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(rows) and (got := compare(rows)) and len(got[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+def by_group(batches: Iterator[pa.RecordBatch], width: int, names: int) -> Iterator[np.ndarray]:
+    """The rows (longs) of each group after the other; a group has equal first `names` columns and its rows side by side."""
+    held = np.empty((0, width), np.int64)
+    for batch in batches:
+        rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)]).astype(np.int64, copy=False)
+        rows = np.concatenate([held, rows])
+        edges = [0, *(np.flatnonzero((rows[1:, :names] != rows[:-1, :names]).any(axis=1)) + 1).tolist()]
+        for lo, hi in zip(edges, edges[1:]):
+            yield rows[lo:hi]
+        held = rows[edges[-1] :]  # the last group may go on
+    if len(held):
+        yield held
 
-        for batch in batches:
-            rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)]).astype(np.int64, copy=False)
-            rows = np.concatenate([*held, rows])
-            last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
-            yield from emit(np.ascontiguousarray(rows[:cut]))
-            held = [rows[cut:]]
-        yield from emit(np.ascontiguousarray(np.concatenate(held)) if held else np.empty((0, width), np.int64))
+
+def _links(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, held = [], [], 0
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+        for rows in by_group(batches, 5, 3):  # file, p, q, part, fp
+            if len(rows) > 1:
+                bits = np.ascontiguousarray(rows[:, 4])
+                x, y = forest(bits.view(np.uint64), rows[:, 3], radius)
+                if len(x):
+                    a.append(bits[x])
+                    b.append(bits[y])
+                    held += len(x)
+            if held > 100_000:
+                yield table()
+                a, b, held = [], [], 0
+        if held:
+            yield table()
 
     return run
 
 
-def blocks_for(nodes: int, radius: int, most: int = MOST) -> int:
+def blocks_for(nodes: int, radius: int, most: int) -> int:
     """The fewest blocks with which a file of evenly spread fingerprints stays under `most`."""
     m = radius + 1
     while m < 3 * radius and nodes >> (BITS * (m - radius) // m) > most:
@@ -160,199 +149,49 @@ def blocks_for(nodes: int, radius: int, most: int = MOST) -> int:
     return m
 
 
-def _files(fp: F.Column, m: int, radius: int, first: int = 0) -> list[F.Column]:
+def _files(fp: F.Column, m: int, radius: int) -> list[F.Column]:
     cuts = [round(i * BITS / m) for i in range(m + 1)]
     masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:])]
     out = []
-    for number, chosen in enumerate(combinations(range(m), m - radius), first * comb(m, radius)):
+    for number, chosen in enumerate(combinations(range(m), m - radius)):
         mask = sum(masks[i] for i in chosen)
         mask -= (1 << 64) if mask >> 63 else 0
         out.append(F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(mask).cast("long"))))  # files that a hash throws together only add comparisons
     return out
 
 
-def links(nodes: DataFrame, radius: int, wide_radius: int | None = None) -> DataFrame:
-    """nodes: (fp, w1, w2, w3, rep), distinct. Links (a, b) of reps that connect what fingerprints within the radius connect.
-
-    wide_radius: if given, linked are those within the radius in any one of the four fingerprints and
-    within wide_radius in all four together.
-    """
-    words = ["fp"] if wide_radius is None else ["fp", "w1", "w2", "w3"]
-    most = MOST if wide_radius is None else MOST_WIDE
-    m, part = blocks_for(nodes.count(), radius, most), 2 * most
-    more = words[1:]
-    filed = None
-    for i, word in enumerate(words):
-        others = [F.col(w).alias(name) for w, name in zip([w for w in words if w != word], more)]
-        one = nodes.select(F.col(word).alias("fp"), "rep", *others, F.explode(F.array(*_files(F.col(word), m, radius, i))).alias("file"))
-        filed = one if filed is None else filed.union(one)
-    parts = filed.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > part).select("file", F.ceil(F.col("n") / part).cast("int").alias("k"))
-    dealt = filed.join(parts, "file", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp", "rep", F.lit(7)), F.col("k")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    grouped = dealt.select("file", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "fp", "rep", *more)
-    grouped = grouped.select("file", *[F.col(c).cast("long").alias(c) for c in ("p", "q", "part")], "fp", "rep", *more)
-    return grouped.repartition("file", "p", "q").sortWithinPartitions("file", "p", "q").mapInArrow(_links(radius, wide_radius), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, wide_radius: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id: the least doc_id that links reach from it.
-
-    wide_radius: if given, four fingerprints are taken of each text; linked are texts within the radius in any one of
-    them and within wide_radius in all 256 bits, which finds what one misses and tells apart what 64 bits cannot.
-    Null and empty texts have fingerprint 0 and link like any other. A row with a null id gets the
-    component of its fingerprint. Repeated rows each come back. Further columns are not read.
-    """
-    bits = ["fp", "w1", "w2", "w3"]
-    marked = written(fingerprints(docs, id_col, text_col, shingle, wide=wide_radius is not None), "fingerprints")
-    nodes = written(marked.groupBy(*bits).agg(F.min("doc_id").alias("rep")), "nodes")
-    known = nodes.where("rep is not null")
-    found = connected_components(links(known, radius, wide_radius))
-    whole = nodes.join(found, nodes.rep == found.node, "left").select(*bits, F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(whole, bits, "left").select("doc_id", "fp", "component_id")
+def deal(filed: DataFrame, size: int, spread: list[str], single: bool = True) -> DataFrame:
+    """filed (file, ...) with p, q and part: files of over `size` rows are dealt by the hash of `spread` into parts, and each
+    pair of parts is a group (file, p, q). A row goes to as many groups as its file has parts. single: keep files of one row."""
+    parts = filed.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > (size if single else 1)).select("file", F.ceil(F.col("n") / size).alias("k"))
+    dealt = filed.join(parts, "file", "left" if single else "inner").withColumn("k", F.coalesce("k", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(*spread, F.lit(7)), F.col("k")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    return dealt.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("k", "other")
 
 
-def shingle_sets(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, whole: bool = False) -> DataFrame:
-    """(doc_id, node, n, fp, w1, w2, w3, hashes) of every row: node names the set of its n distinct shingles, the bits are of that set.
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes: (fp), distinct. Links (a, b) of fingerprints that connect what fingerprints within the radius connect.
 
-    hashes: the set's least ones, as many as two sets of this similarity cannot both have without a common one; whole: all.
+    No nodes give no link. A fingerprint has as many rows as there are choices of blocks: 5 with radius 4, 15 when files
+    of evenly spread ones would pass MOST, and so on.
     """
-    prepare(docs.sparkSession)
-    ratio = Fraction(similarity).limit_denominator(1000)
-    kind = "doc_id long, node long, n long, fp long, w1 long, w2 long, w3 long, hashes array<long>"
+    m = blocks_for(nodes.count(), radius, MOST)
+    filed = nodes.select("fp", F.explode(F.array(*_files(F.col("fp"), m, radius))).alias("file"))
+    grouped = deal(filed, 2 * MOST, ["fp"]).select("file", "p", "q", "part", "fp")
+    return grouped.repartition("file", "p", "q").sortWithinPartitions("file", "p", "q").mapInArrow(_links(radius), "a long, b long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ints, hashes = np.zeros((batch.num_rows, 6), np.int64), []
-            for i, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                parts = list(_hashes(t, shingle, seed))
-                own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-                n = len(own)
-                ints[i, :2] = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), seed)).view(np.int64), n
-                if not whole:
-                    ints[i, 2:] = np.array(_four(own), np.uint64).view(np.int64)
-                    own = own[: n + 1 + (-ratio.numerator * n // ratio.denominator)]
-                hashes.append(own.view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)]).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(ints[:, j])) for j in range(6)), lists], names=[c.split()[0] for c in kind.split(", ")])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
-
-
-def _pairs(rows: np.ndarray, ratio: Fraction, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """rows: (h, p, q, part, node, n, fp, w1, w2, w3, label) of one file. Positions of pairs that may be similar and have not one label.
-
-    every: all of these; else for each row the first one.
-    """
-    rank = np.argsort(rows[:, 4], kind="stable")
-    r = rows[rank]
-    part, n, bits, label = r[:, 3], r[:, 5], np.ascontiguousarray(r[:, 6:10]).view(np.uint64), r[:, 10]
-    cross, a, b = r[0, 1] != r[0, 2], [], []
-    for i in range(0, len(r), TILE):
-        x = np.arange(i, min(i + TILE, len(r)))
-        for j in range(0, i + 1, TILE):
-            y = np.arange(j, min(j + TILE, len(r)))
-            if not len(x):
-                break
-            near = label[x, None] != label[None, y]
-            near &= x[:, None] > y[None]
-            if not near.any():
-                continue
-            near &= np.minimum(n[x, None], n[None, y]) * ratio.denominator >= np.maximum(n[x, None], n[None, y]) * ratio.numerator
-            if cross:
-                near &= part[x, None] != part[None, y]
-            near &= sum(np.bitwise_count(bits[x, None, c] ^ bits[None, y, c]).astype(np.int16) for c in range(4)) <= FAR
-            if every:
-                u, v = np.nonzero(near)
-            else:
-                u = np.flatnonzero(near.any(axis=1))
-                v = near[u].argmax(axis=1)
-            a.append(rank[x[u]])
-            b.append(rank[y[v]])
-            if not every:
-                x = np.delete(x, u)
-    return (np.concatenate(a), np.concatenate(b)) if a else (rank[:0], rank[:0])
-
-
-def _candidates(files: DataFrame, ratio: Fraction, every: bool) -> DataFrame:
-    """Pairs (a, b) of nodes that may be similar, once, with a < b."""
-    width = 11
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, width), np.int64)
-
-        def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            edges = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-            seen = []
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)]):
-                if hi - lo > 1:
-                    x, y = _pairs(rows[lo:hi], ratio, every)
-                    if len(x):
-                        seen.append(np.sort(np.column_stack([rows[lo + x, 4], rows[lo + y, 4]]), axis=1))
-            if seen:
-                got = np.unique(np.concatenate(seen), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, c])) for c in range(2)], names=["a", "b"])
+def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """(doc_id, tie, fp, node, component_id) of every row. node: the same for all rows of a group that links connect;
+    component_id: the group's least doc_id, null if none has one. tie: a hash of the text.
 
-        for batch in batches:
-            rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)]).astype(np.int64, copy=False)
-            rows = np.concatenate([held, rows])
-            last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
-            if cut:
-                yield from emit(rows[:cut])
-            held = rows[cut:]
-        if len(held):
-            yield from emit(held)
-
-    return files.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(run, "a long, b long").distinct()
-
-
-def similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id) of every row: linked are texts whose sets of shingles have this Jaccard similarity or more.
-
-    Two such sets share one of their least shingles, so each set is filed under these: no pair is lost. In a
-    file pairs are told apart by their sizes and 256 bits, and what remains is confirmed by the sets themselves. The first
-    round takes one pair for each member of a file, the second all between what the first left apart: so a
-    large group of copies is not compared pair by pair. Null and empty texts are one set.
-    """
-    ratio = Fraction(similarity).limit_denominator(1000)
-    marked = written(shingle_sets(docs, similarity, id_col, text_col, shingle), "sets")
-    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "fp", "w1", "w2", "w3", "hashes")]), "nodes")
-    bits = ["node", "n", "fp", "w1", "w2", "w3"]
-    filed = nodes.select(F.explode("hashes").alias("h"), *bits)
-    shared = filed.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h", F.ceil(F.col("size") / PART).alias("k"))
-    dealt = filed.join(shared, "h").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    files = written(dealt.select("h", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", *bits), "files")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = written(pairs, name)
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("rep").alias("_rep")).distinct()
-        some = docs.join(named, F.col(id_col).cast("long") == F.col("_rep"), "left_semi")
-        sets = written(shingle_sets(some, similarity, id_col, text_col, shingle, whole=True).dropDuplicates(["node"]).select("node", "n", "hashes"), "whole_sets")
-        left, right = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"h{c}")) for c in "ab")
-        common = F.size(F.array_intersect("ha", "hb")).cast("long")
-        return written(pairs.join(left, "a").join(right, "b").where(common * (ratio.numerator + ratio.denominator) >= (F.col("na") + F.col("nb")) * ratio.numerator).select("a", "b"), "similar")
-
-    first = confirmed(_candidates(files.withColumn("label", F.col("node")), ratio, every=False), "first_pairs")
-    joined = connected_components(first)
-    label = joined.select("node", F.col("component").alias("label"))
-    second = confirmed(_candidates(files.join(label, "node", "left").select("h", "p", "q", "part", *bits, F.coalesce("label", "node").alias("label")), ratio, every=True), "second_pairs")
-    found = connected_components(first.union(second))
-    whole = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return marked.select("doc_id", "node").join(whole.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", similarity: float | None = None, **options) -> DataFrame:
-    """docs with the row of least id of each group, once; rows with a null id all stay, as they cannot be named.
-
-    Groups are those of near_duplicates, or with a similarity those of similar.
+    Null and empty texts have fingerprint 0 and link like any other. Repeated rows each come back. An empty table
+    gives no row. Further columns are not read, whatever their names.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    groups = near_duplicates(named, radius, id_col, **options) if similarity is None else similar(named, similarity, id_col, **options)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
-    one = named.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*columns)))).where("_nth = 1")
-    return one.select(*columns).union(docs.where(F.col(id_col).isNull()).select(*columns))
+    marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    found = connected_components(links(nodes.select("fp"), radius))
+    joined = nodes.join(found, nodes.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("node"))
+    least = joined.groupBy("node").agg(F.min("rep").alias("component_id"))
+    return marked.join(joined.join(least, "node").select("fp", "node", "component_id"), "fp").select("doc_id", "tie", "fp", "node", "component_id")
