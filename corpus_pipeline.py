@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrylight.llm.common import prepare, table, written
 from quarrylight.llm.decontaminate import remove_contaminated
 from quarrylight.llm.line_dedup import remove_boilerplate
+from quarrylight.llm.near_copies import keep_one
 from quarrylight.llm.packing import Limits, pack
 from quarrylight.llm.quality_fm import score, train
-from quarrylight.llm.simhash import keep_one
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
