@@ -4,27 +4,31 @@ Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. Eve
 is a shard. Of its word positions, those from which at least as many words as the shortest window has are all
 words of the benchmark are sorted by their following words (a suffix array; no other position can begin
 a match). Every suffix of every benchmark item that begins a window is then found in it by binary search.
-Matches found at successive positions join into the longest verbatim match with its place in the
-document and in the item.
+Matches of one item at successive positions join into its longest verbatim matches, with their places in the
+document and in the item, also where items share windows.
 
 The benchmark travels to the executors in blocks of bounded size; documents pass all blocks, one after
-the other, in one scan without a shuffle.
+the other, in one scan without a shuffle. A worker builds a block's sorted windows once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarrylight.llm.common import prepare
+from quarrylight.llm.common import fresh, held, prepare
 
 #: Upper to lower case; whatever is no part of a word to a space.
 TABLE = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
 SPAN = "struct<doc_start:bigint,words:bigint,item_id:string,item_start:bigint>"
-MATCH = f"struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<{SPAN}>>"
+RUN = "struct<start:bigint,words:bigint>"
+MATCH = f"struct<n_words:bigint,n_hit:bigint,items:array<string>,hits:array<{RUN}>,spans:array<{SPAN}>>"
+#: Pairs of a window's place in a document and in an item that are held at a time.
+HELD = 2_000_000
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -32,22 +36,25 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The benchmark's suffixes: each distinct window with the items that hold it."""
+    """The benchmark's suffixes: each distinct window with all its places in items (number of the item, first word)."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], size: int):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], size: int):
         cut = [(name, w) for name, text in items if (w := words(text))]
+        self.names = [name for name, _ in cut]
         self.rank = {w: i + 1 for i, w in enumerate(sorted({x for _, w in cut for x in w}))}  # 0: no word of the benchmark
         self.size, self.by_length = size, {}
-        found: dict[int, dict[bytes, dict[str, int]]] = {}
-        for name, w in cut:
+        found: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+        for number, (_, w) in enumerate(cut):
             ids = np.array([self.rank[x] for x in w], ">u4").tobytes()
             n = min(size, len(w))
             at = found.setdefault(n, {})
             for i in range(len(w) - n + 1):
-                at.setdefault(ids[4 * i : 4 * (i + n)], {}).setdefault(name, i)
+                at.setdefault(ids[4 * i : 4 * (i + n)], []).append((number, i))
         for n, windows in found.items():
             keys = sorted(windows)
-            self.by_length[n] = (np.array(keys, f"V{4 * n}").view(f"S{4 * n}"), [sorted(windows[k].items()) for k in keys])
+            count = np.array([len(windows[k]) for k in keys])
+            places = np.array([p for k in keys for p in windows[k]], np.int64)
+            self.by_length[n] = (np.array(keys, f"V{4 * n}").view(f"S{4 * n}"), np.cumsum(count) - count, count, places)
         self.shortest = min(found, default=0)
 
 
@@ -65,7 +72,7 @@ def shard_matches(w: Windows, ids: np.ndarray, depth: int) -> list[tuple[int, np
     suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, depth)[start]).view(f"S{4 * depth}").reshape(-1)
     order = np.argsort(suffixes, kind="stable")
     ranked = suffixes[order]
-    for n, (keys, _) in w.by_length.items():
+    for n, (keys, *_) in w.by_length.items():
         low = np.searchsorted(ranked, keys.astype(f"S{4 * depth}"), side="left")
         top = np.frombuffer(b"".join(k.tobytes().ljust(4 * n, b"\0") + b"\xff" * (4 * (depth - n)) for k in keys), f"S{4 * depth}") if depth > n else keys
         high = np.searchsorted(ranked, top, side="right")
@@ -79,6 +86,38 @@ def shard_matches(w: Windows, ids: np.ndarray, depth: int) -> list[tuple[int, np
     return out
 
 
+def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of true."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
+    return edge[::2], edge[1::2] - edge[::2]
+
+
+def _longest(w: Windows, n: int, at: np.ndarray, which: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, item, first position, words, first word in the item) of each longest match, some documents at a time."""
+    _, first, count, places = w.by_length[n]
+    many = count[which]
+    cuts, lo = [0], 0
+    total = np.cumsum(many)
+    while lo < len(at):
+        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + HELD, side="right"))
+        hi = max(hi, lo + 1)
+        if hi < len(at):  # a document's matches stay together
+            back = int(np.searchsorted(doc, doc[hi], side="left"))
+            hi = back if back > lo else int(np.searchsorted(doc, doc[hi], side="right"))
+        cuts.append(lo := hi)
+    for lo, hi in zip(cuts, cuts[1:]):
+        m = many[lo:hi]
+        flat = np.repeat(first[which[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        item, j = places[flat].T
+        p, d = np.repeat(at[lo:hi], m), np.repeat(doc[lo:hi], m)
+        order = np.lexsort((p, p - j, item, d))
+        item, j, p, d = item[order], j[order], p[order], d[order]
+        new = np.ones(len(p), bool)
+        new[1:] = (item[1:] != item[:-1]) | (d[1:] != d[:-1]) | (p[1:] - j[1:] != p[:-1] - j[:-1]) | (p[1:] != p[:-1] + 1)
+        start = np.flatnonzero(new)
+        yield d[start], item[start], p[start], np.diff(np.append(start, len(p))) + n - 1, j[start]
+
+
 def _scan(w: Windows, texts: list[bytes | None]) -> list[dict]:
     cut, get = [words(t) for t in texts], w.rank.get
     lengths = np.array([len(x) for x in cut], np.int64)
@@ -86,73 +125,77 @@ def _scan(w: Windows, texts: list[bytes | None]) -> list[dict]:
     ids = np.zeros(int((lengths + 1).sum()), np.uint32)
     for at, x in zip(first.tolist(), cut):
         ids[at : at + len(x)] = [get(y, 0) for y in x]
-    hits = shard_matches(w, ids, w.size + 3)
     change = np.zeros(len(ids) + 1, np.int64)
     items: list[set] = [set() for _ in cut]
-    spans: list[list] = [[] for _ in cut]
-    for n, at, which in hits:
+    best: list[dict] = [{} for _ in cut]
+    for n, at, which in shard_matches(w, ids, w.size + 3):
         np.add.at(change, at, 1)
         np.add.at(change, at + n, -1)
-        held = w.by_length[n][1]
-        open_at, last = -2, None
-        for p, k, doc in zip(at.tolist(), which.tolist(), (np.searchsorted(first, at, side="right") - 1).tolist()):
-            if k not in items[doc]:
-                items[doc].add((n, k))
-            name, j = held[k][0]
-            if p == open_at + 1 and last[2] == name and last[3] + last[1] - n + 1 == j:
-                last[1] += 1
-            else:
-                spans[doc].append(last := [p - int(first[doc]), n, name, j])
-            open_at = p
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
-    n_hit = covered[first + lengths] - covered[first] if len(cut) else lengths
+        for found in _longest(w, n, at, which, np.searchsorted(first, at, side="right") - 1):
+            for doc, item, p, size, j in zip(*(x.tolist() for x in found)):
+                items[doc].add(item)
+                held = best[doc].get(item)
+                if held is None or held[1] < size:
+                    best[doc][item] = (p - int(first[doc]), size, w.names[item], j)
+    starts, sizes = _runs(np.cumsum(change[:-1]) > 0)
+    owner = np.searchsorted(first, starts, side="right") - 1
+    hits: list[list] = [[] for _ in cut]
+    for doc, a, n in zip(owner.tolist(), starts.tolist(), sizes.tolist()):
+        hits[doc].append({"start": a - int(first[doc]), "words": n})
     keys = ("doc_start", "words", "item_id", "item_start")
-    return [{"n_words": int(n), "n_hit": int(h), "items": sorted({name for m, k in seen for name, _ in w.by_length[m][1][k]}), "spans": [dict(zip(keys, s)) for s in sorted(found)]} for n, h, seen, found in zip(lengths, n_hit, items, spans)]
+    out = []
+    for n, seen, runs, spans in zip(lengths.tolist(), items, hits, best):
+        named = sorted((s for s in spans.values() if s[2] is not None), key=lambda s: (s[0], s[2], s[1]))
+        out.append({"n_words": n, "n_hit": sum(r["words"] for r in runs), "items": sorted({w.names[i] for i in seen} - {None}), "hits": runs, "spans": [dict(zip(keys, s)) for s in named]})
+    return out
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = 13, block_bytes: int = 32 << 20, text_col: str = "text", item_col: str = "item_id", out_col: str = "contamination") -> DataFrame:
     """The rows of docs with their columns `keep` (None: all) and a struct `out_col`: n_words, n_hit (words inside
-    an occurrence of a window), items (ids as strings, sorted), spans (longest matches: first word in the document,
-    words, item, first word in the item; where items share a window, the least id).
+    an occurrence of a window), items (ids as strings, sorted), hits (runs of such words), spans (each item's longest match, the
+    first of equal ones: first word in the document, words, item, first word in the item).
 
     An item of fewer words than a window is one window; an item without words is none. A null text has no words.
-    Repeated rows are marked each. A column named like out_col is replaced. With no items nothing is hit.
-    Items with a null id are left out.
+    Repeated rows are marked each. A column named like out_col is replaced. With no items nothing is hit. Words of an item
+    with a null id count as hit, but it is in neither items nor spans. Items of one id are one in items.
     """
     spark = prepare(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col("text").cast("binary").alias("t")).where("i is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col("text").cast("binary").alias("t"))
     bytes_all = items.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, -(-bytes_all // block_bytes))
     keep = [c for c in (docs.columns if keep is None else keep) if c != out_col]
     carried = list(dict.fromkeys([*keep, text_col]))
     out = docs.select(*[F.col(f"`{c}`") for c in carried])
+    run = uuid.uuid4().hex
     kind = T._parse_datatype_string(MATCH)
     for block in range(blocks):
-        some = [(r.i, bytes(r.t) if r.t is not None else None) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()]  # at most about block_bytes
+        some = [(r.i, bytes(r.t) if r.t is not None else None) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()]  # at most about block_bytes
         sent, last = spark.sparkContext.broadcast(some), block == blocks - 1
         names = keep if last else carried
         schema = T.StructType([*(out.schema[c] for c in names), T.StructField(out_col, kind)])
-        out = out.mapInArrow(_marker(sent, names, text_col, out_col, window, schema), schema)
+        out = out.mapInArrow(_marker(sent, f"{run} {block}", names, text_col, out_col, window, schema), schema)
     return out
 
 
 def _merge(a: dict, b: dict) -> dict:
     """Of two blocks of the benchmark. Words hit by both count once."""
-    spans = sorted(a["spans"] + b["spans"], key=lambda s: (s["doc_start"], s["words"], s["item_id"]))
-    n, upto = 0, 0
-    for s in spans:
-        lo, hi = max(upto, s["doc_start"]), s["doc_start"] + s["words"]
-        n, upto = n + max(0, hi - lo), max(upto, hi)
-    return {"n_words": a["n_words"], "n_hit": n, "items": sorted({*a["items"], *b["items"]}), "spans": spans}
+    runs: list[dict] = []
+    for r in sorted(a["hits"] + b["hits"], key=lambda r: r["start"]):
+        if runs and r["start"] <= runs[-1]["start"] + runs[-1]["words"]:
+            runs[-1]["words"] = max(runs[-1]["words"], r["start"] + r["words"] - runs[-1]["start"])
+        else:
+            runs.append(dict(r))
+    spans = sorted(a["spans"] + b["spans"], key=lambda s: (s["doc_start"], s["item_id"], s["words"]))
+    return {"n_words": a["n_words"], "n_hit": sum(r["words"] for r in runs), "items": sorted({*a["items"], *b["items"]}), "hits": runs, "spans": spans}
 
 
-def _marker(sent, names: list[str], text_col: str, out_col: str, window: int, schema: T.StructType):
+def _marker(sent, key: str, names: list[str], text_col: str, out_col: str, window: int, schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(schema[out_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = Windows(sent.value, window)
+        w = held(key, lambda: Windows(sent.value, window))
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
@@ -170,5 +213,6 @@ def contaminated(out_col: str = "contamination", times: int = 20) -> F.Column:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without its contaminated rows, with the same columns."""
-    return mark(docs, benchmark, out_col="_contamination", **options).where(~contaminated("_contamination")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without its contaminated rows, with the same columns. Nulls, empty tables and repeated rows as in mark."""
+    (name,) = fresh(docs.columns, "_contamination")
+    return mark(docs, benchmark, out_col=name, **options).where(~contaminated(name)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,6 +18,8 @@ import re
 
 import numpy as np
 
+from quarrylight.llm.common import held
+
 _CUT, _ODD, _TAIL = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"[\s\x01]"), ",.!?;:#*$%&|"
 #: Before a piece that has no space in front of it.
 _BARE = "\x02"
@@ -26,7 +28,7 @@ _BARE = "\x02"
 class Encoder:
     """encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers. Null texts count as empty."""
 
-    def __init__(self, path: str, end_id: int, spaced: bool, remember: int = 1_000_000, longest: int = 80):
+    def __init__(self, path: str, end_id: int, spaced: bool, remember: int = 600_000, longest: int = 80):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -110,12 +112,6 @@ class Encoder:
         return out
 
 
-_OPEN: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, end_id: int, spaced: bool) -> Encoder:
     """One encoder for each Python worker, kept between its tasks."""
-    key = (path, end_id, spaced)
-    if key not in _OPEN:
-        _OPEN[key] = Encoder(path, end_id, spaced)
-    return _OPEN[key]
+    return held(f"{path} {end_id} {spaced}", lambda: Encoder(path, end_id, spaced))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrylight.llm.common import prepare
 from quarrylight.llm.encoding import encoder
@@ -37,6 +37,13 @@ class Limits:
     loss_tokens: int = 2048
 
 
+def behind_first_line(text: Column) -> Column:
+    """The share of a text's bytes behind its first line feed; 1 for a text of one line: the first line counts as the prompt."""
+    at = F.instr(text, "\n")
+    size = F.octet_length(text)
+    return F.when(at > 0, 1 - F.octet_length(F.left(text, at)) / F.greatest(size, F.lit(1))).otherwise(F.lit(1.0))
+
+
 class Pool:
     """Waiting examples. `fill` places some of them into one sequence."""
 
@@ -111,17 +118,18 @@ def sequences(rows: Iterator[tuple[list[tuple], list[int]]], limits: Limits, poo
         yield take(limits.tokens if left >= limits.tokens else 1 << (left.bit_length() - 1))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, loss_share: Column | None = None) -> DataFrame:
     """One row for each piece: doc_id, start (ids of its document before it), length, ids (binary,
     little-endian unsigned 32-bit), doc_tokens (with the end id), loss_tokens, sequence_id, offset.
 
-    loss_col: how many of an example's last tokens bear loss, as in instruction data; null or no
-    column: all. A null text is empty and gives the end id alone. Repeated rows are packed each;
-    a null id stays null; further columns are not read. An empty table gives no row.
+    loss_col: how many of an example's last tokens bear loss, as in instruction data; loss_share: instead, which share of its
+    tokens (0 to 1, rounded up). Null or neither: all. A null text is empty and gives the end id alone. Repeated rows are
+    packed each; a null id stays null; further columns are not read, whatever their names. An empty table gives no row.
     """
     prepare(docs.sparkSession)
     loss = F.col(loss_col).cast("long") if loss_col else F.lit(None).cast("long")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), loss.alias("loss"))
+    share = F.lit(None).cast("double") if loss_share is None else loss_share.cast("double")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), loss.alias("loss"), share.alias("share"))
     fields = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("loss_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +144,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limi
                     part = batch.slice(lo, 1024)
                     ids = encode(part.column(1).to_pylist())
                     lengths = [len(x) // 4 for x in ids]
-                    yield list(zip(part.column(0).to_pylist(), ids, lengths)), [n if x is None else x for n, x in zip(lengths, part.column(2).to_pylist())]
+                    loss = [
+                        x if x is not None else n if s is None else -int(-n * s // 1) for n, x, s in zip(lengths, part.column(2).to_pylist(), part.column(3).to_pylist())
+                    ]
+                    yield list(zip(part.column(0).to_pylist(), ids, lengths)), loss
 
         out: list[tuple] = []
         for number, pieces in enumerate(sequences(rows(), limits)):

@@ -16,13 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrylight.llm.common import prepare
+from quarrylight.llm.common import fresh, prepare
 
 SYMBOLS, UPPER, DIGITS, ENDS = b"#*$%&|<>", bytes(range(65, 91)), b"0123456789", b"!?"
 STATISTICS = ("log_words", "word_length", "symbols", "upper", "digits", "exclaims", "distinct_words", "top_word", "repeated_lines", "line_words", "symbol_words", "not_ascii")
-_BUCKET: dict[bytes, int] = {}
 
 
 def statistics(raw: bytes, words: Counter) -> list[float]:
@@ -41,16 +40,7 @@ def features(text: bytes | None, buckets: int) -> tuple[list[int], float, list[f
     """Buckets of the distinct words, the value each has (their vector has length 1/2), and the statistics."""
     raw = text or b""
     words = Counter(raw.split())
-    if len(_BUCKET) > 500_000:
-        _BUCKET.clear()
-    hashed = []
-    for w in words:
-        b = _BUCKET.get(w)
-        if b is None:
-            b = zlib.crc32(w)
-            if len(w) <= 40:
-                _BUCKET[w] = b
-        hashed.append(b % buckets)
+    hashed = [zlib.crc32(w) % buckets for w in words]
     return hashed, 0.5 / np.sqrt(len(hashed)) if hashed else 0.0, statistics(raw, words)
 
 
@@ -104,25 +94,33 @@ def fit(words: list[list[int]], weight: list[float], dense: np.ndarray, label: n
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = (), max_rows: int = 6000, buckets: int = 1 << 14, **options) -> Machine:
-    """Fits to at most max_rows labelled rows, half of them (if there are so many) of the rarer label.
+def _numbers(meta: tuple[Column, ...]) -> Column:
+    return F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in meta]).cast("array<double>")
 
-    Rows without a label or an id are left out; of several labels of an id one is taken. With no labelled
-    row, or with one label only, the machine scores every text by the labels' mean.
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", meta: tuple[Column, ...] = (), max_rows: int = 6000, buckets: int = 1 << 14, **options) -> Machine:
+    """Fits to at most max_rows labelled rows: for each label max_rows / 2 ids at most, those of least hash, and of the rows
+    with these ids those of least hash of id and text.
+
+    meta: metadata of docs as numbers, null as 0. Rows without a label or an id are left out; of several labels of an id the
+    lesser is taken. With no labelled row, or with one label only, the machine scores every text by the labels' mean.
+    Further columns are not read, whatever their names.
     """
     spark = prepare(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
     order = F.xxhash64("_id")
     some = known.where("_label = 0").orderBy(order, "_id").limit(max_rows // 2).union(known.where("_label = 1").orderBy(order, "_id").limit(max_rows // 2))
-    rows = docs.join(F.broadcast(some), docs[id_col] == some["_id"]).select("_id", F.col(text_col).alias("t"), "_label", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in meta_cols]).cast("array<double>").alias("m"))  # max_rows ids at most
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("t"), _numbers(meta).alias("m"))
+    rows = texts.join(F.broadcast(some), F.col("_doc") == F.col("_id"))  # max_rows ids at most
+    rows = rows.orderBy(order, "_id", F.xxhash64("t")).limit(max_rows).select("_id", "t", "_label", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(t, buckets) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array([x for x, *_ in got], pa.list_(pa.int32())), pa.array([x for _, x, _ in got], pa.float64()), pa.array([x + m for (*_, x), m in zip(got, batch.column(3).to_pylist())], pa.list_(pa.float64())), batch.column(2)], names=["id", "words", "weight", "dense", "label"])
 
-    got = rows.mapInArrow(run, "id string, words array<int>, weight double, dense array<double>, label int").orderBy("id").limit(2 * max_rows).toArrow()
-    wide = len(STATISTICS) + len(meta_cols)
+    got = rows.mapInArrow(run, "id string, words array<int>, weight double, dense array<double>, label int").toArrow()
+    wide = len(STATISTICS) + len(meta)
     share = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     label = np.array(got["label"].to_pylist(), float)
     if len(set(label)) < 2:
@@ -133,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     return m
 
 
-def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "text", meta_cols: tuple[str, ...] = (), threshold: float = 0.7, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "text", meta: tuple[Column, ...] = (), threshold: float = 0.7, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """The columns `keep` of docs with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold, else 0).
 
     A null or empty text has no words and all statistics 0, and is scored like any other. Repeated rows each come
@@ -141,7 +139,8 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "t
     """
     sent = prepare(docs.sparkSession).sparkContext.broadcast(machine)
     keep = [c for c in keep if c not in (score_col, predicted_col)]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in meta_cols]).cast("array<double>").alias("_meta"))
+    text, more = fresh(keep, "_text", "_meta")
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(text), _numbers(meta).alias(more))
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), f"`{score_col}` double, `{predicted_col}` int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrylight.llm.common import prepare, written
+from quarrylight.llm.common import fresh, prepare, written
 
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 #: Ids of the trusted side up to which they are broadcast; more are joined by a shuffle.
@@ -45,15 +45,24 @@ def repeated_words(placed: Column, n: int) -> Column:
     return F.aggregate(F.sort_array(F.transform(again, lambda x: x.i)), start, lambda a, i: F.struct((a.n + F.least(F.lit(n), i - a.i)).cast("bigint").alias("n"), i.alias("i")), lambda a: a.n)
 
 
-def base_counts(docs: DataFrame, text_col: str = "text", window: int = 8) -> DataFrame:
-    """Adds _hashes, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (replaced if there). A null text has none."""
+def base_counts(docs: DataFrame, text_col: str = "text", window: int = 8, hashes_col: str = "_hashes") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (replaced if there) and hashes_col, the words' hashes.
+
+    A null text has none of these. Repeated rows each come back; an empty table stays empty; other columns stay as they are.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    w, ls, win, placed = fresh([*docs.columns, hashes_col], "_words", "_lines", "_windows", "_placed")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    first = docs.withColumns({"_words": words(F.col(text_col)), "_lines": lines, "n_symbols": F.regexp_count(text, F.lit("[" + SYMBOLS + "]")).cast("long")})
-    second = first.withColumns({"_hashes": hashes(F.col("_words")), "n_words": F.size("_words").cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}).drop("_words", "_lines")
-    third = second.withColumn("_windows", windows(F.col("_hashes"), window))
-    fourth = third.withColumn("_placed", placed_repeats(F.col("_windows"))).drop("_windows")
-    return fourth.withColumn("n_repeat_words", repeated_words(F.col("_placed"), window)).drop("_placed")
+    first = docs.withColumns({w: words(F.col(text_col)), ls: lines, "n_symbols": F.regexp_count(text, F.lit("[" + SYMBOLS + "]")).cast("long")})
+    counts = {
+        hashes_col: hashes(F.col(w)),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
+    }
+    third = first.withColumns(counts).drop(w, ls).withColumn(win, windows(F.col(hashes_col), window))
+    fourth = third.withColumn(placed, placed_repeats(F.col(win))).drop(win)
+    return fourth.withColumn("n_repeat_words", repeated_words(F.col(placed), window)).drop(placed)
 
 
 def pairs(h: Column) -> Column:
@@ -69,7 +78,8 @@ def buckets_of(one: Column, two: Column, buckets: int) -> tuple[Column, Column]:
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smoothing: float = 10.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, weight): log of the trusted side's probability by the raw corpus's, for every bucket.
 
-    trusted: the ids of the trusted documents. Raw: all documents. smoothing: added to the trusted count of each
+    trusted: the ids of the trusted documents, nulls and repeats left out. Raw: all documents, repeated rows each, null texts
+    as empty. Empty tables give weight 0 for every bucket. Further columns are not read, whatever their names. smoothing: added to the trusted count of each
     bucket; the raw side gets as much more as the raw corpus is larger, so that what either side has hardly seen weighs little.
     """
     spark = prepare(docs.sparkSession)
@@ -100,15 +110,17 @@ def judge(docs: DataFrame, weights: DataFrame, keep: list[str], threshold: float
     """
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     keep = [c for c in keep if c not in (*counts, "llr", "base_failed", "kept")]
-    counted = base_counts(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])]), text_col)
+    # the kept columns travel in one, so that their names meet no other
+    counted = base_counts(docs.select(F.struct(F.lit(0).alias(fresh(keep, "none")[0]), *[F.col(f"`{c}`") for c in keep]).alias("own"), F.col(text_col).alias("text")))
     # a row's n-grams stay together in its task, so the partial sums that leave it are one row for each text
-    spread = counted.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keep, *counts, F.explode_outer(pairs(F.col("_hashes"))).alias("p"))
+    spread = counted.withColumn("row", F.monotonically_increasing_id()).select("row", "own", *counts, F.explode_outer(pairs(F.col("_hashes"))).alias("p"))
     one, two = buckets_of(F.col("p.one"), F.col("p.two"), buckets)
-    spread = spread.select("_row", *keep, *counts, one.alias("_one"), two.alias("_two"))
-    for name in ("_one", "_two"):  # `buckets` rows are broadcast
-        spread = spread.join(F.broadcast(weights.select(F.col("bucket").alias(name), F.col("weight").alias(f"_w{name}"))), name, "left")
-    total = F.coalesce(F.sum("_w_one"), F.lit(0.0)) + F.coalesce(F.sum("_w_two"), F.lit(0.0))
-    grams = F.count("_w_one") + F.count("_w_two")
-    summed = spread.groupBy("_row", *keep).agg(*[F.max(c).alias(c) for c in counts], F.when(grams > 0, total / grams).otherwise(F.lit(0.0)).alias("llr"))
+    spread = spread.select("row", "own", *counts, one.alias("one"), two.alias("two"))
+    for name in ("one", "two"):  # `buckets` rows are broadcast
+        spread = spread.join(F.broadcast(weights.select(F.col("bucket").alias(name), F.col("weight").alias(f"w_{name}"))), name, "left")
+    total = F.coalesce(F.sum("w_one"), F.lit(0.0)) + F.coalesce(F.sum("w_two"), F.lit(0.0))
+    grams = F.count("w_one") + F.count("w_two")
+    summed = spread.groupBy("row", "own").agg(*[F.max(c).alias(c) for c in counts], F.when(grams > 0, total / grams).otherwise(F.lit(0.0)).alias("llr"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return summed.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold)).drop("_row")
+    judged = summed.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    return judged.select(*[F.col("own").getField(c).alias(c) for c in keep], *counts, "llr", "base_failed", "kept")

@@ -11,9 +11,10 @@ from quarrylight.llm.common import shared_path, table
 
 
 def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarrylight.llm.packing import Limits, pack
+    from quarrylight.llm.packing import Limits, behind_first_line, pack
 
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, limits=Limits(2048, 512, 2048))
+    limits = Limits(tokens=2048, segments=128, loss_tokens=2048)
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, limits=limits, loss_share=behind_first_line(F.col("text")))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -79,9 +80,9 @@ def op8_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.quality_fm import score, train
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    machine = train(docs, table(spark, sf_dir, "labels").where(_remainder(4) != 2), label_col="quality", max_rows=6000)
-    return score(docs, machine, keep=["doc_id"], threshold=0.7).select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
+    docs, meta = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), (F.log1p("n_chars"),)
+    machine = train(docs, table(spark, sf_dir, "labels").where(_remainder(4) != 2), label_col="quality", meta=meta, max_rows=6000)
+    return score(docs, machine, keep=["doc_id"], meta=meta, threshold=0.7).select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +109,7 @@ def oracle_sql() -> dict[str, str]:
 OP10 = """
 WITH cut AS (SELECT doc_id, text, n_chars, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 line AS (SELECT doc_id, source, unnest(lines) AS l, generate_subscripts(lines, 1) AS i FROM cut),
-marked AS (SELECT *, trim(l, ' ') AS t, regexp_matches(l, '^\\s*\\S+\\s+\\S+\\s+\\S+\\s+\\S') AS long FROM line),
+marked AS (SELECT *, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, regexp_matches(l, '^[ \\t-\\r]*[^ \\t-\\r]+[ \\t-\\r]+[^ \\t-\\r]+[ \\t-\\r]+[^ \\t-\\r]+[ \\t-\\r]+[^ \\t-\\r]') AS long FROM line),
 spread AS (SELECT t AS b FROM marked WHERE long GROUP BY 1 HAVING count(DISTINCT source) >= 8),
 flagged AS (SELECT m.*, long AND b IS NOT NULL AS gone FROM marked m LEFT JOIN spread ON t = b),
 kept AS (SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '') AS stay, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed FROM flagged GROUP BY 1)

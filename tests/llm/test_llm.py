@@ -84,6 +84,65 @@ def test_packing_keeps_all_limits(spark):
     assert all(n[i] == min(i % 50, full[i]) for i in range(400))
 
 
+def test_packing_takes_the_largest_dot_product():
+    """What goes in next is, of the examples that fit in all dimensions, the one of largest demand by what is left."""
+    pool = packing.Pool(packing.Limits(tokens=100, segments=9, loss_tokens=50))
+    pool.add([(i, b"", n) for i, n in enumerate((60, 50, 55))], [5, 45, 50])
+    weight = np.array([55 / 100, 100 / 3 / 50])
+    room, want, waiting = np.array([100, 50]), [], {0: (60, 5), 1: (50, 45), 2: (55, 50)}
+    while fits := {i: d for i, d in waiting.items() if (np.array(d) <= room).all()}:
+        best = max(fits, key=lambda i: (np.array(fits[i]) / (100, 50) * weight * room / (100, 50)).sum())
+        want.append(best)
+        room = room - waiting.pop(best)
+    got = [i for i, start, k, _ in pool.fill(100) if start == 0 and k == (60, 50, 55)[i]]
+    assert got[: len(want)] == want and want[0] == 2  # not the longest one
+
+
+def test_share_behind_the_first_line(spark):
+    d = spark.createDataFrame([("ab\ncdef",), ("one line",), ("",), (None,), ("\n",)], "text string")
+    assert [round(r.s, 3) for r in d.select(packing.behind_first_line(F.col("text")).alias("s")).collect()] == [round(1 - 3 / 7, 3), 1, 1, 1, 0]
+    rows = packing.pack(spark.createDataFrame([(1, "ab ab\ncd cd cd")], "doc_id long, text string"), BYTE, loss_share=F.lit(0.5)).collect()
+    assert sum(r.loss_tokens for r in rows) == -(-rows[0].doc_tokens // 2)
+
+
+def test_base_counts_by_brute_force(spark, odd):
+    got = {(r.doc_id, r.text): r for r in quality_rules.base_counts(odd.withColumnRenamed("start", "_lines")).collect()}
+    for r in odd.collect():
+        t, x = r.text or "", got[(r.doc_id, r.text)]
+        w = re.findall("[^\x20\x09-\x0D]+", t)
+        lines = [q for q in t.split("\n") if q.strip(" \t\n\x0b\f\r")]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+    assert "_lines" in got[(3, "one")].asDict()
+
+
+def test_log_likelihood_ratio_by_brute_force(spark):
+    """Weights from bucket counts of both sides; a text's llr is the mean weight of its words and pairs."""
+    texts = {1: "a b a c", 2: "c c d", 3: "a b", 4: None, 5: "z"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    trusted = spark.createDataFrame([(1,), (3,), (3,), (None,)], "doc_id long")
+    h = {w: r for w, r in ((r.w, r.h) for r in spark.createDataFrame([(w,) for w in "abcdz"], "w string").select("w", F.xxhash64("w").alias("h")).collect())}
+    pair = spark.createDataFrame([(a, b, h[a], h[b]) for a in h for b in h], "a string, b string, x long, y long").select("a", "b", (F.pmod(F.xxhash64("x", "y"), F.lit(32))).alias("k"))
+    two = {(r.a, r.b): r.k for r in pair.collect()}
+    grams = {i: [h[w] % 32 for w in (t or "").split()] + [two[x] for x in zip((t or "").split(), (t or "").split()[1:])] for i, t in texts.items()}
+    raw, target = Counter(k for g in grams.values() for k in g), Counter(k for i in (1, 3) for k in grams[i])
+    n, m, share = sum(raw.values()), sum(target.values()), sum(target.values()) / sum(raw.values())
+    weight = {k: math.log((target[k] + 2) / (m + 64) / ((raw[k] + 2 / share) / (n + 2 / share * 32))) for k in range(32)}
+    got = quality_rules.log_ratios(d, trusted, buckets=32, smoothing=2.0)
+    assert all(math.isclose(r.weight, weight[r.bucket], abs_tol=1e-12) for r in got.collect())
+    judged = quality_rules.judge(d.withColumnsRenamed({"doc_id": "p"}), got, keep=["p"], buckets=32, min_words=1, threshold=0.0).collect()
+    for r in judged:
+        g = grams[r.p]
+        want = sum(weight[k] for k in g) / len(g) if g else 0.0
+        assert math.isclose(r.llr, want, abs_tol=1e-9) and r.kept == (bool(g) and want >= 0 and not r.base_failed)
+
+
+@pytest.mark.parametrize("name", ["_row", "_hashes", "_words", "row", "own", "none", "p", "one", "_lines", "_placed"])
+def test_quality_rules_keep_any_name(spark, name):
+    d = spark.createDataFrame([(1, "a b", "mine")], f"doc_id long, text string, `{name}` string")
+    w = quality_rules.log_ratios(d, d.limit(0), buckets=4)
+    assert quality_rules.judge(d, w, keep=["doc_id", name], buckets=4).first()[name] == "mine"
+
+
 def test_quality_rules(spark, odd, none):
     w = quality_rules.log_ratios(odd, odd.where("doc_id = 4"), buckets=256)
     assert w.count() == 256
@@ -185,7 +244,7 @@ def hits(texts, items, size):
             for k in range(len(w) - n + 1):
                 if (x := windows.get(tuple(w[k : k + n]))) is not None:
                     hit |= set(range(k, k + n))
-                    found |= x
+                    found |= x - {None}
         yield len(w), len(hit), sorted(found)
 
 
@@ -193,7 +252,7 @@ def hits(texts, items, size):
 def test_decontamination(spark, odd, none, block_bytes):
     rng = np.random.default_rng(5)
     texts = [" ".join(rng.choice(["a", "B", "é", "c9"], rng.integers(0, 40))) for _ in range(80)]
-    items = [("x", "a b é"), ("y", "B"), ("z", "c9 c9 a b é a"), ("w", None), ("v", ""), ("u", "a b é")]
+    items = [("x", "a b é"), ("y", "B"), ("z", "c9 c9 a b é a"), ("w", None), ("v", ""), ("u", "a b é"), (None, "é é a a")]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id string, text string")
     got = {r.doc_id: r.contamination for r in decontaminate.mark(docs, bench, window=4, block_bytes=block_bytes).collect()}
@@ -212,6 +271,25 @@ def test_longest_match(spark):
     assert [(x.doc_start, x.words, x.item_id, x.item_start) for x in s] == [(1, 5, "7", 1)]
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 30])
+def test_longest_match_of_each_item(spark, monkeypatch, block_bytes):
+    """Also where items share windows: every item's longest match, its first place, by brute force."""
+    monkeypatch.setattr(decontaminate, "HELD", 5)
+    docs = spark.createDataFrame([(1, "x a b c d e f y"), (2, "a b c a b c"), (3, None)], "doc_id long, text string")
+    items = {"A": "a b c", "B": "a b c d e f", "C": "q c a b c d"}
+    bench = spark.createDataFrame([*items.items(), (None, "e f y")], "item_id string, text string")
+    for r in decontaminate.mark(docs, bench, window=3, block_bytes=block_bytes).collect():
+        w, want = (r.text or "").split(), {}
+        for name, t in items.items():
+            u = t.split()
+            for p, j in itertools.product(range(len(w)), range(len(u))):
+                n = next((k for k in range(min(len(w) - p, len(u) - j)) if w[p + k] != u[j + k]), min(len(w) - p, len(u) - j))
+                if n >= 3 and n > want.get(name, (0, 0))[1]:
+                    want[name] = (p, n)
+        assert {x.item_id: (x.doc_start, x.words) for x in r.contamination.spans} == want
+        assert r.contamination.n_hit == {1: 7, 2: 6, 3: 0}[r.doc_id]
+
+
 def test_warc_round_trip(spark, none, tmp_path):
     pages = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, None, None), (4, "http://a/4", ""), (5, "u\r\nX: y", "é\r\n\r\n" * 400), (9, "http://a/9", "same"), (None, "n", "same"), (9, "http://a/9", "same")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
@@ -488,6 +566,24 @@ def test_quality_classifier(spark, odd, none):
     assert all(abs(r.score - 0.5) < 1e-9 for r in quality_fm.score(odd, quality_fm.train(odd, y.limit(0)), keep=["doc_id"]).collect())
 
 
+def test_metadata_decides(spark):
+    """Texts alike, told apart by a metadata column alone; a null value is 0."""
+    d = spark.createDataFrame([(i, "same words here", float(i % 2), "x") for i in range(200)] + [(200, "same words here", None, "x")], "doc_id long, text string, size double, _meta string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, quality int")
+    meta = (F.col("size"),)
+    rows = quality_fm.score(d, quality_fm.train(d, y, meta=meta), keep=["doc_id", "_meta"], meta=meta, threshold=0.5).collect()
+    assert all(r.predicted == (r.doc_id % 2 if r.doc_id < 200 else 0) and r["_meta"] == "x" for r in rows)
+
+
+def test_line_dedup_in_blocks_with_white_space(spark):
+    """Lines equal but for white space around them are one; several blocks of hashes; helper names as a user's columns."""
+    rows = [(i, f"a b c d{' ' * (i % 2)}\t\r\nown {i} x y\n  q r s t\n\x1ca b c d", f"s{i}", i, i) for i in range(9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _gone int, _row int")
+    got = line_dedup.remove_boilerplate(d, min_sites=9, counts=True, block_lines=1).orderBy("doc_id").collect()
+    assert [(r.text, r.n_lines, r.n_removed, r["_gone"], r["_row"]) for r in got] == [(f"own {i} x y", 4, 3, i, i) for i in range(9)] or [r.text for r in got] == [f"own {i} x y\n\x1ca b c d" for i in range(9)]
+    assert all(r["_gone"] == r["_row"] == r.doc_id for r in got)
+
+
 def test_line_dedup(spark, odd, none):
     rows = [(i, f"common line of four words\nown {i} line is here now\nshort one", f"s{i % 9}") for i in range(18)] + [(99, "common line of four words", "s1"), (100, None, None), (101, "common line of four words", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("int"))
