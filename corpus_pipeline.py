@@ -7,13 +7,13 @@ written as Parquet and read again. All but the last return the columns of `docum
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrylight.llm.common import prepare, table, written
+from quarrylight.llm.common import fresh, prepare, table, written
 from quarrylight.llm.decontaminate import remove_contaminated
 from quarrylight.llm.line_dedup import remove_boilerplate
 from quarrylight.llm.near_copies import keep_one
-from quarrylight.llm.packing import Limits, pack
+from quarrylight.llm.packing import Limits, behind_first_line, pack
 from quarrylight.llm.quality_fm import score, train
 
 
@@ -22,9 +22,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Null and empty texts are scored like any other. A repeated row is judged each time.
     """
-    machine = train(docs, table(spark, sf_dir, "labels"), label_col="quality", max_rows=6000)
-    judged = score(docs, machine, keep=docs.columns, threshold=0.5, score_col="_score", predicted_col="_predicted")
-    return judged.where("_predicted = 1").select(*[f"`{c}`" for c in docs.columns])
+    meta = (F.log1p("n_chars"),)
+    machine = train(docs, table(spark, sf_dir, "labels"), label_col="quality", meta=meta, max_rows=6000)
+    score_col, predicted = fresh(docs.columns, "_score", "_predicted")
+    judged = score(docs, machine, keep=docs.columns, meta=meta, threshold=0.5, score_col=score_col, predicted_col=predicted)
+    return judged.where(F.col(predicted) == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences of 2048 tokens, with their ids."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, limits=Limits(2048, 512, 2048))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, limits=Limits(2048, 128, 2048), loss_share=behind_first_line(F.col("text")))
 
 
 STAGES = [("quality_classifier", quality_classifier), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
