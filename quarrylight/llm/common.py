@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -12,6 +14,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 T = TypeVar("T")
@@ -19,24 +22,38 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it (with --py-files they need nothing else)."""
+    """Let Python workers import this package from where the driver has it (with --py-files they need nothing else), and send
+    them texts in batches of fewer rows, where the session does not say how many."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
+    if spark.conf.get(BATCH[0]) == "10000":  # Spark's default suits short rows; these are texts, held by both sides at once
+        spark.conf.set(*BATCH)
     return spark
 
 
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 _HELD: dict[str, object] = {}
 
 
 def held(name: str, make: Callable[[], T]) -> T:
     """What a Python worker keeps between its tasks: one operator's tables at a time, so that stages do not add up."""
     if name not in _HELD:
-        _HELD.clear()
+        alone()
         _HELD[name] = make()
     return _HELD[name]
 
 
+def alone() -> None:
+    """Drops what another operator left in this Python worker, and gives its memory back."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset and all run on one machine."""
     sc = spark.sparkContext

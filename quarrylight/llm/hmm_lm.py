@@ -231,12 +231,25 @@ def forward(t: Tables, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
+    """The symbols of texts with about `most` tokens together, so that there are texts of about one length."""
+    texts, size = [], 0
+    for batch in batches:
+        texts += [np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()]
+        size += sum(map(len, texts[-batch.num_rows :])) if batch.num_rows else 0
+        if size >= most:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
 def _round(sent, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = sent.value
         total = _zero(t)
-        for batch in batches:
-            got, _ = expected(t, [np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()], cells)
+        for texts in _gathered(batches, 8 * cells):
+            got, _ = expected(t, texts, cells)
             total = Tables(total.start + got.start, total.move + got.move, total.emit + got.emit)
         rows = np.concatenate([total.emit, total.move, total.start[None, :]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["i", "v"])

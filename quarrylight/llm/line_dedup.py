@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarrylight.llm.common import fresh, prepare, written
+from quarrylight.llm.common import alone, fresh, prepare, written
 
 #: Relative standard error of a sketch with 2**k registers is about this over the square root of 2**k.
 ERROR = 1.04
@@ -87,6 +87,7 @@ def _strip(sent, text_at: int, gone_at: int, min_words: int):
     """Takes the lines with these hashes out of the texts and adds how many these were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         drop = sent.value
         for batch in batches:
             texts = batch.column(text_at).cast(pa.binary()).to_pylist()

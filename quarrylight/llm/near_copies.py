@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarrylight.llm.common import fresh, prepare, written
+from quarrylight.llm.common import alone, fresh, prepare, written
 from quarrylight.llm.components import connected_components
 from quarrylight.llm.simhash import TILE, by_group, deal, hashes, majority, merge, near_duplicates
 
@@ -52,13 +52,14 @@ def shingle_sets(docs: DataFrame, similarity: float, id_col: str = "doc_id", tex
     kind = "doc_id long, tie long, node long, n long, fp long, w1 long, w2 long, w3 long, hashes array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for whole_batch in batches:
             for lo in range(0, whole_batch.num_rows, 1000):
                 batch = whole_batch.slice(lo, 1000)
                 ints, kept = np.zeros((batch.num_rows, 6), np.int64), []
                 for i, t in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                     parts = list(hashes(t, shingle, seed))
-                    own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                    own = np.unique(np.concatenate(parts).view(np.int64)).view(np.uint64) if parts else np.zeros(0, np.uint64)
                     n = len(own)
                     ints[i, :2] = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), seed)).view(np.int64), n
                     if not whole:
@@ -240,6 +241,21 @@ def _in_clusters(groups: DataFrame, ratio: Fraction) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _worth(filed: DataFrame, ratio: Fraction) -> DataFrame:
+    """The files (file, node, n, place) that can hold a pair whose first common hash is theirs.
+
+    Such a file has two sets, of which one has it among the first (1 - s) / (1 + s) of its hashes. Of files with the same sets the one of
+    the least hash stays: it is the first common hash if any of them is.
+    """
+    shared = written(filed.groupBy("file").agg(F.count("*").alias("size")).where("size > 1").select("file"), "shared")  # so that Spark sees its size
+    some = filed.join(shared, "file", "left_semi")
+    early = F.col("place") * (ratio.numerator + ratio.denominator) <= F.col("n") * (ratio.denominator - ratio.numerator)
+    same = ["_size", "_one", "_two"]
+    of = some.groupBy("file").agg(F.count("*").alias("_size"), F.bit_xor("node").alias("_one"), F.bit_xor(F.xxhash64("node")).alias("_two"), F.count_if(early).alias("_early"))
+    kept = written(of.where("_early > 0").groupBy(*same).agg(F.min("file").alias("file")).select("file"), "kept")
+    return some.join(kept, "file", "left_semi").withColumn("place", F.col("place").cast("long"))
+
+
 def similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """(doc_id, tie, node, component_id) of every row: linked are texts whose sets of shingles have this Jaccard similarity or
     more. node: the same for all rows of a group that links connect; component_id: the group's least doc_id, null if none has
@@ -253,8 +269,8 @@ def similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", te
     # equal sets are one node; rep names one row of it, whose text gives the set again
     rep = F.min(F.struct("doc_id", "tie")).alias("rep")
     nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), rep, *[F.first(c).alias(c) for c in ("n", *BITS, "hashes")]), "nodes")
-    filed = nodes.select(F.posexplode("hashes").alias("_at", "file"), "node", "n", *BITS).withColumn("place", F.col("_at").cast("long")).drop("_at")
-    files = written(deal(filed, PART, ["node"], single=False), "files")
+    filed = nodes.select(F.posexplode("hashes").alias("place", "file"), "node", "n")
+    files = written(deal(_worth(filed, ratio), PART, ["node"]).join(nodes.select("node", *BITS), "node"), "files")
 
     def whole(named: DataFrame, name: str) -> DataFrame:
         """(node, n, hashes) of these nodes: all hashes, from one text of each."""

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrylight.llm.common import fresh, prepare
+from quarrylight.llm.common import alone, fresh, prepare
 
 SYMBOLS, UPPER, DIGITS, ENDS = b"#*$%&|<>", bytes(range(65, 91)), b"0123456789", b"!?"
 STATISTICS = ("log_words", "word_length", "symbols", "upper", "digits", "exclaims", "distinct_words", "top_word", "repeated_lines", "line_words", "symbol_words", "not_ascii")
@@ -144,6 +144,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "t
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), f"`{score_col}` double, `{predicted_col}` int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         m = sent.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):

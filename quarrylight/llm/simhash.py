@@ -160,11 +160,11 @@ def _files(fp: F.Column, m: int, radius: int) -> list[F.Column]:
     return out
 
 
-def deal(filed: DataFrame, size: int, spread: list[str], single: bool = True) -> DataFrame:
+def deal(filed: DataFrame, size: int, spread: list[str]) -> DataFrame:
     """filed (file, ...) with p, q and part: files of over `size` rows are dealt by the hash of `spread` into parts, and each
-    pair of parts is a group (file, p, q). A row goes to as many groups as its file has parts. single: keep files of one row."""
-    parts = filed.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > (size if single else 1)).select("file", F.ceil(F.col("n") / size).alias("k"))
-    dealt = filed.join(parts, "file", "left" if single else "inner").withColumn("k", F.coalesce("k", F.lit(1)))
+    pair of parts is a group (file, p, q). A row goes to as many groups as its file has parts."""
+    parts = filed.groupBy("file").agg(F.count("*").alias("_rows")).where(F.col("_rows") > size).select("file", F.ceil(F.col("_rows") / size).alias("k"))
+    dealt = filed.join(parts, "file", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64(*spread, F.lit(7)), F.col("k")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     return dealt.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("k", "other")
