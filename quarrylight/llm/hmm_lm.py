@@ -39,7 +39,7 @@ DESCRIBED = (
 
 @dataclass(frozen=True)
 class Shape:
-    """frequent: words that are symbols. cached: words whose counts are broadcast. cells: tokens of texts that step together."""
+    """frequent: words that are symbols. cached: words, at most, whose counts are broadcast. cells: tokens of texts that step together."""
 
     states: int = 8
     frequent: int = 16384
@@ -281,7 +281,13 @@ def language_model(docs: DataFrame, train: Column, shape: Shape = Shape(), id_co
     sums = source.where("train").select("text").mapInArrow(_count, "word binary, c long")
     counts = written(sums.groupBy("word").agg(F.sum("c").alias("c")), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(shape.cached).collect()]
+    least, size = 1 << 62, 0
+    for r in counts.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
+        size += r.n
+        if size > shape.cached:
+            break
+        least = r.c
+    top = sorted(((bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))  # at most `cached`
     if top and END not in dict(top[: shape.frequent]):  # the end is a symbol however few texts there are
         end = counts.where(F.col("word") == END).first().c
         top = [x for x in top if x[0] != END]
