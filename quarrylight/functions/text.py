@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 # Regular expressions of the indicator categories. `(?i)`: case does not count.
 INDICATORS = {
@@ -43,14 +43,22 @@ def occurrences(text: Column, phrase: str, ignore_case: bool = True) -> Column:
 
 
 def regex_occurrences(text: Column, pattern: str, ignore_case: bool = True) -> Column:
-    """How often a regular expression (4096 characters at most) matches. One that matches the empty text is refused."""
+    """How often a regular expression (4096 characters at most) matches. One that matches the empty text is refused.
+
+    The pattern is Java's, and Java judges it. There is no bound on its time: a nested repetition such as (a+)+ is refused,
+    as it may take exponential time on one text.
+    """
     import re
 
     if not 0 < len(pattern) <= 4096:
         raise ValueError("a pattern has 1 to 4096 characters")
-    if re.compile(pattern).search("") is not None:
+    if re.search(r"[+*}]\)[+*{]", re.sub(r"\\.|\[[^\]]*\]", "x", pattern)):
+        raise ValueError("the pattern repeats what repeats")
+    flagged = ("(?im)" if ignore_case else "(?m)") + pattern
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.range(1).select(F.regexp_count(F.lit(""), F.lit(flagged)).alias("n")).first().n:
         raise ValueError("the pattern matches the empty text")
-    return F.regexp_count(text, F.lit(("(?im)" if ignore_case else "(?m)") + pattern)).cast("long")
+    return F.regexp_count(text, F.lit(flagged)).cast("long")
 
 
 def tokens(text: Column) -> Column:
@@ -71,7 +79,7 @@ def bigrams(words: Column) -> Column:
 
 def lexical_score(content: Column, location: Column, query: str, words: list[str]) -> Column:
     """0.45 for the phrase in content or location, 0.40 and 0.15 for the shares of the query's words in these; 1 at most."""
-    content, location = F.lower(content), F.lower(location)
+    content, location = F.lower(F.coalesce(content, F.lit(""))), F.lower(F.coalesce(location, F.lit("")))
     phrase = F.when(F.contains(content, F.lit(query.lower())) | F.contains(location, F.lit(query.lower())), 0.45).otherwise(0.0)
     if not words:
         return phrase

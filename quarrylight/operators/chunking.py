@@ -58,8 +58,18 @@ def ordinals(rows: DataFrame, key: str, order: str, counted: Column) -> DataFram
 def ordinal_ranges(instructions: DataFrame, ranges: DataFrame, key: str = "path") -> DataFrame:
     """First and last ordinal of the instructions within each range of lines (key, start_line, end_line)."""
     at = instructions.where("ordinal is not null").select(key, "line", "ordinal")
-    joined = ranges.join(at, [ranges[key] == at[key], at.line >= ranges.start_line, at.line <= ranges.end_line], "left").drop(at[key])
-    return joined.groupBy(*ranges.columns).agg(F.min("ordinal").alias("start_instruction"), F.max("ordinal").alias("end_instruction"))
+    # ordinals rise with lines: the first at or behind a range's start, and the last up to its end, are its bounds
+    marks = at.select(key, "line", "ordinal", F.lit(1).alias("_kind")).withColumns({c: F.lit(None).cast(ranges.schema[c].dataType) for c in ranges.columns if c != key})
+    rows = marks
+    for side, kind in (("start_line", 0), ("end_line", 2)):
+        rows = rows.unionByName(ranges.select("*", F.col(side).cast("int").alias("line"), F.lit(None).cast("long").alias("ordinal"), F.lit(kind).alias("_kind")))
+    order = Window.partitionBy(key).orderBy("line", "_kind")
+    behind = F.first("ordinal", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    upto = F.last("ordinal", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = rows.withColumns({"_behind": behind, "_upto": upto}).where("_kind <> 1")
+    both = found.groupBy(*ranges.columns).agg(F.max(F.when(F.col("_kind") == 0, F.col("_behind"))).alias("a"), F.max(F.when(F.col("_kind") == 2, F.col("_upto"))).alias("b"))
+    some = F.col("a") <= F.col("b")
+    return both.select(*ranges.columns, F.when(some, F.col("a")).alias("start_instruction"), F.when(some, F.col("b")).alias("end_instruction"))
 
 
 def enclosing(points: DataFrame, spans: DataFrame, key: str = "path") -> DataFrame:

@@ -16,6 +16,41 @@ def chain(runs: DataFrame, tools: list[str], key: str) -> DataFrame:
     return runs.where("status = 'completed'").groupBy(key).agg(*[last(t) for t in tools])
 
 
+def report_lineage(runs: DataFrame, key: str = "project_id") -> DataFrame:
+    """Of each key the runs that one static report rests on, each the latest that succeeded and belongs to what is before it.
+
+    runs: (key, run_id, tool, status, started_at, apk_sha, artifact_id, output_dir, path, index_id, source_root). The package
+    run (an import, else an inspection) gives the digest; metadata and decompilation have the same; the manifest lies below the
+    decompiled tree; the index is of the imported artifact (if there is one) and of that tree's sources; query and signals are of that index.
+    Returns (key, stage, run_id); a stage without such a run has no row, and a key without a package run none at all.
+    """
+    good = runs.where("status = 'succeeded'")
+    order = [F.desc("started_at"), F.desc("run_id")]
+
+    def last(rows: DataFrame, tool: str, prefix: str) -> DataFrame:
+        return latest(rows, [key], order).select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in ("run_id", "apk_sha", "artifact_id", "output_dir", "index_id", "source_root")])
+
+    package = good.where(F.col("tool").isin("apk_import", "apk_inspect")).withColumn("_imported", F.col("tool") == "apk_import")
+    base = latest(package, [key], [F.desc("_imported"), *order]).select(key, F.col("run_id").alias("package_run_id"), F.col("apk_sha").alias("_sha"), F.when(F.col("_imported"), F.col("artifact_id")).alias("_artifact"))
+
+    def met(state: DataFrame, tool: str, residual: Column, prefix: str) -> DataFrame:
+        fit = good.where(F.col("tool") == tool).join(state, key).where(residual).select(*good.columns)
+        return state.join(last(fit, tool, prefix), key, "left")
+
+    below = F.startswith("path", F.concat("tree_output_dir", F.lit("/"))) | (F.col("path") == F.col("tree_output_dir"))
+    of_artifact = F.col("_artifact").isNull() | (F.col("artifact_id") == F.col("_artifact"))
+    of_tree = F.when(F.col("tree_output_dir").isNotNull(), F.col("source_root") == F.concat("tree_output_dir", F.lit("/sources"))).otherwise(F.col("_artifact").isNotNull())
+    state = met(base, "apk_metadata", F.col("apk_sha") == F.col("_sha"), "metadata")
+    state = met(state, "jadx_decompile", F.col("apk_sha") == F.col("_sha"), "tree")
+    state = met(state, "manifest_analyze", below, "manifest")
+    state = met(state, "source_index", of_artifact & of_tree, "index")
+    state = met(state, "context_query", F.col("index_id") == F.col("index_index_id"), "query")
+    state = met(state, "detect_obfuscation", F.col("source_root") == F.col("index_source_root"), "signals")
+    stages = ["package", "metadata", "tree", "manifest", "signals", "index", "query"]
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"{s}_run_id").alias("run_id")) for s in stages]))
+    return state.select(key, each.alias("r")).select(key, "r.stage", "r.run_id").where("run_id is not null")
+
+
 def repeated_calls(runs: DataFrame, session: str, call: list[str], order: list[str], limit: int) -> DataFrame:
     """Adds nth (how often the session made this call so far) and looping (nth > limit)."""
     upto = Window.partitionBy(session, *call).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

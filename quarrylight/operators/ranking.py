@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -25,27 +28,34 @@ def pack_budget(ranked: DataFrame, budget: int, key: str = "query_id", overhead:
 
     In order of rank a candidate's source is taken if it fits, else its summary, else it is left out and the next one is
     tried. Tokens are a quarter of the bytes of all taken texts and of the two line feeds between them, rounded
-    up, and `overhead` for each. A key's candidates (at most a thousand, as a ranking is bounded) are folded in one
-    row. Returns (key, rank, id, representation, estimated_tokens).
+    up, and `overhead` for each. Candidates that no empty budget holds are left out first; the others pass a task in order, a few
+    numbers for the key at hand being all that it keeps. Returns (key, rank, id, representation, estimated_tokens).
     """
     if budget < 0 or overhead < 0:
         raise ValueError("budget and overhead are 0 or more")
-    rows = F.array_sort(F.collect_list(F.struct("rank", "id", F.col("source_bytes").cast("long").alias("s"), F.col("summary_bytes").cast("long").alias("m"))))
-    item = "struct<rank:int,id:string,representation:string,estimated_tokens:bigint>"
-    start = F.struct(F.lit(0).cast("bigint").alias("bytes"), F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<{item}>").alias("items"))
-
-    def step(a: Column, x: Column) -> Column:
-        def total(size: Column) -> tuple[Column, Column]:
-            whole = a.bytes + size + F.when(F.size(a["items"]) > 0, 2).otherwise(0)
-            return whole, F.floor((whole + 3) / 4) + overhead * (F.size(a["items"]) + 1)
-
-        (source, source_tokens), (summary, summary_tokens) = total(x.s), total(x.m)
-
-        def take(size: Column, cost: Column, how: str) -> Column:
-            new = F.struct(x["rank"].cast("int").alias("rank"), x.id.alias("id"), F.lit(how).alias("representation"), (cost - a.used).cast("bigint").alias("estimated_tokens"))
-            return F.struct(size.cast("bigint").alias("bytes"), cost.cast("bigint").alias("used"), F.concat(a["items"], F.array(new)).alias("items"))
-
-        return F.when(source_tokens <= budget, take(source, source_tokens, "source")).when(summary_tokens <= budget, take(summary, summary_tokens, "summary")).otherwise(a)
-
-    packed = ranked.groupBy(key).agg(rows.alias("_rows")).select(key, F.aggregate("_rows", start, step).alias("_p"))
-    return packed.select(key, F.explode("_p.items").alias("_i")).select(key, "_i.rank", "_i.id", "_i.representation", "_i.estimated_tokens")
+    rows = ranked.select(key, F.col("rank").cast("int").alias("rank"), F.col("id").cast("string").alias("id"), F.col("source_bytes").cast("long").alias("s"), F.col("summary_bytes").cast("long").alias("m"))
+    alone = F.floor((F.least("s", "m") + 3) / 4) + overhead  # least skips nulls
+    dealt = rows.where(alone <= budget).repartition(key).sortWithinPartitions(key, "rank", "id")
+    kind = dealt.schema[key].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, size, used, n = object(), 0, 0, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for k, rank, name, source, summary in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if k != at:
+                    at, size, used, n = k, 0, 0, 0
+                for how, more in (("source", source), ("summary", summary)):
+                    if more is None:
+                        continue
+                    whole = size + more + (2 if n else 0)
+                    cost = (whole + 3) // 4 + overhead * (n + 1)
+                    if cost <= budget:
+                        out.append((k, rank, name, how, cost - used))
+                        size, used, n = whole, cost, n + 1
+                        break
+            names = (key, "rank", "id", "representation", "estimated_tokens")
+            kinds = (batch.column(0).type, pa.int32(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ([],) * 5, kinds)], names=list(names))
+
+    return dealt.mapInArrow(fold, f"`{key}` {kind}, rank int, id string, representation string, estimated_tokens long")

@@ -34,3 +34,53 @@ def render(title: str, sections: list[tuple[str, DataFrame]]) -> tuple[str, str]
         parts.append(f"## {heading}\n\n{r.markdown if r.total else 'Nothing was found.'}{more}\n")
     text = "\n".join(parts)
     return text, hashlib.sha256(text.encode()).hexdigest()
+
+
+# A static report's sections, in order, and those that it can lack.
+SECTIONS = ("project", "package", "apk_metadata", "jadx", "manifest", "obfuscation", "context", "source_evidence", "provenance", "limitations")
+OPTIONAL = ("apk_metadata", "jadx", "manifest", "obfuscation", "context", "source_evidence")
+
+
+def section_states(parts: dict[str, DataFrame], key: str = "project_id") -> DataFrame:
+    """(key, section, place, included, rows) of each section of each project: a section without rows is missing unless every report has it.
+
+    parts: rows (key, ...) of the sections that there are; projects are those of parts["project"].
+    """
+    projects = parts["project"].select(key).distinct()
+    counted = None
+    for name, rows in parts.items():
+        n = rows.groupBy(key).agg(F.count("*").alias("rows")).select(key, F.lit(name).alias("section"), "rows")
+        counted = n if counted is None else counted.unionByName(n)
+    every = projects.select(key, F.posexplode(F.array(*[F.lit(s) for s in SECTIONS])).alias("place", "section"))
+    met = every.join(counted, [key, "section"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return met.withColumn("included", (F.col("rows") > 0) | ~F.col("section").isin(*OPTIONAL)).select(key, "section", F.col("place").cast("long"), "included", "rows")
+
+
+def static_report(title: str, notice: str, sections: list[tuple[str, DataFrame | None]], runs: list[str], limits: list[str]) -> tuple[str, str, list[str], list[str]]:
+    """A static report as Markdown, its SHA-256, and the headings of the sections that it has and lacks.
+
+    sections: headings with what markdown_table gives, or None where there is no run. The report depends on its input alone: no times,
+    no machine. Provenance lists the runs, limitations what is lacking and `limits`.
+    """
+    import hashlib
+
+    lines = [f"# {title}", "", f"> **Scope notice:** {notice}", ""]
+    have, lack = [], []
+    for heading, table in sections:
+        row = None if table is None else table.first()  # one bounded row
+        if row is None or not row.total:
+            lack.append(heading)
+            continue
+        have.append(heading)
+        lines += [f"## {heading}", "", row.markdown, ""]
+        if row.total > row.shown:
+            lines += [f"{row.total - row.shown} more rows are not shown.", ""]
+    lines += ["## Provenance", "", *(f"- `{r}`" for r in runs), *([] if runs else ["No runs are recorded."]), ""]
+    lines += ["## Limitations", "", *(f"- Not included: {x}" for x in lack), *(f"- {x}" for x in limits), ""]
+    text = "\n".join(lines).rstrip() + "\n"
+    return text, hashlib.sha256(text.encode()).hexdigest(), have, lack
+
+
+def benchmark_json(metrics: DataFrame) -> DataFrame:
+    """(json): each row as JSON with sorted names, closed by a line feed."""
+    return metrics.select(F.concat(F.to_json(F.struct(*[F.col(c) for c in sorted(metrics.columns)]), {"ignoreNullFields": "false"}), F.lit("\n")).alias("json"))

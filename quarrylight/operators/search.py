@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrylight.functions.text import lines, occurrences, regex_occurrences
 
@@ -18,7 +18,9 @@ def search(chunks: DataFrame, query: str, regex: bool = False, ignore_case: bool
     if not 1 <= most_lines <= 10_000:
         raise ValueError("1 to 10000 lines")
     count = (lambda c: regex_occurrences(c, query, ignore_case)) if regex else (lambda c: occurrences(c, query, ignore_case))
-    found = chunks.withColumn("match_count", count(F.col("content"))).where("match_count > 0").dropDuplicates(["id"])
+    every = chunks.withColumn("match_count", count(F.col("content"))).where("match_count > 0")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("path", "start_line", F.xxhash64("content")))
+    found = every.withColumn("_nth", nth).where("_nth = 1").drop("_nth")  # of repeated ids the first place
     every = line_matches(F.col("content"), F.col("start_line"), lambda x: count(x) > 0, 2**31 - 1)
     return found.withColumn("_lines", every).withColumns({"distinct_match_line_count": F.size("_lines").cast("long"), "match_lines": F.slice("_lines", 1, most_lines), "match_lines_truncated": F.size("_lines") > most_lines}).drop("_lines")
 
@@ -68,3 +70,35 @@ def path_prefixes(chunks: DataFrame, prefixes: list[str]) -> DataFrame:
 def by_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows whose id is among ids (a table with that column)."""
     return rows.join(ids.select(column), column, "left_semi")
+
+
+def containing(texts: DataFrame, phrases: DataFrame, text_col: str, phrase_col: str, words: int = 6) -> DataFrame:
+    """texts beside each row of phrases whose phrase they contain, each pair of rows once; column names of both sides differ.
+
+    The words of a phrase but its first and last stand in such a text as whole words, so up to `words` of them, hashed together, are
+    a key that both have; `contains` decides. Phrases of fewer than three words have no such key and are looked for in every text:
+    at most 10000 of these are allowed. Null and empty phrases are in no text.
+    """
+    cut = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
+    asked = phrases.where(F.length(phrase_col) > 0).withColumn("_w", F.filter(F.split(F.col(phrase_col), r"\s+"), lambda w, i: i > 0))
+    asked = asked.withColumn("_w", F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0)))).withColumn("_n", F.least(F.size("_w"), F.lit(words)))
+    long = asked.where("_n > 0").withColumn("_key", F.xxhash64(F.slice("_w", 1, F.col("_n"))))
+    out = None
+    have = texts.withColumn("_all", cut(text_col))
+    for r in long.select("_n").distinct().orderBy("_n").collect():  # at most `words` lengths
+        n = r["_n"]
+        some = long.where(F.col("_n") == n).drop("_w", "_n")
+        last = F.size("_all") - n + 1
+        keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("_all", i, n))))
+        spread = have.where(last > 0).select(*texts.columns, F.explode(keys).alias("_key"))
+        wanted = spread.join(some.select("_key").distinct(), "_key", "left_semi")  # rows without a wanted key end here
+        met = wanted.join(some, "_key").where(F.contains(F.col(text_col), F.col(phrase_col))).drop("_key")
+        out = met if out is None else out.unionByName(met)
+    short = asked.where("_n = 0").drop("_w", "_n")
+    n_short = short.limit(10_001).count()
+    if n_short > 10_000:
+        raise ValueError("over 10000 phrases of fewer than three words")
+    if n_short or out is None:
+        met = texts.join(F.broadcast(short), F.contains(F.col(text_col), F.col(phrase_col)))  # their number is checked
+        out = met if out is None else out.unionByName(met)
+    return out

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from quarrylight.functions.text import bigrams, tokens
+from quarrylight.functions.text import tokens
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,55 +27,93 @@ def affine(cosine: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (cosine + 1) / 2))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", most_queries: int = 10_000) -> DataFrame:
-    """The k vectors of largest cosine for each query (query_id, query), ties by id: (query_id, rank, id, cosine).
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", block: int = 2000) -> DataFrame:
+    """The k vectors of largest cosine (6 decimals) for each query (query_id, query), ties by id: (query_id, rank, id, cosine).
 
-    The query set is checked to be bounded and goes to every task, which keeps its own best k for each query; only
-    these are shuffled. Both sides are arrays of one length.
+    Queries are broadcast in blocks of at most `block`, by the hash of their id; each Arrow batch of vectors is multiplied with a block
+    at once and leaves at most k rows for each query, so what is shuffled does not grow with pairs. All arrays have one length.
     """
-    if queries.count() > most_queries:
-        raise ValueError(f"over {most_queries} queries: split them into blocks")
-    left = vectors.select(F.col(id_col).alias("id"), unit(F.col("vector")).alias("v"))
-    right = F.broadcast(queries.select("query_id", unit(F.col("query")).alias("q")))
-    scored = left.join(right, F.lit(True)).select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("cosine"))
+    spark = vectors.sparkSession
+    left = vectors.select(F.col(id_col).alias("id"), F.col("vector").cast("array<double>").alias("v")).where("v is not null")
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("q")).where("q is not null")
+    blocks = max(1, -(-asked.count() // block))
+    kinds = {c: f.dataType for c, f in (("query_id", asked.schema["query_id"]), ("id", left.schema["id"]))}
+    schema = T.StructType([T.StructField("query_id", kinds["query_id"]), T.StructField("id", kinds["id"]), T.StructField("cosine", T.DoubleType())])
+    best = None
+    for number in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()
+        sent = spark.sparkContext.broadcast((some.column("query_id").combine_chunks(), _unit(some.column("q"))))
+        found = left.mapInArrow(_products(sent, k), schema)
+        best = found if best is None else best.union(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "cosine")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "cosine")
+
+
+def _unit(column) -> np.ndarray:
+    """Rows of length 1; zero vectors stay."""
+    v = np.array(column.to_pylist(), float).reshape(len(column), -1)
+    n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+
+def _products(sent, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        for batch in (whole.slice(lo, 2000) for whole in batches for lo in range(0, whole.num_rows, 2000)):
+            if not len(q):
+                continue
+            cosine = np.round(q @ _unit(batch.column(1)).T, 6) + 0.0
+            ids = batch.column(0)
+            rank = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable")  # ids in their own order
+            n = min(k, batch.num_rows)
+            least = -np.partition(-cosine, n - 1, axis=1)[:, n - 1]
+            x, y = np.nonzero(cosine >= least[:, None])  # all ties with the k-th
+            order = np.lexsort((rank[y], -cosine[x, y], x))
+            x, y = x[order], y[order]
+            nth = np.arange(len(x)) - np.searchsorted(x, x)
+            x, y = x[nth < k], y[nth < k]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(x)), ids.take(pa.array(y)), pa.array(cosine[x, y])], names=["query_id", "id", "cosine"])
+
+    return run
 
 
 def hash_embedding(chunks: DataFrame, dimensions: int = 384, text_col: str = "content") -> DataFrame:
     """Adds vector: signed counts of tokens and bigrams by BLAKE2b, made unit length. No token: zeros.
 
-    Tokens are native columns; the digest, which Spark lacks, is taken in Arrow batches.
+    Tokens are native columns; they cross to Python once, bigrams are pairs of their numbers there, each distinct feature is digested
+    once a batch, and a batch's counts are added up together.
     """
     if dimensions < 32:
         raise ValueError("32 dimensions at least")
-    words = tokens(F.coalesce(F.col(text_col), F.lit("")))
-    featured = chunks.withColumn("_words", words).withColumn("_features", F.concat("_words", bigrams(F.col("_words")))).drop("_words")
+    kept = [f for f in chunks.schema.fields if f.name != "vector"]
+    name = "_words"
+    while name in chunks.columns:
+        name += "_"
+    source = chunks.select(*[f"`{f.name}`" for f in kept], tokens(F.coalesce(F.col(text_col), F.lit(""))).alias(name))
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        import numpy as np
-
-        seen: dict[str, tuple[int, int]] = {}
-        for batch in batches:
-            out = []
-            for features in batch.column("_features").to_pylist():
-                v = np.zeros(dimensions)
-                for f in features or ():
-                    if f not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        d = hashlib.blake2b(f.encode(), digest_size=16).digest()
-                        seen[f] = int.from_bytes(d[:8], "big") % dimensions, 1 if d[8] & 1 else -1
-                    i, sign = seen[f]
-                    v[i] += sign
-                n = float(np.sqrt((v * v).sum()))
-                out.append((v / n if n else v).tolist())
-            names = [c for c in batch.schema.names if c != "_features"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.list_(pa.float64()))], names=[*names, "vector"])
-
-    from pyspark.sql import types as T
-
-    kept = [f for f in featured.schema.fields if f.name not in ("_features", "vector")]
-    return featured.select(*[f.name for f in kept], "_features").mapInArrow(embed, T.StructType([*kept, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                lists = batch.column(len(kept))
+                encoded = lists.flatten().dictionary_encode()
+                at = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                words = encoded.dictionary.to_pylist()
+                row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                pair, where = np.unique((at[:-1] * len(words) + at[1:])[row[:-1] == row[1:]], return_inverse=True)
+                both = [f"{words[p // len(words)]}::{words[p % len(words)]}" for p in pair.tolist()]
+                out = np.zeros((batch.num_rows, dimensions))
+                for features, owner, number in ((words, row, at), (both, row[1:][row[:-1] == row[1:]], where)):
+                    raw = b"".join(hashlib.blake2b(f.encode(), digest_size=16).digest() for f in features)
+                    digest = np.frombuffer(raw, np.uint8).reshape(-1, 16)
+                    bucket = (np.ascontiguousarray(digest[:, :8]).view(">u8").reshape(-1) % np.uint64(dimensions)).astype(np.int64)
+                    sign = np.where(digest[:, 8] & 1, 1.0, -1.0)
+                    if len(features):
+                        cell = owner * dimensions + bucket[number]
+                        out += np.bincount(cell, sign[number], out.size).reshape(out.shape)
+                n = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                out = np.divide(out, n, out=out, where=n > 0)
+                vector = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dimensions, dtype=np.int32)), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), vector], names=[*(f.name for f in kept), "vector"])
+
+    return source.mapInArrow(embed, T.StructType([*kept, T.StructField("vector", T.ArrayType(T.DoubleType()))]))

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarrylight.functions import text as X
-from quarrylight.operators import chunking, evaluate, lineage, manifest, netflow, ranking, report, rollup, search, signals, store, vectors
+from quarrylight.operators import chunking, evaluate, lineage, manifest, netflow, ranking, report, retrieval, rollup, search, signals, store, vectors
+from quarrylight.session import shared_folder
 from quarrylight.sources import corpus
+from quarrylight.streaming import flows as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,7 +125,8 @@ def token_estimate(spark, sf_dir):
 @query
 def token_features(spark, sf_dir):
     t = F.transform(F.regexp_extract_all("content", F.lit(X.TOKEN), F.lit(0)), F.lower)
-    return files(spark, sf_dir).select("path", F.size(t).cast("long").alias("tokens"), F.size(F.array_distinct(t)).cast("long").alias("distinct_tokens"), F.size(X.bigrams(t)).cast("long").alias("bigrams"))
+    made = files(spark, sf_dir).select("path", t.alias("t"))  # a projection of its own: the expression is computed once
+    return made.select("path", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens"), F.greatest(F.lit(0), F.size("t") - 1).cast("long").alias("bigrams"))
 
 
 @query
@@ -135,33 +138,37 @@ def lexical_score(spark, sf_dir):
 @query
 def knn_exact(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return vectors.nearest(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), q, k=10).select("query_id", F.col("rank").cast("long"), "id", "cosine")
 
 
 @query
 def knn_affine_vs_cosine(spark, sf_dir):
-    return knn_exact(spark, sf_dir).where("rank <= 5").select("query_id", "id", "cosine", F.round(vectors.affine(F.col("cosine")), 6).alias("affine"))
+    return knn_exact(spark, sf_dir).where("rank <= 5").select("query_id", "id", "cosine", vectors.affine(F.col("cosine")).alias("affine"))
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked neighbours of 20 vectors, relevant if of the same label."""
+    """Ranked neighbours of the query vectors, relevant if of the same label."""
     label = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     found = knn_exact(spark, sf_dir).where("id <> query_id").select(F.col("query_id").alias("case_id"), "rank", "id")
     mine, theirs = label.select(F.col("vec_id").alias("case_id"), F.col("label").alias("expected")), label.select(F.col("vec_id").alias("id"), "label")
     return evaluate.dedupe_ranks(found, 10).join(mine, "case_id").join(theirs, "id")
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("case_id"))
+
+
 @query
 def retrieval_metrics_by_case(spark, sf_dir):
     c = _cases(spark, sf_dir)
-    return evaluate.first_relevant(c, c, F.col("label") == F.col("expected")).select("case_id", F.col("first_rank").cast("long"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+    return evaluate.first_relevant(c, _asked(spark, sf_dir), F.col("label") == F.col("expected")).select("case_id", F.col("first_rank").cast("long"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 
 
 @query
 def retrieval_metrics(spark, sf_dir):
     c = _cases(spark, sf_dir)
-    return evaluate.metrics(evaluate.first_relevant(c, c, F.col("label") == F.col("expected")), [1, 3, 5])
+    return evaluate.metrics(evaluate.first_relevant(c, _asked(spark, sf_dir), F.col("label") == F.col("expected")), [1, 3, 5])
 
 
 @query
@@ -171,33 +178,41 @@ def retrieval_regressions(spark, sf_dir):
 
 @query
 def benchmark_containment(spark, sf_dir):
-    """Documents that hold a whole benchmark line: joined on the hash of lines, not by comparing all with all."""
-    lines = lambda df, k: df.select(F.col(k), F.explode(X.lines(F.col("text"))).alias("l")).where(F.length("l") >= 40).select(k, F.sha2("l", 256).alias("h"))
-    items = lines(table(spark, sf_dir, "benchmark"), "item_id").distinct()
-    return lines(table(spark, sf_dir, "documents"), "doc_id").join(items, "h").select("item_id", "doc_id").distinct()
+    """Documents that hold a whole benchmark text."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    return search.containing(table(spark, sf_dir, "documents").select("doc_id", "text"), items, "text", "phrase").select("item_id", "doc_id")
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best chunks for each query: a vector, a phrase and words; vectors belong to chunks by number."""
+    e = table(spark, sf_dir, "embeddings")
+    c = chunks(spark, sf_dir).withColumns({"end_line": F.lit(9), "start_instruction": F.lit(None).cast("long"), "end_instruction": F.lit(None).cast("long")})
+    named = e.join(c.select("id", "doc_id"), F.col("vec_id") == F.col("doc_id")).select("id", F.col("embedding").alias("vector"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit(PHRASE).alias("phrase"), F.array(*[F.lit(w) for w in WORDS]).alias("words"), F.col("embedding").alias("vector"))
+    told = c.where("doc_id % 3 = 0").select(F.col("id").alias("scope"), F.concat(F.lit("summary of "), "id").alias("content"))
+    return retrieval.hybrid(c, named, asked, 20, summaries=told, known=["src1/", "src2/fr/doc_1"])
 
 
 @query
 def hybrid_rank(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    score = X.lexical_score(F.col("content"), F.concat("path", F.lit(" "), "symbol"), PHRASE, WORDS)
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.round((F.get("embedding", F.lit(0)).cast("double") + 1) / 2, 4).alias("semantic_score"))
-    rows = c.withColumn("lexical_score", score).join(e, "doc_id", "left").withColumn("location_boost", F.startswith("path", F.lit("src1/")).cast("double"))
-    return ranking.rank_hybrid(rows, 50).select("id", "path", "score")
+    return _hybrid(spark, sf_dir).select("query_id", F.col("rank").cast("long"), "id", "score", "summary")
+
+
+@query
+def hybrid_packed(spark, sf_dir):
+    return retrieval.pack(_hybrid(spark, sf_dir), 3000, overhead=8).select("query_id", F.col("rank").cast("long"), "id", "representation", "estimated_tokens", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query
 def pack_budget(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id < 100000").select(F.col("source").alias("query_id"), F.col("doc_id").cast("string").alias("id"), F.octet_length("text").alias("source_bytes"), F.when(F.col("doc_id") % 3 == 0, F.lit(80)).alias("summary_bytes"), "doc_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("doc_id"))
-    ranked = d.withColumn("rank", F.row_number().over(order)).where("rank <= 40")
-    return ranking.pack_budget(ranked, 6000, overhead=8).select("query_id", F.col("rank").cast("long"), "id", "representation", "estimated_tokens")
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").cast("string").alias("id"), F.octet_length("text").alias("source_bytes"), F.when(F.col("doc_id") % 3 == 0, F.lit(80)).alias("summary_bytes"), F.col("doc_id").alias("rank"))
+    return ranking.pack_budget(d, 6000, overhead=8).select("query_id", F.col("rank").cast("long"), "id", "representation", "estimated_tokens")
 
 
 @query
 def summary_file(spark, sf_dir):
     w = chunking.line_windows(files(spark, sf_dir), size=4, overlap=1)
-    return rollup.file_summaries(w).select("path", "chunks", "methods", F.array_join("indicators", ",").alias("indicators"), F.size("symbols").cast("long").alias("symbols"))
+    return rollup.file_summaries(w).select("path", "chunks", "methods", F.array_join("indicators", ",").alias("indicators"), F.col("symbols_count").alias("symbols"))
 
 
 @query
@@ -212,7 +227,7 @@ def summary_project(spark, sf_dir):
 
 @query
 def summary_union_levels(spark, sf_dir):
-    return rollup.levels(chunking.line_windows(files(spark, sf_dir), size=4, overlap=1))
+    return rollup.levels(chunks(spark, sf_dir))
 
 
 @query
@@ -227,7 +242,13 @@ def indicators(spark, sf_dir):
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.file_signals(table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("k"), F.col("html").alias("content")))
+    """Parts as source texts: names, reflection, encoded strings and jumps depend on the part."""
+    p, i = table(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.when(F.col("p_size") % 2 == 0, F.replace("p_name", F.lit(" "), F.lit("_"))).otherwise(F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.col("p_size") % 26 + 1, F.lit(1)))
+    body = F.when(i % 7 == 0, 'Object o = Class.forName("x").invoke (y);').when(i % 7 < 3, "switch (x) { default: goto z; }").otherwise("return 1;")
+    text = F.when(i % 5 == 0, F.concat(F.lit('"'), F.repeat(F.lit("QUJD"), F.lit(10)), F.lit('"'))).otherwise(F.lit('"00ff"'))
+    code = F.concat(F.lit("class "), name, F.lit(" {\n  void "), name, (i % 3).cast("string"), F.lit("() { "), body, F.lit(" }\n  String s = "), text, F.lit(";\n}\n"))
+    return signals.file_signals(p.select((i % 10).alias("k"), code.alias("content")))
 
 
 @query
@@ -403,16 +424,20 @@ def attack_surface(spark, sf_dir):
 @query
 def hash_embedding(spark, sf_dir):
     """Rows only: DuckDB has no BLAKE2b."""
-    v = vectors.hash_embedding(files(spark, sf_dir).select("path", "content"), 64)
+    v = vectors.hash_embedding(files(spark, sf_dir).select("path", "content"), 384)
     return v.select("path", F.round(vectors.dot(F.col("vector"), F.col("vector")), 6).alias("norm"))
 
 
 @query
 def flow_stream_docs(spark, sf_dir):
-    """The events table as a stream: each user's events once, counted when the feed is used up."""
+    """The events table as a stream of flows that pass once by id, written as they come; their endpoints when the feed is used up."""
     schema = table(spark, sf_dir, "events").schema
-    name = f"flow_stream_{abs(hash(sf_dir))}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("large"))
-    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet")
+    url = F.concat(F.lit("https://h"), (F.col("user_id") % 3).cast("string"), F.lit("/u/"), F.col("event_id").cast("string"))
+    flow = stream.select(F.col("event_id").cast("string").alias("id"), url.alias("url"), F.col("event_type").alias("method"), F.col("ts").cast("timestamp").alias("ts"))
+    out = shared_folder(spark, "flows")
+    streaming.run_available(streaming.once(flow, "1 day"), f"{out}/rows", f"{out}/checkpoint")
+    return streaming.running_endpoints(spark.read.parquet(f"{out}/rows")).select("pattern", "method", "host", "flow_count")
+
+
+from quarrylight.plans import records  # noqa: E402, F401  (its queries register themselves)

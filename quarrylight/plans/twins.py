@@ -1,5 +1,7 @@
 """The catalogue's queries as SQL that DuckDB runs over the same tables."""
 
+from quarrylight.plans.record_twins import RECORD_TWINS
+
 FILES = "f AS (SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, lang AS language, source, doc_id, text AS content FROM documents)"
 CHUNKS = "c AS (SELECT 'chk_' || lpad(doc_id::VARCHAR, 12, '0') AS id, source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, lang AS language, CASE WHEN doc_id % 2 = 0 THEN 'method' ELSE 'file' END AS kind, 'sym_' || (doc_id % 7) AS symbol, 1 AS start_line, text AS content, doc_id FROM documents)"
 LINES = "l AS (SELECT *, CASE WHEN coalesce(content, '') = '' THEN [] WHEN right(content, 1) = chr(10) THEN string_split(left(content, length(content) - 1), chr(10)) ELSE string_split(content, chr(10)) END AS ls FROM {0})"
@@ -15,17 +17,26 @@ STATES = f"""{FILES}, t AS (SELECT path, CASE WHEN strlen(content) > 20000 THEN
 COUNT = "(length(lower(content)) - length(replace(lower(content), 'that the', ''))) // 8"
 HITS = f"{CHUNKS}, {LINES.format('c')}, h AS (SELECT *, {COUNT} AS match_count, list_filter(list_transform(ls, lambda x, i: CASE WHEN contains(lower(x), 'that the') THEN i END), lambda x: x IS NOT NULL) AS hit FROM l WHERE {COUNT} > 0)"
 COSINE = "round(list_sum(list_transform(list_zip({a}::DOUBLE[], {b}::DOUBLE[]), lambda x: x[1] * x[2])) / sqrt(list_sum(list_transform({a}::DOUBLE[], lambda x: x * x)) * list_sum(list_transform({b}::DOUBLE[], lambda x: x * x))), 6)"
-KNN = f"knn AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE.format(a='q.embedding', b='e.embedding')} AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE.format(a='q.embedding', b='e.embedding')} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q) WHERE rank <= 10)"
+KNN = f"knn AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE.format(a='q.embedding', b='e.embedding')} AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE.format(a='q.embedding', b='e.embedding')} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 10)"
 CASES = f"{KNN}, r AS (SELECT query_id AS case_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM knn WHERE id <> query_id), b AS (SELECT case_id, min(rank) FILTER (x.label = y.label) AS first_rank FROM r JOIN embeddings x ON x.vec_id = case_id JOIN embeddings y ON y.vec_id = id GROUP BY 1)"
 METRICS = f"{CASES}, mm AS (SELECT count(*) AS cases, count(*) FILTER (first_rank <= 1) AS hit_at_1, count(*) FILTER (first_rank <= 3) AS hit_at_3, count(*) FILTER (first_rank <= 5) AS hit_at_5, round(avg(CASE WHEN first_rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate_at_1, round(avg(CASE WHEN first_rank <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate_at_3, round(avg(CASE WHEN first_rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate_at_5, round(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 6) AS mrr FROM b)"
 HAS = lambda where: " + ".join(f"contains(lower({where}), '{w}')::INT" for w in ("that", "edth", "nonesuch"))
-LEXICAL = f"least(1.0, CASE WHEN contains(lower(content), 'that the') OR contains(lower(path || ' ' || symbol), 'that the') THEN 0.45::DOUBLE ELSE 0 END + ({HAS('content')})::DOUBLE / 3 * 0.4::DOUBLE + ({HAS(chr(40) + 'path || chr(32) || symbol' + chr(41))})::DOUBLE / 3 * 0.15::DOUBLE)"
+COALESCED = "coalesce(content, '')"
+LEXICAL = f"least(1.0, CASE WHEN contains(lower(coalesce(content, '')), 'that the') OR contains(lower(path || ' ' || symbol), 'that the') THEN 0.45::DOUBLE ELSE 0 END + ({HAS(COALESCED)})::DOUBLE / 3 * 0.4::DOUBLE + ({HAS(chr(40) + 'path || chr(32) || symbol' + chr(41))})::DOUBLE / 3 * 0.15::DOUBLE)"
+KNOWN = "(starts_with(path, 'src1/') OR starts_with(path, 'src2/fr/doc_1'))"
+HYBRID = f"""{CHUNKS}, ve AS (SELECT vec_id, id, embedding FROM embeddings JOIN c ON doc_id = vec_id), qs AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0), bud AS (SELECT least(count(*), 100) AS k FROM ve),
+  nn AS (SELECT query_id, id, cosine FROM (SELECT query_id, ve.id, {COSINE.format(a='qs.embedding', b='ve.embedding')} AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY {COSINE.format(a='qs.embedding', b='ve.embedding')} DESC, ve.id) AS n FROM ve, qs), bud WHERE n <= k),
+  kn AS (SELECT id FROM c WHERE {KNOWN} ORDER BY path, id LIMIT 1000), ca AS (SELECT query_id, id FROM nn UNION SELECT query_id, kn.id FROM kn, qs),
+  sc1 AS (SELECT ca.query_id, c.*, least(1.0, 0.5::DOUBLE * {LEXICAL} + 0.45::DOUBLE * greatest(0, least(1, coalesce(cosine, 0))) + 0.05::DOUBLE * {KNOWN}::INT) AS s FROM ca JOIN c USING (id) LEFT JOIN nn ON nn.query_id = ca.query_id AND nn.id = ca.id),
+  hr AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'summary of ' || id END AS summary FROM (SELECT *, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, path, id) AS rank FROM sc1 WHERE s <> 0) WHERE rank <= 20)"""
 PATTERN = r"""array_to_string(list_transform(string_split(url, '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') THEN '{uuid}' WHEN regexp_matches(s, '^[0-9]+$') THEN '{id}' WHEN regexp_matches(s, '^[0-9a-f]{16,}$') THEN '{token}' ELSE s END), '/')"""
 HOST = "regexp_extract(url, 'https?://([^/:]+)', 1)"
 FLOWS = f"fl AS (SELECT page_id AS id, url, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, 200 AS status, page_id % 100 AS duration_ms, strlen(html) AS response_size FROM pages)"
 RUNS = "ru AS (SELECT event_id AS run_id, user_id AS project_id, event_type AS tool, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, ts AS started_at FROM events)"
 FINDINGS = "fi AS (SELECT doc_id AS finding_id, unnest([doc_id, doc_id + 1, doc_id + 100000000]) AS evidence_id FROM labels WHERE quality = 0 OR toxic = 1)"
-NAMES = r"""sg AS (SELECT page_id % 10 AS k, html, list_filter(list_concat(regexp_extract_all(html, '\b(?:class|interface|enum|object)\s+([A-Za-z_$][\w$]*)', 1), regexp_extract_all(html, '(?m)(?:\b(?:public|private|protected|internal|static|final|synchronized|native|abstract)\s+)*(?:fun\s+|[\w$<>\[\],.?]+\s+)([A-Za-z_$][\w$]*)\s*\(', 1)), lambda x: x NOT IN ('<init>', '<clinit>')) AS ids FROM pages)"""
+CODE = """co AS (SELECT p_partkey % 10 AS k, 'class ' || name || ' {' || chr(10) || '  void ' || name || (p_partkey % 3) || '() { ' || CASE WHEN p_partkey % 7 = 0 THEN 'Object o = Class.forName("x").invoke (y);' WHEN p_partkey % 7 < 3 THEN 'switch (x) { default: goto z; }' ELSE 'return 1;' END || ' }' || chr(10) || '  String s = ' || CASE WHEN p_partkey % 5 = 0 THEN '"' || repeat('QUJD', 10) || '"' ELSE '"00ff"' END || ';' || chr(10) || '}' || chr(10) AS html
+  FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN replace(p_name, ' ', '_') ELSE substr('abcdefghijklmnopqrstuvwxyz', p_size % 26 + 1, 1) END AS name FROM part))"""
+NAMES = CODE + r""", sg AS (SELECT k, html, list_filter(list_concat(regexp_extract_all(html, '\b(?:class|interface|enum|object)\s+([A-Za-z_$][\w$]*)', 1), regexp_extract_all(html, '(?m)(?:\b(?:public|private|protected|internal|static|final|synchronized|native|abstract)\s+)*(?:fun\s+|[\w$<>\[\],.?]+\s+)([A-Za-z_$][\w$]*)\s*\(', 1)), lambda x: x NOT IN ('<init>', '<clinit>')) AS ids FROM co)"""
 SCORES = rf"""{NAMES}, su AS (SELECT k, count(*) AS files, sum(len(ids))::BIGINT AS names, sum(len(list_filter(ids, lambda x: length(x) <= 2)))::BIGINT AS short_names,
   sum(len(regexp_extract_all(html, 'Class\.forName|getDeclaredMethod|getDeclaredField|java\.lang\.reflect|\.invoke\s*\(')))::BIGINT AS reflection,
   sum(len(regexp_extract_all(html, '"[A-Za-z0-9+/]{{32,}}={{0,2}}"')) + len(regexp_extract_all(html, '"(?:[0-9a-fA-F]{{2}}){{16,}}"')))::BIGINT AS encoded,
@@ -36,6 +47,8 @@ EXPORT = f"""{KINDS}, ex AS (SELECT *, CASE WHEN attr = '@bool/x' THEN 'indeterm
   CASE WHEN attr IN ('true', 'false') THEN attr = 'true' WHEN attr IS NOT NULL THEN NULL WHEN kind = 'provider' THEN sdk < 17 WHEN NOT has_filter THEN false WHEN sdk < 31 THEN true END AS exported FROM co)"""
 PERMISSIONS = "pe AS (SELECT *, coalesce(permission, CASE WHEN id % 3 = 0 THEN 'p.APP' END) AS effective_permission, CASE WHEN permission IS NOT NULL THEN 'component' WHEN id % 3 = 0 THEN 'application' ELSE 'none' END AS permission_source, CASE WHEN kind = 'provider' THEN coalesce(CASE WHEN id % 2 = 0 THEN 'p.READ' END, permission, CASE WHEN id % 3 = 0 THEN 'p.APP' END) END AS effective_read, CASE WHEN kind = 'provider' THEN coalesce(permission, CASE WHEN id % 3 = 0 THEN 'p.APP' END) END AS effective_write FROM {0})"
 
+INDICATED = r"""list_filter([CASE WHEN regexp_matches(content, '(?i)\b(?:Cipher|SecretKey|MessageDigest|Mac|encrypt|decrypt)\b') THEN 'cryptography' END, CASE WHEN regexp_matches(content, '(?i)\b(?:https?|Retrofit|OkHttp|Request|Response|socket)\b') THEN 'networking' END, CASE WHEN regexp_matches(content, '(?i)\b(?:auth|login|token|jwt|oauth|credential)\b') THEN 'authentication' END, CASE WHEN regexp_matches(content, '\b(?:native|System\.loadLibrary|JNI)\b') THEN 'native/JNI' END, CASE WHEN regexp_matches(content, '\b(?:Class\.forName|getDeclaredMethod|reflect)\b') THEN 'reflection' END], lambda x: x IS NOT NULL)"""
+
 TWINS = {
     "chunk_line_windows": f"WITH {WINDOWS} SELECT path, symbol, start_line, end_line, length(content) AS chars FROM w",
     "chunk_identity_sha": f"WITH {WINDOWS}, {IDS} SELECT path, start_line, id, sha AS content_sha256 FROM i",
@@ -61,22 +74,28 @@ TWINS = {
     "token_features": f"WITH {FILES}, t AS (SELECT path, list_transform(regexp_extract_all(content, '[A-Za-z_$][A-Za-z0-9_$.-]*|[0-9]+'), lambda x: lower(x)) AS ts FROM f) SELECT path, len(ts) AS tokens, len(list_distinct(ts)) AS distinct_tokens, greatest(0, len(ts) - 1) AS bigrams FROM t",
     "lexical_score": f"WITH {CHUNKS} SELECT id, round({LEXICAL}, 6) AS score FROM c",
     "knn_exact": f"WITH {KNN} SELECT query_id, rank, id, cosine FROM knn",
-    "knn_affine_vs_cosine": f"WITH {KNN} SELECT query_id, id, cosine, round(least(1, greatest(0, (cosine + 1) / 2)), 6) AS affine FROM knn WHERE rank <= 5",
+    "knn_affine_vs_cosine": f"WITH {KNN} SELECT query_id, id, cosine, least(1, greatest(0, (cosine + 1) / 2)) AS affine FROM knn WHERE rank <= 5",
     "retrieval_metrics_by_case": f"WITH {CASES} SELECT case_id, first_rank, round(coalesce(1.0::DOUBLE / first_rank, 0), 6) AS reciprocal_rank FROM b",
     "retrieval_metrics": f"WITH {METRICS} SELECT * FROM mm",
     "retrieval_regressions": f"WITH {METRICS} SELECT * FROM (SELECT 'hit_rate_at_1' AS metric, hit_rate_at_1 AS value, 0.99::DOUBLE AS floor FROM mm UNION ALL SELECT 'hit_rate_at_5', hit_rate_at_5, 0.0::DOUBLE FROM mm UNION ALL SELECT 'mrr', mrr, 0.999::DOUBLE FROM mm) WHERE value < floor",
-    "benchmark_containment": "WITH i AS (SELECT DISTINCT item_id, unnest(string_split(text, chr(10))) AS l FROM benchmark), d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) SELECT DISTINCT item_id, doc_id FROM d JOIN i USING (l) WHERE length(l) >= 40",
-    "hybrid_rank": f"WITH {CHUNKS}, s AS (SELECT id, path, start_line, least(1.0, 0.5::DOUBLE * {LEXICAL} + 0.45::DOUBLE * coalesce(round((embedding[1]::DOUBLE + 1) / 2, 4), 0) + 0.05::DOUBLE * starts_with(path, 'src1/')::INT) AS score FROM c LEFT JOIN embeddings ON vec_id = doc_id) SELECT id, path, round(score, 6) AS score FROM s WHERE score <> 0 ORDER BY round(score, 6) DESC, path, id LIMIT 50",
-    "pack_budget": """WITH RECURSIVE r AS (SELECT source AS q, doc_id::VARCHAR AS id, strlen(text) AS s, CASE WHEN doc_id % 3 = 0 THEN 80 END AS m, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rank FROM documents WHERE doc_id < 100000),
-      p AS (SELECT q, 0::BIGINT AS rank, 0::BIGINT AS bytes, 0::BIGINT AS used, 0::BIGINT AS n, NULL::VARCHAR AS id, NULL::VARCHAR AS how, 0::BIGINT AS cost FROM (SELECT DISTINCT q FROM r)
-        UNION ALL SELECT q, rank, CASE how WHEN 'source' THEN sb WHEN 'summary' THEN mb ELSE bytes END, CASE how WHEN 'source' THEN st WHEN 'summary' THEN mt ELSE used END, n + (how IS NOT NULL)::INT, id, how, CASE how WHEN 'source' THEN st ELSE mt END - used FROM (
-          SELECT *, CASE WHEN st <= 6000 THEN 'source' WHEN mt <= 6000 THEN 'summary' END AS how FROM (SELECT p.q, r.rank, p.bytes, p.used, p.n, r.id, p.bytes + r.s + 2 * (p.n > 0)::INT AS sb, (p.bytes + r.s + 2 * (p.n > 0)::INT + 3) // 4 + 8 * (p.n + 1) AS st, p.bytes + r.m + 2 * (p.n > 0)::INT AS mb, (p.bytes + r.m + 2 * (p.n > 0)::INT + 3) // 4 + 8 * (p.n + 1) AS mt FROM p JOIN r ON r.q = p.q AND r.rank = p.rank + 1 WHERE r.rank <= 40)))
-      SELECT q AS query_id, rank, id, how AS representation, cost AS estimated_tokens FROM p WHERE how IS NOT NULL""",
+    "benchmark_containment": "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0",
+    "hybrid_rank": f"WITH {HYBRID} SELECT query_id, rank, id, score, summary FROM hr",
+    "hybrid_packed": f"""WITH RECURSIVE {HYBRID}, rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(path), id) AS pr, '[source id=' || id || ' path=' || path || ' lines=1-9 language=' || language || ' kind=' || kind || ' symbol=' || symbol || ']' || chr(10) || content || chr(10) || '[/source]' AS src,
+        '[summary id=' || id || ' path=' || path || ' lines=1-9 symbol=' || symbol || ']' || chr(10) || summary || chr(10) || '[/summary]' AS brief FROM hr), z AS (SELECT query_id, pr, id, src, brief, strlen(src) AS s, strlen(brief) AS m FROM rr),
+      p AS (SELECT query_id, 0::BIGINT AS rank, 0::BIGINT AS bytes, 0::BIGINT AS used, 0::BIGINT AS n, NULL::VARCHAR AS id, NULL::VARCHAR AS how, NULL::BIGINT AS cost, NULL::VARCHAR AS text FROM (SELECT DISTINCT query_id FROM z)
+        UNION ALL SELECT query_id, rank, CASE how WHEN 'source' THEN sb WHEN 'summary' THEN mb ELSE bytes END, CASE how WHEN 'source' THEN st WHEN 'summary' THEN mt ELSE used END, n + (how IS NOT NULL)::INT, id, how, CASE how WHEN 'source' THEN st - used WHEN 'summary' THEN mt - used END, CASE how WHEN 'source' THEN src WHEN 'summary' THEN brief END FROM (
+          SELECT *, CASE WHEN st <= 3000 THEN 'source' WHEN mt <= 3000 THEN 'summary' END AS how FROM (SELECT p.query_id, z.pr AS rank, p.bytes, p.used, p.n, z.id, src, brief, p.bytes + z.s + 2 * (p.n > 0)::INT AS sb, (p.bytes + z.s + 2 * (p.n > 0)::INT + 3) // 4 + 8 * (p.n + 1) AS st, p.bytes + z.m + 2 * (p.n > 0)::INT AS mb, (p.bytes + z.m + 2 * (p.n > 0)::INT + 3) // 4 + 8 * (p.n + 1) AS mt FROM p JOIN z ON z.query_id = p.query_id AND z.pr = p.rank + 1)))
+      SELECT query_id, rank, id, coalesce(how, 'omitted') AS representation, cost AS estimated_tokens, sha256(text) AS text_sha256 FROM p WHERE rank > 0""",
+    "pack_budget": """WITH RECURSIVE r AS (SELECT source AS q, doc_id, doc_id::VARCHAR AS id, strlen(text) AS s, CASE WHEN doc_id % 3 = 0 THEN 80 END AS m, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents),
+      p AS (SELECT q, 0::BIGINT AS rank, 0::BIGINT AS doc_id, 0::BIGINT AS bytes, 0::BIGINT AS used, 0::BIGINT AS n, NULL::VARCHAR AS id, NULL::VARCHAR AS how, 0::BIGINT AS cost FROM (SELECT DISTINCT q FROM r)
+        UNION ALL SELECT q, rank, doc_id, CASE how WHEN 'source' THEN sb WHEN 'summary' THEN mb ELSE bytes END, CASE how WHEN 'source' THEN st WHEN 'summary' THEN mt ELSE used END, n + (how IS NOT NULL)::INT, id, how, CASE how WHEN 'source' THEN st ELSE mt END - used FROM (
+          SELECT *, CASE WHEN st <= 6000 THEN 'source' WHEN mt <= 6000 THEN 'summary' END AS how FROM (SELECT p.q, r.rank, r.doc_id, p.bytes, p.used, p.n, r.id, p.bytes + r.s + 2 * (p.n > 0)::INT AS sb, (p.bytes + r.s + 2 * (p.n > 0)::INT + 3) // 4 + 8 * (p.n + 1) AS st, p.bytes + r.m + 2 * (p.n > 0)::INT AS mb, (p.bytes + r.m + 2 * (p.n > 0)::INT + 3) // 4 + 8 * (p.n + 1) AS mt FROM p JOIN r ON r.q = p.q AND r.rank = p.rank + 1)))
+      SELECT q AS query_id, doc_id AS rank, id, how AS representation, cost AS estimated_tokens FROM p WHERE how IS NOT NULL""",
     "summary_file": rf"""WITH {WINDOWS} SELECT path, count(*) AS chunks, 0::BIGINT AS methods, array_to_string(list_filter([{', '.join(f"CASE WHEN bool_or(regexp_matches(content, '{p}')) THEN '{n}' END" for n, p in [('cryptography', r'(?i)\b(?:Cipher|SecretKey|MessageDigest|Mac|encrypt|decrypt)\b'), ('networking', r'(?i)\b(?:https?|Retrofit|OkHttp|Request|Response|socket)\b'), ('authentication', r'(?i)\b(?:auth|login|token|jwt|oauth|credential)\b'), ('native/JNI', r'\b(?:native|System\.loadLibrary|JNI)\b'), ('reflection', r'\b(?:Class\.forName|getDeclaredMethod|reflect)\b')])}], lambda x: x IS NOT NULL), ',') AS indicators, count(DISTINCT symbol) AS symbols FROM w GROUP BY path""",
     "summary_package": f"""WITH {CHUNKS}, g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS package, count(*) AS chunks, list_sort(list(DISTINCT path)) AS ps, list_sort(list(DISTINCT symbol)) AS ss FROM c GROUP BY 1)
       SELECT package, len(ps) AS files, chunks, 'Package ' || package || ': ' || len(ps) || ' files, ' || chunks || ' chunks. Files: ' || array_to_string(ps[1:15], ', ') || CASE WHEN len(ps) > 15 THEN ' (+' || (len(ps) - 15) || ' more)' ELSE '' END || '. Symbols: ' || array_to_string(ss[1:25], ', ') || '.' AS content FROM g""",
     "summary_project": f"WITH {CHUNKS} SELECT count(DISTINCT path) AS files, count(*) AS chunks, string_agg(DISTINCT language, ', ' ORDER BY language) AS languages FROM c",
-    "summary_union_levels": f"WITH {WINDOWS}, g AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS package, count(*) AS n FROM w GROUP BY 1, 2) SELECT 'class' AS level, path AS scope, 1::BIGINT AS files, n AS chunks FROM g UNION ALL SELECT 'package', package, count(*), sum(n)::BIGINT FROM g GROUP BY 2 UNION ALL SELECT 'project', 'project', count(*), sum(n)::BIGINT FROM g",
+    "summary_union_levels": f"WITH {CHUNKS}, g AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS package, count(*) AS n FROM c GROUP BY 1, 2) SELECT 'method' AS level, path || '#' || symbol AS scope, 1::BIGINT AS files, count(*) AS chunks FROM c WHERE kind = 'method' GROUP BY path, symbol UNION ALL SELECT 'class' AS level, path AS scope, 1::BIGINT AS files, n AS chunks FROM g UNION ALL SELECT 'package', package, count(*), sum(n)::BIGINT FROM g GROUP BY 2 UNION ALL SELECT 'project', 'project', count(*), sum(n)::BIGINT FROM g",
     "report_table": f"""WITH {CHUNKS}, g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS package, count(DISTINCT path) AS files, count(*) AS chunks FROM c GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY package) AS n FROM g)
       SELECT '| package | files | chunks |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || package || ' | ' || files || ' | ' || chunks || ' |', chr(10) ORDER BY package) FILTER (n <= 30) AS markdown, count(*) FILTER (n <= 30) AS shown, count(*) AS total FROM t""",
     "indicators": r"""SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(html, '(?i)\b(?:Cipher|SecretKey|MessageDigest|Mac|encrypt|decrypt)\b') THEN 'cryptography' END, CASE WHEN regexp_matches(html, '(?i)\b(?:https?|Retrofit|OkHttp|Request|Response|socket)\b') THEN 'networking' END, CASE WHEN regexp_matches(html, '(?i)\b(?:auth|login|token|jwt|oauth|credential)\b') THEN 'authentication' END, CASE WHEN regexp_matches(html, '\b(?:native|System\.loadLibrary|JNI)\b') THEN 'native/JNI' END, CASE WHEN regexp_matches(html, '\b(?:Class\.forName|getDeclaredMethod|reflect)\b') THEN 'reflection' END], lambda x: x IS NOT NULL), ',') AS indicators FROM pages""",
@@ -111,5 +130,9 @@ TWINS = {
     "permission_inheritance": f"WITH {KINDS}, {PERMISSIONS.format('co')} SELECT id, effective_permission, permission_source, effective_read, effective_write FROM pe",
     "attack_surface": f"""WITH {EXPORT}, {PERMISSIONS.format('ex')}, u AS (SELECT *, CASE WHEN kind = 'provider' THEN list_filter([CASE WHEN effective_read IS NULL THEN 'read' END, CASE WHEN effective_write IS NULL THEN 'write' END], lambda x: x IS NOT NULL) WHEN effective_permission IS NULL THEN ['invoke'] ELSE [] END AS un FROM pe WHERE id % 5 <> 0 AND coalesce(exported, true) AND exported_source <> 'missing-required-explicit')
       SELECT id, CASE WHEN kind = 'provider' THEN CASE len(un) WHEN 0 THEN 'exported provider declares read and write permission guards' WHEN 2 THEN 'exported provider has no read or write permission guard' ELSE 'exported provider has no ' || un[1] || ' permission guard' END WHEN len(un) = 0 THEN 'exported component declares a permission guard' ELSE 'exported component has no permission guard' END AS reason, array_to_string(un, ',') AS unguarded FROM u""",
-    "flow_stream_docs": "SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS large FROM events GROUP BY 1",
+    "flow_stream_docs": "SELECT 'https://h' || (user_id % 3) || '/u/{id}' AS pattern, event_type AS method, 'h' || (user_id % 3) AS host, count(DISTINCT event_id) AS flow_count FROM events GROUP BY 1, 2, 3",
 }
+TWINS["retrieval_benchmark_json"] = f"""WITH {METRICS} SELECT '{{"cases":' || cases || ',"hit_at_1":' || hit_at_1 || ',"hit_at_3":' || hit_at_3 || ',"hit_at_5":' || hit_at_5 || ',"hit_rate_at_1":' || hit_rate_at_1 || ',"hit_rate_at_3":' || hit_rate_at_3 || ',"hit_rate_at_5":' || hit_rate_at_5 || ',"mrr":' || mrr || '}}' || chr(10) AS json FROM mm"""
+TWINS |= {name: sql for name, sql in RECORD_TWINS.items() if sql}
+TWINS["method_summaries"] = f"""WITH {CHUNKS}, {LINES.format('c')}, t AS (SELECT *, coalesce(list_filter(list_transform(ls, lambda x: trim(x, ' ')), lambda x: x <> '')[1], '<empty>') AS first FROM l WHERE kind = 'method'),
+  x AS (SELECT id, symbol || ' in ' || path || ':1-9; signature `' || CASE WHEN length(first) > 240 THEN left(first, 237) || '...' ELSE first END || '`; indicators: ' || coalesce(nullif(array_to_string({INDICATED}, ', '), ''), 'none') || '.' AS content FROM t) SELECT id, sha256(content) AS content_sha256, length(content) AS chars FROM x"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -16,3 +19,13 @@ SETTINGS = {
 def session(app: str = "quarrylight", master: str | None = None, **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config(map=SETTINGS | more)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where all run on one machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quarrylight.functions.text import language_of, url_host
 
@@ -23,7 +23,9 @@ def source_tree(spark: SparkSession, root: str, parse_limit: int = PARSE_LIMIT,
 
     Spark's file scan leaves out files without a byte, so these have no row.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # the content of larger files is not read: the bound reaches the reader
+    files = every.where(F.col("length") <= fallback_limit).unionByName(every.where(F.col("length") > fallback_limit).withColumn("content", F.lit(None).cast("binary")))
     base = F.regexp_replace(F.col("path"), F.lit("^.*?" + root.rstrip("/").replace(".", r"\.") + "/"), F.lit(""))
     named = files.select(base.alias("path"), F.col("length").alias("size"), F.col("content").alias("raw"))
     judged = named.withColumn("state", admissibility(F.col("path"), F.col("size"), F.col("raw"), parse_limit, fallback_limit))
@@ -31,6 +33,37 @@ def source_tree(spark: SparkSession, root: str, parse_limit: int = PARSE_LIMIT,
     return judged.select("path", language_of(F.col("path")).alias("language"), "size", "state", F.when(F.col("state").isin("indexed", "fallback"), text).alias("content"))
 
 
+def oversize_windows(spark: SparkSession, root: str, parse_limit: int = PARSE_LIMIT, fallback_limit: int = FALLBACK_LIMIT, size: int = 200, overlap: int = 20) -> DataFrame:
+    """(path, start_line, end_line, content): line windows of files between the limits, read in splits: no file is a row.
+
+    Lines are numbered by the counts of the splits before theirs and their place in their own; a window gathers `size` lines at most.
+    """
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    large = sizes.where((F.col("length") > parse_limit) & (F.col("length") <= fallback_limit)).select("path")
+    text = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.join(F.broadcast(large), "path", "left_semi") if large.limit(100_001).count() <= 100_000 else rows.join(large, "path", "left_semi")
+    counts = rows.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("path", "block").orderBy("at"))).join(counts.withColumn("before", before), ["path", "block"])
+    numbered = numbered.select("path", (F.col("i") + F.col("before")).alias("number"), "line")
+    step = size - overlap
+    totals = counts.groupBy("path").agg(F.sum("n").alias("total"))
+    last = F.greatest(F.lit(0), F.ceil((F.col("total") - size) / step)).cast("long")
+    first = F.greatest(F.lit(0), F.ceil((F.col("number") - size) / step)).cast("long")
+    place = F.least(last, F.floor((F.col("number") - 1) / step).cast("long"))
+    spread = numbered.join(totals, "path").withColumn("w", F.explode(F.sequence(F.least(first, place), place)))
+    ordered = F.array_sort(F.collect_list(F.struct("number", "line")))
+    got = spread.groupBy("path", "w").agg(F.min("number").alias("start_line"), F.max("number").alias("end_line"), F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("content"))
+    base = F.regexp_replace(F.col("path"), F.lit("^.*?" + root.rstrip("/").replace(".", r"\.") + "/"), F.lit(""))
+    return got.select(base.alias("path"), "start_line", "end_line", "content")
+
+
+def warnings(files: DataFrame, most: int = 20) -> DataFrame:
+    """(path, state) of the first `most` files, by path, that are left out or only cut into windows."""
+    return files.where("state <> 'indexed'").select("path", "state").orderBy("path").limit(most)
+
+
 def accounting(files: DataFrame) -> DataFrame:
     """Counts of the states of files."""
     skipped = ~F.col("state").isin("indexed", "fallback")
@@ -44,7 +77,13 @@ def har(spark: SparkSession, path: str) -> DataFrame:
     """Flows of HAR files, an id for each entry of each file; bodies as digests."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", HAR).alias("h"))
     e = files.select("file", F.posexplode("h.log.entries").alias("n", "e"))
-    heads = lambda c: F.map_from_entries(F.array_distinct(F.transform(F.col(c), lambda h: F.struct(F.lower(h["name"]), h["value"]))))
+
+    def heads(column: str) -> Column:
+        """By lower-cased name; of repeated names the last counts."""
+        named = F.transform(F.coalesce(F.col(column), F.array()), lambda h: F.struct(F.lower(h["name"]).alias("k"), h["value"].alias("v")))
+        last = F.filter(named, lambda x, i: x.k.isNotNull() & ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y.k == x.k))
+        return F.map_from_entries(last)
+
     return e.select(F.concat(F.lit("flow_"), F.sha2(F.concat_ws("\n", "file", F.col("n").cast("string"), "e.request.url"), 256)).alias("id"), F.col("e.request.url").alias("url"), F.col("e.request.method").alias("method"), F.col("e.response.status").alias("status"), heads("e.request.headers").alias("request_headers"), heads("e.response.headers").alias("response_headers"), F.sha2("e.request.postData.text", 256).alias("request_body_hash"), F.sha2("e.response.content.text", 256).alias("response_body_hash"), F.greatest(F.lit(0), F.coalesce("e.request.bodySize", F.lit(0))).cast("long").alias("request_size"), F.greatest(F.lit(0), F.coalesce("e.response.bodySize", F.lit(0))).cast("long").alias("response_size"), F.col("e.time").cast("long").alias("duration_ms"), F.to_timestamp("e.startedDateTime").alias("ts"))
 
 

@@ -34,17 +34,47 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     return q
 
 
-def upsert_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> None:
-    """Keeps the latest row of each key in the table {path}/{batch}; a repeated batch writes the same table again."""
+def upsert_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, buckets: int = 64) -> None:
+    """Keeps the latest row of each key below path, by buckets of the keys' hash: a micro-batch writes the buckets that it touches.
+
+    A batch writes new files for its buckets under its own number and then the list of each bucket's number; a repeated batch does the
+    same again. Read the table with upserted().
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         from quarrylight.operators.store import upsert
 
         spark = rows.sparkSession
-        old = [int(r.v) for r in spark.read.parquet(f"{path}/versions").select("v").collect()] if number else []
-        before = max((v for v in old if v < number), default=None)
-        current = rows.limit(0) if before is None else spark.read.parquet(f"{path}/table/{before}")
-        upsert(current, rows, keys, [F.desc(order)]).write.mode("overwrite").parquet(f"{path}/table/{number}")
-        spark.createDataFrame([(number,)], "v long").coalesce(1).write.mode("append" if number else "overwrite").parquet(f"{path}/versions")
+        placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        places = _places(spark, path, number - 1)
+        touched = [r["_bucket"] for r in placed.select("_bucket").distinct().collect()]  # at most `buckets`
+        old = [f"{path}/table/{places[b]}/_bucket={b}" for b in touched if b in places]
+        current = spark.read.schema(rows.schema).parquet(*old) if old else rows.limit(0)
+        merged = upsert(current, rows, keys, [F.desc(order)]).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        merged.repartition(len(touched) or 1, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/table/{number}")
+        now = places | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(now.items()) or [(-1, -1)], "bucket int, number long").coalesce(1).write.mode("overwrite").parquet(f"{path}/places/{number}")
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _places(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """Which batch wrote each bucket last, as batch `number` left it."""
+    if number < 0:
+        return {}
+    return {r.bucket: r.number for r in spark.read.parquet(f"{path}/places/{number}").where("bucket >= 0").collect()}
+
+
+def upserted(spark: SparkSession, path: str, number: int, schema) -> DataFrame:
+    """The table as batch `number` left it."""
+    files = [f"{path}/table/{n}/_bucket={b}" for b, n in sorted(_places(spark, path, number).items())]
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
+def drained_events(spark: SparkSession, path: str, out: str, checkpoint: str, most_files: int = 100) -> DataFrame:
+    """A hook session's lines, all that there are, as events: parsed as they come, written, and read back."""
+    from quarrylight.sources.corpus import hook_events
+
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", most_files).load(path)
+    run_available(hook_events(lines).drop("raw"), out, checkpoint)
+    return spark.read.parquet(out)
