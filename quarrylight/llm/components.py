@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quarrylight.llm.common import written
+from quarrylight.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,14 +24,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the edges (a, b: longs), component: the least node that is reachable.
 
     Each round leaves every node linked to smaller ones of its component only; when a round changes nothing,
-    each component is a star around its least node. The edges of a round are written to the shared folder.
+    each component is a star around its least node. The edges of a round are written to the shared folder; those of rounds
+    before go. A repeated edge and one of a node with itself change nothing; no edges give no row.
     """
-    now, before = written(edges.where("a <> b").select("a", "b").distinct(), "edges"), None
+    now, before, old = written(edges.where("a <> b").select("a", "b").distinct(), "edges"), None, None
     for _ in range(rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
-        before, now = state, written(_small_star(_large_star(now)), "edges")
+        if old is not None:
+            discard(old)
+        before, old, now = state, now, written(_small_star(_large_star(now)), "edges")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarrylight.llm.common import alone, fresh, prepare, written
+from quarrylight.llm.common import alone, discard, fresh, prepare, written
 from quarrylight.llm.components import connected_components
 from quarrylight.llm.simhash import TILE, by_group, deal, hashes, majority, merge, near_duplicates
 
@@ -286,18 +286,21 @@ def similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", te
     left, right = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"h{c}")) for c in "ab")
     both = F.size(F.array_intersect("ha", "hb")).cast("long") * (ratio.numerator + ratio.denominator)
     first = written(pairs.join(left, "a").join(right, "b").where(both >= (F.col("na") + F.col("nb")) * ratio.numerator).select("a", "b"), "similar")
+    discard(pairs, sets)
     label = connected_components(first).select("node", F.col("component").alias("label"))
 
     # clusters of what may be similar and is apart
     labelled = files.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     cluster = connected_components(_in_files(labelled, ratio, labelled=True)).select("node", F.col("component").alias("file"))
-    members = cluster.join(whole(cluster.select("node"), "cluster_sets"), "node").join(nodes.select("node", *BITS), "node")
+    gathered = whole(cluster.select("node"), "cluster_sets")
+    members = cluster.join(gathered, "node").join(nodes.select("node", *BITS), "node")
     members = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     large = cluster.join(nodes.select("node", "n"), "node").groupBy("file").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / HASHES)).alias("k"))
     members = members.join(large, "file").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     groups = members.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
     second = written(_in_clusters(groups, ratio), "similar")
+    discard(files, gathered)
 
     found = connected_components(first.union(second))
     joined = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -11,6 +11,9 @@ from quarrylight.llm.common import shared_path, table
 
 
 def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens. Null and empty texts are one end id; repeated rows are packed each; an
+    empty table gives no row. A document of several lines bears loss behind its first line only, in proportion to bytes.
+    """
     from quarrylight.llm.packing import Limits, behind_first_line, pack
 
     limits = Limits(tokens=2048, segments=128, loss_tokens=2048)
@@ -19,6 +22,9 @@ def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of every document. Null and empty texts have no words and fail; repeated rows each come back;
+    an empty table gives no row; no labels of quality 1: every n-gram weighs by the smoothing alone.
+    """
     from quarrylight.llm.quality_rules import judge, log_ratios
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -28,6 +34,9 @@ def op2_ngram_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files hold of every document, read back. Null and empty texts are one end id; a null id comes first;
+    repeated rows are written each; an empty table gives no row.
+    """
     from quarrylight.llm.token_blocks import read_tokens, write_tokens
 
     folder = shared_path(spark, "tokens")
@@ -36,6 +45,9 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hits and items of every document. Null and empty texts have no words; repeated rows are marked each; no items: no
+    hits; words of an item without an id count as hit; an empty table gives no row.
+    """
     from quarrylight.llm.decontaminate import contaminated, mark
 
     marked = mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], window=13)
@@ -44,6 +56,9 @@ def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives hold of every page, read back. A null payload is empty; equal rows of the largest page_id are all
+    responses; a null id is never referred to; an empty table gives no row.
+    """
     from quarrylight.llm.warc import read_warc, write_warc
 
     folder = shared_path(spark, "warc")
@@ -52,6 +67,9 @@ def op5_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Texts without words have fingerprint 0 and link like others; repeated rows each
+    come back; a null id gets its fingerprint's component; an empty table gives no row.
+    """
     from quarrylight.llm.simhash import near_duplicates
 
     found = near_duplicates(table(spark, sf_dir, "documents"), radius=4, shingle=4)
@@ -64,12 +82,18 @@ def _remainder(n: int, column: str = "doc_id") -> F.Column:
 
 
 def op7_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document. Null and empty texts are their end alone; repeated rows are learnt from and scored each; nothing to
+    learn from: every word is unseen; an empty table gives no row.
+    """
     from quarrylight.llm.hmm_lm import language_model
 
     return language_model(table(spark, sf_dir, "documents"), train=_remainder(7) != 2)
 
 
 def op8_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document. Null texts and those without a letter are `und`, and so is all if there is no language to
+    learn; of equal languages the first by name; repeated rows each come back; an empty table gives no row.
+    """
     from quarrylight.llm.langid import identify, train
 
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +102,9 @@ def op8_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document. Empty texts are scored like others; no labels: 0.5 for all; a null n_chars is 0; repeated rows
+    each come back; an empty table gives no row.
+    """
     from quarrylight.llm.quality_fm import score, train
 
     docs, meta = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), (F.log1p("n_chars"),)
@@ -86,12 +113,16 @@ def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its boilerplate lines. Null texts stay null; a null source counts for no site; repeated rows each come
+    back; an empty table gives no row.
+    """
     from quarrylight.llm.line_dedup import remove_boilerplate
 
     return remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=8, min_words=4, counts=True).select("doc_id", "text", "n_chars", "n_lines", "n_removed")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage of corpus_pipeline."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -580,7 +580,7 @@ def test_line_dedup_in_blocks_with_white_space(spark):
     rows = [(i, f"a b c d{' ' * (i % 2)}\t\r\nown {i} x y\n  q r s t\n\x1ca b c d", f"s{i}", i, i) for i in range(9)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, _gone int, _row int")
     got = line_dedup.remove_boilerplate(d, min_sites=9, counts=True, block_lines=1).orderBy("doc_id").collect()
-    assert [(r.text, r.n_lines, r.n_removed, r["_gone"], r["_row"]) for r in got] == [(f"own {i} x y", 4, 3, i, i) for i in range(9)] or [r.text for r in got] == [f"own {i} x y\n\x1ca b c d" for i in range(9)]
+    assert [(r.text, r.n_lines, r.n_removed) for r in got] == [(f"own {i} x y", 4, 3) for i in range(9)]
     assert all(r["_gone"] == r["_row"] == r.doc_id for r in got)
 
 
