@@ -131,6 +131,13 @@ def normal_path(path: Column) -> Column:
     return F.when(F.startswith(p, F.lit("/")) | F.array_contains(F.split(p, "/", -1), "..") | (p == ""), F.lit(None)).otherwise(p)
 
 
+def within(path: Column, root: str) -> Column:
+    """The path, if it lies below root (or is root) once its slashes are forward, and does not climb; else null."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    below = F.startswith(p, F.lit(root.rstrip("/") + "/")) | (p == root.rstrip("/"))
+    return F.when(below & ~F.array_contains(F.split(p, "/", -1), ".."), p)
+
+
 def parent(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 

@@ -19,6 +19,14 @@ def first_relevant(retrieved: DataFrame, cases: DataFrame, relevant: Column) ->
     return cases.select("case_id").distinct().join(ranks, "case_id", "left").withColumn("reciprocal_rank", F.coalesce(F.lit(1.0) / F.col("first_rank"), F.lit(0.0)))
 
 
+def relevant(retrieved: DataFrame, cases: DataFrame) -> DataFrame:
+    """retrieved (case_id, rank, id, path) as (case_id, first_rank, reciprocal_rank) of every case (case_id, expected_ids, expected_paths):
+    a result is relevant if its id or its path is expected."""
+    met = retrieved.join(cases, "case_id")
+    hit = F.coalesce(F.array_contains("expected_ids", F.col("id")), F.lit(False)) | F.coalesce(F.array_contains("expected_paths", F.col("path")), F.lit(False))
+    return first_relevant(met, cases, hit)
+
+
 def metrics(by_case: DataFrame, cutoffs: list[int]) -> DataFrame:
     """One row: cases, hit_at_k and hit_rate_at_k of each cutoff, mrr."""
     if not cutoffs or len(set(cutoffs)) != len(cutoffs) or not all(1 <= k <= 10_000 for k in cutoffs):

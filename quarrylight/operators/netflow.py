@@ -18,9 +18,9 @@ def endpoints(flows: DataFrame, most_urls: int = 50) -> DataFrame:
     return per_url.groupBy(*keys).agg(F.sum("n").alias("flow_count")).join(urls, keys)
 
 
-def flow_documents(flows: DataFrame, most_chars: int = 4000) -> DataFrame:
+def flow_documents(flows: DataFrame, most_chars: int = 4000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Two documents of each flow (id, url, method, status, duration_ms, request_headers, response_headers, and bodies if there):
-    (doc_id, flow_id, chunk_type, text)."""
+    (doc_id, flow_id, chunk_type, text, and the columns `keep`)."""
     heads = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(redact_headers(F.col(c)))), lambda e: F.concat(F.lit("  "), e.key, F.lit(": "), e.value, F.lit("\n"))), "")
     status = F.concat(F.lit("\nStatus: "), F.col("status").cast("string"), F.lit("\n"))
     request = F.concat(F.lit("[NETWORK FLOW] "), "method", F.lit(" "), "url", status, F.lit("Duration: "), F.col("duration_ms").cast("string"), F.lit("ms\nRequest Headers:\n"), heads("request_headers"))
@@ -30,8 +30,9 @@ def flow_documents(flows: DataFrame, most_chars: int = 4000) -> DataFrame:
             more = F.when(F.coalesce(F.length(body), F.lit(0)) > 0, F.concat(F.lit("Body:\n"), body)).otherwise(F.lit(""))
             request, response = (F.concat(request, more), response) if text == "request" else (request, F.concat(response, more))
     both = F.array(F.struct(F.lit("request_summary").alias("chunk_type"), request.alias("text")), F.struct(F.lit("response_summary").alias("chunk_type"), response.alias("text")))
-    cut = flows.select(F.col("id").cast("string").alias("flow_id"), F.explode(both).alias("d")).select("flow_id", "d.chunk_type", F.left("d.text", F.lit(most_chars)).alias("text"))
-    return cut.select(F.sha2(F.concat("flow_id", F.lit(":"), "chunk_type"), 256).alias("doc_id"), "flow_id", "chunk_type", "text")
+    cut = flows.select(F.col("id").cast("string").alias("flow_id"), *keep, F.explode(both).alias("d"))
+    cut = cut.select("flow_id", *keep, "d.chunk_type", F.left("d.text", F.lit(most_chars)).alias("text"))
+    return cut.select(F.sha2(F.concat("flow_id", F.lit(":"), "chunk_type"), 256).alias("doc_id"), "flow_id", "chunk_type", "text", *keep)
 
 
 def merge_live(live: DataFrame, indexed: DataFrame) -> DataFrame:

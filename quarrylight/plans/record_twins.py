@@ -87,5 +87,5 @@ RECORD_TWINS = {
     "log_lines": "SELECT '01-02 03:04:05.678' AS at, s_suppkey AS pid, 12::BIGINT AS tid, 'I' AS level, 'Tag' || s_nationkey AS tag, 'm: ' || s_name AS message FROM supplier WHERE s_suppkey % 5 <> 0",
     "permission_rows": """WITH x AS (SELECT p_partkey, p_partkey % 3 = 0 AS dangerous, CASE p_partkey % 4 WHEN 1 THEN 33 WHEN 3 THEN 16 WHEN 0 THEN CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 21 END END::BIGINT AS sdk, [true, false, NULL][p_partkey % 7 % 3 + 1] AS a, [true, false, NULL][p_partkey % 11 % 3 + 1] AS b FROM part) SELECT p_partkey, dangerous, sdk, a AND b AS enabled FROM x""",
     "slugs_and_paths": f"""WITH p AS (SELECT *, {PATH} AS path FROM part) SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE p_partkey % 4 WHEN 0 THEN replace(path, '\\', '/') WHEN 3 THEN path END AS path, CASE p_partkey % 4 WHEN 0 THEN '' ELSE regexp_replace(path, '/[^/]*$', '') END AS parent,
-      CASE p_partkey % 4 WHEN 0 THEN 'kotlin' WHEN 2 THEN 'smali' ELSE 'java' END AS language FROM p""",
+      CASE p_partkey % 4 WHEN 0 THEN 'kotlin' WHEN 2 THEN 'smali' ELSE 'java' END AS language, CASE WHEN p_partkey % 4 = 3 THEN path END AS inside FROM p""",
 }

@@ -253,6 +253,19 @@ def retrieval_benchmark_json(spark, sf_dir):
     return report.benchmark_json(retrieval_metrics(spark, sf_dir))
 
 
+@query
+def retrieval_by_id_or_path(spark, sf_dir):
+    """The nearest vectors, relevant by id or by path; a vector's path is its label."""
+    from quarrylight.operators import evaluate
+    from quarrylight.plans.catalogue import knn_exact
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    path = e.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("path"))
+    found = knn_exact(spark, sf_dir).where("id <> query_id").select(F.col("query_id").alias("case_id"), "rank", "id").join(path, "id")
+    cases = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("case_id"), F.array(F.col("vec_id") + 1, F.col("vec_id") + 2).alias("expected_ids"), F.array(((F.col("label") + 1) % 5).cast("string")).alias("expected_paths"))
+    return evaluate.relevant(found, cases).select("case_id", F.col("first_rank").cast("long"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
 @query
 def method_summaries(spark, sf_dir):
     c = chunks(spark, sf_dir).withColumn("end_line", F.lit(9))
@@ -301,4 +314,4 @@ def permission_rows(spark, sf_dir):
 def slugs_and_paths(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     path = F.when(F.col("p_partkey") % 4 == 0, _text("a\\", F.col("p_name"), ".kt")).when(F.col("p_partkey") % 4 == 1, "../x.java").when(F.col("p_partkey") % 4 == 2, "/abs/y.smali").otherwise(_text("b/c/", F.col("p_brand"), ".JAVA"))
-    return p.select("p_partkey", X.slug(F.col("p_name")).alias("slug"), X.normal_path(path).alias("path"), X.parent(path).alias("parent"), X.language_of(path).alias("language"))
+    return p.select("p_partkey", X.slug(F.col("p_name")).alias("slug"), X.normal_path(path).alias("path"), X.parent(path).alias("parent"), X.language_of(path).alias("language"), X.within(path, "b/c").alias("inside"))

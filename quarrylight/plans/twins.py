@@ -136,3 +136,6 @@ TWINS["retrieval_benchmark_json"] = f"""WITH {METRICS} SELECT '{{"cases":' || ca
 TWINS |= {name: sql for name, sql in RECORD_TWINS.items() if sql}
 TWINS["method_summaries"] = f"""WITH {CHUNKS}, {LINES.format('c')}, t AS (SELECT *, coalesce(list_filter(list_transform(ls, lambda x: trim(x, ' ')), lambda x: x <> '')[1], '<empty>') AS first FROM l WHERE kind = 'method'),
   x AS (SELECT id, symbol || ' in ' || path || ':1-9; signature `' || CASE WHEN length(first) > 240 THEN left(first, 237) || '...' ELSE first END || '`; indicators: ' || coalesce(nullif(array_to_string({INDICATED}, ', '), ''), 'none') || '.' AS content FROM t) SELECT id, sha256(content) AS content_sha256, length(content) AS chars FROM x"""
+TWINS["retrieval_by_id_or_path"] = f"""WITH {KNN}, r AS (SELECT query_id AS case_id, rank, id, e.label::VARCHAR AS path FROM knn JOIN embeddings e ON e.vec_id = id WHERE id <> query_id),
+  b AS (SELECT q.vec_id AS case_id, min(rank) FILTER (r.id IN (q.vec_id + 1, q.vec_id + 2) OR r.path = ((q.label + 1) % 5)::VARCHAR) AS first_rank FROM embeddings q LEFT JOIN r ON r.case_id = q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1)
+  SELECT case_id, first_rank, round(coalesce(1.0::DOUBLE / first_rank, 0), 6) AS reciprocal_rank FROM b"""

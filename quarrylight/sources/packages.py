@@ -1,23 +1,22 @@
-"""Members of ZIP packages, with the checks that make an archive safe to read."""
+"""Members of ZIP packages and of packages within them, with the checks that make an archive safe to read."""
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-MEMBER = "package string, name string, size long, compressed long, sha256 string, category string, problem string"
-MOST_MEMBERS, MOST_BYTES, MOST_RATIO, RATIO_FROM = 100_000, 8 << 30, 500, 1 << 20
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quarrylight.operators.inventory import legacy_signature, member_category
 
-def category(name: str) -> str:
-    for top, kind in (("META-INF/", "signature"), ("assets/", "asset"), ("res/", "resource"), ("lib/", "native")):
-        if name.startswith(top):
-            return kind
-    return "dex" if name.endswith(".dex") else "package" if name.endswith(".apk") else "other"
+MEMBER = "package string, name string, size long, compressed long, sha256 string, problem string"
+# What an archive may have: members, bytes when expanded, and expansion of a member of a size and more.
+MOST_MEMBERS, MOST_BYTES, MOST_RATIO, RATIO_FROM = 100_000, 8 << 30, 500, 1 << 20
+#: Packages within a package are opened up to this size, as they are read whole.
+MOST_NESTED = 256 << 20
 
 
 def problem(info: zipfile.ZipInfo, seen: set[str]) -> str | None:
@@ -35,37 +34,64 @@ def problem(info: zipfile.ZipInfo, seen: set[str]) -> str | None:
     return None
 
 
+def _digest(z: zipfile.ZipFile, info: zipfile.ZipInfo) -> str:
+    """In pieces; an error if the member's checksum does not match."""
+    h = hashlib.sha256()
+    with z.open(info) as f:
+        while piece := f.read(1 << 20):
+            h.update(piece)
+    return h.hexdigest()
+
+
+def inspect(package: str, content: bytes, nested: bool = True) -> list[tuple]:
+    """Rows of MEMBER for one archive; one with a problem and no name if it is damaged or too large."""
+    rows: list[tuple] = []
+    seen: set[str] = set()
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            infos = z.infolist()
+            if len(infos) > MOST_MEMBERS or sum(i.file_size for i in infos) > MOST_BYTES:
+                return [(package, None, None, None, None, "too-large")]
+            for i in infos:
+                if i.is_dir():
+                    continue
+                wrong, digest = problem(i, seen), None
+                seen.add(i.filename)
+                if not wrong:
+                    try:
+                        digest = _digest(z, i)
+                    except (zipfile.BadZipFile, zipfile.zlib.error, EOFError, NotImplementedError):
+                        wrong = "checksum"
+                rows.append((package, i.filename, i.file_size, i.compress_size, digest, wrong))
+                if nested and digest and i.filename.lower().endswith(".apk"):
+                    inner = f"{package}!/{i.filename}"
+                    rows += inspect(inner, z.read(i), False) if i.file_size <= MOST_NESTED else [(inner, None, None, None, None, "too-large")]
+    except (zipfile.BadZipFile, NotImplementedError):
+        return [(package, None, None, None, None, "damaged")]
+    return rows
+
+
 def members(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each member of every package below path. A member with a problem is listed and not read;
-    an archive that cannot be opened, or is too large, is one row with a problem. Members are hashed in pieces."""
-    import hashlib
+    """A row of MEMBER, with its category, for each member of every package below path and of packages within these
+    (package: outer!/inner). A member with a problem is listed and not read; an archive that cannot be opened, or is too large, is one
+    row with a problem. An archive without members gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows, seen = [], set()
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        infos = z.infolist()
-                        if len(infos) > MOST_MEMBERS or sum(i.file_size for i in infos) > MOST_BYTES:
-                            raise ValueError("too-large")
-                        for i in infos:
-                            if i.is_dir():
-                                continue
-                            wrong, digest = problem(i, seen), None
-                            seen.add(i.filename)
-                            if not wrong:
-                                h = hashlib.sha256()
-                                with z.open(i) as f:
-                                    while piece := f.read(1 << 20):
-                                        h.update(piece)
-                                digest = h.hexdigest()
-                            rows.append((name, i.filename, i.file_size, i.compress_size, digest, category(i.filename), wrong))
-                except (zipfile.BadZipFile, ValueError, NotImplementedError) as e:
-                    rows = [(name, None, None, None, None, None, str(e) if str(e) == "too-large" else "damaged")]
-                if rows:
-                    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+                if rows := inspect(name, content):
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in MEMBER.split(", ")])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, MEMBER)
+    category = F.coalesce(member_category(F.col("name")), F.when(legacy_signature(F.col("name")), "signature"), F.when(F.endswith(F.lower("name"), F.lit(".apk")), "package"))
+    return files.mapInArrow(run, MEMBER).withColumn("category", category)
+
+
+def bundles(rows: DataFrame) -> DataFrame:
+    """members' rows as (bundle, name, has_dex, size, sha256) of the packages that each outer package holds, for inventory.base_packages."""
+    outer = F.substring_index("package", "!/", 1)
+    inside = rows.where(F.contains("package", F.lit("!/"))).groupBy(outer.alias("bundle"), F.substring_index("package", "!/", -1).alias("name"))
+    code = inside.agg(F.coalesce(F.bool_or(F.col("category") == "dex"), F.lit(False)).alias("has_dex"))
+    own = rows.where("category = 'package' and problem is null").select(F.col("package").alias("bundle"), "name", "size", "sha256")
+    return own.join(code, ["bundle", "name"], "left").withColumn("has_dex", F.coalesce("has_dex", F.lit(False)))

@@ -13,6 +13,7 @@ SIGNER = "package string, scheme string, signer int, certificate int, sha256 str
 # Fixed values of the format: its magic, the ids of the schemes, and the end record of a ZIP file.
 MAGIC, END = b"APK Sig Block 42", b"PK\x05\x06"
 SCHEMES = {0x7109871A: "v2", 0xF05368C0: "v3", 0x1B93AD61: "v3.1"}
+PADDING = 0x42726577
 
 
 def _part(data: bytes, at: int = 0) -> tuple[bytes, int]:
@@ -72,8 +73,14 @@ def signers(apk: bytes) -> list[tuple]:
     return out
 
 
+def unknown(apk: bytes) -> list[int]:
+    """Ids of the signing block's values that are neither a scheme's nor padding."""
+    return sorted(k for k in block(apk) if k not in SCHEMES and k != PADDING)
+
+
 def certificates(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each certificate of each signer of every package below path; one with a problem for a broken block."""
+    """A row for each certificate of each signer of every package below path; one with a problem for a broken block
+    and for each value of a block that no known scheme has (unknown-block and its id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SIGNER.split(", ")]
@@ -84,6 +91,7 @@ def certificates(spark: SparkSession, path: str) -> DataFrame:
             for name, apk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     rows += [(name, *x, None) for x in signers(apk)]
+                    rows += [(name, *[None] * 7, f"unknown-block-{k:#010x}") for k in unknown(apk)]
                 except (ValueError, struct.error) as e:
                     rows.append((name, *[None] * 7, str(e) if isinstance(e, ValueError) else "malformed"))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ([],) * 9, kinds)], names=names)

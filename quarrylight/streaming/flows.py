@@ -58,6 +58,13 @@ def upsert_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str]
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def index_flows(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> None:
+    """Keeps the search documents of a feed of flows (with headers, status, duration and ts) below path: the latest of each, by its id."""
+    from quarrylight.operators.netflow import flow_documents
+
+    upsert_latest(flow_documents(stream, keep=("ts",)), path, checkpoint, ["doc_id"], "ts", buckets)
+
+
 def _places(spark: SparkSession, path: str, number: int) -> dict[int, int]:
     """Which batch wrote each bucket last, as batch `number` left it."""
     if number < 0:

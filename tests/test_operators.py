@@ -1,6 +1,7 @@
 """Operators on small cases worked out by hand."""
 
 import hashlib
+import io
 import json
 import math
 import re
@@ -262,14 +263,30 @@ def test_source_tree(spark, tmp_path):
 
 
 def test_packages(spark, tmp_path):
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("classes.dex", b"dex")
     with zipfile.ZipFile(tmp_path / "a.apk", "w") as z:
         z.writestr("classes.dex", b"dex")
         z.writestr("../evil", b"x")
         z.writestr("res/big", b"0" * (3 << 20), zipfile.ZIP_DEFLATED)
+        z.writestr("META-INF/A.RSA", b"s")
+        z.writestr("assets/bad", b"unhurt content")
+    raw = (tmp_path / "a.apk").read_bytes().replace(b"unhurt", b"hurt!!", 1)
+    (tmp_path / "a.apk").write_bytes(raw)
+    with zipfile.ZipFile(tmp_path / "c.apkm", "w") as z:
+        z.writestr("base.apk", inner.getvalue())
+        z.writestr("split_x.apk", b"no zip")
     (tmp_path / "b.apk").write_bytes(b"no zip")
-    rows = {(r.package.rsplit("/", 1)[1], r.name): (r.category, r.problem, r.sha256) for r in packages.members(spark, str(tmp_path)).collect()}
+    found = packages.members(spark, str(tmp_path))
+    rows = {(r.package.rsplit("/", 1)[1] if "!" not in r.package else r.package.rsplit("!", 1)[1], r.name): (r.category, r.problem, r.sha256) for r in found.collect()}
     assert rows[("a.apk", "classes.dex")] == ("dex", None, hashlib.sha256(b"dex").hexdigest())
-    assert rows[("a.apk", "../evil")][1] == "unsafe-name" and rows[("a.apk", "res/big")][1] == "ratio" and rows[("b.apk", None)][1] == "damaged"
+    assert rows[("a.apk", "../evil")][1] == "unsafe-name" and rows[("a.apk", "res/big")][:2] == ("resource", "ratio") and rows[("b.apk", None)][1] == "damaged"
+    assert rows[("a.apk", "META-INF/A.RSA")][0] == "signature" and rows[("a.apk", "assets/bad")][1] == "checksum"
+    assert rows[("/base.apk", "classes.dex")][0] == "dex" and rows[("/split_x.apk", None)][1] == "damaged"
+    inside = packages.bundles(found)
+    assert {(r.name, r.has_dex) for r in inside.collect()} == {("base.apk", True), ("split_x.apk", False)}
+    assert [r.base for r in inventory.base_packages(inside).collect()] == ["base.apk"]
 
 
 def test_stream(spark, tmp_path):
