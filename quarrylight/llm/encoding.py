@@ -26,7 +26,11 @@ _BARE = "\x02"
 
 
 class Encoder:
-    """encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers. Null texts count as empty."""
+    """encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers. Null texts count as empty.
+
+    Pieces are remembered in two generations of remember / 2 each: one that is met again moves to the younger, and when that
+    is full it becomes the elder. So frequent pieces stay and memory is bounded.
+    """
 
     def __init__(self, path: str, end_id: int, spaced: bool, remember: int = 600_000, longest: int = 80):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,6 +41,7 @@ class Encoder:
         self.end = np.array([end_id], "<u4").tobytes()
         self.spaced, self.remember, self.longest = spaced, remember, longest
         self.known: dict[str, bytes | None] = {}
+        self.elder: dict[str, bytes | None] = {}
         self.feed = self._each(["\n"])[0]
         self.mark = "\n" if spaced else " \x01 "
         self.mark_ids = np.frombuffer(self._each([self.mark])[0], "<u4")
@@ -66,7 +71,11 @@ class Encoder:
         end in a combining mark once they are normalised, and a mark does share one with punctuation.
         """
         parts: list[tuple[str, str, str, str]] = []  # piece, prefix, head, tail
+        elder, none = self.elder, object()
         for p in pieces:
+            if (ids := elder.get(p, none)) is not none:
+                self.known[p] = ids
+                continue
             prefix = p[0] if p[:1] in ("\n", _BARE) and self.spaced else ""
             core = p[len(prefix) :]
             if self.spaced and (not core or core[0].isspace() or core[-1].isspace()):
@@ -78,6 +87,9 @@ class Encoder:
             parts.append((p, prefix, head, core[len(head) :]))
         known, bare = self.known, _BARE if self.spaced else ""
         for lead, prefix, need in (("", bare, {h for _, x, h, _ in parts if x or not self.spaced} | {t for *_, t in parts if t}), (" ", "", {h for _, x, h, _ in parts if not x and self.spaced})):
+            for u in need:
+                if prefix + u not in known and (ids := elder.get(prefix + u, none)) is not none:
+                    known[prefix + u] = ids
             fresh = self._library(sorted(u for u in need if prefix + u not in known), lead)
             known.update((prefix + u, ids) for u, ids in fresh.items())
         for p, prefix, head, tail in parts:
@@ -90,25 +102,21 @@ class Encoder:
         return None if _BARE in text else (_BARE + text.replace("\n", " \n")).split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.remember:
-            self.known = {}
-        known, out = self.known, []
+        out = []
         for lo in range(0, len(texts), 1024):
+            if len(self.known) > self.remember // 2:
+                self.elder, self.known = self.known, {}
+            known = self.known
             some = texts[lo : lo + 1024]
             cut = [self._pieces(t) if t else None for t in some]
             self._learn({p for pieces in cut if pieces for p in pieces if p not in known})
-            long = []
             for text, pieces in zip(some, cut):
                 try:
                     out.append((b"".join(map(known.__getitem__, pieces)) if pieces else b"".join(self._each(_CUT.split(text))) if text else b"") + self.end)
                 except TypeError:
                     out.append(b"".join(self._each(_CUT.split(text))) + self.end)
-            if len(known) > self.remember:
-                long = list(known)
-            else:
-                long = [p for pieces in cut if pieces and max(map(len, pieces)) > self.longest for p in pieces if len(p) > self.longest]
-            for p in long:
-                known.pop(p, None)
+            for p in [p for pieces in cut if pieces and max(map(len, pieces)) > self.longest for p in pieces if len(p) > self.longest]:
+                known.pop(p, None)  # long ones are rare and large
         return out
 
 
