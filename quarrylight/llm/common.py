@@ -27,7 +27,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
-    if spark.conf.get(BATCH[0]) == "10000":  # Spark's default suits short rows; these are texts, held by both sides at once
+    # Spark's default suits short rows; these are texts, held by both sides at once
+    if spark.conf.get(BATCH[0]) == "10000":
         spark.conf.set(*BATCH)
     return spark
 
@@ -154,14 +155,22 @@ def _cell(lo: np.ndarray, hi: np.ndarray, width: np.ndarray):
     return cell
 
 
-def ranges(df: DataFrame, key: Column, size: Column, target: int, fewest: int = 64, least: int = 4 << 20, cells: int = 4096) -> Ranges:
+def ranges(
+    df: DataFrame, key: Column, size: Column, target: int, fewest: int = 64, least: int = 4 << 20, cells: int = 4096
+) -> Ranges:
     """Ranges of about `target` bytes; of fewer, but not under `least`, if there would not be `fewest` ranges.
 
     Bytes are summed by cells of the key's span; cells with too many bytes and several keys are cut again, until none is
     left. So the bounds depend on the rows alone, and only sums by cell reach the driver: a few for each range.
     """
     rows = df.select(key.cast("long").alias("k"), size.cast("long").alias("n"))
-    r = rows.agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("n").alias("n"), F.sum(F.when(F.col("k").isNull(), F.col("n"))).alias("nulls"), F.count_if(F.col("k").isNull()).alias("some")).first()
+    r = rows.agg(
+        F.min("k").alias("lo"),
+        F.max("k").alias("hi"),
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("k").isNull(), F.col("n"))).alias("nulls"),
+        F.count_if(F.col("k").isNull()).alias("some"),
+    ).first()
     total = r.n or 0
     target = max(1, min(target, max(least, total // fewest)))
     null_parts = max(1, -(-(r.nulls or 0) // target)) if r.some else 0
@@ -174,7 +183,9 @@ def ranges(df: DataFrame, key: Column, size: Column, target: int, fewest: int =
         each = max(cells, 4 * (total // target) // len(lo))
         width = np.array([(b - a) // each + 1 for a, b in open_spans], np.uint64)
 
-        sums = rows.where("k is not null").withColumn("at", _cell(lo, hi, width)("k")).where("at.s >= 0").groupBy("at").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.sum("n").alias("n"))
+        sums = rows.where("k is not null").withColumn("at", _cell(lo, hi, width)("k")).where("at.s >= 0").groupBy("at").agg(
+            F.min("k").alias("a"), F.max("k").alias("b"), F.sum("n").alias("n")
+        )
         got = [(x.a, x.b, x.n or 0) for x in sums.collect()]
         open_spans = sorted((a, b) for a, b, n in got if n > target // 2 and a < b)
         done += [x for x in got if x[2] <= target // 2 or x[0] == x[1]]

@@ -41,7 +41,8 @@ class Windows:
     def __init__(self, items: list[tuple[str | None, bytes | None]], size: int):
         cut = [(name, w) for name, text in items if (w := words(text))]
         self.names = [name for name, _ in cut]
-        self.rank = {w: i + 1 for i, w in enumerate(sorted({x for _, w in cut for x in w}))}  # 0: no word of the benchmark
+        # 0: no word of the benchmark
+        self.rank = {w: i + 1 for i, w in enumerate(sorted({x for _, w in cut for x in w}))}
         self.size, self.by_length = size, {}
         found: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
         for number, (_, w) in enumerate(cut):
@@ -69,12 +70,16 @@ def shard_matches(w: Windows, ids: np.ndarray, depth: int) -> list[tuple[int, np
     if not len(start):
         return out
     padded = np.concatenate([ids, np.zeros(depth, ids.dtype)]).astype(">u4")
-    suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, depth)[start]).view(f"S{4 * depth}").reshape(-1)
+    suffixes = np.ascontiguousarray(
+        np.lib.stride_tricks.sliding_window_view(padded, depth)[start]
+    ).view(f"S{4 * depth}").reshape(-1)
     order = np.argsort(suffixes, kind="stable")
     ranked = suffixes[order]
     for n, (keys, *_) in w.by_length.items():
         low = np.searchsorted(ranked, keys.astype(f"S{4 * depth}"), side="left")
-        top = np.frombuffer(b"".join(k.tobytes().ljust(4 * n, b"\0") + b"\xff" * (4 * (depth - n)) for k in keys), f"S{4 * depth}") if depth > n else keys
+        top = np.frombuffer(
+            b"".join(k.tobytes().ljust(4 * n, b"\0") + b"\xff" * (4 * (depth - n)) for k in keys), f"S{4 * depth}"
+        ) if depth > n else keys
         high = np.searchsorted(ranked, top, side="right")
         hit = np.flatnonzero(high > low)
         if len(hit):
@@ -92,7 +97,9 @@ def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
-def _longest(w: Windows, n: int, at: np.ndarray, which: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _longest(
+    w: Windows, n: int, at: np.ndarray, which: np.ndarray, doc: np.ndarray
+) -> Iterator[tuple[np.ndarray, ...]]:
     """(document, item, first position, words, first word in the item) of each longest match, some documents at a time."""
     _, first, count, places = w.by_length[n]
     many = count[which]
@@ -113,7 +120,9 @@ def _longest(w: Windows, n: int, at: np.ndarray, which: np.ndarray, doc: np.ndar
         order = np.lexsort((p, p - j, item, d))
         item, j, p, d = item[order], j[order], p[order], d[order]
         new = np.ones(len(p), bool)
-        new[1:] = (item[1:] != item[:-1]) | (d[1:] != d[:-1]) | (p[1:] - j[1:] != p[:-1] - j[:-1]) | (p[1:] != p[:-1] + 1)
+        new[1:] = (item[1:] != item[:-1]) | (d[1:] != d[:-1]) | (
+            p[1:] - j[1:] != p[:-1] - j[:-1]
+        ) | (p[1:] != p[:-1] + 1)
         start = np.flatnonzero(new)
         yield d[start], item[start], p[start], np.diff(np.append(start, len(p))) + n - 1, j[start]
 
@@ -146,11 +155,28 @@ def _scan(w: Windows, texts: list[bytes | None]) -> list[dict]:
     out = []
     for n, seen, runs, spans in zip(lengths.tolist(), items, hits, best):
         named = sorted((s for s in spans.values() if s[2] is not None), key=lambda s: (s[0], s[2], s[1]))
-        out.append({"n_words": n, "n_hit": sum(r["words"] for r in runs), "items": sorted({w.names[i] for i in seen} - {None}), "hits": runs, "spans": [dict(zip(keys, s)) for s in named]})
+        out.append(
+            {
+                "n_words": n,
+                "n_hit": sum(r["words"] for r in runs),
+                "items": sorted({w.names[i] for i in seen} - {None}),
+                "hits": runs,
+                "spans": [dict(zip(keys, s)) for s in named],
+            }
+        )
     return out
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = 13, block_bytes: int = 32 << 20, text_col: str = "text", item_col: str = "item_id", out_col: str = "contamination") -> DataFrame:
+def mark(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    keep: list[str] | None = None,
+    window: int = 13,
+    block_bytes: int = 32 << 20,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    out_col: str = "contamination",
+) -> DataFrame:
     """The rows of docs with their columns `keep` (None: all) and a struct `out_col`: n_words, n_hit (words inside
     an occurrence of a window), items (ids as strings, sorted), hits (runs of such words), spans (each item's longest match, the
     first of equal ones: first word in the document, words, item, first word in the item).
@@ -169,7 +195,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, w
     run = uuid.uuid4().hex
     kind = T._parse_datatype_string(MATCH)
     for block in range(blocks):
-        some = [(r.i, bytes(r.t) if r.t is not None else None) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()]  # at most about block_bytes
+        # at most about block_bytes
+        some = [
+            (r.i, bytes(r.t) if r.t is not None else None)
+            for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
+        ]
         sent, last = spark.sparkContext.broadcast(some), block == blocks - 1
         names = keep if last else carried
         schema = T.StructType([*(out.schema[c] for c in names), T.StructField(out_col, kind)])
@@ -186,7 +216,13 @@ def _merge(a: dict, b: dict) -> dict:
         else:
             runs.append(dict(r))
     spans = sorted(a["spans"] + b["spans"], key=lambda s: (s["doc_start"], s["item_id"], s["words"]))
-    return {"n_words": a["n_words"], "n_hit": sum(r["words"] for r in runs), "items": sorted({*a["items"], *b["items"]}), "hits": runs, "spans": spans}
+    return {
+        "n_words": a["n_words"],
+        "n_hit": sum(r["words"] for r in runs),
+        "items": sorted({*a["items"], *b["items"]}),
+        "hits": runs,
+        "spans": spans,
+    }
 
 
 def _marker(sent, key: str, names: list[str], text_col: str, out_col: str, window: int, schema: T.StructType):
@@ -202,7 +238,9 @@ def _marker(sent, key: str, names: list[str], text_col: str, out_col: str, windo
                 found = _scan(w, batch.column(text_col).cast(pa.binary()).to_pylist())
                 if out_col in batch.schema.names:
                     found = [_merge(a, b) for a, b in zip(batch.column(out_col).to_pylist(), found)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, arrow)], names=[*names, out_col])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in names), pa.array(found, arrow)], names=[*names, out_col]
+                )
 
     return run
 
@@ -215,4 +253,6 @@ def contaminated(out_col: str = "contamination", times: int = 20) -> F.Column:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without its contaminated rows, with the same columns. Nulls, empty tables and repeated rows as in mark."""
     (name,) = fresh(docs.columns, "_contamination")
-    return mark(docs, benchmark, out_col=name, **options).where(~contaminated(name)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mark(
+        docs, benchmark, out_col=name, **options
+    ).where(~contaminated(name)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -47,14 +47,21 @@ class Encoder:
         self.mark_ids = np.frombuffer(self._each([self.mark])[0], "<u4")
 
     def _each(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return [
+            np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
+        ]
 
     def _library(self, units: list[str], lead: str) -> dict[str, bytes]:
         """The ids of each unit. Units without white space go many to a text, a mark of one id between them."""
         out: dict[str, bytes] = {}
         simple = [u for u in units if _ODD.search(u) is None] if len(self.mark_ids) == 1 else []
         texts = [simple[i : i + 500] for i in range(0, len(simple), 500)]
-        for some, e in zip(texts, self.tokenizer.encode_batch_fast([self.mark.join([lead + u for u in x]) for x in texts], add_special_tokens=False)):
+        for some, e in zip(
+            texts,
+            self.tokenizer.encode_batch_fast(
+                [self.mark.join([lead + u for u in x]) for x in texts], add_special_tokens=False
+            ),
+        ):
             ids = np.array(e.ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark_ids[0])
             if len(cuts) == len(some) - 1:
@@ -86,7 +93,10 @@ class Encoder:
                 head = core
             parts.append((p, prefix, head, core[len(head) :]))
         known, bare = self.known, _BARE if self.spaced else ""
-        for lead, prefix, need in (("", bare, {h for _, x, h, _ in parts if x or not self.spaced} | {t for *_, t in parts if t}), (" ", "", {h for _, x, h, _ in parts if not x and self.spaced})):
+        for lead, prefix, need in (
+            ("", bare, {h for _, x, h, _ in parts if x or not self.spaced} | {t for *_, t in parts if t}),
+            (" ", "", {h for _, x, h, _ in parts if not x and self.spaced}),
+        ):
             for u in need:
                 if prefix + u not in known and (ids := elder.get(prefix + u, none)) is not none:
                     known[prefix + u] = ids
@@ -112,10 +122,25 @@ class Encoder:
             self._learn({p for pieces in cut if pieces for p in pieces if p not in known})
             for text, pieces in zip(some, cut):
                 try:
-                    out.append((b"".join(map(known.__getitem__, pieces)) if pieces else b"".join(self._each(_CUT.split(text))) if text else b"") + self.end)
+                    out.append(
+                        (
+                            b"".join(map(known.__getitem__, pieces))
+                            if pieces
+                            else b"".join(self._each(_CUT.split(text)))
+                            if text
+                            else b""
+                        )
+                        + self.end
+                    )
                 except TypeError:
                     out.append(b"".join(self._each(_CUT.split(text))) + self.end)
-            for p in [p for pieces in cut if pieces and max(map(len, pieces)) > self.longest for p in pieces if len(p) > self.longest]:
+            for p in [
+                p
+                for pieces in cut
+                if pieces and max(map(len, pieces)) > self.longest
+                for p in pieces
+                if len(p) > self.longest
+            ]:
                 known.pop(p, None)  # long ones are rare and large
         return out
 

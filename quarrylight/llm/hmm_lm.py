@@ -68,7 +68,9 @@ def _count(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[p
         words = list(seen)
         for lo in range(0, len(words), 50_000):
             some = words[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([seen[w] for w in some], pa.int64())], names=["word", "c"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.binary()), pa.array([seen[w] for w in some], pa.int64())], names=["word", "c"]
+            )
 
     seen: Counter = Counter()
     for batch in batches:
@@ -116,7 +118,9 @@ def _describe(shape: Shape, sent):
                 rare: list[list[dict]] = []
                 edges = np.searchsorted(odd, np.append(first, len(flat))).tolist()
                 for a, b in zip(edges, edges[1:]):
-                    rare.append([{"word": x, "times": n} for x, n in Counter(flat[i] for i in odd[a:b].tolist()).items()])
+                    rare.append(
+                        [{"word": x, "times": n} for x, n in Counter(flat[i] for i in odd[a:b].tolist()).items()]
+                    )
                 raw = symbol.astype("<u2")
                 columns = [
                     batch.column("doc_id"),
@@ -126,7 +130,9 @@ def _describe(shape: Shape, sent):
                     pa.array([raw[a : a + n].tobytes() for a, n in zip(first.tolist(), size.tolist())], pa.binary()),
                     pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "within", "symbols", "rare"])
+                yield pa.RecordBatch.from_arrays(
+                    columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "within", "symbols", "rare"]
+                )
 
     return run
 
@@ -141,7 +147,11 @@ class Tables:
         n = self.emit.sum(axis=1, keepdims=True)
         prior = (n + 0.5) / (n + 0.5).sum()  # a state falls back to the symbol's share of all tokens
         emit = self.emit + ridge * prior * max(self.emit.sum(axis=0).mean(), 1.0)
-        return Tables((self.start + 1) / (self.start + 1).sum(), (self.move + 1) / (self.move + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        return Tables(
+            (self.start + 1) / (self.start + 1).sum(),
+            (self.move + 1) / (self.move + 1).sum(axis=1, keepdims=True),
+            emit / emit.sum(axis=0),
+        )
 
 
 def _zero(t: Tables) -> Tables:
@@ -252,7 +262,9 @@ def _round(sent, cells: int):
             got, _ = expected(t, texts, cells)
             total = Tables(total.start + got.start, total.move + got.move, total.emit + got.emit)
         rows = np.concatenate([total.emit, total.move, total.start[None, :]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["i", "v"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(rows))), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["i", "v"]
+        )
 
     return run
 
@@ -260,7 +272,9 @@ def _round(sent, cells: int):
 def _baum_welch(described: DataFrame, t: Tables, shape: Shape) -> Tables:
     """One round over all training texts: each partition's counts (symbols by states), summed up by Spark."""
     sent = described.sparkSession.sparkContext.broadcast(t)
-    parts = described.where("not held_out").select("symbols").mapInArrow(_round(sent, shape.cells), "i long, v array<double>")
+    parts = described.where("not held_out").select("symbols").mapInArrow(
+        _round(sent, shape.cells), "i long, v array<double>"
+    )
     sums = parts.groupBy("i").agg(*[F.sum(F.get("v", F.lit(s))).alias(f"s{s}") for s in range(shape.states)])
     rows = np.zeros((shape.symbols + shape.states + 1, shape.states))
     for r in sums.collect():
@@ -268,7 +282,9 @@ def _baum_welch(described: DataFrame, t: Tables, shape: Shape) -> Tables:
     return Tables(rows[-1], rows[shape.symbols : -1], rows[: shape.symbols]).normalised()
 
 
-def language_model(docs: DataFrame, train: Column, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_model(
+    docs: DataFrame, train: Column, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Scores every whole text; learns from the rows for which `train` holds.
 
     doc_id, held_out, n_tokens (words and one end), n_known (tokens that training has), train_tokens, base_score
@@ -277,17 +293,26 @@ def language_model(docs: DataFrame, train: Column, shape: Shape = Shape(), id_co
     word is unseen. An empty table gives no row. Further columns are not read, whatever their names.
     """
     spark = prepare(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(train, F.lit(False)).alias("train"),
+        F.col(text_col).alias("text"),
+    )
     sums = source.where("train").select("text").mapInArrow(_count, "word binary, c long")
     counts = written(sums.groupBy("word").agg(F.sum("c").alias("c")), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least, size = 1 << 62, 0
-    for r in counts.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
+    for r in counts.groupBy(
+        F.least("c", F.lit(1_000_000)).alias("c")
+    ).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
         size += r.n
         if size > shape.cached:
             break
         least = r.c
-    top = sorted(((bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))  # at most `cached`
+    # at most `cached`
+    top = sorted(
+        ((bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0])
+    )
     if top and END not in dict(top[: shape.frequent]):  # the end is a symbol however few texts there are
         end = counts.where(F.col("word") == END).first().c
         top = [x for x in top if x[0] != END]
@@ -295,7 +320,10 @@ def language_model(docs: DataFrame, train: Column, shape: Shape = Shape(), id_co
     if not top:
         top = [(END, 0)]
 
-    last = F.pmod(F.crc32(F.when(F.octet_length("word") > 1, F.substring("word", -2, 2)).otherwise(F.col("word"))), F.lit(shape.classes)).cast("int")
+    last = F.pmod(
+        F.crc32(F.when(F.octet_length("word") > 1, F.substring("word", -2, 2)).otherwise(F.col("word"))),
+        F.lit(shape.classes),
+    ).cast("int")
     class_n, class_v = np.zeros(shape.classes), np.zeros(shape.classes)
     for r in counts.groupBy(last.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         class_n[r.k], class_v[r.k] = r.n, r.v
@@ -321,9 +349,13 @@ def language_model(docs: DataFrame, train: Column, shape: Shape = Shape(), id_co
 
     unseen = np.log10(np.where(class_n > 0, DISCOUNT * class_v / np.maximum(class_n, 1.0), 1.0))
     of_class = lambda values: F.get(F.array(*[F.lit(float(x)) for x in values]), F.col("k"))
-    rare = described.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.times").alias("times"))
+    rare = described.select("row", F.explode("rare").alias("r")).select(
+        "row", F.col("r.word").alias("word"), F.col("r.times").alias("times")
+    )
     seen = counts.withColumn("k", last)
-    seen = seen.select("word", "c", (F.log10(F.col("c") - DISCOUNT) - F.log10(of_class(np.maximum(class_n, 1.0)))).alias("seen"))
+    seen = seen.select(
+        "word", "c", (F.log10(F.col("c") - DISCOUNT) - F.log10(of_class(np.maximum(class_n, 1.0)))).alias("seen")
+    )
     met = rare.join(seen, "word", "left").withColumn("k", last)
     met = met.select(
         "row",
@@ -331,13 +363,19 @@ def language_model(docs: DataFrame, train: Column, shape: Shape = Shape(), id_co
         (F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total.n + total.v + 1)))).alias("base"),
         (F.col("times") * F.coalesce("seen", of_class(unseen))).alias("within"),
     )
-    more = met.groupBy("row").agg(F.sum("known").alias("_known"), F.sum("base").alias("_base"), F.sum("within").alias("_within"))
+    more = met.groupBy("row").agg(
+        F.sum("known").alias("_known"), F.sum("base").alias("_base"), F.sum("within").alias("_within")
+    )
 
     unigram = np.zeros(shape.symbols)
     unigram[: min(len(top), shape.frequent)] = count[: shape.frequent]
     unigram[shape.frequent :] = class_n
     rng = np.random.default_rng(7)
-    t = Tables(np.ones(shape.states), np.eye(shape.states) * 8 + 1, (unigram[:, None] + 0.5) * rng.gamma(2.0, 0.5, (shape.symbols, shape.states))).normalised()
+    t = Tables(
+        np.ones(shape.states),
+        np.eye(shape.states) * 8 + 1,
+        (unigram[:, None] + 0.5) * rng.gamma(2.0, 0.5, (shape.symbols, shape.states)),
+    ).normalised()
     for _ in range(shape.rounds):
         t = _baum_welch(described, t, shape)
     model = spark.sparkContext.broadcast(t)

@@ -36,7 +36,15 @@ def _counts(line: F.Column, min_words: int) -> F.Column:
     return F.regexp_like(line, F.lit("^\\s*" + "\\S+\\s+" * (min_words - 1) + "\\S"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 4, lg_k: int = 12, sigmas: float = 4.0, text_col: str = "text", site_col: str = "source") -> DataFrame:
+def boilerplate(
+    docs: DataFrame,
+    min_sites: int = 8,
+    min_words: int = 4,
+    lg_k: int = 12,
+    sigmas: float = 4.0,
+    text_col: str = "text",
+    site_col: str = "source",
+) -> DataFrame:
     """(line, sites, exact): hash of each line of at least min_words words on min_sites sites or more.
 
     sites is the sketch's estimate, or the exact number where exact is true. A null site counts as none, a null text has no
@@ -44,19 +52,36 @@ def boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 4, lg_k: i
     table gives no row. Further columns are not read, whatever their names.
     """
     prepare(docs.sparkSession)
-    cut = docs.select(F.col(site_col).cast("string").alias("site"), F.explode(_lines(F.col(text_col))).alias("l")).where("site is not null")
+    cut = docs.select(
+        F.col(site_col).cast("string").alias("site"), F.explode(_lines(F.col(text_col))).alias("l")
+    ).where("site is not null")
     rows = cut.where(_counts(F.col("l"), min_words)).select(_hash(F.col("l")).alias("line"), "site")
-    merged = rows.groupBy("line").agg(F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
-    sketched = written(merged.where(F.col("n") >= min_sites).select("line", "sites"), "sketches")  # fewer rows cannot be on so many sites
+    merged = rows.groupBy("line").agg(
+        F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites")
+    )
+    # fewer rows cannot be on so many sites
+    sketched = written(merged.where(F.col("n") >= min_sites).select("line", "sites"), "sketches")
     margin = max(1.0, sigmas * ERROR / 2 ** (lg_k / 2) * min_sites)
     near = F.abs(F.col("sites") - min_sites) <= margin
     unsure = written(sketched.where(near).select("line"), "unsure")  # so that Spark sees its size
-    exact = rows.join(unsure, "line", "left_semi").groupBy("line", "site").agg(F.lit(1)).groupBy("line").agg(F.count("*").alias("sites"))
+    exact = rows.join(
+        unsure, "line", "left_semi"
+    ).groupBy("line", "site").agg(F.lit(1)).groupBy("line").agg(F.count("*").alias("sites"))
     sure = sketched.where(~near).select("line", F.col("sites").cast("long").alias("sites"), F.lit(False).alias("exact"))
     return sure.union(exact.select("line", "sites", F.lit(True))).where(F.col("sites") >= min_sites)
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 4, text_col: str = "text", site_col: str = "source", length_col: str | None = "n_chars", counts: bool = False, block_lines: int = 2_000_000, **options) -> DataFrame:
+def remove_boilerplate(
+    docs: DataFrame,
+    min_sites: int = 8,
+    min_words: int = 4,
+    text_col: str = "text",
+    site_col: str = "source",
+    length_col: str | None = "n_chars",
+    counts: bool = False,
+    block_lines: int = 2_000_000,
+    **options
+) -> DataFrame:
     """docs without its boilerplate lines: same rows, same columns, text and length_col (code points, if there) made anew.
 
     The lines left stay as they are, in their order, joined by line feeds; a text may become empty. Null
@@ -65,7 +90,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 4,
     are broadcast at once.
     """
     spark = docs.sparkSession
-    spread = written(boilerplate(docs, min_sites, min_words, text_col=text_col, site_col=site_col, **options).select("line"), "boilerplate")
+    spread = written(
+        boilerplate(docs, min_sites, min_words, text_col=text_col, site_col=site_col, **options).select("line"),
+        "boilerplate",
+    )
     blocks = max(1, -(-spread.count() // block_lines))
     (gone,) = fresh([*docs.columns, "n_lines", "n_removed"], "_gone")
     out = docs.withColumn(gone, F.lit(0).cast("long"))
@@ -74,9 +102,17 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 4,
     for block in range(blocks):
         some = spread.where(F.pmod(F.xxhash64("line"), F.lit(blocks)) == block).toPandas()["line"]
         sent = spark.sparkContext.broadcast(np.sort(some.to_numpy(np.int64)))
-        out = out.mapInArrow(_strip(sent, out.columns.index(text_col), out.columns.index(gone), min_words), T.StructType(out.schema.fields))
+        out = out.mapInArrow(
+            _strip(sent, out.columns.index(text_col), out.columns.index(gone), min_words),
+            T.StructType(out.schema.fields),
+        )
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col(gone) == 0, F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
+        out = out.withColumn(
+            length_col,
+            F.when(
+                F.col(gone) == 0, F.col(length_col)
+            ).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType),
+        )
     if counts:
         out = out.withColumn("n_removed", F.col(gone))
     extra = [c for c in ("n_lines", "n_removed") if counts]

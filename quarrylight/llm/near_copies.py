@@ -42,7 +42,15 @@ def four(own: np.ndarray) -> list[int]:
     return out
 
 
-def shingle_sets(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, whole: bool = False) -> DataFrame:
+def shingle_sets(
+    docs: DataFrame,
+    similarity: float,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    seed: int = 42,
+    whole: bool = False,
+) -> DataFrame:
     """(doc_id, tie, node, n, fp, w1, w2, w3, hashes) of every row: node names the set of its n distinct shingles, the bits are
     of that set, tie is a hash of the text. hashes: the set's least ones, as many as two sets of this similarity cannot both
     have without a common one; whole: all, and no bits. A null text has no shingle.
@@ -59,7 +67,9 @@ def shingle_sets(docs: DataFrame, similarity: float, id_col: str = "doc_id", tex
                 ints, kept = np.zeros((batch.num_rows, 6), np.int64), []
                 for i, t in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                     parts = list(hashes(t, shingle, seed))
-                    own = np.unique(np.concatenate(parts).view(np.int64)).view(np.uint64) if parts else np.zeros(0, np.uint64)
+                    own = np.unique(
+                        np.concatenate(parts).view(np.int64)
+                    ).view(np.uint64) if parts else np.zeros(0, np.uint64)
                     n = len(own)
                     ints[i, :2] = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), seed)).view(np.int64), n
                     if not whole:
@@ -67,11 +77,20 @@ def shingle_sets(docs: DataFrame, similarity: float, id_col: str = "doc_id", tex
                         own = own[: n + 1 + (-ratio.numerator * n // ratio.denominator)]
                     kept.append(own.view(np.int64))
                 ends = np.concatenate([[0], np.cumsum([len(h) for h in kept])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int64)))
-                columns = [batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(ints[:, j])) for j in range(6)), lists]
+                lists = pa.ListArray.from_arrays(
+                    pa.array(ends), pa.array(np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int64))
+                )
+                columns = [
+                    batch.column(0),
+                    batch.column(1),
+                    *(pa.array(np.ascontiguousarray(ints[:, j])) for j in range(6)),
+                    lists
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in kind.split(", ")])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text")
+    )
     return source.mapInArrow(run, kind)
 
 
@@ -81,7 +100,9 @@ class Tiles:
     n: sizes, bits: four words each, part: pairs of one part are left out if there are two, place: of the shared hash in each set.
     """
 
-    def __init__(self, ratio: Fraction, n: np.ndarray, bits: np.ndarray, part: np.ndarray, place: np.ndarray | None = None):
+    def __init__(
+        self, ratio: Fraction, n: np.ndarray, bits: np.ndarray, part: np.ndarray, place: np.ndarray | None = None
+    ):
         self.num, self.both, self.den = ratio.numerator, ratio.numerator + ratio.denominator, ratio.denominator
         self.n, self.bits, self.part, self.left = n, np.ascontiguousarray(bits).view(np.uint64), part, None if place is None else n - place
         self.cross = len(part) > 0 and part.min() != part.max()
@@ -94,7 +115,8 @@ class Tiles:
             ok &= label[x, None] != label[None, y]
         if self.cross:
             ok &= self.part[x, None] != self.part[None, y]
-        if self.left is not None:  # were the shared hash the first one, no more than what is left of each could be common
+        # were the shared hash the first one, no more than what is left of each could be common
+        if self.left is not None:
             ok &= np.minimum(self.left[x, None], self.left[None, y]) * self.both >= (a + b) * self.num
         if not ok.any():
             return None
@@ -149,7 +171,9 @@ def _in_files(files: DataFrame, ratio: Fraction, labelled: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table() -> pa.RecordBatch:
             got = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, c])) for c in range(2)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.ascontiguousarray(got[:, c])) for c in range(2)], names=["a", "b"]
+            )
 
         found, held = [], 0
         for rows in by_group(batches, len(names), 3):
@@ -167,13 +191,17 @@ def _in_files(files: DataFrame, ratio: Fraction, labelled: bool) -> DataFrame:
         if held:
             yield table()
 
-    return files.select(*names).repartition("file", "p", "q").sortWithinPartitions("file", "p", "q").mapInArrow(run, "a long, b long").distinct()
+    return files.select(*names).repartition("file", "p", "q").sortWithinPartitions("file", "p", "q").mapInArrow(
+        run, "a long, b long"
+    ).distinct()
 
 
 def common(sets: list[np.ndarray], others: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     """How many hashes the sets of each pair (positions in sets and others) have in common."""
     if len(pairs) <= 2 * (len(sets) + len(others)):
-        return np.array([len(np.intersect1d(sets[i], others[j], assume_unique=True)) for i, j in pairs.tolist()], np.int64)
+        return np.array(
+            [len(np.intersect1d(sets[i], others[j], assume_unique=True)) for i, j in pairs.tolist()], np.int64
+        )
     size = [len(s) for s in [*sets, *others]]
     word, where = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
     row = np.repeat(np.arange(len(size)), size)
@@ -247,16 +275,24 @@ def _worth(filed: DataFrame, ratio: Fraction) -> DataFrame:
     Such a file has two sets, of which one has it among the first (1 - s) / (1 + s) of its hashes. Of files with the same sets the one of
     the least hash stays: it is the first common hash if any of them is.
     """
-    shared = written(filed.groupBy("file").agg(F.count("*").alias("size")).where("size > 1").select("file"), "shared")  # so that Spark sees its size
+    # so that Spark sees its size
+    shared = written(filed.groupBy("file").agg(F.count("*").alias("size")).where("size > 1").select("file"), "shared")
     some = filed.join(shared, "file", "left_semi")
     early = F.col("place") * (ratio.numerator + ratio.denominator) <= F.col("n") * (ratio.denominator - ratio.numerator)
     same = ["_size", "_one", "_two"]
-    of = some.groupBy("file").agg(F.count("*").alias("_size"), F.bit_xor("node").alias("_one"), F.bit_xor(F.xxhash64("node")).alias("_two"), F.count_if(early).alias("_early"))
+    of = some.groupBy("file").agg(
+        F.count("*").alias("_size"),
+        F.bit_xor("node").alias("_one"),
+        F.bit_xor(F.xxhash64("node")).alias("_two"),
+        F.count_if(early).alias("_early"),
+    )
     kept = written(of.where("_early > 0").groupBy(*same).agg(F.min("file").alias("file")).select("file"), "kept")
     return some.join(kept, "file", "left_semi").withColumn("place", F.col("place").cast("long"))
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def similar(
+    docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5
+) -> DataFrame:
     """(doc_id, tie, node, component_id) of every row: linked are texts whose sets of shingles have this Jaccard similarity or
     more. node: the same for all rows of a group that links connect; component_id: the group's least doc_id, null if none has
     one. tie: a hash of the text.
@@ -268,34 +304,54 @@ def similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", te
     marked = written(shingle_sets(docs, similarity, id_col, text_col, shingle), "sets")
     # equal sets are one node; rep names one row of it, whose text gives the set again
     rep = F.min(F.struct("doc_id", "tie")).alias("rep")
-    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), rep, *[F.first(c).alias(c) for c in ("n", *BITS, "hashes")]), "nodes")
+    nodes = written(
+        marked.groupBy("node").agg(
+            F.min("doc_id").alias("least"), rep, *[F.first(c).alias(c) for c in ("n", *BITS, "hashes")]
+        ),
+        "nodes",
+    )
     filed = nodes.select(F.posexplode("hashes").alias("place", "file"), "node", "n")
     files = written(deal(_worth(filed, ratio), PART, ["node"]).join(nodes.select("node", *BITS), "node"), "files")
 
     def whole(named: DataFrame, name: str) -> DataFrame:
         """(node, n, hashes) of these nodes: all hashes, from one text of each."""
-        rows = nodes.join(named, "node", "left_semi").select(F.col("rep.doc_id").alias("_id"), F.col("rep.tie").alias("_tie"))
+        rows = nodes.join(named, "node", "left_semi").select(
+            F.col("rep.doc_id").alias("_id"), F.col("rep.tie").alias("_tie")
+        )
         source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        texts = source.join(rows, (F.xxhash64("text") == F.col("_tie")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        texts = source.join(
+            rows, (F.xxhash64("text") == F.col("_tie")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"
+        )
         sets = shingle_sets(texts, similarity, shingle=shingle, whole=True)
         return written(sets.dropDuplicates(["node"]).select("node", "n", "hashes"), name)
 
     # nearest candidates, confirmed one by one
     pairs = written(_in_files(files.withColumn("label", F.col("node")), ratio, labelled=False), "nearest")
     sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nearest_sets")
-    left, right = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"h{c}")) for c in "ab")
+    left, right = (
+        sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"h{c}")) for c in "ab"
+    )
     both = F.size(F.array_intersect("ha", "hb")).cast("long") * (ratio.numerator + ratio.denominator)
-    first = written(pairs.join(left, "a").join(right, "b").where(both >= (F.col("na") + F.col("nb")) * ratio.numerator).select("a", "b"), "similar")
+    first = written(
+        pairs.join(left, "a").join(right, "b").where(
+            both >= (F.col("na") + F.col("nb")) * ratio.numerator
+        ).select("a", "b"),
+        "similar",
+    )
     discard(pairs, sets)
     label = connected_components(first).select("node", F.col("component").alias("label"))
 
     # clusters of what may be similar and is apart
     labelled = files.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    cluster = connected_components(_in_files(labelled, ratio, labelled=True)).select("node", F.col("component").alias("file"))
+    cluster = connected_components(
+        _in_files(labelled, ratio, labelled=True)
+    ).select("node", F.col("component").alias("file"))
     gathered = whole(cluster.select("node"), "cluster_sets")
     members = cluster.join(gathered, "node").join(nodes.select("node", *BITS), "node")
     members = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    large = cluster.join(nodes.select("node", "n"), "node").groupBy("file").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / HASHES)).alias("k"))
+    large = cluster.join(nodes.select("node", "n"), "node").groupBy("file").agg(
+        F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / HASHES)).alias("k")
+    )
     members = members.join(large, "file").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     groups = members.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
@@ -303,13 +359,24 @@ def similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", te
     discard(files, gathered)
 
     found = connected_components(first.union(second))
-    joined = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = nodes.select("node", "least").join(found, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     group = joined.join(least, "component").select("node", "component", "component_id")
-    return marked.select("doc_id", "tie", "node").join(group, "node").select("doc_id", "tie", F.col("component").alias("node"), "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
+    return marked.select("doc_id", "tie", "node").join(group, "node").select(
+        "doc_id", "tie", F.col("component").alias("node"), "component_id"
+    )
+
+
+def keep_one(
+    docs: DataFrame,
+    radius: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    similarity: float | None = None,
+    **options
+) -> DataFrame:
     """docs with one row of each group: of least id, then of least hash of its text, then of its columns.
 
     Groups are those of near_duplicates, or with a similarity those of similar. Rows are told apart by id and text, so rows

@@ -94,7 +94,9 @@ class Pool:
         return out
 
 
-def sequences(rows: Iterator[tuple[list[tuple], list[int]]], limits: Limits, pool_rows: int = 1024) -> Iterator[list[tuple]]:
+def sequences(
+    rows: Iterator[tuple[list[tuple], list[int]]], limits: Limits, pool_rows: int = 1024
+) -> Iterator[list[tuple]]:
     """The pieces of one sequence after the other, as (doc_id, start, length, ids, doc_tokens, loss tokens, offset)."""
     pool = Pool(limits)
 
@@ -118,7 +120,16 @@ def sequences(rows: Iterator[tuple[list[tuple], list[int]]], limits: Limits, poo
         yield take(limits.tokens if left >= limits.tokens else 1 << (left.bit_length() - 1))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, loss_share: Column | None = None) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int = 1,
+    limits: Limits = Limits(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    loss_col: str | None = None,
+    loss_share: Column | None = None,
+) -> DataFrame:
     """One row for each piece: doc_id, start (ids of its document before it), length, ids (binary,
     little-endian unsigned 32-bit), doc_tokens (with the end id), loss_tokens, sequence_id, offset.
 
@@ -129,8 +140,24 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limi
     prepare(docs.sparkSession)
     loss = F.col(loss_col).cast("long") if loss_col else F.lit(None).cast("long")
     share = F.lit(None).cast("double") if loss_share is None else loss_share.cast("double")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), loss.alias("loss"), share.alias("share"))
-    fields = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("loss_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).alias("text"),
+        loss.alias("loss"),
+        share.alias("share"),
+    )
+    fields = pa.schema(
+        [
+            ("doc_id", pa.int64()),
+            ("start", pa.int64()),
+            ("length", pa.int64()),
+            ("ids", pa.binary()),
+            ("doc_tokens", pa.int64()),
+            ("loss_tokens", pa.int64()),
+            ("sequence_id", pa.int64()),
+            ("offset", pa.int64())
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -145,7 +172,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limi
                     ids = encode(part.column(1).to_pylist())
                     lengths = [len(x) // 4 for x in ids]
                     loss = [
-                        x if x is not None else n if s is None else -int(-n * s // 1) for n, x, s in zip(lengths, part.column(2).to_pylist(), part.column(3).to_pylist())
+                        x if x is not None else n if s is None else -int(-n * s // 1) for n, x, s in zip(
+                            lengths, part.column(2).to_pylist(), part.column(3).to_pylist()
+                        )
                     ]
                     yield list(zip(part.column(0).to_pylist(), ids, lengths)), loss
 
@@ -153,7 +182,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limi
         for number, pieces in enumerate(sequences(rows(), limits)):
             out += [(*p[:6], first + number, p[6]) for p in pieces]
             if len(out) >= 4000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), fields)], schema=fields)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, f.type) for x, f in zip(zip(*out), fields)], schema=fields
+                )
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), fields)], schema=fields)

@@ -21,7 +21,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quarrylight.llm.common import alone, fresh, prepare
 
 SYMBOLS, UPPER, DIGITS, ENDS = b"#*$%&|<>", bytes(range(65, 91)), b"0123456789", b"!?"
-STATISTICS = ("log_words", "word_length", "symbols", "upper", "digits", "exclaims", "distinct_words", "top_word", "repeated_lines", "line_words", "symbol_words", "not_ascii")
+STATISTICS = (
+    "log_words",
+    "word_length",
+    "symbols",
+    "upper",
+    "digits",
+    "exclaims",
+    "distinct_words",
+    "top_word",
+    "repeated_lines",
+    "line_words",
+    "symbol_words",
+    "not_ascii",
+)
 
 
 def statistics(raw: bytes, words: Counter) -> list[float]:
@@ -30,7 +43,20 @@ def statistics(raw: bytes, words: Counter) -> list[float]:
     gone = lambda some: (len(raw) - len(raw.translate(None, some))) / size
     lines = [x for x in raw.split(b"\n") if x.strip()]
     marked = sum(k for w, k in words.items() if w[-1:] in SYMBOLS_SET) / max(1, n)
-    return [np.log1p(n), np.log1p(size / max(1, n)), gone(SYMBOLS), gone(UPPER), gone(DIGITS), gone(ENDS), len(words) / max(1, n) if n else 0.0, max(words.values(), default=0) / max(1, n), 1 - len(set(lines)) / max(1, len(lines)) if lines else 0.0, np.log1p(n / max(1, len(lines))), marked, 1 - len(raw.decode("utf-8", "ignore")) / size]
+    return [
+        np.log1p(n),
+        np.log1p(size / max(1, n)),
+        gone(SYMBOLS),
+        gone(UPPER),
+        gone(DIGITS),
+        gone(ENDS),
+        len(words) / max(1, n) if n else 0.0,
+        max(words.values(), default=0) / max(1, n),
+        1 - len(set(lines)) / max(1, len(lines)) if lines else 0.0,
+        np.log1p(n / max(1, len(lines))),
+        marked,
+        1 - len(raw.decode("utf-8", "ignore")) / size
+    ]
 
 
 SYMBOLS_SET = frozenset(bytes([x]) for x in SYMBOLS)
@@ -61,19 +87,51 @@ class Machine:
             out += 0.5 * (np.bincount(row, v, rows) ** 2 - np.bincount(row, v * v, rows))
         return out
 
-    def assemble(self, words: list[list[int]], weight: list[float], dense: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def assemble(
+        self, words: list[list[int]], weight: list[float], dense: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows, wide = len(words), dense.shape[1]
         size = np.fromiter(map(len, words), np.int64, rows)
-        index = np.concatenate([np.fromiter((b for w in words for b in w), np.int64, int(size.sum())), np.tile(self.buckets + np.arange(wide), rows)])
-        value = np.concatenate([np.repeat(np.array(weight, float), size), (np.clip((dense - self.mean) / self.scale, -6, 6) / np.sqrt(wide) * 2).ravel()])
+        index = np.concatenate(
+            [
+                np.fromiter((b for w in words for b in w), np.int64, int(size.sum())),
+                np.tile(self.buckets + np.arange(wide), rows)
+            ]
+        )
+        value = np.concatenate(
+            [
+                np.repeat(np.array(weight, float), size),
+                (np.clip((dense - self.mean) / self.scale, -6, 6) / np.sqrt(wide) * 2).ravel()
+            ]
+        )
         return index, value, np.concatenate([np.repeat(np.arange(rows), size), np.repeat(np.arange(rows), wide)])
 
 
-def fit(words: list[list[int]], weight: list[float], dense: np.ndarray, label: np.ndarray, buckets: int, factors: int = 4, epochs: int = 12, batch: int = 128, least_steps: int = 500, rate: float = 0.02, decay: float = 1e-3, seed: int = 1) -> Machine:
+def fit(
+    words: list[list[int]],
+    weight: list[float],
+    dense: np.ndarray,
+    label: np.ndarray,
+    buckets: int,
+    factors: int = 4,
+    epochs: int = 12,
+    batch: int = 128,
+    least_steps: int = 500,
+    rate: float = 0.02,
+    decay: float = 1e-3,
+    seed: int = 1,
+) -> Machine:
     rng = np.random.default_rng(seed)
     total = buckets + dense.shape[1]
     base = np.clip(label.mean(), 0.01, 0.99)
-    m = Machine(buckets, float(np.log(base / (1 - base))), np.zeros(total), rng.normal(0, 0.02, (total, factors)), dense.mean(axis=0), dense.std(axis=0) + 1e-6)
+    m = Machine(
+        buckets,
+        float(np.log(base / (1 - base))),
+        np.zeros(total),
+        rng.normal(0, 0.02, (total, factors)),
+        dense.mean(axis=0),
+        dense.std(axis=0) + 1e-6,
+    )
     held = [np.zeros((2, total)), np.zeros((2, total, factors)), np.zeros(2)]
     step = 0
     for _ in range(max(epochs, -(-least_steps * batch // len(label)))):
@@ -84,7 +142,16 @@ def fit(words: list[list[int]], weight: list[float], dense: np.ndarray, label: n
             p = 1 / (1 + np.exp(-np.clip(m.score(index, value, row, len(some)), -30, 30)))
             g = ((p - label[some]) / len(some))[row]
             sums = [np.bincount(row, m.factors[index, f] * value, len(some)) for f in range(factors)]
-            grads = [np.bincount(index, g * value, total) + decay * m.linear / len(order), np.column_stack([np.bincount(index, g * value * (s[row] - m.factors[index, f] * value), total) for f, s in enumerate(sums)]) + decay * m.factors / len(order), np.array((p - label[some]).mean())]
+            grads = [
+                np.bincount(index, g * value, total) + decay * m.linear / len(order),
+                np.column_stack(
+                    [
+                        np.bincount(index, g * value * (s[row] - m.factors[index, f] * value), total) for f,
+                        s in enumerate(sums)
+                    ]
+                ) + decay * m.factors / len(order),
+                np.array((p - label[some]).mean())
+            ]
             step += 1
             new = []
             for h, d in zip(held, grads):
@@ -98,7 +165,17 @@ def _numbers(meta: tuple[Column, ...]) -> Column:
     return F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in meta]).cast("array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", meta: tuple[Column, ...] = (), max_rows: int = 6000, buckets: int = 1 << 14, **options) -> Machine:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    label_col: str = "quality",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    meta: tuple[Column, ...] = (),
+    max_rows: int = 6000,
+    buckets: int = 1 << 14,
+    **options
+) -> Machine:
     """Fits to at most max_rows labelled rows: for each label max_rows / 2 ids at most, those of least hash, and of the rows
     with these ids those of least hash of id and text.
 
@@ -107,9 +184,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     Further columns are not read, whatever their names.
     """
     spark = prepare(docs.sparkSession)
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
+    known = labels.select(
+        F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")
+    ).where("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
     order = F.xxhash64("_id")
-    some = known.where("_label = 0").orderBy(order, "_id").limit(max_rows // 2).union(known.where("_label = 1").orderBy(order, "_id").limit(max_rows // 2))
+    some = known.where("_label = 0").orderBy(order, "_id").limit(max_rows // 2).union(
+        known.where("_label = 1").orderBy(order, "_id").limit(max_rows // 2)
+    )
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("t"), _numbers(meta).alias("m"))
     rows = texts.join(F.broadcast(some), F.col("_doc") == F.col("_id"))  # max_rows ids at most
     rows = rows.orderBy(order, "_id", F.xxhash64("t")).limit(max_rows).select("_id", "t", "_label", "m")
@@ -117,7 +198,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(t, buckets) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array([x for x, *_ in got], pa.list_(pa.int32())), pa.array([x for _, x, _ in got], pa.float64()), pa.array([x + m for (*_, x), m in zip(got, batch.column(3).to_pylist())], pa.list_(pa.float64())), batch.column(2)], names=["id", "words", "weight", "dense", "label"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).cast(pa.string()),
+                    pa.array([x for x, *_ in got], pa.list_(pa.int32())),
+                    pa.array([x for _, x, _ in got], pa.float64()),
+                    pa.array([x + m for (*_, x), m in zip(got, batch.column(3).to_pylist())], pa.list_(pa.float64())),
+                    batch.column(2)
+                ],
+                names=["id", "words", "weight", "dense", "label"],
+            )
 
     got = rows.mapInArrow(run, "id string, words array<int>, weight double, dense array<double>, label int").toArrow()
     wide = len(STATISTICS) + len(meta)
@@ -125,13 +215,37 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     label = np.array(got["label"].to_pylist(), float)
     if len(set(label)) < 2:
         p = np.clip(label.mean() if len(label) else 0.5, 0.01, 0.99)
-        return Machine(buckets, float(np.log(p / (1 - p))), np.zeros(buckets + wide), np.zeros((buckets + wide, 1)), np.zeros(wide), np.ones(wide))
-    m = fit([x or [] for x in got["words"].to_pylist()], got["weight"].to_pylist(), np.array(got["dense"].to_pylist()), label, buckets, **options)
-    m.bias += float(np.log(share[1] / share[0]) - np.log(label.mean() / (1 - label.mean())))  # from the sample's balance to that of all labels
+        return Machine(
+            buckets,
+            float(np.log(p / (1 - p))),
+            np.zeros(buckets + wide),
+            np.zeros((buckets + wide, 1)),
+            np.zeros(wide),
+            np.ones(wide),
+        )
+    m = fit(
+        [x or [] for x in got["words"].to_pylist()],
+        got["weight"].to_pylist(),
+        np.array(got["dense"].to_pylist()),
+        label,
+        buckets,
+        **options
+    )
+    # from the sample's balance to that of all labels
+    m.bias += float(np.log(share[1] / share[0]) - np.log(label.mean() / (1 - label.mean())))
     return m
 
 
-def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "text", meta: tuple[Column, ...] = (), threshold: float = 0.7, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+def score(
+    docs: DataFrame,
+    machine: Machine,
+    keep: list[str],
+    text_col: str = "text",
+    meta: tuple[Column, ...] = (),
+    threshold: float = 0.7,
+    score_col: str = "score",
+    predicted_col: str = "predicted",
+) -> DataFrame:
     """The columns `keep` of docs with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold, else 0).
 
     A null or empty text has no words and all statistics 0, and is scored like any other. Repeated rows each come
@@ -141,7 +255,12 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "t
     keep = [c for c in keep if c not in (score_col, predicted_col)]
     text, more = fresh(keep, "_text", "_meta")
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(text), _numbers(meta).alias(more))
-    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), f"`{score_col}` double, `{predicted_col}` int"])
+    schema = ", ".join(
+        [
+            *(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep),
+            f"`{score_col}` double, `{predicted_col}` int"
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone()
@@ -150,9 +269,18 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "t
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
                 got = [features(t, m.buckets) for t in batch.column(len(keep)).cast(pa.binary()).to_pylist()]
-                dense = np.array([x + e for (*_, x), e in zip(got, batch.column(len(keep) + 1).to_pylist())]).reshape(len(got), -1)
+                dense = np.array(
+                    [x + e for (*_, x), e in zip(got, batch.column(len(keep) + 1).to_pylist())]
+                ).reshape(len(got), -1)
                 z = m.score(*m.assemble([x for x, *_ in got], [x for _, x, _ in got], dense), len(got))
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*keep, score_col, predicted_col])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(i) for i in range(len(keep))),
+                        pa.array(p),
+                        pa.array((p >= threshold).astype(np.int32))
+                    ],
+                    names=[*keep, score_col, predicted_col],
+                )
 
     return source.mapInArrow(run, schema)

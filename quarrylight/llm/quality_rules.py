@@ -29,20 +29,30 @@ def hashes(w: Column) -> Column:
 def windows(h: Column, n: int) -> Column:
     """A 64-bit hash of each n successive words, from their hashes."""
     count = F.size(h) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, n)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(
+        count > 0,
+        F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, n))),
+    ).otherwise(F.array().cast("array<bigint>"))
 
 
 def placed_repeats(hashes: Column) -> Column:
     """Hash and place of each window, equal hashes side by side; empty where no window occurs twice."""
     placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    return F.when(
+        F.size(F.array_distinct(hashes)) < F.size(hashes), placed
+    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
 
 def repeated_words(placed: Column, n: int) -> Column:
     """Words in windows found twice or more: how much the windows with an equal neighbour cover. placed: a column of its own, as each element looks into it."""
     again = F.filter(placed, lambda x, i: (x.h == F.get(placed, i - 1).h) | (x.h == F.get(placed, i + 1).h))
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-n).alias("i"))
-    return F.aggregate(F.sort_array(F.transform(again, lambda x: x.i)), start, lambda a, i: F.struct((a.n + F.least(F.lit(n), i - a.i)).cast("bigint").alias("n"), i.alias("i")), lambda a: a.n)
+    return F.aggregate(
+        F.sort_array(F.transform(again, lambda x: x.i)),
+        start,
+        lambda a, i: F.struct((a.n + F.least(F.lit(n), i - a.i)).cast("bigint").alias("n"), i.alias("i")),
+        lambda a: a.n,
+    )
 
 
 def base_counts(docs: DataFrame, text_col: str = "text", window: int = 8, hashes_col: str = "_hashes") -> DataFrame:
@@ -53,7 +63,13 @@ def base_counts(docs: DataFrame, text_col: str = "text", window: int = 8, hashes
     text = F.coalesce(F.col(text_col), F.lit(""))
     w, ls, win, placed = fresh([*docs.columns, hashes_col], "_words", "_lines", "_windows", "_placed")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    first = docs.withColumns({w: words(F.col(text_col)), ls: lines, "n_symbols": F.regexp_count(text, F.lit("[" + SYMBOLS + "]")).cast("long")})
+    first = docs.withColumns(
+        {
+            w: words(F.col(text_col)),
+            ls: lines,
+            "n_symbols": F.regexp_count(text, F.lit("[" + SYMBOLS + "]")).cast("long"),
+        }
+    )
     counts = {
         hashes_col: hashes(F.col(w)),
         "n_words": F.size(w).cast("long"),
@@ -72,10 +88,19 @@ def pairs(h: Column) -> Column:
 
 def buckets_of(one: Column, two: Column, buckets: int) -> tuple[Column, Column]:
     """The buckets of a word and of the pair that it begins; the latter is null for a last word."""
-    return F.pmod(one, F.lit(buckets)).cast("int"), F.when(two.isNotNull(), F.pmod(F.xxhash64(one, two), F.lit(buckets)).cast("int"))
-
-
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smoothing: float = 10.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return F.pmod(one, F.lit(buckets)).cast("int"), F.when(
+        two.isNotNull(), F.pmod(F.xxhash64(one, two), F.lit(buckets)).cast("int")
+    )
+
+
+def log_ratios(
+    docs: DataFrame,
+    trusted: DataFrame,
+    buckets: int = 1 << 16,
+    smoothing: float = 10.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """(bucket, weight): log of the trusted side's probability by the raw corpus's, for every bucket.
 
     trusted: the ids of the trusted documents, nulls and repeats left out. Raw: all documents, repeated rows each, null texts
@@ -86,9 +111,13 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smoo
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    rows = docs.select(F.col(id_col).alias("_doc"), words(F.col(text_col)).alias("w")).select("_doc", hashes(F.col("w")).alias("h")).join(ids.withColumn("_in", F.lit(1)), F.col("_doc") == F.col("_id"), "left")
+    rows = docs.select(F.col(id_col).alias("_doc"), words(F.col(text_col)).alias("w")).select("_doc", hashes(F.col("w")).alias("h")).join(
+        ids.withColumn("_in", F.lit(1)), F.col("_doc") == F.col("_id"), "left"
+    )
     each = rows.select(F.explode(pairs(F.col("h"))).alias("p"), F.coalesce("_in", F.lit(0)).alias("t"))
-    each = each.select("t", F.explode(F.array(*buckets_of(F.col("p.one"), F.col("p.two"), buckets))).alias("bucket")).where("bucket is not null")
+    each = each.select(
+        "t", F.explode(F.array(*buckets_of(F.col("p.one"), F.col("p.two"), buckets))).alias("bucket")
+    ).where("bucket is not null")
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     counts = written(counts, "ngrams")
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
@@ -98,10 +127,24 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smoo
         return (F.coalesce(F.col(count), F.lit(0)) + more) / (n + more * buckets)
 
     every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    return every.join(counts, "bucket", "left").select("bucket", F.log(p("target", total["target"] or 0, smoothing) / p("raw", total["raw"] or 0, smoothing / share)).alias("weight"))
-
-
-def judge(docs: DataFrame, weights: DataFrame, keep: list[str], threshold: float = -0.15, buckets: int = 1 << 16, min_words: int = 20, repeat_percent: int = 30, text_col: str = "text") -> DataFrame:
+    return every.join(counts, "bucket", "left").select(
+        "bucket",
+        F.log(
+            p("target", total["target"] or 0, smoothing) / p("raw", total["raw"] or 0, smoothing / share)
+        ).alias("weight"),
+    )
+
+
+def judge(
+    docs: DataFrame,
+    weights: DataFrame,
+    keep: list[str],
+    threshold: float = -0.15,
+    buckets: int = 1 << 16,
+    min_words: int = 20,
+    repeat_percent: int = 30,
+    text_col: str = "text",
+) -> DataFrame:
     """The columns `keep` of docs with the base counts, llr (by n-gram), base_failed and kept.
 
     base_failed: fewer than min_words words, or over repeat_percent of 100 of these in 8-word windows found twice or more.
@@ -111,16 +154,27 @@ def judge(docs: DataFrame, weights: DataFrame, keep: list[str], threshold: float
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     keep = [c for c in keep if c not in (*counts, "llr", "base_failed", "kept")]
     # the kept columns travel in one, so that their names meet no other
-    counted = base_counts(docs.select(F.struct(F.lit(0).alias(fresh(keep, "none")[0]), *[F.col(f"`{c}`") for c in keep]).alias("own"), F.col(text_col).alias("text")))
+    counted = base_counts(
+        docs.select(
+            F.struct(F.lit(0).alias(fresh(keep, "none")[0]), *[F.col(f"`{c}`") for c in keep]).alias("own"),
+            F.col(text_col).alias("text"),
+        )
+    )
     # a row's n-grams stay together in its task, so the partial sums that leave it are one row for each text
-    spread = counted.withColumn("row", F.monotonically_increasing_id()).select("row", "own", *counts, F.explode_outer(pairs(F.col("_hashes"))).alias("p"))
+    spread = counted.withColumn("row", F.monotonically_increasing_id()).select(
+        "row", "own", *counts, F.explode_outer(pairs(F.col("_hashes"))).alias("p")
+    )
     one, two = buckets_of(F.col("p.one"), F.col("p.two"), buckets)
     spread = spread.select("row", "own", *counts, one.alias("one"), two.alias("two"))
     for name in ("one", "two"):  # `buckets` rows are broadcast
-        spread = spread.join(F.broadcast(weights.select(F.col("bucket").alias(name), F.col("weight").alias(f"w_{name}"))), name, "left")
+        spread = spread.join(
+            F.broadcast(weights.select(F.col("bucket").alias(name), F.col("weight").alias(f"w_{name}"))), name, "left"
+        )
     total = F.coalesce(F.sum("w_one"), F.lit(0.0)) + F.coalesce(F.sum("w_two"), F.lit(0.0))
     grams = F.count("w_one") + F.count("w_two")
-    summed = spread.groupBy("row", "own").agg(*[F.max(c).alias(c) for c in counts], F.when(grams > 0, total / grams).otherwise(F.lit(0.0)).alias("llr"))
+    summed = spread.groupBy("row", "own").agg(
+        *[F.max(c).alias(c) for c in counts], F.when(grams > 0, total / grams).otherwise(F.lit(0.0)).alias("llr")
+    )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     judged = summed.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
     return judged.select(*[F.col("own").getField(c).alias(c) for c in keep], *counts, "llr", "base_failed", "kept")

@@ -17,8 +17,16 @@ def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.packing import Limits, behind_first_line, pack
 
     limits = Limits(tokens=2048, segments=128, loss_tokens=2048)
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, limits=limits, loss_share=behind_first_line(F.col("text")))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = pack(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        end_id=1,
+        limits=limits,
+        loss_share=behind_first_line(F.col("text")),
+    )
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
 
 
 def op2_ngram_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +38,9 @@ def op2_ngram_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     judged = judge(docs, log_ratios(docs, trusted), keep=["doc_id"])
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"
+    )
 
 
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +50,13 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.token_blocks import read_tokens, write_tokens
 
     folder = shared_path(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2, shard_bytes=1 << 30)
+    write_tokens(
+        table(spark, sf_dir, "documents"),
+        folder,
+        public_tokenizers.path("word_bpe_49k.json"),
+        end_id=2,
+        shard_bytes=1 << 30,
+    )
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -52,7 +68,14 @@ def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     marked = mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], window=13)
     c = F.col("contamination")
-    return marked.select("doc_id", c.n_words.alias("n_words"), c.n_hit.alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    return marked.select(
+        "doc_id",
+        c.n_words.alias("n_words"),
+        c.n_hit.alias("n_hit"),
+        F.size(c["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+    )
 
 
 def op5_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +86,13 @@ def op5_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = shared_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), folder, shard_bytes=4 << 30, roll_bytes=1 << 30, revisit_bytes=0)
-    return read_warc(spark, folder).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    return read_warc(spark, folder).select(
+        F.col("key").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
 
 
 def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +127,9 @@ def op8_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(_remainder(5) != 0))
-    return identify(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
+    return identify(docs.select("doc_id", "text"), model, keep=["doc_id"]).select(
+        "doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "accepted"
+    )
 
 
 def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +139,12 @@ def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.quality_fm import score, train
 
     docs, meta = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), (F.log1p("n_chars"),)
-    machine = train(docs, table(spark, sf_dir, "labels").where(_remainder(4) != 2), label_col="quality", meta=meta, max_rows=6000)
-    return score(docs, machine, keep=["doc_id"], meta=meta, threshold=0.7).select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
+    machine = train(
+        docs, table(spark, sf_dir, "labels").where(_remainder(4) != 2), label_col="quality", meta=meta, max_rows=6000
+    )
+    return score(docs, machine, keep=["doc_id"], meta=meta, threshold=0.7).select(
+        "doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted"
+    )
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +153,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from quarrylight.llm.line_dedup import remove_boilerplate
 
-    return remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=8, min_words=4, counts=True).select("doc_id", "text", "n_chars", "n_lines", "n_removed")
+    return remove_boilerplate(
+        table(spark, sf_dir, "documents"), min_sites=8, min_words=4, counts=True
+    ).select("doc_id", "text", "n_chars", "n_lines", "n_removed")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

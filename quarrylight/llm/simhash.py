@@ -52,7 +52,9 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
     return majority(list(hashes(text, shingle, seed)))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42
+) -> DataFrame:
     """(doc_id, tie, fp) of every row: fp as a signed long, tie a hash of the text. A null text counts as empty.
 
     Repeated rows each come back; an empty table gives no row; further columns are not read, whatever their names.
@@ -61,10 +63,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([fingerprint(t, shingle, seed) for t in batch.column(2).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits.view(np.int64))], names=["doc_id", "tie", "fp"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+            bits = np.array(
+                [fingerprint(t, shingle, seed) for t in batch.column(2).cast(pa.binary()).to_pylist()], np.uint64
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(bits.view(np.int64))], names=["doc_id", "tie", "fp"]
+            )
+
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text")
+    )
     return source.mapInArrow(run, "doc_id long, tie long, fp long")
 
 
@@ -107,7 +115,9 @@ def by_group(batches: Iterator[pa.RecordBatch], width: int, names: int) -> Itera
     """The rows (longs) of each group after the other; a group has equal first `names` columns and its rows side by side."""
     held = np.empty((0, width), np.int64)
     for batch in batches:
-        rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)]).astype(np.int64, copy=False)
+        rows = np.column_stack(
+            [batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)]
+        ).astype(np.int64, copy=False)
         rows = np.concatenate([held, rows])
         edges = [0, *(np.flatnonzero((rows[1:, :names] != rows[:-1, :names]).any(axis=1)) + 1).tolist()]
         for lo, hi in zip(edges, edges[1:]):
@@ -122,7 +132,9 @@ def _links(radius: int):
         a, b, held = [], [], 0
 
         def table() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"]
+            )
 
         for rows in by_group(batches, 5, 3):  # file, p, q, part, fp
             if len(rows) > 1:
@@ -156,14 +168,17 @@ def _files(fp: F.Column, m: int, radius: int) -> list[F.Column]:
     for number, chosen in enumerate(combinations(range(m), m - radius)):
         mask = sum(masks[i] for i in chosen)
         mask -= (1 << 64) if mask >> 63 else 0
-        out.append(F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(mask).cast("long"))))  # files that a hash throws together only add comparisons
+        # files that a hash throws together only add comparisons
+        out.append(F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(mask).cast("long"))))
     return out
 
 
 def deal(filed: DataFrame, size: int, spread: list[str]) -> DataFrame:
     """filed (file, ...) with p, q and part: files of over `size` rows are dealt by the hash of `spread` into parts, and each
     pair of parts is a group (file, p, q). A row goes to as many groups as its file has parts."""
-    parts = filed.groupBy("file").agg(F.count("*").alias("_rows")).where(F.col("_rows") > size).select("file", F.ceil(F.col("_rows") / size).alias("k"))
+    parts = filed.groupBy("file").agg(F.count("*").alias("_rows")).where(F.col("_rows") > size).select(
+        "file", F.ceil(F.col("_rows") / size).alias("k")
+    )
     dealt = filed.join(parts, "file", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64(*spread, F.lit(7)), F.col("k")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
@@ -179,10 +194,14 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     m = blocks_for(nodes.count(), radius, MOST)
     filed = nodes.select("fp", F.explode(F.array(*_files(F.col("fp"), m, radius))).alias("file"))
     grouped = deal(filed, 2 * MOST, ["fp"]).select("file", "p", "q", "part", "fp")
-    return grouped.repartition("file", "p", "q").sortWithinPartitions("file", "p", "q").mapInArrow(_links(radius), "a long, b long")
+    return grouped.repartition("file", "p", "q").sortWithinPartitions("file", "p", "q").mapInArrow(
+        _links(radius), "a long, b long"
+    )
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4
+) -> DataFrame:
     """(doc_id, tie, fp, node, component_id) of every row. node: the same for all rows of a group that links connect;
     component_id: the group's least doc_id, null if none has one. tie: a hash of the text.
 
@@ -192,6 +211,10 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     found = connected_components(links(nodes.select("fp"), radius))
-    joined = nodes.join(found, nodes.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("node"))
+    joined = nodes.join(found, nodes.fp == found.node, "left").select(
+        "fp", "rep", F.coalesce("component", "fp").alias("node")
+    )
     least = joined.groupBy("node").agg(F.min("rep").alias("component_id"))
-    return marked.join(joined.join(least, "node").select("fp", "node", "component_id"), "fp").select("doc_id", "tie", "fp", "node", "component_id")
+    return marked.join(
+        joined.join(least, "node").select("fp", "node", "component_id"), "fp"
+    ).select("doc_id", "tie", "fp", "node", "component_id")

@@ -55,13 +55,17 @@ def encode_block(ids: np.ndarray, outliers: float = 0.02) -> bytes:
     odd = np.flatnonzero(widths > width)
     head = np.array([low], "<u4").tobytes() + bytes([width, 0]) + np.array([len(odd)], "<u2").tobytes()
     packed = pack_bits(rest & np.uint32((1 << width) - 1), width)
-    return head + packed + odd.astype("<u2").tobytes() + (rest[odd].astype(np.uint64) >> np.uint64(width)).astype("<u4").tobytes()
+    return head + packed + odd.astype("<u2").tobytes() + (
+        rest[odd].astype(np.uint64) >> np.uint64(width)
+    ).astype("<u4").tobytes()
 
 
 def decode_block(raw: memoryview, n: int) -> np.ndarray:
     low, width, odd = int(np.frombuffer(raw, "<u4", 1)[0]), raw[4], int(np.frombuffer(raw, "<u2", 1, 6)[0])
     at = 8 + (n * width + 7) // 8
-    out = unpack_bits(np.frombuffer(raw, np.uint8, at - 8, 8), n, width).astype(np.uint64) if width else np.zeros(n, np.uint64)
+    out = unpack_bits(
+        np.frombuffer(raw, np.uint8, at - 8, 8), n, width
+    ).astype(np.uint64) if width else np.zeros(n, np.uint64)
     where = np.frombuffer(raw, "<u2", odd, at)
     out[where] |= np.frombuffer(raw, "<u4", odd, at + 2 * odd).astype(np.uint64) << np.uint64(width)
     return (out + np.uint64(low)).astype("<u4")
@@ -104,9 +108,16 @@ class ShardWriter:
         named = [d for d in self.docs if d is not None]
         nameless = len(self.docs) - len(named)
         index = zstandard.compress(
-            np.array([nameless, *self.starts], "<u8").tobytes() + np.array([0] * nameless + named, "<i8").tobytes() + np.array(self.lengths, "<u4").tobytes()
+            np.array(
+                [nameless, *self.starts], "<u8"
+            ).tobytes() + np.array([0] * nameless + named, "<i8").tobytes() + np.array(self.lengths, "<u4").tobytes()
+        )
+        self.out.write(
+            index
+            + np.array([self.at, len(self.starts), len(self.docs), self.ids], "<u8").tobytes()
+            + np.array([zlib.crc32(index)], "<u4").tobytes()
+            + MAGIC
         )
-        self.out.write(index + np.array([self.at, len(self.starts), len(self.docs), self.ids], "<u8").tobytes() + np.array([zlib.crc32(index)], "<u4").tobytes() + MAGIC)
         self.out.close()
         size = self.at + len(index) + 40
         self.fs.move(self.temp, self.final)
@@ -126,7 +137,9 @@ def read_shard(folder: str, name: str, block_batch: int = 256) -> Iterator[tuple
         index = zstandard.decompress(raw)
         nameless = int(np.frombuffer(index, "<u8", 1)[0])
         starts = [*np.frombuffer(index, "<u8", blocks, 8).tolist(), index_at]
-        names, lengths = np.frombuffer(index, "<i8", docs, 8 + 8 * blocks), np.frombuffer(index, "<u4", docs, 8 + 8 * (blocks + docs))
+        names, lengths = np.frombuffer(index, "<i8", docs, 8 + 8 * blocks), np.frombuffer(
+            index, "<u4", docs, 8 + 8 * (blocks + docs)
+        )
         have, done = np.empty(0, "<u4"), 0
         for doc, n in zip([None] * nameless + names[nameless:].tolist(), lengths.tolist()):
             if len(have) < n:
@@ -136,7 +149,12 @@ def read_shard(folder: str, name: str, block_batch: int = 256) -> Iterator[tuple
                     upto = min(done + block_batch, blocks)
                     buffer = memoryview(f.read_at(starts[upto] - starts[done], starts[done]))
                     for b in range(done, upto):
-                        more.append(decode_block(buffer[starts[b] - starts[done] : starts[b + 1] - starts[done]], min(BLOCK, ids - b * BLOCK)))
+                        more.append(
+                            decode_block(
+                                buffer[starts[b] - starts[done] : starts[b + 1] - starts[done]],
+                                min(BLOCK, ids - b * BLOCK),
+                            )
+                        )
                         held += len(more[-1])
                     done = upto
                 have = np.concatenate(more)
@@ -144,7 +162,18 @@ def read_shard(folder: str, name: str, block_batch: int = 256) -> Iterator[tuple
             have = have[n:]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_bytes: int = 1 << 30, outliers: float = 0.02, id_col: str = "doc_id", text_col: str = "text", fewest: int = 64, least_bytes: int = 4 << 20) -> DataFrame:
+def write_tokens(
+    docs: DataFrame,
+    folder: str,
+    tokenizer: str,
+    end_id: int,
+    shard_bytes: int = 1 << 30,
+    outliers: float = 0.02,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    fewest: int = 64,
+    least_bytes: int = 4 << 20,
+) -> DataFrame:
     """Writes the files and returns their manifest, which lies in {folder}/manifest.
 
     shard_bytes: about how many bytes of text go to a file; fewer, but least_bytes or more, where that would give under
@@ -153,7 +182,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
     file is opened by its path on the executors.
     """
     prepare(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
     tie = F.xxhash64("text")
     cut = ranges(source, F.col("doc_id"), F.octet_length("text") + 1, shard_bytes, fewest, least_bytes)
     placed = source.withColumns({"_shard": cut.of(F.col("doc_id"), tie), "_tie": tie})
@@ -163,12 +194,30 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
         encode, writer, at = encoder(tokenizer, end_id, spaced=False).encode, None, None
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip(("shard", "file", "first_doc", "last_doc", "documents", "ids", "bytes"), (at, writer.name, *writer.close())))], schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), *((x, pa.int64()) for x in ("first_doc", "last_doc", "documents", "ids", "bytes"))]))
+            return pa.RecordBatch.from_pylist(
+                [
+                    dict(
+                        zip(
+                            ("shard", "file", "first_doc", "last_doc", "documents", "ids", "bytes"),
+                            (at, writer.name, *writer.close()),
+                        )
+                    )
+                ],
+                schema=pa.schema(
+                    [
+                        ("shard", pa.int32()),
+                        ("file", pa.string()),
+                        *((x, pa.int64()) for x in ("first_doc", "last_doc", "documents", "ids", "bytes"))
+                    ]
+                ),
+            )
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                for doc, shard, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), encode(part.column(1).to_pylist())):
+                for doc, shard, ids in zip(
+                    part.column(0).to_pylist(), part.column(2).to_pylist(), encode(part.column(1).to_pylist())
+                ):
                     if shard != at:
                         if writer:
                             yield done()
@@ -186,9 +235,13 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
     The manifest, one row for each file, passes through the driver; each file is read by a task of its own.
     """
-    rows = prepare(spark).read.schema(MANIFEST).parquet(f"{folder}/manifest").select("shard", "file", "ids").orderBy("shard").collect()
+    rows = prepare(spark).read.schema(MANIFEST).parquet(f"{folder}/manifest").select(
+        "shard", "file", "ids"
+    ).orderBy("shard").collect()
     base = np.cumsum([0, *(r.ids for r in rows)]).tolist()
-    listed = spark.createDataFrame([(i, r.file, b) for i, (r, b) in enumerate(zip(rows, base))], "number int, file string, base long")
+    listed = spark.createDataFrame(
+        [(i, r.file, b) for i, (r, b) in enumerate(zip(rows, base))], "number int, file string, base long"
+    )
     files = listed.repartitionById(max(1, len(rows)), "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,4 +262,6 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "start", "n_tokens", "ids"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "start", "n_tokens", "ids"]
+    )

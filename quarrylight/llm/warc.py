@@ -40,13 +40,29 @@ def _header(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
-def record(kind: str, key: int | None, url: str | None, payload: bytes, date: str, refers: tuple[int, str | None] | None) -> bytes:
+def record(
+    kind: str, key: int | None, url: str | None, payload: bytes, date: str, refers: tuple[int, str | None] | None
+) -> bytes:
     """One WARC record. A revisit has the HTTP headers only; Content-Length of these tells the full payload's size."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block, own = http + (payload if kind == "response" else b""), digest(payload)
-    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(key, own)), ("WARC-Date", date), ("WARC-Target-URI", _header(url)), ("WARC-Payload-Digest", f"sha1:{own}"), ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("X-Record-Key", "" if key is None else str(key))]
+    head = [
+        ("WARC-Type", kind),
+        ("WARC-Record-ID", record_id(key, own)),
+        ("WARC-Date", date),
+        ("WARC-Target-URI", _header(url)),
+        ("WARC-Payload-Digest", f"sha1:{own}"),
+        ("WARC-Block-Digest", f"sha1:{digest(block)}"),
+        ("X-Record-Key", "" if key is None else str(key))
+    ]
     if refers:
-        head += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers[0], own)), ("WARC-Refers-To-Target-URI", _header(refers[1])), ("WARC-Refers-To-Date", date), ("X-Refers-To-Key", str(refers[0]))]
+        head += [
+            ("WARC-Profile", REVISIT),
+            ("WARC-Refers-To", record_id(refers[0], own)),
+            ("WARC-Refers-To-Target-URI", _header(refers[1])),
+            ("WARC-Refers-To-Date", date),
+            ("X-Refers-To-Key", str(refers[0]))
+        ]
     head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head)).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -74,10 +90,31 @@ class RollingWriter:
         self.out.close()
         self.out = None
         self.fs.move(self.temp, f"{self.root}/{self.name}")
-        return {"shard": self.shard, "number": self.number, "file": self.name, "records": self.records, "bytes": self.size, "first_key": self.first, "last_key": self.last}
-
-
-def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shard_bytes: int = 4 << 30, roll_bytes: int = 1 << 30, revisit_bytes: int | None = 0, date: str = "1970-01-01T00:00:00Z", level: int = 6, fewest: int = 64, least_bytes: int = 4 << 20) -> DataFrame:
+        return {
+            "shard": self.shard,
+            "number": self.number,
+            "file": self.name,
+            "records": self.records,
+            "bytes": self.size,
+            "first_key": self.first,
+            "last_key": self.last,
+        }
+
+
+def write_warc(
+    pages: DataFrame,
+    folder: str,
+    key_col: str = "page_id",
+    url_col: str = "url",
+    payload_col: str = "html",
+    shard_bytes: int = 4 << 30,
+    roll_bytes: int = 1 << 30,
+    revisit_bytes: int | None = 0,
+    date: str = "1970-01-01T00:00:00Z",
+    level: int = 6,
+    fewest: int = 64,
+    least_bytes: int = 4 << 20,
+) -> DataFrame:
     """Writes one record for each row and returns the manifest, which lies in {folder}/manifest.
 
     revisit_bytes: of records with equal payloads of at least so many bytes, the one with the largest key is the
@@ -88,11 +125,23 @@ def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", url_col:
     to, a null url is an empty header. Further columns are not read, whatever their names. An empty table gives an empty manifest.
     """
     spark = prepare(pages.sparkSession)
-    source = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha1("payload"))
+    source = pages.select(
+        F.col(key_col).cast("long").alias("key"),
+        F.col(url_col).cast("string").alias("url"),
+        F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
+    ).withColumn("sha", F.sha1("payload"))
     size = F.octet_length("payload")
-    again = source.where(F.lit(revisit_bytes is not None) & (size >= (revisit_bytes or 0))).groupBy("sha").agg(F.max_by(F.struct("key", "url"), "key").alias("ref"), F.count("*").alias("n")).where("n > 1 and ref.key is not null").select("sha", "ref")
+    again = source.where(F.lit(revisit_bytes is not None) & (size >= (revisit_bytes or 0))).groupBy("sha").agg(
+        F.max_by(F.struct("key", "url"), "key").alias("ref"), F.count("*").alias("n")
+    ).where("n > 1 and ref.key is not null").select("sha", "ref")
     again = written(again, "payloads")  # so that Spark sees its size: pages are shuffled for it only if it is large
-    joined = source.join(again, "sha", "left").select("key", "url", "payload", "sha", F.when(F.col("key").isNull() | (F.col("key") < F.col("ref.key")), F.col("ref")).alias("ref"))
+    joined = source.join(again, "sha", "left").select(
+        "key",
+        "url",
+        "payload",
+        "sha",
+        F.when(F.col("key").isNull() | (F.col("key") < F.col("ref.key")), F.col("ref")).alias("ref"),
+    )
     cut = ranges(source, F.col("key"), size + 500, shard_bytes, fewest, least_bytes)  # headers have about 500 bytes
     tie = F.xxhash64("sha", "url")
     placed = joined.withColumns({"_shard": cut.of(F.col("key"), tie), "_tie": tie})
@@ -108,12 +157,25 @@ def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", url_col:
                     writer = RollingWriter(folder, r["_shard"], roll_bytes, level)
                 ref = r["ref"]
                 kind = "revisit" if ref else "response"
-                if done := writer.add(r["key"], record(kind, r["key"], r["url"], r["payload"], date, (ref["key"], ref["url"]) if ref else None)):
+                if done := writer.add(
+                    r["key"],
+                    record(kind, r["key"], r["url"], r["payload"], date, (ref["key"], ref["url"]) if ref else None),
+                ):
                     rows.append(done)
         if writer:
             rows.append(writer.close())
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("number", pa.int32()), ("file", pa.string()), *((c, pa.int64()) for c in ("records", "bytes", "first_key", "last_key"))]))
+            yield pa.RecordBatch.from_pylist(
+                rows,
+                schema=pa.schema(
+                    [
+                        ("shard", pa.int32()),
+                        ("number", pa.int32()),
+                        ("file", pa.string()),
+                        *((c, pa.int64()) for c in ("records", "bytes", "first_key", "last_key"))
+                    ]
+                ),
+            )
 
     ranged.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -153,7 +215,9 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each record of the files that the manifest lists. payload is null for revisits;
     payload_digest (bare) and payload_bytes are of the full payload, checked against it where it is there.
     The manifest's file names pass through the driver; each file is read by a task of its own. An empty manifest gives no row."""
-    listed = prepare(spark).read.schema(MANIFEST).parquet(f"{folder}/manifest").select("file", "records").orderBy("file").collect()
+    listed = prepare(spark).read.schema(MANIFEST).parquet(
+        f"{folder}/manifest"
+    ).select("file", "records").orderBy("file").collect()
     rows = [(i, r.file, r.records) for i, r in enumerate(listed)]
     files = spark.createDataFrame(rows, "at int, file string, records long").repartitionById(max(1, len(rows)), "at")
 
@@ -165,11 +229,24 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 with fs.open_input_stream(f"{root}/{file['file']}", compression=None) as f:
                     for raw in members(f):
                         named, http, body = parse(raw)
-                        size, own = int(http.rpartition(b"Content-Length:")[2]), named["warc-payload-digest"].removeprefix("sha1:")
+                        size, own = int(
+                            http.rpartition(b"Content-Length:")[2]
+                        ), named["warc-payload-digest"].removeprefix("sha1:")
                         if (full := named["warc-type"] == "response") and (len(body), digest(body)) != (size, own):
                             raise ValueError(f"{named['warc-record-id']}: payload does not match its headers")
                         key, ref = named["x-record-key"], named.get("x-refers-to-key")
-                        rows.append((named["warc-record-id"], named["warc-type"], named["warc-target-uri"], int(key) if key else None, ref, own, size, body if full else None))
+                        rows.append(
+                            (
+                                named["warc-record-id"],
+                                named["warc-type"],
+                                named["warc-target-uri"],
+                                int(key) if key else None,
+                                ref,
+                                own,
+                                size,
+                                body if full else None,
+                            )
+                        )
                         seen, held = seen + 1, held + len(body)
                         if held > 8_000_000 or len(rows) >= 4000:
                             yield _table(rows)
@@ -184,4 +261,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
     s, n = pa.string(), pa.int64()
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (s, s, s, n, s, s, n, pa.binary()))], names=[c.split()[0] for c in RECORD.split(", ")])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x, k) for x, k in zip(zip(*rows), (s, s, s, n, s, s, n, pa.binary()))],
+        names=[c.split()[0] for c in RECORD.split(", ")],
+    )

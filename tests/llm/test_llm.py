@@ -19,14 +19,28 @@ from quarrylight.llm import common, components, decontaminate, encoding, hmm_lm,
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start long, words string"
-TEXTS = [None, "", "   \n ", "one", "The cat sat.\nOn the mat, it's 12\n\nok", "a  b\tc \n d", "x" * 5000, "tie tie", "tie tie", "long word " * 3000, "é̀ ÀB <|endoftext|> \x02 \x01 z"]
+TEXTS = [
+    None,
+    "",
+    "   \n ",
+    "one",
+    "The cat sat.\nOn the mat, it's 12\n\nok",
+    "a  b\tc \n d",
+    "x" * 5000,
+    "tie tie",
+    "tie tie",
+    "long word " * 3000,
+    "é̀ ÀB <|endoftext|> \x02 \x01 z"
+]
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls in every column, repeats, and extra columns whose names clash with those of results."""
     rows = [(i, t, "en" if i % 2 else None, None if i % 3 else f"s{i}", None, 7, "w") for i, t in enumerate(TEXTS)]
-    return spark.createDataFrame([*rows, rows[4], (None, "no id here", None, None, None, None, None)], SCHEMA).repartition(3).cache()
+    return spark.createDataFrame(
+        [*rows, rows[4], (None, "no id here", None, None, None, None, None)], SCHEMA
+    ).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
@@ -65,18 +79,24 @@ def test_packing_round_trip(spark, odd, none):
     for b in bins.values():
         b.sort(key=lambda r: r.offset)
         size = sum(r.length for r in b)
-        assert [r.offset for r in b] == np.cumsum([0, *(r.length for r in b)])[:-1].tolist() and size & (size - 1) == 0 and size <= 2048
+        assert [r.offset for r in b] == np.cumsum(
+            [0, *(r.length for r in b)]
+        )[:-1].tolist() and size & (size - 1) == 0 and size <= 2048
     assert packing.pack(none, BYTE).count() == 0
 
 
 def test_packing_keeps_all_limits(spark):
-    d = spark.createDataFrame([(i, "w " * (i * 7 % 90 + 1), i % 50) for i in range(400)], "doc_id long, text string, loss long").coalesce(1)
+    d = spark.createDataFrame(
+        [(i, "w " * (i * 7 % 90 + 1), i % 50) for i in range(400)], "doc_id long, text string, loss long"
+    ).coalesce(1)
     limits = packing.Limits(tokens=128, segments=5, loss_tokens=60)
     rows = packing.pack(d, BYTE, limits=limits, loss_col="loss").collect()
     bins = {}
     for r in rows:
         bins.setdefault(r.sequence_id, []).append(r)
-    assert all(sum(r.length for r in b) <= 128 and len(b) <= 5 and sum(r.loss_tokens for r in b) <= 60 for b in bins.values())
+    assert all(
+        sum(r.length for r in b) <= 128 and len(b) <= 5 and sum(r.loss_tokens for r in b) <= 60 for b in bins.values()
+    )
     n = Counter()
     for r in rows:
         n[r.doc_id] += r.loss_tokens
@@ -100,8 +120,12 @@ def test_packing_takes_the_largest_dot_product():
 
 def test_share_behind_the_first_line(spark):
     d = spark.createDataFrame([("ab\ncdef",), ("one line",), ("",), (None,), ("\n",)], "text string")
-    assert [round(r.s, 3) for r in d.select(packing.behind_first_line(F.col("text")).alias("s")).collect()] == [round(1 - 3 / 7, 3), 1, 1, 1, 0]
-    rows = packing.pack(spark.createDataFrame([(1, "ab ab\ncd cd cd")], "doc_id long, text string"), BYTE, loss_share=F.lit(0.5)).collect()
+    assert [
+        round(r.s, 3) for r in d.select(packing.behind_first_line(F.col("text")).alias("s")).collect()
+    ] == [round(1 - 3 / 7, 3), 1, 1, 1, 0]
+    rows = packing.pack(
+        spark.createDataFrame([(1, "ab ab\ncd cd cd")], "doc_id long, text string"), BYTE, loss_share=F.lit(0.5)
+    ).collect()
     assert sum(r.loss_tokens for r in rows) == -(-rows[0].doc_tokens // 2)
 
 
@@ -121,15 +145,21 @@ def test_log_likelihood_ratio_by_brute_force(spark):
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     trusted = spark.createDataFrame([(1,), (3,), (3,), (None,)], "doc_id long")
     h = {w: r for w, r in ((r.w, r.h) for r in spark.createDataFrame([(w,) for w in "abcdz"], "w string").select("w", F.xxhash64("w").alias("h")).collect())}
-    pair = spark.createDataFrame([(a, b, h[a], h[b]) for a in h for b in h], "a string, b string, x long, y long").select("a", "b", (F.pmod(F.xxhash64("x", "y"), F.lit(32))).alias("k"))
+    pair = spark.createDataFrame(
+        [(a, b, h[a], h[b]) for a in h for b in h], "a string, b string, x long, y long"
+    ).select("a", "b", (F.pmod(F.xxhash64("x", "y"), F.lit(32))).alias("k"))
     two = {(r.a, r.b): r.k for r in pair.collect()}
     grams = {i: [h[w] % 32 for w in (t or "").split()] + [two[x] for x in zip((t or "").split(), (t or "").split()[1:])] for i, t in texts.items()}
     raw, target = Counter(k for g in grams.values() for k in g), Counter(k for i in (1, 3) for k in grams[i])
     n, m, share = sum(raw.values()), sum(target.values()), sum(target.values()) / sum(raw.values())
-    weight = {k: math.log((target[k] + 2) / (m + 64) / ((raw[k] + 2 / share) / (n + 2 / share * 32))) for k in range(32)}
+    weight = {
+        k: math.log((target[k] + 2) / (m + 64) / ((raw[k] + 2 / share) / (n + 2 / share * 32))) for k in range(32)
+    }
     got = quality_rules.log_ratios(d, trusted, buckets=32, smoothing=2.0)
     assert all(math.isclose(r.weight, weight[r.bucket], abs_tol=1e-12) for r in got.collect())
-    judged = quality_rules.judge(d.withColumnsRenamed({"doc_id": "p"}), got, keep=["p"], buckets=32, min_words=1, threshold=0.0).collect()
+    judged = quality_rules.judge(
+        d.withColumnsRenamed({"doc_id": "p"}), got, keep=["p"], buckets=32, min_words=1, threshold=0.0
+    ).collect()
     for r in judged:
         g = grams[r.p]
         want = sum(weight[k] for k in g) / len(g) if g else 0.0
@@ -151,7 +181,9 @@ def test_quality_rules(spark, odd, none):
     by = {r.doc_id: r for r in got}
     assert by[9].n_repeat_words == 6000 and by[4].n_words == 9 and by[5].word_chars == 4 and by[0].n_words == 0 and by[0].llr == 0
     assert quality_rules.judge(none, w, keep=["doc_id"], buckets=256).count() == 0
-    assert quality_rules.judge(none, quality_rules.log_ratios(none, none, buckets=16), keep=["doc_id"], buckets=16).count() == 0
+    assert quality_rules.judge(
+        none, quality_rules.log_ratios(none, none, buckets=16), keep=["doc_id"], buckets=16
+    ).count() == 0
 
 
 def test_repeated_windows_by_brute_force(spark):
@@ -165,7 +197,9 @@ def test_repeated_windows_by_brute_force(spark):
         assert got[i] == len({x for k in range(len(w) - 3) if c[tuple(w[k : k + 4])] > 1 for x in range(k, k + 4)})
 
 
-@pytest.mark.parametrize("values", [[5], [0, 2**32 - 1], list(range(1000)), [7] * 4096, [3] * 90 + [10**6] * 2, [1, 2, 3, 49407] * 999])
+@pytest.mark.parametrize(
+    "values", [[5], [0, 2**32 - 1], list(range(1000)), [7] * 4096, [3] * 90 + [10**6] * 2, [1, 2, 3, 49407] * 999]
+)
 def test_blocks_round_trip(values):
     a = np.array(values, "<u4")
     raw = token_blocks.encode_block(a)
@@ -193,7 +227,9 @@ def test_token_files(spark, odd, none, tmp_path):
 def test_ranges(spark):
     """Every row has a range, in the order of the keys; a large key is spread, and partitions do not matter."""
     rng = np.random.default_rng(1)
-    keys = [5] * 3000 + [None] * 1000 + [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 2000)] + [10**15 + int(x) for x in rng.integers(0, 5000, 3000)]
+    keys = [5] * 3000 + [None] * 1000 + [
+        int(x) for x in rng.integers(-(2**63), 2**63 - 1, 2000)
+    ] + [10**15 + int(x) for x in rng.integers(0, 5000, 3000)]
     d = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
     found = []
     for n in (1, 7):
@@ -209,7 +245,11 @@ def test_ranges(spark):
 
 def test_every_letter_before_every_tail():
     """A letter that ends in a mark when it is normalised shares a pre-token with what follows."""
-    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha() and (len(unicodedata.normalize("NFC", chr(c)).lower()) > 1 or c % 97 == 0)]
+    letters = [
+        chr(c)
+        for c in range(0x80, 0x30000)
+        if chr(c).isalpha() and (len(unicodedata.normalize("NFC", chr(c)).lower()) > 1 or c % 97 == 0)
+    ]
     texts = [f"a{x}{t}" for x in [*letters, "é", "\u0130", "\u0958"] for t in encoding._TAIL]
     assert len(letters) > 60
     for path, spaced in ((WORD, False), (BYTE, True)):
@@ -252,14 +292,20 @@ def hits(texts, items, size):
 def test_decontamination(spark, odd, none, block_bytes):
     rng = np.random.default_rng(5)
     texts = [" ".join(rng.choice(["a", "B", "é", "c9"], rng.integers(0, 40))) for _ in range(80)]
-    items = [("x", "a b é"), ("y", "B"), ("z", "c9 c9 a b é a"), ("w", None), ("v", ""), ("u", "a b é"), (None, "é é a a")]
+    items = [
+        ("x", "a b é"), ("y", "B"), ("z", "c9 c9 a b é a"), ("w", None), ("v", ""), ("u", "a b é"), (None, "é é a a")
+    ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = {r.doc_id: r.contamination for r in decontaminate.mark(docs, bench, window=4, block_bytes=block_bytes).collect()}
+    got = {
+        r.doc_id: r.contamination for r in decontaminate.mark(docs, bench, window=4, block_bytes=block_bytes).collect()
+    }
     for i, (n, h, found) in enumerate(hits(texts, items, 4)):
         assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == (n, h, found)
     kept = decontaminate.remove_contaminated(docs, bench, window=4, block_bytes=block_bytes)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (n, h, _) in enumerate(hits(texts, items, 4)) if not (h and 20 * h >= n)}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {
+        i for i, (n, h, _) in enumerate(hits(texts, items, 4)) if not (h and 20 * h >= n)
+    }
     assert decontaminate.mark(odd, bench.limit(0)).where("contamination.n_hit > 0").count() == 0
     assert decontaminate.remove_contaminated(none, bench).count() == 0 and decontaminate.mark(odd, bench).count() == odd.count()
 
@@ -283,7 +329,9 @@ def test_longest_match_of_each_item(spark, monkeypatch, block_bytes):
         for name, t in items.items():
             u = t.split()
             for p, j in itertools.product(range(len(w)), range(len(u))):
-                n = next((k for k in range(min(len(w) - p, len(u) - j)) if w[p + k] != u[j + k]), min(len(w) - p, len(u) - j))
+                n = next(
+                    (k for k in range(min(len(w) - p, len(u) - j)) if w[p + k] != u[j + k]), min(len(w) - p, len(u) - j)
+                )
                 if n >= 3 and n > want.get(name, (0, 0))[1]:
                     want[name] = (p, n)
         assert {x.item_id: (x.doc_start, x.words) for x in r.contamination.spans} == want
@@ -291,16 +339,40 @@ def test_longest_match_of_each_item(spark, monkeypatch, block_bytes):
 
 
 def test_warc_round_trip(spark, none, tmp_path):
-    pages = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, None, None), (4, "http://a/4", ""), (5, "u\r\nX: y", "é\r\n\r\n" * 400), (9, "http://a/9", "same"), (None, "n", "same"), (9, "http://a/9", "same")]
+    pages = [
+        (1, "http://a/1", "same"),
+        (2, "http://a/2", "same"),
+        (3, None, None),
+        (4, "http://a/4", ""),
+        (5, "u\r\nX: y", "é\r\n\r\n" * 400),
+        (9, "http://a/9", "same"),
+        (None, "n", "same"),
+        (9, "http://a/9", "same")
+    ]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
     for name in ("a", "b"):
         warc.write_warc(df, str(tmp_path / name), shard_bytes=2500, roll_bytes=300, least_bytes=1)
     got = warc.read_warc(spark, str(tmp_path / "a")).collect()
     kind = Counter((r.key, r.record_type, None if r.refers_to is None else int(r.refers_to)) for r in got)
-    assert kind == Counter([(None, "revisit", 9), (1, "revisit", 9), (2, "revisit", 9), (3, "revisit", 4), (4, "response", None), (5, "response", None), (9, "response", None), (9, "response", None)])
-    assert {r.key: r.payload for r in got if r.record_type == "response"} == {4: b"", 5: ("é\r\n\r\n" * 400).encode(), 9: b"same"}
+    assert kind == Counter(
+        [
+            (None, "revisit", 9),
+            (1, "revisit", 9),
+            (2, "revisit", 9),
+            (3, "revisit", 4),
+            (4, "response", None),
+            (5, "response", None),
+            (9, "response", None),
+            (9, "response", None)
+        ]
+    )
+    assert {
+        r.key: r.payload for r in got if r.record_type == "response"
+    } == {4: b"", 5: ("é\r\n\r\n" * 400).encode(), 9: b"same"}
     names = sorted(p.name for p in (tmp_path / "a").glob("*.gz"))
-    assert names == sorted(p.name for p in (tmp_path / "b").glob("*.gz")) and all((tmp_path / "a" / n).read_bytes() == (tmp_path / "b" / n).read_bytes() for n in names)
+    assert names == sorted(p.name for p in (tmp_path / "b").glob("*.gz")) and all(
+        (tmp_path / "a" / n).read_bytes() == (tmp_path / "b" / n).read_bytes() for n in names
+    )
     assert not [p for p in (tmp_path / "a").iterdir() if p.name.startswith(".part")]
     warc.write_warc(df.limit(0), str(tmp_path / "c"))
     assert warc.read_warc(spark, str(tmp_path / "c")).count() == 0
@@ -327,13 +399,21 @@ def brute_components(fps, radius):
 def test_simhash_links_all(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "MOST", most)
     rng = np.random.default_rng(2)
-    near = [(0x0123456789ABCDEF ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False))) for _ in range(120)]
+    near = [
+        (0x0123456789ABCDEF ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)))
+        for _ in range(120)
+    ]
     fps = dict(enumerate([*near, *(int(x) for x in rng.integers(0, 2**63, 300))]))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = {}
     for i, f in fps.items():
         rows.setdefault(signed(f), i)
-    found = {rows[r.node]: r.component for r in components.connected_components(simhash.links(spark.createDataFrame([(f,) for f in rows], "fp long"), 4)).collect()}
+    found = {
+        rows[r.node]: r.component
+        for r in components.connected_components(
+            simhash.links(spark.createDataFrame([(f,) for f in rows], "fp long"), 4)
+        ).collect()
+    }
     want = brute_components({i: fps[i] for i in rows.values()}, 4)
     same = lambda of: {frozenset(k for k in want if of(k) == of(i)) for i in want}
     assert same(lambda i: found.get(i, ("alone", i))) == same(lambda i: want[i])
@@ -344,7 +424,9 @@ def test_simhash_on_odd_rows(spark, odd, none):
     assert len(got) == odd.count() and {r.component_id for r in got if r.fp == 0} == {0}
     assert {r.component_id for r in got if r.doc_id in (7, 8)} == {7}
     kept = near_copies.keep_one(odd)
-    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([None, 0, 3, 4, 5, 6, 7, 9, 10])
+    assert kept.columns == odd.columns and Counter(
+        r.doc_id for r in kept.collect()
+    ) == Counter([None, 0, 3, 4, 5, 6, 7, 9, 10])
     assert simhash.near_duplicates(none).count() == 0 and near_copies.keep_one(none).count() == 0
 
 
@@ -356,7 +438,16 @@ def test_similar_sets_by_brute_force(spark, monkeypatch, part, sets, size):
     for name, value in (("PART", part), ("SETS", sets), ("HASHES", size)):
         monkeypatch.setattr(near_copies, name, value)
     rng = np.random.default_rng(8)
-    texts = ["a b c d e f g h", "a b c d e f g h i", "A b c\td e f g h i", "x y", "x  Y", "", None, "same line of five words\n" * 9 + "and then some more"]
+    texts = [
+        "a b c d e f g h",
+        "a b c d e f g h i",
+        "A b c\td e f g h i",
+        "x y",
+        "x  Y",
+        "",
+        None,
+        "same line of five words\n" * 9 + "and then some more"
+    ]
     for size in (30, 60, 200):
         for base in range(4):
             words = [f"w{i}" for i in rng.integers(0, 5000, size)]
@@ -374,14 +465,18 @@ def test_similar_sets_by_brute_force(spark, monkeypatch, part, sets, size):
     for _ in texts:
         want = np.where(near, want[None], len(texts)).min(axis=1)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    assert {r.doc_id: r.component_id for r in near_copies.similar(docs, 0.8).collect()} == dict(enumerate(want.tolist()))
+    assert {
+        r.doc_id: r.component_id for r in near_copies.similar(docs, 0.8).collect()
+    } == dict(enumerate(want.tolist()))
     assert 20 < len(set(want.tolist())) < len(texts) / 2
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(want.tolist())
 
 
 def test_similar_on_odd_rows(spark, odd, none):
     kept = near_copies.keep_one(odd, similarity=0.8)
-    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([None, 0, 3, 4, 5, 6, 7, 9, 10])
+    assert kept.columns == odd.columns and Counter(
+        r.doc_id for r in kept.collect()
+    ) == Counter([None, 0, 3, 4, 5, 6, 7, 9, 10])
     assert near_copies.similar(none).count() == 0 and near_copies.keep_one(none, similarity=0.8).count() == 0
 
 
@@ -389,7 +484,13 @@ def test_similar_on_odd_rows(spark, odd, none):
 def test_rows_of_one_id_are_judged_each(spark, similarity):
     """Equal ids with different texts: only a row that resembles another goes. Helper names as a user's columns."""
     words = lambda k: " ".join(f"{k}{i}" for i in range(40))
-    rows = [(5, words("a"), 1, 2), (5, words("b"), 1, 2), (6, words("b"), 1, 2), (7, words("a"), 3, 4), (5, words("b"), 1, 2)]
+    rows = [
+        (5, words("a"), 1, 2),
+        (5, words("b"), 1, 2),
+        (6, words("b"), 1, 2),
+        (7, words("a"), 3, 4),
+        (5, words("b"), 1, 2)
+    ]
     d = spark.createDataFrame(rows, "doc_id long, text string, _chosen int, _nth int")
     got = near_copies.keep_one(d, similarity=similarity)
     assert got.columns == d.columns
@@ -411,7 +512,9 @@ def test_a_dense_group_is_compared_in_tiles(spark):
     for _ in texts:
         want = np.where(near, want[None], len(texts)).min(axis=1)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert {r.doc_id: r.component_id for r in near_copies.similar(docs, 0.8).collect()} == dict(enumerate(want.tolist()))
+    assert {
+        r.doc_id: r.component_id for r in near_copies.similar(docs, 0.8).collect()
+    } == dict(enumerate(want.tolist()))
 
 
 def test_common_by_brute_force():
@@ -439,8 +542,12 @@ def test_hidden_markov_model(spark, none):
     n, v = sum(c.values()), len(c)
     for r in rows:
         ws = words[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id % 5 == 0, len(ws), sum(c[w] > 0 for w in ws), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9) and math.isfinite(r.score) and r.score < 0
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (
+            r.doc_id % 5 == 0, len(ws), sum(c[w] > 0 for w in ws), n
+        )
+        assert math.isclose(
+            r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9
+        ) and math.isfinite(r.score) and r.score < 0
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
     assert hmm_lm.language_model(none, F.lit(True), shape).count() == 0
     assert hmm_lm.language_model(d, F.lit(None).cast("boolean"), shape).where("n_known = 0").count() == d.count()
@@ -459,7 +566,9 @@ def test_forward_is_exact_and_sums_to_one():
     for _ in range(4):
         new, x = hmm_lm.expected(t, every)
         ll.append(x)
-        t = hmm_lm.Tables(new.start / new.start.sum(), new.move / new.move.sum(axis=1, keepdims=True), new.emit / new.emit.sum(axis=0))
+        t = hmm_lm.Tables(
+            new.start / new.start.sum(), new.move / new.move.sum(axis=1, keepdims=True), new.emit / new.emit.sum(axis=0)
+        )
     assert all(b >= a - 1e-9 for a, b in zip(ll, ll[1:]))
 
 
@@ -471,7 +580,14 @@ def test_baum_welch_over_whole_texts():
     start, move, emit, ll = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2)), 0.0
     for x in texts[:-1]:
         paths = list(itertools.product(range(2), repeat=len(x)))
-        p = np.array([t.start[z[0]] * np.prod([t.move[a, b] for a, b in zip(z, z[1:])]) * np.prod([t.emit[s, q] for s, q in zip(x, z)]) for z in paths])
+        p = np.array(
+            [
+                t.start[z[0]] * np.prod(
+                    [t.move[a, b] for a, b in zip(z, z[1:])]
+                ) * np.prod([t.emit[s, q] for s, q in zip(x, z)])
+                for z in paths
+            ]
+        )
         ll += math.log(p.sum())
         for z, w in zip(paths, p / p.sum()):
             start[z[0]] += w
@@ -485,8 +601,15 @@ def test_baum_welch_over_whole_texts():
 
 
 def test_language_models(spark, odd, none):
-    text = {"en": "the cat sat on the mat and the dog ran", "de": "die katze und der hund sind nicht auf dem dach", "fr": "le chat est sur la table avec les chiens"}
-    d = spark.createDataFrame([(i, " ".join(np.random.default_rng(i).permutation(t.split())), k) for i in range(20) for k, t in text.items()], "doc_id long, text string, lang string")
+    text = {
+        "en": "the cat sat on the mat and the dog ran",
+        "de": "die katze und der hund sind nicht auf dem dach",
+        "fr": "le chat est sur la table avec les chiens",
+    }
+    d = spark.createDataFrame(
+        [(i, " ".join(np.random.default_rng(i).permutation(t.split())), k) for i in range(20) for k, t in text.items()],
+        "doc_id long, text string, lang string",
+    )
     model = langid.train(d.where("doc_id < 15"))
     got = langid.identify(d.where("doc_id >= 15"), model, keep=["lang"]).collect()
     assert all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in got)
@@ -494,8 +617,15 @@ def test_language_models(spark, odd, none):
     assert len(rows) == odd.count() and {r.lang_pred for r in rows if r.doc_id in (0, 1, 2)} == {"und"}
     assert langid.identify(none, model, keep=["doc_id"]).count() == 0
     unknown = langid.identify(odd, langid.train(none), keep=["doc_id"]).collect()
-    assert len(unknown) == odd.count() and {(r.lang_pred, r.score, r.accepted) for r in unknown} == {("und", 0.0, False)}
-    assert {r.lang_pred for r in langid.identify(odd, langid.train(odd.withColumn("lang", F.lit(None).cast("string"))), keep=["doc_id"]).collect()} == {"und"}
+    assert len(unknown) == odd.count() and {
+        (r.lang_pred, r.score, r.accepted) for r in unknown
+    } == {("und", 0.0, False)}
+    assert {
+        r.lang_pred
+        for r in langid.identify(
+            odd, langid.train(odd.withColumn("lang", F.lit(None).cast("string"))), keep=["doc_id"]
+        ).collect()
+    } == {"und"}
     clash = langid.identify(odd.withColumnRenamed("words", "_text"), model, keep=["doc_id", "_text"]).collect()
     assert {r["_text"] for r in clash} == {"w", None}
 
@@ -528,7 +658,9 @@ def plain_probability(counts, d, vocabulary, gram):
 def test_kneser_ney_by_brute_force(spark):
     """Every conditional probability equals that of the plain model, and each language's sum to one, also when n-grams are pruned."""
     texts = {"xx": ["abba baba ab", "aab bab abab b éa"], "yy": ["cab bac acca", "cc c abc"]}
-    d = spark.createDataFrame([(i, t, k) for k, ts in texts.items() for i, t in enumerate(ts)], "doc_id long, text string, lang string")
+    d = spark.createDataFrame(
+        [(i, t, k) for k, ts in texts.items() for i, t in enumerate(ts)], "doc_id long, text string, lang string"
+    )
     symbols = [langid.BORDER, *(ord(c) + 3 for c in "abcé"), ord("z") + 3]  # z stands for what is unseen
     contexts = [c for c in itertools.product(symbols, repeat=3)][::7]
     codes = np.array([[*c, s] for c in contexts for s in symbols])
@@ -557,21 +689,34 @@ def test_quality_classifier(spark, odd, none):
     good = [" ".join(rng.choice(["the", "cat", "sat", "down"], 30)) for _ in range(80)]
     bad = [" ".join(w + "$$$" for w in rng.choice(["the", "cat", "sat", "down"], 30)) for _ in range(80)]
     d = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
-    y = spark.createDataFrame([(i, int(i < 80), None) for i in range(160)] + [(None, 1, 0), (3, None, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    y = spark.createDataFrame(
+        [(i, int(i < 80), None) for i in range(160)] + [(None, 1, 0), (3, None, 0), (3, 1, 0)],
+        "doc_id long, quality int, toxic int",
+    )
     m = quality_fm.train(d, y.where("doc_id % 4 <> 2"))
     p = {r.doc_id: r.predicted for r in quality_fm.score(d, m, keep=["doc_id"]).collect()}
     assert all(p[i] == int(i < 80) for i in range(160))
     rows = quality_fm.score(odd.withColumn("score", F.lit("x")), m, keep=["doc_id", "score", "lang"]).collect()
-    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows) and quality_fm.score(none, m, keep=["doc_id"]).count() == 0
-    assert all(abs(r.score - 0.5) < 1e-9 for r in quality_fm.score(odd, quality_fm.train(odd, y.limit(0)), keep=["doc_id"]).collect())
+    assert len(rows) == odd.count() and all(
+        0 <= r.score <= 1 for r in rows
+    ) and quality_fm.score(none, m, keep=["doc_id"]).count() == 0
+    assert all(
+        abs(r.score - 0.5) < 1e-9
+        for r in quality_fm.score(odd, quality_fm.train(odd, y.limit(0)), keep=["doc_id"]).collect()
+    )
 
 
 def test_metadata_decides(spark):
     """Texts alike, told apart by a metadata column alone; a null value is 0."""
-    d = spark.createDataFrame([(i, "same words here", float(i % 2), "x") for i in range(200)] + [(200, "same words here", None, "x")], "doc_id long, text string, size double, _meta string")
+    d = spark.createDataFrame(
+        [(i, "same words here", float(i % 2), "x") for i in range(200)] + [(200, "same words here", None, "x")],
+        "doc_id long, text string, size double, _meta string",
+    )
     y = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, quality int")
     meta = (F.col("size"),)
-    rows = quality_fm.score(d, quality_fm.train(d, y, meta=meta), keep=["doc_id", "_meta"], meta=meta, threshold=0.5).collect()
+    rows = quality_fm.score(
+        d, quality_fm.train(d, y, meta=meta), keep=["doc_id", "_meta"], meta=meta, threshold=0.5
+    ).collect()
     assert all(r.predicted == (r.doc_id % 2 if r.doc_id < 200 else 0) and r["_meta"] == "x" for r in rows)
 
 
@@ -585,14 +730,22 @@ def test_line_dedup_in_blocks_with_white_space(spark):
 
 
 def test_line_dedup(spark, odd, none):
-    rows = [(i, f"common line of four words\nown {i} line is here now\nshort one", f"s{i % 9}") for i in range(18)] + [(99, "common line of four words", "s1"), (100, None, None), (101, "common line of four words", None)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("int"))
+    rows = [
+        (i, f"common line of four words\nown {i} line is here now\nshort one", f"s{i % 9}") for i in range(18)
+    ] + [(99, "common line of four words", "s1"), (100, None, None), (101, "common line of four words", None)]
+    d = spark.createDataFrame(
+        rows, "doc_id long, text string, source string"
+    ).withColumn("n_chars", F.length("text").cast("int"))
     got = {r.doc_id: r for r in line_dedup.remove_boilerplate(d, min_sites=9, min_words=4, counts=True).collect()}
-    assert got[0].text == "own 0 line is here now\nshort one" and got[0].n_chars == len(got[0].text) and (got[0].n_lines, got[0].n_removed) == (3, 1)
+    assert got[0].text == "own 0 line is here now\nshort one" and got[0].n_chars == len(got[0].text) and (
+        got[0].n_lines, got[0].n_removed
+    ) == (3, 1)
     assert got[99].text == "" and got[100].text is None and got[101].text == "" and len(got) == 21
     assert line_dedup.remove_boilerplate(d, min_sites=10).where("text like '%common%'").count() == 20
     same = line_dedup.remove_boilerplate(odd)
-    assert same.columns == odd.columns and Counter(map(tuple, same.collect())) == Counter(map(tuple, odd.collect())) and line_dedup.remove_boilerplate(none).count() == 0
+    assert same.columns == odd.columns and Counter(
+        map(tuple, same.collect())
+    ) == Counter(map(tuple, odd.collect())) and line_dedup.remove_boilerplate(none).count() == 0
 
 
 def test_exact_counts_near_the_threshold(spark):

@@ -42,7 +42,9 @@ def test_op1(spark, docs):
     rows = queries.op1_vector_packing(spark, SF).collect()
     at = Counter()
     for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
-        assert r.start == at[r.doc_id] and r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == crc(ids[r.doc_id][r.start : r.start + r.length])
+        assert r.start == at[r.doc_id] and r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == crc(
+            ids[r.doc_id][r.start : r.start + r.length]
+        )
         at[r.doc_id] += r.length
     assert at == {i: len(x) for i, x in ids.items()}
     size = Counter()
@@ -91,7 +93,13 @@ def test_op4(spark, docs):
                 if (found := windows.get(tuple(w[k : k + n]))) is not None:
                     hit |= set(range(k, k + n))
                     items |= found
-        want = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+        want = (
+            len(w),
+            len(hit),
+            len(items),
+            hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(),
+            bool(hit) and 20 * len(hit) >= len(w),
+        )
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want
 
 
@@ -144,26 +152,39 @@ def test_op7(spark, docs):
     assert len(rows) == len(docs)
     for r in rows:
         ws = tokens[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(c[w] > 0 for w in ws), n)
-        assert abs(r.base_score - sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws)) < 1e-6 * max(1, abs(r.base_score))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (
+            held[r.doc_id], len(ws), sum(c[w] > 0 for w in ws), n
+        )
+        assert abs(
+            r.base_score - sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws)
+        ) < 1e-6 * max(1, abs(r.base_score))
     out = [r for r in rows if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
 def test_op8(spark, docs):
     rows = queries.op8_kneser_ney_langid(spark, SF).collect()
-    assert len(rows) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
+    assert len(rows) == len(docs) and all(
+        r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows
+    )
     langs = {r.lang for r in docs.values() if r.lang is not None}
     has_letter = {i: any(ch.isalpha() for ch in r.text or "") for i, r in docs.items()}
     assert all(r.lang_pred in langs if has_letter[r.doc_id] else r.lang_pred == "und" for r in rows)
-    judged = [r.lang_pred == docs[r.doc_id].lang for r in rows if r.held_out and has_letter[r.doc_id] and docs[r.doc_id].lang]
+    judged = [
+        r.lang_pred == docs[r.doc_id].lang for r in rows if r.held_out and has_letter[r.doc_id] and docs[r.doc_id].lang
+    ]
     assert len(judged) > 20 and np.mean(judged) > 0.95
 
 
 def test_op9(spark, docs):
     rows = queries.op9_factorisation_quality(spark, SF).collect()
     assert len(rows) == len(docs)
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    assert all(
+        r.held_out == (
+            zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+        ) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+        for r in rows
+    )
 
 
 def test_op10(spark):
@@ -171,4 +192,6 @@ def test_op10(spark):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     got = queries.op10_line_dedup(spark, SF)
     want = c.execute(queries.OP10).fetchall()
-    assert sorted(map(repr, map(tuple, got.select(*[x[0] for x in c.description]).collect()))) == sorted(map(repr, want))
+    assert sorted(
+        map(repr, map(tuple, got.select(*[x[0] for x in c.description]).collect()))
+    ) == sorted(map(repr, want))
