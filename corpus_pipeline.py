@@ -25,7 +25,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     meta = (F.log1p("n_chars"),)
     machine = train(docs, table(spark, sf_dir, "labels"), label_col="quality", meta=meta, max_rows=6000)
     score_col, predicted = fresh(docs.columns, "_score", "_predicted")
-    judged = score(docs, machine, keep=docs.columns, meta=meta, threshold=0.5, score_col=score_col, predicted_col=predicted)
+    judged = score(
+        docs, machine, keep=docs.columns, meta=meta, threshold=0.5, score_col=score_col, predicted_col=predicted
+    )
     return judged.where(F.col(predicted) == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -50,10 +52,22 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences of 2048 tokens, with their ids."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, limits=Limits(2048, 128, 2048), loss_share=behind_first_line(F.col("text")))
-
-
-STAGES = [("quality_classifier", quality_classifier), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
+    return pack(
+        docs,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        end_id=1,
+        limits=Limits(2048, 128, 2048),
+        loss_share=behind_first_line(F.col("text")),
+    )
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing)
+]
 
 #: The classifier, the fingerprints, and the tokenizer have no SQL form.
 ORACLE_SQL = None
