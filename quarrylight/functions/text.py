@@ -64,7 +64,15 @@ def regex_occurrences(text: Column, pattern: str, ignore_case: bool = True) -> C
 def tokens(text: Column) -> Column:
     """Lower-cased tokens, each followed by its parts (camel case, digits) that differ from it."""
     found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    own = F.transform(found, lambda t: F.concat(F.array(F.lower(t)), F.filter(F.transform(F.regexp_extract_all(t, F.lit(TOKEN_PART), F.lit(0)), F.lower), lambda p: p != F.lower(t))))
+    own = F.transform(
+        found,
+        lambda t: F.concat(
+            F.array(F.lower(t)),
+            F.filter(
+                F.transform(F.regexp_extract_all(t, F.lit(TOKEN_PART), F.lit(0)), F.lower), lambda p: p != F.lower(t)
+            ),
+        ),
+    )
     return F.flatten(own)
 
 
@@ -74,32 +82,51 @@ def query_tokens(text: Column) -> Column:
 
 def bigrams(words: Column) -> Column:
     """Neighbouring tokens, joined by two colons."""
-    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit("::"), b))).otherwise(F.array().cast("array<string>"))
+    return F.when(
+        F.size(words) > 1,
+        F.zip_with(
+            F.slice(words, 1, F.size(words) - 1),
+            F.slice(words, 2, F.size(words)),
+            lambda a, b: F.concat(a, F.lit("::"), b),
+        ),
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def lexical_score(content: Column, location: Column, query: str, words: list[str]) -> Column:
     """0.45 for the phrase in content or location, 0.40 and 0.15 for the shares of the query's words in these; 1 at most."""
     content, location = F.lower(F.coalesce(content, F.lit(""))), F.lower(F.coalesce(location, F.lit("")))
-    phrase = F.when(F.contains(content, F.lit(query.lower())) | F.contains(location, F.lit(query.lower())), 0.45).otherwise(0.0)
+    phrase = F.when(
+        F.contains(content, F.lit(query.lower())) | F.contains(location, F.lit(query.lower())), 0.45
+    ).otherwise(0.0)
     if not words:
         return phrase
-    share = lambda where: sum((F.contains(where, F.lit(w)).cast("int") for w in words), F.lit(0)) / F.lit(float(len(words)))
+    share = lambda where: sum(
+        (F.contains(where, F.lit(w)).cast("int") for w in words), F.lit(0)
+    ) / F.lit(float(len(words)))
     return F.least(F.lit(1.0), phrase + share(content) * 0.4 + share(location) * 0.15)
 
 
 def indicators(content: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(F.regexp_like(content, F.lit(p)), F.lit(name)) for name, p in INDICATORS.items()]))
+    return F.array_compact(
+        F.array(*[F.when(F.regexp_like(content, F.lit(p)), F.lit(name)) for name, p in INDICATORS.items()])
+    )
 
 
 def bounded_join(values: Column, most: int) -> Column:
     """The first `most` values and how many more there are; `none` for no value."""
-    more = F.when(F.size(values) > most, F.concat(F.lit(" (+"), (F.size(values) - most).cast("string"), F.lit(" more)"))).otherwise(F.lit(""))
-    return F.when(F.size(values) == 0, F.lit("none")).otherwise(F.concat(F.array_join(F.slice(values, 1, most), ", "), more))
+    more = F.when(
+        F.size(values) > most, F.concat(F.lit(" (+"), (F.size(values) - most).cast("string"), F.lit(" more)"))
+    ).otherwise(F.lit(""))
+    return F.when(F.size(values) == 0, F.lit("none")).otherwise(
+        F.concat(F.array_join(F.slice(values, 1, most), ", "), more)
+    )
 
 
 def url_pattern(url: Column) -> Column:
     """Path segments that are UUIDs, numbers or long lower-case hexadecimal strings become placeholders."""
-    named = lambda s: F.when(s.rlike(UUID_SEGMENT), "{uuid}").when(s.rlike(ID_SEGMENT), "{id}").when(s.rlike(HEX_SEGMENT), "{token}").otherwise(s)
+    named = lambda s: F.when(
+        s.rlike(UUID_SEGMENT), "{uuid}"
+    ).when(s.rlike(ID_SEGMENT), "{id}").when(s.rlike(HEX_SEGMENT), "{token}").otherwise(s)
     return F.array_join(F.transform(F.split(url, "/", -1), named), "/")
 
 
@@ -108,7 +135,10 @@ def url_host(url: Column) -> Column:
 
 
 def redact_headers(headers: Column) -> Column:
-    return F.transform_values(headers, lambda k, v: F.when(F.lower(k).isin(SECRET_HEADERS), F.concat(F.lit("sha256:"), F.sha2(v, 256))).otherwise(v))
+    return F.transform_values(
+        headers,
+        lambda k, v: F.when(F.lower(k).isin(SECRET_HEADERS), F.concat(F.lit("sha256:"), F.sha2(v, 256))).otherwise(v),
+    )
 
 
 def mask_secrets(message: Column, secrets: list[str]) -> Column:
@@ -128,7 +158,9 @@ def language_of(path: Column) -> Column:
 def normal_path(path: Column) -> Column:
     """Slashes forward; null for absolute paths and those that climb."""
     p = F.replace(path, F.lit("\\"), F.lit("/"))
-    return F.when(F.startswith(p, F.lit("/")) | F.array_contains(F.split(p, "/", -1), "..") | (p == ""), F.lit(None)).otherwise(p)
+    return F.when(
+        F.startswith(p, F.lit("/")) | F.array_contains(F.split(p, "/", -1), "..") | (p == ""), F.lit(None)
+    ).otherwise(p)
 
 
 def within(path: Column, root: str) -> Column:
@@ -158,4 +190,6 @@ def entropy(counts: Column) -> Column:
 
 def identity_sha(**fields: Column) -> Column:
     """SHA-256 of the fields as JSON, names sorted, nulls kept."""
-    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
+    return F.sha2(
+        F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256
+    )

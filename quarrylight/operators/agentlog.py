@@ -30,11 +30,15 @@ def evidence_kind(tool: Column) -> Column:
     return out
 
 
-def scope_denial(tool: Column, serial: Column, package: Column, dynamic: Column, devices: Column, packages: Column, proxy: Column) -> Column:
+def scope_denial(
+    tool: Column, serial: Column, package: Column, dynamic: Column, devices: Column, packages: Column, proxy: Column
+) -> Column:
     """Why a project's scope forbids a step, or null. An empty or null list of devices or packages allows all."""
 
     def outside(value: Column, allowed: Column) -> Column:
-        return value.isNotNull() & (value != "") & (F.coalesce(F.size(allowed), F.lit(0)) > 0) & ~F.coalesce(F.array_contains(allowed, value), F.lit(False))
+        return value.isNotNull() & (value != "") & (F.coalesce(F.size(allowed), F.lit(0)) > 0) & ~F.coalesce(
+            F.array_contains(allowed, value), F.lit(False)
+        )
 
     starts = {p: F.startswith(tool, F.lit(p)) for p in DYNAMIC_PREFIXES}
     needs = tool.isin(DYNAMIC_TOOLS)
@@ -50,7 +54,9 @@ def scope_denial(tool: Column, serial: Column, package: Column, dynamic: Column,
     )
 
 
-def plan_problems(steps: DataFrame, goals: DataFrame, tools: list[str], most_steps: int, most_seconds: float) -> DataFrame:
+def plan_problems(
+    steps: DataFrame, goals: DataFrame, tools: list[str], most_steps: int, most_seconds: float
+) -> DataFrame:
     """(plan_id, step, problem) for each rule that a plan breaks; step is null for rules of the whole plan.
 
     steps: (plan_id, step from 0, tool, depends_on array, timeout or null), goals: (plan_id, goal). A dependency is an earlier
@@ -63,7 +69,9 @@ def plan_problems(steps: DataFrame, goals: DataFrame, tools: list[str], most_ste
             F.when(F.col("timeout") > most_seconds, "timeout-over-limit"),
         )
     )
-    each = steps.select("plan_id", "step", F.explode(of_step).alias("problem")).withColumn("step", F.col("step").cast("long"))
+    each = steps.select(
+        "plan_id", "step", F.explode(of_step).alias("problem")
+    ).withColumn("step", F.col("step").cast("long"))
     plans = steps.groupBy("plan_id").agg(F.count("*").alias("n"), F.max_by("tool", "step").alias("last"))
     named = F.lit(None).cast("string")
     for tool in reversed(tools):
@@ -73,7 +81,12 @@ def plan_problems(steps: DataFrame, goals: DataFrame, tools: list[str], most_ste
         "plan_id",
         F.lit(None).cast("long").alias("step"),
         F.explode(
-            F.array_compact(F.array(F.when(F.col("n") > most_steps, "too-many-steps"), F.when(named.isNotNull(), F.concat(F.lit("final-tool-is-not:"), named))))
+            F.array_compact(
+                F.array(
+                    F.when(F.col("n") > most_steps, "too-many-steps"),
+                    F.when(named.isNotNull(), F.concat(F.lit("final-tool-is-not:"), named)),
+                )
+            )
         ).alias("problem"),
     )
     return each.union(whole)
@@ -102,7 +115,9 @@ def source_references(tool: Column, output: Column) -> Column:
         kind = lambda x, f: F.schema_of_variant(F.try_variant_get(x, f"$.{f}", "variant"))
         good = F.filter(
             F.slice(listed, 1, MOST_REFERENCES),
-            lambda x: (kind(x, "path") == "STRING") & (kind(x, "start_line") == "BIGINT") & (kind(x, "end_line") == "BIGINT"),
+            lambda x: (kind(x, "path") == "STRING") & (
+                kind(x, "start_line") == "BIGINT"
+            ) & (kind(x, "end_line") == "BIGINT"),
         )
         made = F.transform(
             good,
@@ -110,7 +125,10 @@ def source_references(tool: Column, output: Column) -> Column:
                 F.try_variant_get(x, "$.path", "string").alias("path"),
                 F.try_variant_get(x, "$.start_line", "bigint").alias("start_line"),
                 F.try_variant_get(x, "$.end_line", "bigint").alias("end_line"),
-                F.when((kind(x, "symbol") == "STRING") & (F.try_variant_get(x, "$.symbol", "string") != ""), F.try_variant_get(x, "$.symbol", "string")).alias("symbol"),
+                F.when(
+                    (kind(x, "symbol") == "STRING") & (F.try_variant_get(x, "$.symbol", "string") != ""),
+                    F.try_variant_get(x, "$.symbol", "string"),
+                ).alias("symbol"),
             ),
         )
         out = F.when(tool == name, F.coalesce(made, none)).otherwise(out)
@@ -119,14 +137,24 @@ def source_references(tool: Column, output: Column) -> Column:
 
 def reviewer_payload(goal: Column, tool: Column, output: Column, error: Column, remaining: Column) -> Column:
     """JSON with sorted names of what a reviewer sees; the output is cut, and says so, past MOST_OUTPUT characters."""
-    cut = F.when(F.length(output) > MOST_OUTPUT, F.concat(F.left(output, F.lit(MOST_OUTPUT)), F.lit("...[truncated]"))).otherwise(output)
-    whole = F.struct(goal.alias("goal"), remaining.alias("remaining_step_budget"), tool.alias("tool"), error.alias("tool_error"), cut.alias("tool_output_json"))
+    cut = F.when(
+        F.length(output) > MOST_OUTPUT, F.concat(F.left(output, F.lit(MOST_OUTPUT)), F.lit("...[truncated]"))
+    ).otherwise(output)
+    whole = F.struct(
+        goal.alias("goal"),
+        remaining.alias("remaining_step_budget"),
+        tool.alias("tool"),
+        error.alias("tool_error"),
+        cut.alias("tool_output_json"),
+    )
     return F.to_json(whole, {"ignoreNullFields": "false"})
 
 
 def scope_labels(scopes: DataFrame, key: str = "project_id") -> DataFrame:
     """scopes (key, kind, values array): (key, labels): the distinct `kind:value`, ordered without regard to case."""
-    named = scopes.select(key, "kind", F.explode("values").alias("v")).where("trim(v) <> ''").select(key, F.concat("kind", F.lit(":"), "v").alias("label")).distinct()
+    named = scopes.select(key, "kind", F.explode("values").alias("v")).where("trim(v) <> ''").select(
+        key, F.concat("kind", F.lit(":"), "v").alias("label")
+    ).distinct()
     ordered = F.array_sort(F.collect_set(F.struct(F.lower("label").alias("low"), "label")))  # a scope is a short list
     return named.groupBy(key).agg(F.transform(ordered, lambda x: x.label).alias("labels"))
 
@@ -145,17 +173,23 @@ def run_estimate(projects: DataFrame, most_steps: Column) -> DataFrame:
 def owned(rows: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Rows (project_id, artifact_id or null) whose artifact belongs to their project; a row without one stays."""
     own = artifacts.select("project_id", "artifact_id").distinct()
-    return rows.where("artifact_id is null").unionByName(rows.where("artifact_id is not null").join(own, ["project_id", "artifact_id"], "left_semi"))
+    return rows.where("artifact_id is null").unionByName(
+        rows.where("artifact_id is not null").join(own, ["project_id", "artifact_id"], "left_semi")
+    )
 
 
 def default_artifact(artifacts: DataFrame) -> DataFrame:
     """(project_id, artifact_id, problem): the only base.apk, else the only artifact; more or none of them is a problem."""
     base = F.lower(F.substring_index("original_name", "/", -1)) == "base.apk"
     n = artifacts.groupBy("project_id").agg(
-        F.count("*").alias("n"), F.count_if(base).alias("bases"), F.max("artifact_id").alias("any"), F.max(F.when(base, F.col("artifact_id"))).alias("base")
+        F.count("*").alias("n"), F.count_if(base).alias("bases"), F.max("artifact_id").alias("any"), F.max(
+            F.when(base, F.col("artifact_id"))
+        ).alias("base")
     )
     chosen = F.when(F.col("bases") == 1, F.col("base")).when((F.col("bases") == 0) & (F.col("n") == 1), F.col("any"))
-    problem = F.when(F.col("bases") > 1, "several-base-packages").when((F.col("bases") == 0) & (F.col("n") > 1), "no-default-package")
+    problem = F.when(F.col("bases") > 1, "several-base-packages").when(
+        (F.col("bases") == 0) & (F.col("n") > 1), "no-default-package"
+    )
     return n.select("project_id", chosen.alias("artifact_id"), problem.alias("problem"))
 
 
@@ -168,13 +202,32 @@ def finding_lines(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     refs = findings.select("finding_id", F.posexplode("evidence_ids").alias("nth", "evidence_id"))
     met = refs.join(evidence.withColumn("_there", F.lit(True)), "evidence_id", "left")
     own = F.when(F.col("_there").isNull(), F.concat(F.lit("- Missing evidence record `"), F.col("evidence_id").cast("string"), F.lit("`"))).otherwise(
-        F.concat(F.lit("- `"), "locator", F.lit("` — "), "summary", F.lit(" (tool run `"), F.coalesce(F.col("tool_run_id").cast("string"), F.lit("none")), F.lit("`)"))
+        F.concat(
+            F.lit("- `"),
+            "locator",
+            F.lit("` — "),
+            "summary",
+            F.lit(" (tool run `"),
+            F.coalesce(F.col("tool_run_id").cast("string"), F.lit("none")),
+            F.lit("`)"),
+        )
     )
     heads = met.select("finding_id", "nth", F.lit(0).alias("sub"), own.alias("line"))
     each = met.select("finding_id", "nth", F.posexplode("source_references").alias("_i", "r"))
-    place = F.concat("r.path", F.lit(":"), F.col("r.start_line").cast("string"), F.when(F.col("r.end_line") != F.col("r.start_line"), F.concat(F.lit("-"), F.col("r.end_line").cast("string"))).otherwise(F.lit("")))
+    place = F.concat(
+        "r.path",
+        F.lit(":"),
+        F.col("r.start_line").cast("string"),
+        F.when(
+            F.col("r.end_line") != F.col("r.start_line"), F.concat(F.lit("-"), F.col("r.end_line").cast("string"))
+        ).otherwise(F.lit("")),
+    )
     symbol = F.when(F.col("r.symbol").isNotNull(), F.concat(F.lit(" — `"), "r.symbol", F.lit("`"))).otherwise(F.lit(""))
-    return heads.union(each.select("finding_id", "nth", (F.col("_i") + 1).alias("sub"), F.concat(F.lit("  - `"), place, F.lit("`"), symbol)))
+    return heads.union(
+        each.select(
+            "finding_id", "nth", (F.col("_i") + 1).alias("sub"), F.concat(F.lit("  - `"), place, F.lit("`"), symbol)
+        )
+    )
 
 
 def session_report(sessions: DataFrame, steps: DataFrame, findings: DataFrame, lines: DataFrame) -> DataFrame:
@@ -183,11 +236,44 @@ def session_report(sessions: DataFrame, steps: DataFrame, findings: DataFrame, l
     sessions: (session_id, goal, status, cost), steps: (session_id, step, objective, tool, status, attempts), findings:
     (session_id, finding_id, title, severity, confidence). A session's rows meet in one: a plan and its findings are short.
     """
-    step = F.concat(F.lit("- Step "), (F.col("step") + 1).cast("string"), F.lit(": "), one_line(F.col("objective")), F.lit(" (`"), "tool", F.lit("`, "), "status", F.lit(", attempts="), F.col("attempts").cast("string"), F.lit(")"))
-    plan = steps.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", step.alias("l")))), lambda x: x.l), "\n").alias("plan"))
-    body = lines.groupBy("finding_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "sub", "line"))), lambda x: x.line), "\n").alias("body"))
-    head = F.concat(F.lit("### "), one_line(F.col("title")), F.lit("\n\nSeverity: `"), "severity", F.lit("`; confidence: "), F.format_string("%.2f", "confidence"), F.lit("\n\n"), F.coalesce("body", F.lit("")))
-    found = findings.join(body, "finding_id", "left").groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("finding_id", head.alias("l")))), lambda x: x.l), "\n\n").alias("found"))
+    step = F.concat(
+        F.lit("- Step "),
+        (F.col("step") + 1).cast("string"),
+        F.lit(": "),
+        one_line(F.col("objective")),
+        F.lit(" (`"),
+        "tool",
+        F.lit("`, "),
+        "status",
+        F.lit(", attempts="),
+        F.col("attempts").cast("string"),
+        F.lit(")"),
+    )
+    plan = steps.groupBy("session_id").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("step", step.alias("l")))), lambda x: x.l), "\n"
+        ).alias("plan")
+    )
+    body = lines.groupBy("finding_id").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("nth", "sub", "line"))), lambda x: x.line), "\n"
+        ).alias("body")
+    )
+    head = F.concat(
+        F.lit("### "),
+        one_line(F.col("title")),
+        F.lit("\n\nSeverity: `"),
+        "severity",
+        F.lit("`; confidence: "),
+        F.format_string("%.2f", "confidence"),
+        F.lit("\n\n"),
+        F.coalesce("body", F.lit("")),
+    )
+    found = findings.join(body, "finding_id", "left").groupBy("session_id").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("finding_id", head.alias("l")))), lambda x: x.l), "\n\n"
+        ).alias("found")
+    )
     whole = sessions.join(plan, "session_id", "left").join(found, "session_id", "left")
     text = F.concat(
         F.lit("## Session\n\n- Goal: "), one_line(F.col("goal")), F.lit("\n- Status: "), "status", F.lit("\n- Cost: $"), F.format_string("%.8f", F.coalesce("cost", F.lit(0.0))),

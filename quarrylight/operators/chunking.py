@@ -17,35 +17,73 @@ def line_windows(files: DataFrame, size: int = 200, overlap: int = 20) -> DataFr
     step = size - overlap
     cut = files.withColumn("_lines", lines(F.col("content"))).where(F.size("_lines") > 0)
     count = F.when(F.size("_lines") <= size, 1).otherwise(F.ceil((F.size("_lines") - size) / step) + 1).cast("int")
-    placed = cut.withColumn("_all", F.size("_lines")).select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("_w"))
+    placed = cut.withColumn("_all", F.size("_lines")).select(
+        "*", F.explode(F.sequence(F.lit(0), count - 1)).alias("_w")
+    )
     start, end = F.col("_w") * step + 1, F.least(F.col("_w") * step + size, F.col("_all"))
-    symbol = F.when(F.col("_all") <= size, F.lit("<file>")).otherwise(F.concat(F.lit("<file>:"), start.cast("string"), F.lit("-"), end.cast("string")))
-    return placed.withColumns({"kind": F.lit("file"), "symbol": symbol, "start_line": start.cast("int"), "end_line": end.cast("int"), "content": F.array_join(F.slice("_lines", F.col("_w") * step + 1, size), "\n")}).drop("_lines", "_all", "_w")
+    symbol = F.when(F.col("_all") <= size, F.lit("<file>")).otherwise(
+        F.concat(F.lit("<file>:"), start.cast("string"), F.lit("-"), end.cast("string"))
+    )
+    return placed.withColumns(
+        {
+            "kind": F.lit("file"),
+            "symbol": symbol,
+            "start_line": start.cast("int"),
+            "end_line": end.cast("int"),
+            "content": F.array_join(F.slice("_lines", F.col("_w") * step + 1, size), "\n"),
+        }
+    ).drop("_lines", "_all", "_w")
 
 
 def chunk_id(start_instruction: Column | None = None, end_instruction: Column | None = None) -> Column:
     none = F.lit(None).cast("int")
-    return F.concat(F.lit("chk_"), identity_sha(schema_version=F.lit("1.0"), language=F.col("language"), kind=F.col("kind"), path=F.col("path"), symbol=F.col("symbol"), start_line=F.col("start_line"), end_line=F.col("end_line"), start_instruction=none if start_instruction is None else start_instruction, end_instruction=none if end_instruction is None else end_instruction, content_sha256=F.sha2("content", 256)))
+    return F.concat(
+        F.lit("chk_"),
+        identity_sha(
+            schema_version=F.lit("1.0"),
+            language=F.col("language"),
+            kind=F.col("kind"),
+            path=F.col("path"),
+            symbol=F.col("symbol"),
+            start_line=F.col("start_line"),
+            end_line=F.col("end_line"),
+            start_instruction=none if start_instruction is None else start_instruction,
+            end_instruction=none if end_instruction is None else end_instruction,
+            content_sha256=F.sha2("content", 256),
+        ),
+    )
 
 
 def islands(intervals: DataFrame, key: str, start: str = "start_line", end: str = "end_line") -> DataFrame:
     """Intervals of each key merged where they overlap or touch (end + 1 = start): (key, start, end)."""
     order = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = intervals.where(F.col(start) <= F.col(end)).withColumn("_new", F.coalesce((F.col(start) > reach + 1).cast("int"), F.lit(1)))
+    opened = intervals.where(F.col(start) <= F.col(end)).withColumn(
+        "_new", F.coalesce((F.col(start) > reach + 1).cast("int"), F.lit(1))
+    )
     grouped = opened.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
 def gaps(intervals: DataFrame, totals: DataFrame, key: str, total: str, piece: int = 200) -> DataFrame:
     """Lines of each key of totals that no interval covers, in pieces of at most `piece` lines: (key, start_line, end_line)."""
-    inside = intervals.join(totals, key).select(key, F.greatest(F.lit(1), F.col("start_line")).alias("start_line"), F.least(F.col("end_line"), F.col(total)).alias("end_line"))
+    inside = intervals.join(totals, key).select(
+        key,
+        F.greatest(F.lit(1), F.col("start_line")).alias("start_line"),
+        F.least(F.col("end_line"), F.col(total)).alias("end_line"),
+    )
     merged = islands(inside, key)
     # a virtual island before the first line and one behind the last make every gap one between neighbours
-    ends = totals.select(key, F.lit(0).cast("long").alias("start_line"), F.lit(0).cast("long").alias("end_line")).union(totals.select(key, (F.col(total) + 1).cast("long"), (F.col(total) + 1).cast("long")))
+    ends = totals.select(
+        key, F.lit(0).cast("long").alias("start_line"), F.lit(0).cast("long").alias("end_line")
+    ).union(totals.select(key, (F.col(total) + 1).cast("long"), (F.col(total) + 1).cast("long")))
     order = Window.partitionBy(key).orderBy("start_line", "end_line")
-    between = merged.select(key, F.col("start_line").cast("long"), F.col("end_line").cast("long")).union(ends).withColumn("_before", F.lag("end_line").over(order)).where(F.col("start_line") > F.col("_before") + 1)
-    pieces = between.select(key, (F.col("_before") + 1).alias("a"), (F.col("start_line") - 1).alias("b")).select(key, "b", F.explode(F.expr(f"sequence(a, b, {piece}L)")).alias("start_line"))
+    between = merged.select(
+        key, F.col("start_line").cast("long"), F.col("end_line").cast("long")
+    ).union(ends).withColumn("_before", F.lag("end_line").over(order)).where(F.col("start_line") > F.col("_before") + 1)
+    pieces = between.select(
+        key, (F.col("_before") + 1).alias("a"), (F.col("start_line") - 1).alias("b")
+    ).select(key, "b", F.explode(F.expr(f"sequence(a, b, {piece}L)")).alias("start_line"))
     return pieces.select(key, "start_line", F.least(F.col("start_line") + piece - 1, F.col("b")).alias("end_line"))
 
 
@@ -59,24 +97,48 @@ def ordinal_ranges(instructions: DataFrame, ranges: DataFrame, key: str = "path"
     """First and last ordinal of the instructions within each range of lines (key, start_line, end_line)."""
     at = instructions.where("ordinal is not null").select(key, "line", "ordinal")
     # ordinals rise with lines: the first at or behind a range's start, and the last up to its end, are its bounds
-    marks = at.select(key, "line", "ordinal", F.lit(1).alias("_kind")).withColumns({c: F.lit(None).cast(ranges.schema[c].dataType) for c in ranges.columns if c != key})
+    marks = at.select(key, "line", "ordinal", F.lit(1).alias("_kind")).withColumns(
+        {c: F.lit(None).cast(ranges.schema[c].dataType) for c in ranges.columns if c != key}
+    )
     rows = marks
     for side, kind in (("start_line", 0), ("end_line", 2)):
-        rows = rows.unionByName(ranges.select("*", F.col(side).cast("int").alias("line"), F.lit(None).cast("long").alias("ordinal"), F.lit(kind).alias("_kind")))
+        rows = rows.unionByName(
+            ranges.select(
+                "*",
+                F.col(side).cast("int").alias("line"),
+                F.lit(None).cast("long").alias("ordinal"),
+                F.lit(kind).alias("_kind"),
+            )
+        )
     order = Window.partitionBy(key).orderBy("line", "_kind")
     behind = F.first("ordinal", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     upto = F.last("ordinal", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = rows.withColumns({"_behind": behind, "_upto": upto}).where("_kind <> 1")
-    both = found.groupBy(*ranges.columns).agg(F.max(F.when(F.col("_kind") == 0, F.col("_behind"))).alias("a"), F.max(F.when(F.col("_kind") == 2, F.col("_upto"))).alias("b"))
+    both = found.groupBy(*ranges.columns).agg(
+        F.max(F.when(F.col("_kind") == 0, F.col("_behind"))).alias("a"),
+        F.max(F.when(F.col("_kind") == 2, F.col("_upto"))).alias("b"),
+    )
     some = F.col("a") <= F.col("b")
-    return both.select(*ranges.columns, F.when(some, F.col("a")).alias("start_instruction"), F.when(some, F.col("b")).alias("end_instruction"))
+    return both.select(
+        *ranges.columns,
+        F.when(some, F.col("a")).alias("start_instruction"),
+        F.when(some, F.col("b")).alias("end_instruction"),
+    )
 
 
 def enclosing(points: DataFrame, spans: DataFrame, key: str = "path") -> DataFrame:
     """names of the spans (open, close, name) around each point (offset), outermost first: a range join within a key."""
-    joined = points.join(spans.select(F.col(key).alias("_k"), "open", "close", "name"), (F.col(key) == F.col("_k")) & (F.col("open") < F.col("offset")) & (F.col("offset") < F.col("close")), "left")
+    joined = points.join(
+        spans.select(F.col(key).alias("_k"), "open", "close", "name"),
+        (F.col(key) == F.col("_k")) & (F.col("open") < F.col("offset")) & (F.col("offset") < F.col("close")),
+        "left",
+    )
     named = F.array_sort(F.collect_list(F.struct("open", "name")))
-    return joined.groupBy(*points.columns).agg(F.array_join(F.transform(F.filter(named, lambda x: x.open.isNotNull()), lambda x: x.getField("name")), ".").alias("nesting"))
+    return joined.groupBy(*points.columns).agg(
+        F.array_join(
+            F.transform(F.filter(named, lambda x: x.open.isNotNull()), lambda x: x.getField("name")), "."
+        ).alias("nesting")
+    )
 
 
 def fingerprint(chunks: DataFrame, key: str, version: str) -> DataFrame:

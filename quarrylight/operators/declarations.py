@@ -17,12 +17,21 @@ from quarrylight.functions.text import lines
 from quarrylight.operators.chunking import gaps, line_windows, ordinal_ranges, ordinals
 
 RANGE = "path string, kind string, symbol string, start_line int, end_line int"
-_BLANK = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"""(?:.*?)(?:"""|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?', re.S)
+_BLANK = re.compile(
+    r'//[^\n]*|/\*.*?(?:\*/|\Z)|"""(?:.*?)(?:"""|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?', re.S
+)
 _TYPE = re.compile(r"(?:^|\s)(?:class|interface|enum(?!\s+class)|record|object)\s+([A-Za-z_$][\w$]*)")
 _CALL = re.compile(r"^(?P<before>.*?)(?P<name>[A-Za-z_$][\w$]*)\s*\([^{};]*\)\s*(?:throws\s[^{;]*)?$", re.S)
-_FUN = re.compile(r"(?:^|\s)fun\s+(?:<[^>]*>\s*)?(?:[\w$<>?.]+\.)?(`[^`]+`|[A-Za-z_$][\w$]*)\s*\([^{};]*\)[^=;{]*$", re.S)
-_SHORT = re.compile(r"^[ \t]*(?:\w+[ \t]+)*fun[ \t]+(?:<[^>\n]*>[ \t]*)?(?:[\w$<>?.]+\.)?(`[^`\n]+`|[A-Za-z_$][\w$]*)[ \t]*\([^{};\n]*\)[^\n{=;]*=[^\n]*$", re.M)
-_MODIFIER = re.compile(r"@[\w$.]+(?:\([^()]*\))?|\b(?:public|protected|private|static|final|abstract|synchronized|native|strictfp|default|transient)\b|<[^<>]*>")
+_FUN = re.compile(
+    r"(?:^|\s)fun\s+(?:<[^>]*>\s*)?(?:[\w$<>?.]+\.)?(`[^`]+`|[A-Za-z_$][\w$]*)\s*\([^{};]*\)[^=;{]*$", re.S
+)
+_SHORT = re.compile(
+    r"^[ \t]*(?:\w+[ \t]+)*fun[ \t]+(?:<[^>\n]*>[ \t]*)?(?:[\w$<>?.]+\.)?(`[^`\n]+`|[A-Za-z_$][\w$]*)[ \t]*\([^{};\n]*\)[^\n{=;]*=[^\n]*$",
+    re.M,
+)
+_MODIFIER = re.compile(
+    r"@[\w$.]+(?:\([^()]*\))?|\b(?:public|protected|private|static|final|abstract|synchronized|native|strictfp|default|transient)\b|<[^<>]*>"
+)
 # Words before a parenthesis that name no Java method.
 NO_METHOD = frozenset(("catch", "do", "else", "for", "if", "new", "return", "switch", "synchronized", "try", "while"))
 
@@ -87,16 +96,27 @@ def brace_constructs(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, *x) for p, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))) for x in constructs(text or "", lang == "kotlin")]
+            rows = [
+                (p, *x) for p,
+                lang,
+                text in zip(
+                    *(batch.column(i).to_pylist() for i in range(3))
+                ) for x in constructs(text or "", lang == "kotlin")
+            ]
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ([],) * 5, kinds)], names=["path", "kind", "symbol", "start_line", "end_line"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, k) for x, k in zip(zip(*rows) if rows else ([],) * 5, kinds)],
+                names=["path", "kind", "symbol", "start_line", "end_line"],
+            )
 
     return files.where("language in ('java', 'kotlin')").select("path", "language", "content").mapInArrow(run, RANGE)
 
 
 def numbered(files: DataFrame) -> DataFrame:
     """(path, line, text) of every line."""
-    return files.select("path", F.posexplode(lines(F.col("content"))).alias("i", "text")).select("path", (F.col("i") + 1).alias("line"), "text")
+    return files.select(
+        "path", F.posexplode(lines(F.col("content"))).alias("i", "text")
+    ).select("path", (F.col("i") + 1).alias("line"), "text")
 
 
 def smali_methods(files: DataFrame) -> DataFrame:
@@ -106,13 +126,28 @@ def smali_methods(files: DataFrame) -> DataFrame:
     name = F.replace(F.regexp_extract(F.col("text"), r"^\s*\.class\b.*\sL([^;]+);", 1), F.lit("/"), F.lit("."))
     classes = rows.where(name != "").groupBy("path").agg(F.min_by(name, "line").alias("_class"))
     ahead = Window.partitionBy("path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    closed = rows.withColumn("end_line", F.min(F.when(F.col("text").rlike(r"^\s*\.end\s+method\b"), F.col("line"))).over(ahead))
+    closed = rows.withColumn(
+        "end_line", F.min(F.when(F.col("text").rlike(r"^\s*\.end\s+method\b"), F.col("line"))).over(ahead)
+    )
     header = F.trim(F.regexp_extract("text", r"^\s*\.method\b(.*)$", 1))
-    starts = closed.where(F.col("text").rlike(r"^\s*\.method\b") & F.col("end_line").isNotNull()).withColumn("_h", header)
-    first = starts.groupBy("path", "end_line").agg(F.min("line").alias("start_line"), F.min_by("_h", "line").alias("_h"))  # an opening before that end belongs to the first
+    starts = closed.where(
+        F.col("text").rlike(r"^\s*\.method\b") & F.col("end_line").isNotNull()
+    ).withColumn("_h", header)
+    # an opening before that end belongs to the first
+    first = starts.groupBy("path", "end_line").agg(
+        F.min("line").alias("start_line"), F.min_by("_h", "line").alias("_h")
+    )
     signature = F.regexp_extract("_h", r"([^\s(]+\(\S*)$", 1)
     signature = F.when(signature == "", F.col("_h")).otherwise(signature)
-    named = first.join(classes, "path", "left").select("path", F.lit("method").alias("kind"), F.when(F.col("_class").isNull(), signature).otherwise(F.concat("_class", F.lit("->"), signature)).alias("symbol"), F.col("start_line").cast("int"), F.col("end_line").cast("int"))
+    named = first.join(classes, "path", "left").select(
+        "path",
+        F.lit("method").alias("kind"),
+        F.when(F.col("_class").isNull(), signature).otherwise(
+            F.concat("_class", F.lit("->"), signature)
+        ).alias("symbol"),
+        F.col("start_line").cast("int"),
+        F.col("end_line").cast("int"),
+    )
     return ordinal_ranges(counted.select("path", "line", "ordinal"), named)
 
 
@@ -122,14 +157,40 @@ def chunks(files: DataFrame, size: int = 200, overlap: int = 20) -> DataFrame:
     Types and methods first; lines outside all of them in pieces of `size`; files without any, and other languages, as overlapping windows.
     """
     none = F.lit(None).cast("long")
-    found = brace_constructs(files).select("*", none.alias("start_instruction"), none.alias("end_instruction")).unionByName(smali_methods(files).withColumns({c: F.col(c).cast("long") for c in ("start_instruction", "end_instruction")}))
+    found = brace_constructs(files).select("*", none.alias("start_instruction"), none.alias("end_instruction")).unionByName(
+        smali_methods(files).withColumns({c: F.col(c).cast("long") for c in ("start_instruction", "end_instruction")})
+    )
     have = found.select("path").distinct()
-    counts = files.join(have, "path", "left_semi").select("path", F.size(lines(F.col("content"))).cast("long").alias("_n"))
+    counts = files.join(have, "path", "left_semi").select(
+        "path", F.size(lines(F.col("content"))).cast("long").alias("_n")
+    )
     rest = gaps(found.select("path", "start_line", "end_line"), counts, "path", "_n", size)
-    rest = rest.select("path", F.lit("file").alias("kind"), F.concat(F.lit("<file>:"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")).alias("symbol"), F.col("start_line").cast("int"), F.col("end_line").cast("int"), none.alias("start_instruction"), none.alias("end_instruction"))
+    rest = rest.select(
+        "path",
+        F.lit("file").alias("kind"),
+        F.concat(
+            F.lit("<file>:"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")
+        ).alias("symbol"),
+        F.col("start_line").cast("int"),
+        F.col("end_line").cast("int"),
+        none.alias("start_instruction"),
+        none.alias("end_instruction"),
+    )
     cut = files.select("path", "language", lines(F.col("content")).alias("_lines"))
     text = F.array_join(F.slice("_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
     named = found.unionByName(rest).join(cut, "path").withColumn("content", text)
-    columns = ["path", "language", "kind", "symbol", "start_line", "end_line", "start_instruction", "end_instruction", "content"]
-    windows = line_windows(files.join(have, "path", "left_anti").select("path", "language", "content"), size, overlap).withColumns({"start_instruction": none, "end_instruction": none})
+    columns = [
+        "path",
+        "language",
+        "kind",
+        "symbol",
+        "start_line",
+        "end_line",
+        "start_instruction",
+        "end_instruction",
+        "content"
+    ]
+    windows = line_windows(
+        files.join(have, "path", "left_anti").select("path", "language", "content"), size, overlap
+    ).withColumns({"start_instruction": none, "end_instruction": none})
     return named.select(*columns).unionByName(windows.select(*columns))

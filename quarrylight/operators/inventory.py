@@ -24,7 +24,10 @@ def member_category(name: Column) -> Column:
     return (
         F.when(F.startswith(name, F.lit("assets/")), "asset")
         .when(F.startswith(name, F.lit("res/")) | (name == "resources.arsc"), "resource")
-        .when(F.startswith(name, F.lit("lib/")), F.when((F.size(parts) == 3) & F.endswith(name, F.lit(".so")), "native").otherwise("nonstandard-lib"))
+        .when(
+            F.startswith(name, F.lit("lib/")),
+            F.when((F.size(parts) == 3) & F.endswith(name, F.lit(".so")), "native").otherwise("nonstandard-lib"),
+        )
         .when(name.rlike(DEX_NAME), "dex")
     )
 
@@ -48,23 +51,36 @@ def categorised(members: DataFrame) -> DataFrame:
 def category_totals(members: DataFrame) -> DataFrame:
     """(package, category, entries, bytes) of each inventory, and as category `all` of the distinct names of all of them."""
     listed = categorised(members).where("category <> 'nonstandard-lib'")
-    each = listed.groupBy("package", "category").agg(F.count("*").alias("entries"), F.sum("size").cast("long").alias("bytes"))
-    union = listed.dropDuplicates(["package", "name"]).groupBy("package").agg(F.count("*").alias("entries"), F.sum("size").cast("long").alias("bytes"))
+    each = listed.groupBy("package", "category").agg(
+        F.count("*").alias("entries"), F.sum("size").cast("long").alias("bytes")
+    )
+    union = listed.dropDuplicates(["package", "name"]).groupBy("package").agg(
+        F.count("*").alias("entries"), F.sum("size").cast("long").alias("bytes")
+    )
     return each.unionByName(union.withColumn("category", F.lit("all")))
 
 
 def tree_hash(files: DataFrame, key: str) -> DataFrame:
     """files (key, name, size, sha256): (key, files, bytes, sha256): one hash over names, sizes and digests in the order of names,
     each name and size behind its length in 8 bytes. An entry takes about 100 bytes of the key's row: key by a package or a tree."""
-    entry = F.concat(F.lpad(F.hex(F.octet_length("name")), 16, "0"), F.hex(F.encode("name", "UTF-8")), F.lpad(F.hex("size"), 16, "0"), F.upper("sha256"))
+    entry = F.concat(
+        F.lpad(F.hex(F.octet_length("name")), 16, "0"),
+        F.hex(F.encode("name", "UTF-8")),
+        F.lpad(F.hex("size"), 16, "0"),
+        F.upper("sha256"),
+    )
     ordered = F.array_sort(F.collect_list(F.struct(F.encode("name", "UTF-8").alias("n"), entry.alias("e"))))
     whole = F.unhex(F.array_join(F.transform(ordered, lambda x: x.e), ""))
-    return files.groupBy(key).agg(F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"), F.sha2(whole, 256).alias("sha256"))
+    return files.groupBy(key).agg(
+        F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"), F.sha2(whole, 256).alias("sha256")
+    )
 
 
 def cache_key(**fields: Column) -> Column:
     """SHA-256 of the fields as JSON with sorted names: what a decompiled tree depends on."""
-    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
+    return F.sha2(
+        F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256
+    )
 
 
 def cache_state(markers: DataFrame, trees: DataFrame, key: str) -> DataFrame:
@@ -74,7 +90,9 @@ def cache_state(markers: DataFrame, trees: DataFrame, key: str) -> DataFrame:
     """
     there = trees.select(key, F.struct("files", "bytes", "sha256").alias("_now"))
     both = markers.select(key, F.struct("files", "bytes", "sha256").alias("_then")).join(there, key, "full")
-    state = F.when(F.col("_now").isNull(), "lost").when(F.col("_then").isNull(), "unmarked").when(F.col("_now") == F.col("_then"), "valid").otherwise("changed")
+    state = F.when(F.col("_now").isNull(), "lost").when(F.col("_then").isNull(), "unmarked").when(
+        F.col("_now") == F.col("_then"), "valid"
+    ).otherwise("changed")
     return both.select(key, state.alias("state"))
 
 
@@ -84,13 +102,25 @@ def diagnostics(output: DataFrame, key: str, exit_code: str | None = None) -> Da
     A run that failed without an error line gets one: its exit code and its last line that is not blank.
     """
     lines = output.withColumn("line", F.trim("line")).where("line <> ''")
-    kinds = F.array_compact(F.array(F.when(F.col("line").rlike(WARNING), "warning"), F.when(F.col("line").rlike(ERROR), "error")))
-    first = lines.select(key, "n", "line", F.explode(kinds).alias("kind")).groupBy(key, "kind", "line").agg(F.min("n").alias("n"))
+    kinds = F.array_compact(
+        F.array(F.when(F.col("line").rlike(WARNING), "warning"), F.when(F.col("line").rlike(ERROR), "error"))
+    )
+    first = lines.select(
+        key, "n", "line", F.explode(kinds).alias("kind")
+    ).groupBy(key, "kind", "line").agg(F.min("n").alias("n"))
     if exit_code:
-        failed = output.where(F.col(exit_code) != 0).groupBy(key).agg(F.max(exit_code).alias("_code"), F.max("n").alias("n"))
+        failed = output.where(F.col(exit_code) != 0).groupBy(key).agg(
+            F.max(exit_code).alias("_code"), F.max("n").alias("n")
+        )
         last = lines.groupBy(key).agg(F.max_by("line", "n").alias("_last"))
-        silent = failed.join(first.where("kind = 'error'").select(key).distinct(), key, "left_anti").join(last, key, "left")
-        text = F.concat(F.lit("exit code "), F.col("_code").cast("string"), F.coalesce(F.concat(F.lit(": "), F.left("_last", F.lit(2000))), F.lit("")))
+        silent = failed.join(
+            first.where("kind = 'error'").select(key).distinct(), key, "left_anti"
+        ).join(last, key, "left")
+        text = F.concat(
+            F.lit("exit code "),
+            F.col("_code").cast("string"),
+            F.coalesce(F.concat(F.lit(": "), F.left("_last", F.lit(2000))), F.lit("")),
+        )
         first = first.unionByName(silent.select(key, F.lit("error").alias("kind"), text.alias("line"), "n"))
     from pyspark.sql import Window
 
@@ -107,7 +137,10 @@ def reported_errors(found: DataFrame, key: str) -> DataFrame:
 def evidence_count(packages: DataFrame) -> DataFrame:
     """packages with arrays assets, resources, native, dex, legacy, unsupported and schemes (signers: certificates, signatures):
     adds evidence, the number of all that is listed, schemes and signers included."""
-    flat = sum((F.coalesce(F.size(c), F.lit(0)) for c in ("assets", "resources", "native", "dex", "legacy", "unsupported")), F.lit(0))
+    flat = sum(
+        (F.coalesce(F.size(c), F.lit(0)) for c in ("assets", "resources", "native", "dex", "legacy", "unsupported")),
+        F.lit(0),
+    )
     signer = lambda a, s: a + 1 + F.size(s.certificates) + F.size(s.signatures)
     nested = F.aggregate("schemes", F.lit(0), lambda a, s: a + 1 + F.aggregate(s.signers, F.lit(0), signer))
     return packages.withColumn("evidence", (flat + F.coalesce(nested, F.lit(0))).cast("long"))
@@ -123,16 +156,26 @@ def base_packages(packages: DataFrame, named: DataFrame | None = None) -> DataFr
     if named is None:
         rows = rows.withColumn("told", F.lit(False))
     else:
-        rows = rows.join(named.select("bundle", "name", F.lit(True).alias("told")).distinct(), ["bundle", "name"], "left").withColumn("told", F.coalesce("told", F.lit(False)))
+        rows = rows.join(
+            named.select("bundle", "name", F.lit(True).alias("told")).distinct(), ["bundle", "name"], "left"
+        ).withColumn("told", F.coalesce("told", F.lit(False)))
     called = F.lower(F.substring_index("name", "/", -1)) == "base.apk"
     rules = {"told": F.col("told"), "called": called, "coded": F.col("has_dex")}
     g = rows.groupBy("bundle").agg(
-        F.count("*").alias("n"), F.max("name").alias("any"), *[F.count_if(p).alias(f"n_{k}") for k, p in rules.items()], *[F.max(F.when(p, F.col("name"))).alias(k) for k, p in rules.items()]
+        F.count("*").alias("n"), F.max("name").alias("any"), *[F.count_if(p).alias(f"n_{k}") for k, p in rules.items()], *[
+            F.max(F.when(p, F.col("name"))).alias(k) for k, p in rules.items()
+        ]
     )
     one = lambda k: F.col(f"n_{k}") == 1
-    problem = F.when(F.col("n_told") > 1, "several-by-metadata").when((F.col("n_told") == 0) & (F.col("n_called") > 1), "several-by-name")
-    base = F.when(problem.isNotNull(), F.lit(None)).when(one("told"), F.col("told")).when(one("called"), F.col("called")).when(F.col("n") == 1, F.col("any")).when(one("coded"), F.col("coded"))
-    return g.select("bundle", base.alias("base"), F.coalesce(problem, F.when(base.isNull(), "no-base")).alias("problem"))
+    problem = F.when(F.col("n_told") > 1, "several-by-metadata").when(
+        (F.col("n_told") == 0) & (F.col("n_called") > 1), "several-by-name"
+    )
+    base = F.when(
+        problem.isNotNull(), F.lit(None)
+    ).when(one("told"), F.col("told")).when(one("called"), F.col("called")).when(F.col("n") == 1, F.col("any")).when(one("coded"), F.col("coded"))
+    return g.select(
+        "bundle", base.alias("base"), F.coalesce(problem, F.when(base.isNull(), "no-base")).alias("problem")
+    )
 
 
 def resolve(references: DataFrame, members: DataFrame) -> DataFrame:
@@ -141,7 +184,9 @@ def resolve(references: DataFrame, members: DataFrame) -> DataFrame:
     tidy = F.regexp_replace(F.replace(F.col("reference"), F.lit("\\"), F.lit("/")), r"^\./", "")
     asked = references.select("*", tidy.alias("_exact"), F.substring_index(tidy, "/", -1).alias("_file"))
     exact = members.select("bundle", F.col("name").alias("_exact"), F.col("name").alias("_whole")).distinct()
-    files = members.select("bundle", F.substring_index("name", "/", -1).alias("_file"), "name").distinct().groupBy("bundle", "_file").agg(F.count("*").alias("_n"), F.max("name").alias("_only"))
+    files = members.select(
+        "bundle", F.substring_index("name", "/", -1).alias("_file"), "name"
+    ).distinct().groupBy("bundle", "_file").agg(F.count("*").alias("_n"), F.max("name").alias("_only"))
     met = asked.join(exact, ["bundle", "_exact"], "left").join(files, ["bundle", "_file"], "left")
     name = F.coalesce("_whole", F.when(F.col("_n") == 1, F.col("_only")))
     problem = F.when(name.isNull(), F.when(F.col("_n").isNull(), "missing").otherwise("ambiguous"))
@@ -159,13 +204,20 @@ def metadata_records(documents: DataFrame, depth: int = 8) -> DataFrame:
         kind = F.schema_of_variant("v")
         objects = level.where(F.startswith(kind, F.lit("OBJECT"))).select("bundle", F.to_json("v").alias("j"))
         records = objects.select("bundle", F.from_json("j", "map<string,variant>").alias("m"))
-        tidy = F.transform(F.map_entries("m"), lambda e: F.struct(F.replace(F.lower(e.key), F.lit("-"), F.lit("_")).alias("key"), e.value.alias("value")))
+        tidy = F.transform(
+            F.map_entries("m"),
+            lambda e: F.struct(F.replace(F.lower(e.key), F.lit("-"), F.lit("_")).alias("key"), e.value.alias("value")),
+        )
         some = records.select("bundle", tidy.alias("fields"))
         found = some if found is None else found.unionByName(some)
         inner = records.select("bundle", F.explode(F.map_values("m")).alias("v"))
-        items = level.where(F.startswith(kind, F.lit("ARRAY"))).select("bundle", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v"))
+        items = level.where(F.startswith(kind, F.lit("ARRAY"))).select(
+            "bundle", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v")
+        )
         nested = F.schema_of_variant("v")
-        level = inner.unionByName(items).where(F.startswith(nested, F.lit("OBJECT")) | F.startswith(nested, F.lit("ARRAY")))
+        level = inner.unionByName(items).where(
+            F.startswith(nested, F.lit("OBJECT")) | F.startswith(nested, F.lit("ARRAY"))
+        )
     return found
 
 
@@ -183,8 +235,18 @@ def metadata_roles(documents: DataFrame, depth: int = 8) -> DataFrame:
     flagged = F.exists("fields", lambda e: e.key.isin(FLAG_KEYS) & (F.try_variant_get(e.value, "$", "boolean") == True))  # noqa: E712
     role = _first_text(ROLE_KEYS, lambda v: F.lower(v).isin(BASE_ROLES))
     split = _first_text(ID_KEYS, lambda v: ~F.lower(v).isin(BASE_ROLES))
-    told = records.select("bundle", reference.alias("reference"), (F.coalesce(flagged, F.lit(False)) | role.isNotNull()).alias("is_base"), split.alias("split_id")).where("reference is not null")
-    direct = records.select("bundle", _first_text(BASE_KEYS).alias("reference"), F.lit(True).alias("is_base"), F.lit(None).cast("string").alias("split_id")).where("reference is not null")
+    told = records.select(
+        "bundle",
+        reference.alias("reference"),
+        (F.coalesce(flagged, F.lit(False)) | role.isNotNull()).alias("is_base"),
+        split.alias("split_id"),
+    ).where("reference is not null")
+    direct = records.select(
+        "bundle",
+        _first_text(BASE_KEYS).alias("reference"),
+        F.lit(True).alias("is_base"),
+        F.lit(None).cast("string").alias("split_id"),
+    ).where("reference is not null")
     return told.unionByName(direct)
 
 
@@ -205,7 +267,14 @@ def import_blobs(files: DataFrame, store: DataFrame) -> DataFrame:
     held = store.select("project_id", "sha256", F.col("size").alias("_size")).dropDuplicates(["project_id", "sha256"])
     met = one.join(held, ["project_id", "sha256"], "left")
     state = F.when(F.col("_size").isNull(), "new").when(F.col("_size") == F.col("size"), "known").otherwise("damaged")
-    return met.select("project_id", "sha256", "size", "name", stored_path(F.col("project_id"), F.col("sha256")).alias("stored_path"), state.alias("state"))
+    return met.select(
+        "project_id",
+        "sha256",
+        "size",
+        "name",
+        stored_path(F.col("project_id"), F.col("sha256")).alias("stored_path"),
+        state.alias("state"),
+    )
 
 
 def import_bundle(inspected: DataFrame, stored: DataFrame) -> DataFrame:
@@ -213,5 +282,7 @@ def import_bundle(inspected: DataFrame, stored: DataFrame) -> DataFrame:
     size or digest are others than at the inspection."""
     now = stored.select("bundle", "name", F.struct("size", "sha256").alias("_now"))
     met = inspected.join(now, ["bundle", "name"], "left")
-    state = F.when(F.col("_now").isNull(), "missing").when(F.col("_now") == F.struct("size", "sha256"), "imported").otherwise("changed")
+    state = F.when(F.col("_now").isNull(), "missing").when(
+        F.col("_now") == F.struct("size", "sha256"), "imported"
+    ).otherwise("changed")
     return met.select(*inspected.columns, state.alias("state"))

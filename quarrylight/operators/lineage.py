@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The row of each key that `order` puts first. Partial limits run before the shuffle."""
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
+    return rows.withColumn(
+        "_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ).where("_nth = 1").drop("_nth")
 
 
 def chain(runs: DataFrame, tools: list[str], key: str) -> DataFrame:
@@ -28,10 +30,23 @@ def report_lineage(runs: DataFrame, key: str = "project_id") -> DataFrame:
     order = [F.desc("started_at"), F.desc("run_id")]
 
     def last(rows: DataFrame, tool: str, prefix: str) -> DataFrame:
-        return latest(rows, [key], order).select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in ("run_id", "apk_sha", "artifact_id", "output_dir", "index_id", "source_root")])
-
-    package = good.where(F.col("tool").isin("apk_import", "apk_inspect")).withColumn("_imported", F.col("tool") == "apk_import")
-    base = latest(package, [key], [F.desc("_imported"), *order]).select(key, F.col("run_id").alias("package_run_id"), F.col("apk_sha").alias("_sha"), F.when(F.col("_imported"), F.col("artifact_id")).alias("_artifact"))
+        return latest(rows, [key], order).select(
+            key,
+            *[
+                F.col(c).alias(f"{prefix}_{c}")
+                for c in ("run_id", "apk_sha", "artifact_id", "output_dir", "index_id", "source_root")
+            ]
+        )
+
+    package = good.where(
+        F.col("tool").isin("apk_import", "apk_inspect")
+    ).withColumn("_imported", F.col("tool") == "apk_import")
+    base = latest(package, [key], [F.desc("_imported"), *order]).select(
+        key,
+        F.col("run_id").alias("package_run_id"),
+        F.col("apk_sha").alias("_sha"),
+        F.when(F.col("_imported"), F.col("artifact_id")).alias("_artifact"),
+    )
 
     def met(state: DataFrame, tool: str, residual: Column, prefix: str) -> DataFrame:
         fit = good.where(F.col("tool") == tool).join(state, key).where(residual).select(*good.columns)
@@ -39,7 +54,9 @@ def report_lineage(runs: DataFrame, key: str = "project_id") -> DataFrame:
 
     below = F.startswith("path", F.concat("tree_output_dir", F.lit("/"))) | (F.col("path") == F.col("tree_output_dir"))
     of_artifact = F.col("_artifact").isNull() | (F.col("artifact_id") == F.col("_artifact"))
-    of_tree = F.when(F.col("tree_output_dir").isNotNull(), F.col("source_root") == F.concat("tree_output_dir", F.lit("/sources"))).otherwise(F.col("_artifact").isNotNull())
+    of_tree = F.when(
+        F.col("tree_output_dir").isNotNull(), F.col("source_root") == F.concat("tree_output_dir", F.lit("/sources"))
+    ).otherwise(F.col("_artifact").isNotNull())
     state = met(base, "apk_metadata", F.col("apk_sha") == F.col("_sha"), "metadata")
     state = met(state, "jadx_decompile", F.col("apk_sha") == F.col("_sha"), "tree")
     state = met(state, "manifest_analyze", below, "manifest")
@@ -47,7 +64,9 @@ def report_lineage(runs: DataFrame, key: str = "project_id") -> DataFrame:
     state = met(state, "context_query", F.col("index_id") == F.col("index_index_id"), "query")
     state = met(state, "detect_obfuscation", F.col("source_root") == F.col("index_source_root"), "signals")
     stages = ["package", "metadata", "tree", "manifest", "signals", "index", "query"]
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"{s}_run_id").alias("run_id")) for s in stages]))
+    each = F.explode(
+        F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"{s}_run_id").alias("run_id")) for s in stages])
+    )
     return state.select(key, each.alias("r")).select(key, "r.stage", "r.run_id").where("run_id is not null")
 
 
@@ -61,34 +80,52 @@ def ready_steps(steps: DataFrame) -> DataFrame:
     """steps (session_id, step_id, status, depends_on): adds ready, true if all dependencies are known and completed."""
     deps = steps.select("session_id", "step_id", F.explode("depends_on").alias("needs"))
     states = steps.select("session_id", F.col("step_id").alias("needs"), (F.col("status") == "completed").alias("done"))
-    met = deps.join(states, ["session_id", "needs"], "left").groupBy("session_id", "step_id").agg(F.bool_and(F.coalesce("done", F.lit(False))).alias("met"))
-    return steps.join(met, ["session_id", "step_id"], "left").withColumn("ready", F.coalesce("met", F.lit(True))).drop("met")
+    met = deps.join(states, ["session_id", "needs"], "left").groupBy("session_id", "step_id").agg(
+        F.bool_and(F.coalesce("done", F.lit(False))).alias("met")
+    )
+    return steps.join(met, ["session_id", "step_id"], "left").withColumn(
+        "ready", F.coalesce("met", F.lit(True))
+    ).drop("met")
 
 
 def findings_with(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     """Findings one of whose evidence_ids is among evidence (id)."""
-    hit = findings.select("finding_id", F.explode("evidence_ids").alias("id")).join(evidence.select("id"), "id", "left_semi").select("finding_id").distinct()
+    hit = findings.select(
+        "finding_id", F.explode("evidence_ids").alias("id")
+    ).join(evidence.select("id"), "id", "left_semi").select("finding_id").distinct()
     return findings.join(hit, "finding_id", "left_semi")
 
 
 def missing_evidence(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     """(finding_id, evidence_id, missing) of every reference."""
     refs = findings.select("finding_id", F.explode_outer("evidence_ids").alias("evidence_id"))
-    return refs.join(evidence.select(F.col("id").alias("evidence_id"), F.lit(True).alias("_there")), "evidence_id", "left").select("finding_id", "evidence_id", F.col("_there").isNull().alias("missing"))
+    return refs.join(
+        evidence.select(F.col("id").alias("evidence_id"), F.lit(True).alias("_there")), "evidence_id", "left"
+    ).select("finding_id", "evidence_id", F.col("_there").isNull().alias("missing"))
 
 
 def correlate(edges: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
     """edges with up to three references; adds {name}_found for each. An edge without any reference is an error."""
     given = F.coalesce(*[F.col(f"{n}_id").cast("string") for n in sources])
-    out = edges.where(F.when(given.isNull(), F.raise_error("an edge names some evidence").cast("boolean")).otherwise(F.lit(True)))
+    out = edges.where(
+        F.when(given.isNull(), F.raise_error("an edge names some evidence").cast("boolean")).otherwise(F.lit(True))
+    )
     for name, rows in sources.items():
-        out = out.join(rows.select(F.col("id").alias(f"{name}_id"), F.lit(True).alias(f"{name}_found")).distinct(), f"{name}_id", "left").withColumn(f"{name}_found", F.coalesce(f"{name}_found", F.lit(False)))
+        out = out.join(
+            rows.select(F.col("id").alias(f"{name}_id"), F.lit(True).alias(f"{name}_found")).distinct(),
+            f"{name}_id",
+            "left",
+        ).withColumn(f"{name}_found", F.coalesce(f"{name}_found", F.lit(False)))
     return out
 
 
 def usage(ledger: DataFrame, keys: list[str]) -> DataFrame:
     """Tokens and cost of each key; a missing actual cost counts as 0."""
-    return ledger.groupBy(*keys).agg(F.count("*").alias("calls"), F.sum("tokens").cast("long").alias("tokens"), F.round(F.sum(F.coalesce("actual_cost", F.lit(0.0))), 2).alias("cost"))
+    return ledger.groupBy(*keys).agg(
+        F.count("*").alias("calls"),
+        F.sum("tokens").cast("long").alias("tokens"),
+        F.round(F.sum(F.coalesce("actual_cost", F.lit(0.0))), 2).alias("cost"),
+    )
 
 
 def orphans(rows: DataFrame, parents: DataFrame, column: str, parent: str = "id") -> DataFrame:

@@ -19,8 +19,12 @@ def hybrid_score(lexical: Column, semantic: Column, location: Column) -> Column:
 
 def rank_hybrid(candidates: DataFrame, limit: int) -> DataFrame:
     """candidates (id, path, start_line, lexical_score, semantic_score, location_boost): those with a score, best first."""
-    scored = candidates.withColumn("score", hybrid_score(F.col("lexical_score"), F.coalesce("semantic_score", F.lit(0.0)), F.col("location_boost"))).where("score <> 0")
-    return scored.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "path", "start_line", "id").limit(limit)
+    scored = candidates.withColumn(
+        "score", hybrid_score(F.col("lexical_score"), F.coalesce("semantic_score", F.lit(0.0)), F.col("location_boost"))
+    ).where("score <> 0")
+    return scored.withColumn("score", F.round("score", 6)).orderBy(
+        F.desc("score"), "path", "start_line", "id"
+    ).limit(limit)
 
 
 def pack_budget(ranked: DataFrame, budget: int, key: str = "query_id", overhead: int = 0) -> DataFrame:
@@ -33,7 +37,13 @@ def pack_budget(ranked: DataFrame, budget: int, key: str = "query_id", overhead:
     """
     if budget < 0 or overhead < 0:
         raise ValueError("budget and overhead are 0 or more")
-    rows = ranked.select(key, F.col("rank").cast("int").alias("rank"), F.col("id").cast("string").alias("id"), F.col("source_bytes").cast("long").alias("s"), F.col("summary_bytes").cast("long").alias("m"))
+    rows = ranked.select(
+        key,
+        F.col("rank").cast("int").alias("rank"),
+        F.col("id").cast("string").alias("id"),
+        F.col("source_bytes").cast("long").alias("s"),
+        F.col("summary_bytes").cast("long").alias("m"),
+    )
     alone = F.floor((F.least("s", "m") + 3) / 4) + overhead  # least skips nulls
     dealt = rows.where(alone <= budget).repartition(key).sortWithinPartitions(key, "rank", "id")
     kind = dealt.schema[key].dataType.simpleString()
@@ -56,6 +66,8 @@ def pack_budget(ranked: DataFrame, budget: int, key: str = "query_id", overhead:
                         break
             names = (key, "rank", "id", "representation", "estimated_tokens")
             kinds = (batch.column(0).type, pa.int32(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ([],) * 5, kinds)], names=list(names))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*out) if out else ([],) * 5, kinds)], names=list(names)
+            )
 
     return dealt.mapInArrow(fold, f"`{key}` {kind}, rank int, id string, representation string, estimated_tokens long")

@@ -17,10 +17,16 @@ def markdown_table(rows: DataFrame, columns: list[str], order: list[str], most:
     """One row (markdown, shown, total): a table of the first `most` rows by `order`, which is unique. Only these meet in a row."""
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[escape(F.col(c)) for c in columns]), F.lit(" |"))
     top = rows.orderBy(*order).limit(most).select(F.struct(*order, line.alias("_line")).alias("r"))
-    body = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["_line"]), "\n").alias("body"), F.count("*").alias("shown"))
+    body = top.agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["_line"]), "\n").alias("body"),
+        F.count("*").alias("shown"),
+    )
     head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns) + "\n"
     total = rows.agg(F.count("*").alias("total"))
-    return body.join(F.broadcast(total), F.lit(True)).select(F.concat(F.lit(head), "body").alias("markdown"), "shown", "total")  # one row each
+    # one row each
+    return body.join(F.broadcast(total), F.lit(True)).select(
+        F.concat(F.lit(head), "body").alias("markdown"), "shown", "total"
+    )
 
 
 def render(title: str, sections: list[tuple[str, DataFrame]]) -> tuple[str, str]:
@@ -37,7 +43,18 @@ def render(title: str, sections: list[tuple[str, DataFrame]]) -> tuple[str, str]
 
 
 # A static report's sections, in order, and those that it can lack.
-SECTIONS = ("project", "package", "apk_metadata", "jadx", "manifest", "obfuscation", "context", "source_evidence", "provenance", "limitations")
+SECTIONS = (
+    "project",
+    "package",
+    "apk_metadata",
+    "jadx",
+    "manifest",
+    "obfuscation",
+    "context",
+    "source_evidence",
+    "provenance",
+    "limitations",
+)
 OPTIONAL = ("apk_metadata", "jadx", "manifest", "obfuscation", "context", "source_evidence")
 
 
@@ -53,10 +70,14 @@ def section_states(parts: dict[str, DataFrame], key: str = "project_id") -> Data
         counted = n if counted is None else counted.unionByName(n)
     every = projects.select(key, F.posexplode(F.array(*[F.lit(s) for s in SECTIONS])).alias("place", "section"))
     met = every.join(counted, [key, "section"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
-    return met.withColumn("included", (F.col("rows") > 0) | ~F.col("section").isin(*OPTIONAL)).select(key, "section", F.col("place").cast("long"), "included", "rows")
+    return met.withColumn(
+        "included", (F.col("rows") > 0) | ~F.col("section").isin(*OPTIONAL)
+    ).select(key, "section", F.col("place").cast("long"), "included", "rows")
 
 
-def static_report(title: str, notice: str, sections: list[tuple[str, DataFrame | None]], runs: list[str], limits: list[str]) -> tuple[str, str, list[str], list[str]]:
+def static_report(
+    title: str, notice: str, sections: list[tuple[str, DataFrame | None]], runs: list[str], limits: list[str]
+) -> tuple[str, str, list[str], list[str]]:
     """A static report as Markdown, its SHA-256, and the headings of the sections that it has and lacks.
 
     sections: headings with what markdown_table gives, or None where there is no run. The report depends on its input alone: no times,
@@ -83,4 +104,9 @@ def static_report(title: str, notice: str, sections: list[tuple[str, DataFrame |
 
 def benchmark_json(metrics: DataFrame) -> DataFrame:
     """(json): each row as JSON with sorted names, closed by a line feed."""
-    return metrics.select(F.concat(F.to_json(F.struct(*[F.col(c) for c in sorted(metrics.columns)]), {"ignoreNullFields": "false"}), F.lit("\n")).alias("json"))
+    return metrics.select(
+        F.concat(
+            F.to_json(F.struct(*[F.col(c) for c in sorted(metrics.columns)]), {"ignoreNullFields": "false"}),
+            F.lit("\n"),
+        ).alias("json")
+    )

@@ -30,7 +30,10 @@ def hashing(dimensions: int = 384) -> Provider:
 def embedded(rows: DataFrame, provider: Provider) -> DataFrame:
     """rows with the provider's vectors; one of another length is an error."""
     right = F.size("vector") == provider.dimensions
-    return provider.embed(rows).withColumn("vector", F.when(right, F.col("vector")).otherwise(F.raise_error("a vector has another length than its provider says")))
+    return provider.embed(rows).withColumn(
+        "vector",
+        F.when(right, F.col("vector")).otherwise(F.raise_error("a vector has another length than its provider says")),
+    )
 
 
 def identity(fingerprint: str, provider: Provider) -> str:
@@ -69,9 +72,13 @@ def build(chunks: DataFrame, path: str, index_id: str, provider: Provider) -> di
     summaries = rollup.summaries(read_index(spark, path, "chunks", index_id), index_id, mark)
     store.replace_partition(summaries, f"{path}/summaries", "index_id")
     row = (index_id, mark, name, provider.name, provider.dimensions, count)
-    marker = spark.createDataFrame([row], "index_id string, fingerprint string, collection string, provider string, dimensions int, chunks long")
+    marker = spark.createDataFrame(
+        [row], "index_id string, fingerprint string, collection string, provider string, dimensions int, chunks long"
+    )
     store.replace_partition(marker.coalesce(1), f"{path}/markers", "index_id")
-    return dict(zip(("index_id", "fingerprint", "collection", "provider", "dimensions", "chunks"), row)) | {"reused": reused}
+    return dict(
+        zip(("index_id", "fingerprint", "collection", "provider", "dimensions", "chunks"), row)
+    ) | {"reused": reused}
 
 
 def read_index(spark: SparkSession, path: str, part: str, index_id: str) -> DataFrame:
@@ -105,13 +112,25 @@ def ready(spark: SparkSession, path: str, index_id: str, provider: Provider) ->
 
 def lexical(content: Column, location: Column, phrase: Column, words: Column) -> Column:
     """As functions.text.lexical_score, for queries in columns."""
-    content, location, phrase = F.lower(F.coalesce(content, F.lit(""))), F.lower(F.coalesce(location, F.lit(""))), F.lower(phrase)
+    content, location, phrase = F.lower(F.coalesce(content, F.lit(""))), F.lower(
+        F.coalesce(location, F.lit(""))
+    ), F.lower(phrase)
     hit = F.when(F.contains(content, phrase) | F.contains(location, phrase), 0.45).otherwise(0.0)
-    share = lambda where: F.coalesce(F.size(F.filter(words, lambda w: F.contains(where, w))) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0))
+    share = lambda where: F.coalesce(
+        F.size(F.filter(words, lambda w: F.contains(where, w))) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0)
+    )
     return F.least(F.lit(1.0), hit + share(content) * 0.4 + share(location) * 0.15)
 
 
-def hybrid(chunks: DataFrame, vectors_: DataFrame, queries: DataFrame, limit: int, summaries: DataFrame | None = None, known: list[str] | None = None, scale: str = "cosine") -> DataFrame:
+def hybrid(
+    chunks: DataFrame,
+    vectors_: DataFrame,
+    queries: DataFrame,
+    limit: int,
+    summaries: DataFrame | None = None,
+    known: list[str] | None = None,
+    scale: str = "cosine",
+) -> DataFrame:
     """The best `limit` chunks for each query, ranked from 1.
 
     chunks (id, path, symbol, start_line, content), vectors_ (id, vector), queries (query_id, phrase, words array, vector),
@@ -124,42 +143,77 @@ def hybrid(chunks: DataFrame, vectors_: DataFrame, queries: DataFrame, limit: in
     most = candidate_budget(vectors_.count(), limit)
     asked = queries.select("query_id", F.col("vector").alias("query"))
     near = vectors.nearest(vectors_, asked, most) if most else None
-    score = vectors.affine(F.col("cosine")) if scale == "affine" else F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cosine")))
+    score = vectors.affine(F.col("cosine")) if scale == "affine" else F.greatest(
+        F.lit(0.0), F.least(F.lit(1.0), F.col("cosine"))
+    )
     found = near.select("query_id", "id", score.alias("semantic_score"))
     location = F.lit(0.0)
     if known:
         from quarrylight.operators.search import path_prefixes
 
-        told = path_prefixes(chunks, known).select("id", "path", "start_line").orderBy("path", "start_line", "id").limit(MOST_KNOWN).select("id")
+        told = path_prefixes(chunks, known).select(
+            "id", "path", "start_line"
+        ).orderBy("path", "start_line", "id").limit(MOST_KNOWN).select("id")
         every = told.join(F.broadcast(queries.select("query_id")), F.lit(True))  # at most MOST_KNOWN for each query
-        found = found.select("query_id", "id").unionByName(every.select("query_id", "id")).distinct().join(found, ["query_id", "id"], "left")
+        found = found.select("query_id", "id").unionByName(every.select("query_id", "id")).distinct().join(
+            found, ["query_id", "id"], "left"
+        )
         for p in known:
             location = F.when(F.startswith("path", F.lit(p)), 1.0).otherwise(location)
     rows = chunks.join(found, "id").join(F.broadcast(queries.select("query_id", "phrase", "words")), "query_id")
     place = F.concat("path", F.lit(" "), F.coalesce("symbol", F.lit("")))
-    scored = rows.withColumns({"lexical_score": lexical(F.col("content"), place, F.col("phrase"), F.col("words")), "semantic_score": F.coalesce("semantic_score", F.lit(0.0)), "location_boost": location})
-    scored = scored.withColumn("score", ranking.hybrid_score(F.col("lexical_score"), F.col("semantic_score"), F.col("location_boost"))).where("score <> 0")
+    scored = rows.withColumns(
+        {
+            "lexical_score": lexical(F.col("content"), place, F.col("phrase"), F.col("words")),
+            "semantic_score": F.coalesce("semantic_score", F.lit(0.0)),
+            "location_boost": location,
+        }
+    )
+    scored = scored.withColumn(
+        "score", ranking.hybrid_score(F.col("lexical_score"), F.col("semantic_score"), F.col("location_boost"))
+    ).where("score <> 0")
     scored = scored.withColumn("score", F.round("score", 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start_line", "id")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     if summaries is None:
         return best.withColumn("summary", F.lit(None).cast("string")).drop("phrase", "words")
-    return best.join(summaries.select(F.col("scope").alias("id"), F.col("content").alias("summary")), "id", "left").drop("phrase", "words")
+    return best.join(
+        summaries.select(F.col("scope").alias("id"), F.col("content").alias("summary")), "id", "left"
+    ).drop("phrase", "words")
 
 
 def render_source(row_symbol: str = "symbol") -> Column:
     """A chunk as a block with its locator: columns id, path, start_line, end_line, language, kind, symbol, start_instruction, end_instruction, content."""
-    pairs = [(n, F.col(n).cast("string")) for n in ("id", "path")] + [("lines", F.concat(F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")))]
+    pairs = [(n, F.col(n).cast("string")) for n in ("id", "path")] + [
+        ("lines", F.concat(F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")))
+    ]
     pairs += [(n, F.col(n)) for n in ("language", "kind")] + [("symbol", one_line(F.col(row_symbol)))]
-    pairs += [("instructions", F.concat(F.col("start_instruction").cast("string"), F.lit("-"), F.col("end_instruction").cast("string")))]
+    pairs += [
+        (
+            "instructions",
+            F.concat(F.col("start_instruction").cast("string"), F.lit("-"), F.col("end_instruction").cast("string")),
+        )
+    ]
     head = F.concat_ws(" ", *[F.when(v.isNotNull(), F.concat(F.lit(f"{n}="), v)) for n, v in pairs])
     return F.concat(F.lit("[source "), head, F.lit("]\n"), "content", F.lit("\n[/source]"))
 
 
 def render_summary() -> Column:
     """A chunk's summary as a block with its locator; null where there is none or it is blank."""
-    symbol = F.when(F.coalesce("symbol", F.lit("")) != "", F.concat(F.lit(" symbol="), one_line(F.col("symbol")))).otherwise(F.lit(""))
-    head = F.concat(F.lit("[summary id="), "id", F.lit(" path="), "path", F.lit(" lines="), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), symbol)
+    symbol = F.when(
+        F.coalesce("symbol", F.lit("")) != "", F.concat(F.lit(" symbol="), one_line(F.col("symbol")))
+    ).otherwise(F.lit(""))
+    head = F.concat(
+        F.lit("[summary id="),
+        "id",
+        F.lit(" path="),
+        "path",
+        F.lit(" lines="),
+        F.col("start_line").cast("string"),
+        F.lit("-"),
+        F.col("end_line").cast("string"),
+        symbol,
+    )
     return F.when(F.trim("summary") != "", F.concat(head, F.lit("]\n"), F.trim("summary"), F.lit("\n[/summary]")))
 
 
@@ -167,15 +221,31 @@ def pack(ranked: DataFrame, budget: int, overhead: int = 0) -> DataFrame:
     """Ranked rows (of hybrid, with what render_source needs) packed into `budget` tokens: adds representation (source, summary, or
     omitted), estimated_tokens and text, null for what is omitted. Ranks are by score, then path without regard to case, line and id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.lower("path"), "start_line", "id")
-    rows = ranked.withColumns({"rank": F.row_number().over(order), "_source": render_source(), "_summary": render_summary()})
-    sized = rows.select("query_id", "rank", F.col("id").cast("string").alias("id"), F.octet_length("_source").alias("source_bytes"), F.octet_length("_summary").alias("summary_bytes"))
-    taken = ranking.pack_budget(sized, budget, overhead=overhead).select("query_id", "rank", "representation", "estimated_tokens")
+    rows = ranked.withColumns(
+        {"rank": F.row_number().over(order), "_source": render_source(), "_summary": render_summary()}
+    )
+    sized = rows.select(
+        "query_id",
+        "rank",
+        F.col("id").cast("string").alias("id"),
+        F.octet_length("_source").alias("source_bytes"),
+        F.octet_length("_summary").alias("summary_bytes"),
+    )
+    taken = ranking.pack_budget(sized, budget, overhead=overhead).select(
+        "query_id", "rank", "representation", "estimated_tokens"
+    )
     met = rows.join(taken, ["query_id", "rank"], "left")
-    text = F.when(F.col("representation") == "source", F.col("_source")).when(F.col("representation") == "summary", F.col("_summary"))
-    return met.withColumns({"text": text, "representation": F.coalesce("representation", F.lit("omitted"))}).drop("_source", "_summary")
+    text = F.when(F.col("representation") == "source", F.col("_source")).when(
+        F.col("representation") == "summary", F.col("_summary")
+    )
+    return met.withColumns(
+        {"text": text, "representation": F.coalesce("representation", F.lit("omitted"))}
+    ).drop("_source", "_summary")
 
 
 def chunk_files(files: DataFrame, size: int = 200, overlap: int = 20) -> DataFrame:
     """Line windows of files (path, language, content) with ids, as build takes them."""
     none = F.lit(None).cast("long")
-    return chunking.line_windows(files, size, overlap).withColumns({"start_instruction": none, "end_instruction": none}).withColumn("id", chunking.chunk_id())
+    return chunking.line_windows(files, size, overlap).withColumns(
+        {"start_instruction": none, "end_instruction": none}
+    ).withColumn("id", chunking.chunk_id())

@@ -13,16 +13,26 @@ def line_matches(content: Column, start_line: Column, hit, most: int = 200) -> C
     return F.slice(F.array_compact(numbered), 1, most)
 
 
-def search(chunks: DataFrame, query: str, regex: bool = False, ignore_case: bool = True, most_lines: int = 200) -> DataFrame:
+def search(
+    chunks: DataFrame, query: str, regex: bool = False, ignore_case: bool = True, most_lines: int = 200
+) -> DataFrame:
     """Chunks with a match, each id once: match_count, distinct_match_line_count, match_lines, match_lines_truncated."""
     if not 1 <= most_lines <= 10_000:
         raise ValueError("1 to 10000 lines")
-    count = (lambda c: regex_occurrences(c, query, ignore_case)) if regex else (lambda c: occurrences(c, query, ignore_case))
+    count = (
+        lambda c: regex_occurrences(c, query, ignore_case)
+    ) if regex else (lambda c: occurrences(c, query, ignore_case))
     every = chunks.withColumn("match_count", count(F.col("content"))).where("match_count > 0")
     nth = F.row_number().over(Window.partitionBy("id").orderBy("path", "start_line", F.xxhash64("content")))
     found = every.withColumn("_nth", nth).where("_nth = 1").drop("_nth")  # of repeated ids the first place
     every = line_matches(F.col("content"), F.col("start_line"), lambda x: count(x) > 0, 2**31 - 1)
-    return found.withColumn("_lines", every).withColumns({"distinct_match_line_count": F.size("_lines").cast("long"), "match_lines": F.slice("_lines", 1, most_lines), "match_lines_truncated": F.size("_lines") > most_lines}).drop("_lines")
+    return found.withColumn("_lines", every).withColumns(
+        {
+            "distinct_match_line_count": F.size("_lines").cast("long"),
+            "match_lines": F.slice("_lines", 1, most_lines),
+            "match_lines_truncated": F.size("_lines") > most_lines,
+        }
+    ).drop("_lines")
 
 
 def top_hits(hits: DataFrame, k: int) -> DataFrame:
@@ -41,20 +51,42 @@ def excerpt(hits: DataFrame, phrase: str, context_lines: int = 2, most_chars: in
         raise ValueError("context_lines is 0 or more, most_chars 16 or more")
     at = F.locate(phrase.lower(), F.lower("content"))  # the first match, from 1
     before = F.substring(F.col("content"), F.lit(1), at - 1)
-    hits = hits.withColumn("_cut", lines(F.col("content"))).withColumn("_at", F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1)
-    hits = hits.withColumn("_first", F.greatest(F.lit(1), F.col("_at") - context_lines)).withColumn("_last", F.least(F.size("_cut"), F.col("_at") + context_lines))
-    skipped = F.when(F.col("_first") > 1, F.length(F.array_join(F.slice("_cut", 1, F.col("_first") - 1), "\n")) + 1).otherwise(F.lit(0))
-    hits = hits.withColumn("_raw", F.array_join(F.slice("_cut", F.col("_first"), F.col("_last") - F.col("_first") + 1), "\n")).withColumn("_rel", at - 1 - skipped)
-    clip = F.when(F.length("_raw") > most_chars, F.least(F.greatest(F.lit(0), F.col("_rel") - most_chars // 3), F.length("_raw") - most_chars)).otherwise(F.lit(0))
+    hits = hits.withColumn("_cut", lines(F.col("content"))).withColumn(
+        "_at", F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    )
+    hits = hits.withColumn("_first", F.greatest(F.lit(1), F.col("_at") - context_lines)).withColumn(
+        "_last", F.least(F.size("_cut"), F.col("_at") + context_lines)
+    )
+    skipped = F.when(
+        F.col("_first") > 1, F.length(F.array_join(F.slice("_cut", 1, F.col("_first") - 1), "\n")) + 1
+    ).otherwise(F.lit(0))
+    hits = hits.withColumn(
+        "_raw", F.array_join(F.slice("_cut", F.col("_first"), F.col("_last") - F.col("_first") + 1), "\n")
+    ).withColumn("_rel", at - 1 - skipped)
+    clip = F.when(
+        F.length("_raw") > most_chars,
+        F.least(F.greatest(F.lit(0), F.col("_rel") - most_chars // 3), F.length("_raw") - most_chars),
+    ).otherwise(F.lit(0))
     hits = hits.withColumn("_clip", clip)
     front = F.when(F.col("_clip") > 0, F.lit("…")).otherwise(F.lit(""))
     behind = F.when(F.col("_clip") + most_chars < F.length("_raw"), F.lit("…")).otherwise(F.lit(""))
-    kept = F.when(F.length("_raw") > most_chars, F.substring(F.col("_raw"), F.col("_clip") + 1, F.lit(most_chars) - F.length(front) - F.length(behind))).otherwise(F.col("_raw"))
+    kept = F.when(
+        F.length("_raw") > most_chars,
+        F.substring(F.col("_raw"), F.col("_clip") + 1, F.lit(most_chars) - F.length(front) - F.length(behind)),
+    ).otherwise(F.col("_raw"))
     hits = hits.withColumn("_kept", kept)
     feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     start = F.col("start_line") + F.col("_first") - 1 + feeds(F.substring(F.col("_raw"), F.lit(1), F.col("_clip")))
     end = start + feeds(F.col("_kept")) - F.when(F.endswith(F.col("_kept"), F.lit("\n")), 1).otherwise(0)
-    return hits.withColumns({"excerpt": F.when(F.length("_raw") > most_chars, F.concat(front, F.col("_kept"), behind)).otherwise(F.col("_raw")), "excerpt_start_line": start.cast("int"), "excerpt_end_line": F.greatest(start, end).cast("int")}).drop("_cut", "_at", "_first", "_last", "_raw", "_rel", "_clip", "_kept")
+    return hits.withColumns(
+        {
+            "excerpt": F.when(
+                F.length("_raw") > most_chars, F.concat(front, F.col("_kept"), behind)
+            ).otherwise(F.col("_raw")),
+            "excerpt_start_line": start.cast("int"),
+            "excerpt_end_line": F.greatest(start, end).cast("int"),
+        }
+    ).drop("_cut", "_at", "_first", "_last", "_raw", "_rel", "_clip", "_kept")
 
 
 def path_prefixes(chunks: DataFrame, prefixes: list[str]) -> DataFrame:
@@ -80,8 +112,12 @@ def containing(texts: DataFrame, phrases: DataFrame, text_col: str, phrase_col:
     at most 10000 of these are allowed. Null and empty phrases are in no text.
     """
     cut = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
-    asked = phrases.where(F.length(phrase_col) > 0).withColumn("_w", F.filter(F.split(F.col(phrase_col), r"\s+"), lambda w, i: i > 0))
-    asked = asked.withColumn("_w", F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0)))).withColumn("_n", F.least(F.size("_w"), F.lit(words)))
+    asked = phrases.where(F.length(phrase_col) > 0).withColumn(
+        "_w", F.filter(F.split(F.col(phrase_col), r"\s+"), lambda w, i: i > 0)
+    )
+    asked = asked.withColumn(
+        "_w", F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0)))
+    ).withColumn("_n", F.least(F.size("_w"), F.lit(words)))
     long = asked.where("_n > 0").withColumn("_key", F.xxhash64(F.slice("_w", 1, F.col("_n"))))
     out = None
     have = texts.withColumn("_all", cut(text_col))
@@ -89,7 +125,9 @@ def containing(texts: DataFrame, phrases: DataFrame, text_col: str, phrase_col:
         n = r["_n"]
         some = long.where(F.col("_n") == n).drop("_w", "_n")
         last = F.size("_all") - n + 1
-        keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("_all", i, n))))
+        keys = F.array_distinct(
+            F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("_all", i, n)))
+        )
         spread = have.where(last > 0).select(*texts.columns, F.explode(keys).alias("_key"))
         wanted = spread.join(some.select("_key").distinct(), "_key", "left_semi")  # rows without a wanted key end here
         met = wanted.join(some, "_key").where(F.contains(F.col(text_col), F.col(phrase_col))).drop("_key")

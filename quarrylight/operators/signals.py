@@ -21,15 +21,30 @@ def file_signals(files: DataFrame, language: Column | None = None) -> DataFrame:
     content = F.coalesce(F.col("content"), F.lit(""))
     names = lambda p: F.regexp_extract_all(content, F.lit(p), F.lit(1))
     brace = F.concat(names(CLASS_NAME), names(METHOD_NAME))
-    found = brace if language is None else F.when(language == "smali", F.concat(names(SMALI_CLASS), names(SMALI_METHOD))).otherwise(brace)
+    found = brace if language is None else F.when(
+        language == "smali", F.concat(names(SMALI_CLASS), names(SMALI_METHOD))
+    ).otherwise(brace)
     count = lambda p: F.regexp_count(content, F.lit(p)).cast("long")
-    return files.withColumns({"identifiers": F.filter(found, lambda x: ~x.isin(CONSTRUCTORS)), "reflection": count(REFLECTION), "encoded": count(BASE64_STRING) + count(HEX_STRING), "control": count(CONTROL_FLOW), "lines": (F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1).cast("long")})
+    return files.withColumns(
+        {
+            "identifiers": F.filter(found, lambda x: ~x.isin(CONSTRUCTORS)),
+            "reflection": count(REFLECTION),
+            "encoded": count(BASE64_STRING) + count(HEX_STRING),
+            "control": count(CONTROL_FLOW),
+            "lines": (F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1).cast("long"),
+        }
+    )
 
 
 def totals(signals: DataFrame, key: str | None = None) -> DataFrame:
     """Sums over files, of each key if there is one."""
     short = F.size(F.filter("identifiers", lambda x: F.length(x) <= 2))
-    return signals.groupBy(*([key] if key else [])).agg(F.count("*").alias("files"), F.sum(F.size("identifiers")).cast("long").alias("names"), F.sum(short).cast("long").alias("short_names"), *[F.sum(c).cast("long").alias(c) for c in ("reflection", "encoded", "control", "lines")])
+    return signals.groupBy(*([key] if key else [])).agg(
+        F.count("*").alias("files"),
+        F.sum(F.size("identifiers")).cast("long").alias("names"),
+        F.sum(short).cast("long").alias("short_names"),
+        *[F.sum(c).cast("long").alias(c) for c in ("reflection", "encoded", "control", "lines")]
+    )
 
 
 def scores(summed: DataFrame) -> DataFrame:
@@ -38,18 +53,31 @@ def scores(summed: DataFrame) -> DataFrame:
     files = F.greatest(F.col("files"), F.lit(1)).cast("double")
     density = F.col("control") / F.greatest(F.col("lines") / 1000.0, F.lit(1.0))
     ratio = F.when(F.col("names") > 0, F.col("short_names") / F.col("names")).otherwise(F.lit(0.0))
-    return summed.withColumns({"name_score": F.when(F.col("names") >= 20, part((ratio - 0.2) / 0.6)).otherwise(F.lit(0.0)), "reflection_score": part(F.col("reflection") / files / 2), "string_score": part(F.col("encoded") / files / 3), "control_score": part((density - 8) / 40)})
+    return summed.withColumns(
+        {
+            "name_score": F.when(F.col("names") >= 20, part((ratio - 0.2) / 0.6)).otherwise(F.lit(0.0)),
+            "reflection_score": part(F.col("reflection") / files / 2),
+            "string_score": part(F.col("encoded") / files / 3),
+            "control_score": part((density - 8) / 40),
+        }
+    )
 
 
 def classify(scored: DataFrame, has_marker: Column | None = None) -> DataFrame:
     """Adds kind and confidence. Strong is 0.55 and more; a product marker makes 0.9 the least confidence."""
-    active = {"name-obfuscation": F.col("name_score"), "string-obfuscation": F.col("string_score"), "control-flow-obfuscation": F.col("control_score")}
+    active = {
+        "name-obfuscation": F.col("name_score"),
+        "string-obfuscation": F.col("string_score"),
+        "control-flow-obfuscation": F.col("control_score"),
+    }
     best = F.greatest(*active.values())
     strong = sum(((s >= 0.55).cast("int") for s in active.values()), F.lit(0))
     single = F.lit("none-detected")
     for name, s in reversed(active.items()):
         single = F.when((s == best) & (s >= 0.55), name).otherwise(single)
-    kind = F.when((strong > 1) | ((F.col("reflection_score") >= 0.65) & (strong > 0)), "mixed-or-custom").otherwise(single)
+    kind = F.when(
+        (strong > 1) | ((F.col("reflection_score") >= 0.65) & (strong > 0)), "mixed-or-custom"
+    ).otherwise(single)
     confidence = F.when(strong > 0, best).otherwise(F.least(F.lit(0.95), 1 - best))
     if has_marker is not None:
         confidence = F.when(has_marker, F.greatest(confidence, F.lit(0.9))).otherwise(confidence)
@@ -59,7 +87,9 @@ def classify(scored: DataFrame, has_marker: Column | None = None) -> DataFrame:
 
 def name_entropy(signals: DataFrame, key: str) -> DataFrame:
     """Shannon entropy (bits) of each key's identifier characters: counts of characters, never their concatenation."""
-    chars = signals.select(key, F.explode("identifiers").alias("n")).select(key, F.explode(F.split("n", "")).alias("c")).where("c <> ''").groupBy(key, "c").agg(F.count("*").alias("n"))
+    chars = signals.select(key, F.explode("identifiers").alias("n")).select(
+        key, F.explode(F.split("n", "")).alias("c")
+    ).where("c <> ''").groupBy(key, "c").agg(F.count("*").alias("n"))
     total = chars.groupBy(key).agg(F.sum("n").alias("all"))
     p = F.col("n") / F.col("all")
     return chars.join(total, key).groupBy(key).agg(F.round(-F.sum(p * F.log2(p)), 6).alias("entropy"))

@@ -25,7 +25,12 @@ def update(current: DataFrame, changes: DataFrame, key: str, columns: list[str])
         raise ValueError("a change names a row that does not exist")
     new = changes.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])
     out = current.join(new, key, "left")
-    return out.select(*[(F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)) for c in current.columns])
+    return out.select(
+        *[
+            (F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c))
+            for c in current.columns
+        ]
+    )
 
 
 def replace_partition(rows: DataFrame, path: str, partition: str) -> None:
@@ -38,7 +43,9 @@ def publish(rows: DataFrame, path: str, version: str) -> int:
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}/data/{version}")
     n = spark.read.parquet(f"{path}/data/{version}").count()
-    spark.createDataFrame([(version, n)], "version string, rows long").coalesce(1).write.mode("overwrite").parquet(f"{path}/published")
+    spark.createDataFrame(
+        [(version, n)], "version string, rows long"
+    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/published")
     return n
 
 

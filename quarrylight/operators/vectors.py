@@ -13,7 +13,9 @@ from quarrylight.functions.text import tokens
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
+    )
 
 
 def unit(v: Column) -> Column:
@@ -34,11 +36,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
     at once and leaves at most k rows for each query, so what is shuffled does not grow with pairs. All arrays have one length.
     """
     spark = vectors.sparkSession
-    left = vectors.select(F.col(id_col).alias("id"), F.col("vector").cast("array<double>").alias("v")).where("v is not null")
+    left = vectors.select(
+        F.col(id_col).alias("id"), F.col("vector").cast("array<double>").alias("v")
+    ).where("v is not null")
     asked = queries.select("query_id", F.col("query").cast("array<double>").alias("q")).where("q is not null")
     blocks = max(1, -(-asked.count() // block))
     kinds = {c: f.dataType for c, f in (("query_id", asked.schema["query_id"]), ("id", left.schema["id"]))}
-    schema = T.StructType([T.StructField("query_id", kinds["query_id"]), T.StructField("id", kinds["id"]), T.StructField("cosine", T.DoubleType())])
+    schema = T.StructType(
+        [
+            T.StructField("query_id", kinds["query_id"]),
+            T.StructField("id", kinds["id"]),
+            T.StructField("cosine", T.DoubleType())
+        ]
+    )
     best = None
     for number in range(blocks):
         some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()
@@ -46,7 +56,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
         found = left.mapInArrow(_products(sent, k), schema)
         best = found if best is None else best.union(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "cosine")
+    return best.withColumn(
+        "rank", F.row_number().over(order)
+    ).where(F.col("rank") <= k).select("query_id", "rank", "id", "cosine")
 
 
 def _unit(column) -> np.ndarray:
@@ -64,7 +76,8 @@ def _products(sent, k: int):
                 continue
             cosine = np.round(q @ _unit(batch.column(1)).T, 6) + 0.0
             ids = batch.column(0)
-            rank = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable")  # ids in their own order
+            # ids in their own order
+            rank = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable")
             n = min(k, batch.num_rows)
             least = -np.partition(-cosine, n - 1, axis=1)[:, n - 1]
             x, y = np.nonzero(cosine >= least[:, None])  # all ties with the k-th
@@ -72,7 +85,10 @@ def _products(sent, k: int):
             x, y = x[order], y[order]
             nth = np.arange(len(x)) - np.searchsorted(x, x)
             x, y = x[nth < k], y[nth < k]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(x)), ids.take(pa.array(y)), pa.array(cosine[x, y])], names=["query_id", "id", "cosine"])
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(x)), ids.take(pa.array(y)), pa.array(cosine[x, y])],
+                names=["query_id", "id", "cosine"],
+            )
 
     return run
 
@@ -99,21 +115,29 @@ def hash_embedding(chunks: DataFrame, dimensions: int = 384, text_col: str = "co
                 encoded = lists.flatten().dictionary_encode()
                 at = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 words = encoded.dictionary.to_pylist()
-                row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                row = np.repeat(
+                    np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                )
                 pair, where = np.unique((at[:-1] * len(words) + at[1:])[row[:-1] == row[1:]], return_inverse=True)
                 both = [f"{words[p // len(words)]}::{words[p % len(words)]}" for p in pair.tolist()]
                 out = np.zeros((batch.num_rows, dimensions))
                 for features, owner, number in ((words, row, at), (both, row[1:][row[:-1] == row[1:]], where)):
                     raw = b"".join(hashlib.blake2b(f.encode(), digest_size=16).digest() for f in features)
                     digest = np.frombuffer(raw, np.uint8).reshape(-1, 16)
-                    bucket = (np.ascontiguousarray(digest[:, :8]).view(">u8").reshape(-1) % np.uint64(dimensions)).astype(np.int64)
+                    bucket = (
+                        np.ascontiguousarray(digest[:, :8]).view(">u8").reshape(-1) % np.uint64(dimensions)
+                    ).astype(np.int64)
                     sign = np.where(digest[:, 8] & 1, 1.0, -1.0)
                     if len(features):
                         cell = owner * dimensions + bucket[number]
                         out += np.bincount(cell, sign[number], out.size).reshape(out.shape)
                 n = np.sqrt((out * out).sum(axis=1, keepdims=True))
                 out = np.divide(out, n, out=out, where=n > 0)
-                vector = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dimensions, dtype=np.int32)), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), vector], names=[*(f.name for f in kept), "vector"])
+                vector = pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, out.size + 1, dimensions, dtype=np.int32)), pa.array(out.ravel())
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i) for i in range(len(kept))), vector], names=[*(f.name for f in kept), "vector"]
+                )
 
     return source.mapInArrow(embed, T.StructType([*kept, T.StructField("vector", T.ArrayType(T.DoubleType()))]))

@@ -6,7 +6,17 @@ CATEGORIES = f"""{MEMBERS}, cat AS (SELECT *, CASE doc_id % 7 WHEN 0 THEN 'asset
 HEX = "upper(lpad(format('{:x}', {0}), 16, '0'))"
 TREE = """SELECT package, count(*) AS files, sum(size)::BIGINT AS bytes, sha256(unhex(string_agg(upper(lpad(format('{{:x}}', strlen(name)), 16, '0')) || hex(name) || upper(lpad(format('{{:x}}', size), 16, '0')) || upper(sha256), '' ORDER BY name, size, sha256))) AS sha256 FROM m WHERE {0} GROUP BY package"""
 OUTPUT = """o AS (SELECT user_id AS run_id, event_id AS n, user_id % 2 AS code, CASE WHEN event_id % 5 = 0 THEN 'ERROR - class ' || (event_id % 20) WHEN event_id % 5 = 1 THEN 'warning: method ' || (event_id % 30) WHEN event_id % 50 = 2 THEN 'finished with errors, count: ' || (event_id % 97) ELSE 'processing' END AS line FROM events)"""
-TOOLS = ["apk_import", "source_index", "source_search", "context_query", "proxy_start", "frida_run", "adb_logcat", "static_report", "no_such_tool"]
+TOOLS = [
+    "apk_import",
+    "source_index",
+    "source_search",
+    "context_query",
+    "proxy_start",
+    "frida_run",
+    "adb_logcat",
+    "static_report",
+    "no_such_tool"
+]
 STEPS = f"""s AS (SELECT conv_id AS plan_id, turn::INT AS step, {TOOLS}[(conv_id + turn * 5) % 9 + 1] AS tool, (turn - 1 + conv_id % 3)::INT AS dep, length(text) * 1.0::DOUBLE AS timeout FROM conversations)"""
 EVIDENCE = """f AS (SELECT doc_id AS finding_id, doc_id % 20 AS session_id, 'Finding ' || doc_id AS title, CASE WHEN toxic = 1 THEN 'high' ELSE 'low' END AS severity, doc_id % 4 / 4.0 AS confidence FROM labels),
   r AS (SELECT finding_id, n AS nth, finding_id + n AS evidence_id FROM f, (SELECT unnest([0, 1]) AS n)),

@@ -9,7 +9,16 @@ from quarrylight.operators import agentlog, inventory, lineage, manifest, netflo
 from quarrylight.plans.catalogue import chunks, flows, query, table
 from quarrylight.sources import devices
 
-TOOLS = ["apk_import", "source_index", "source_search", "context_query", "proxy_start", "frida_run", "adb_logcat", "static_report"]
+TOOLS = [
+    "apk_import",
+    "source_index",
+    "source_search",
+    "context_query",
+    "proxy_start",
+    "frida_run",
+    "adb_logcat",
+    "static_report"
+]
 
 
 def _text(*parts) -> F.Column:
@@ -21,9 +30,23 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as members of packages: the source is the package, the name depends on the id."""
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    names = [_text("assets/a", i), _text("res/layout/x", i, ".xml"), _text("lib/arm64/lib", i, ".so"), _text("lib/odd", i), _text("classes", i % 40 + 2, ".dex"), _text("META-INF/C", i, ".RSA"), _text("other", i)]
+    names = [
+        _text("assets/a", i),
+        _text("res/layout/x", i, ".xml"),
+        _text("lib/arm64/lib", i, ".so"),
+        _text("lib/odd", i),
+        _text("classes", i % 40 + 2, ".dex"),
+        _text("META-INF/C", i, ".RSA"),
+        _text("other", i)
+    ]
     name = F.element_at(F.array(*names), (i % 7 + 1).cast("int"))
-    return d.select(F.col("source").alias("package"), name.alias("name"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"), "doc_id")
+    return d.select(
+        F.col("source").alias("package"),
+        name.alias("name"),
+        F.octet_length("text").cast("long").alias("size"),
+        F.sha2("text", 256).alias("sha256"),
+        "doc_id",
+    )
 
 
 @query
@@ -38,7 +61,9 @@ def package_tree_hash(spark, sf_dir):
 
 @query
 def decompiler_cache_state(spark, sf_dir):
-    now = inventory.tree_hash(_members(spark, sf_dir).where("doc_id % 5 <> 0 or package not like '%1'"), "package").where("package not like '%2'")
+    now = inventory.tree_hash(
+        _members(spark, sf_dir).where("doc_id % 5 <> 0 or package not like '%1'"), "package"
+    ).where("package not like '%2'")
     then = inventory.tree_hash(_members(spark, sf_dir), "package").where("package not like '%3'")
     return inventory.cache_state(then, now, "package")
 
@@ -46,7 +71,12 @@ def decompiler_cache_state(spark, sf_dir):
 @query
 def content_addressed_import(spark, sf_dir):
     f = _members(spark, sf_dir).select(F.lit("prj_1").alias("project_id"), "name", "size", "sha256", "doc_id")
-    stored = f.where("doc_id % 3 = 0").select("project_id", "sha256", F.when(F.col("doc_id") % 2 == 0, F.col("size")).otherwise(F.col("size") + 1).alias("size"), "doc_id")
+    stored = f.where("doc_id % 3 = 0").select(
+        "project_id",
+        "sha256",
+        F.when(F.col("doc_id") % 2 == 0, F.col("size")).otherwise(F.col("size") + 1).alias("size"),
+        "doc_id",
+    )
     stored = lineage.latest(stored, ["sha256"], [F.desc("doc_id")])
     return inventory.import_blobs(f, stored).select("sha256", "size", "name", "stored_path", "state")
 
@@ -55,7 +85,9 @@ def content_addressed_import(spark, sf_dir):
 def bundle_import(spark, sf_dir):
     m = _members(spark, sf_dir).where("doc_id % 7 < 4")
     seen = m.select(F.col("package").alias("bundle"), "name", "size", "sha256", "doc_id")
-    stored = seen.where("doc_id % 11 <> 0").withColumn("size", F.when(F.col("doc_id") % 13 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    stored = seen.where("doc_id % 11 <> 0").withColumn(
+        "size", F.when(F.col("doc_id") % 13 == 0, F.col("size") + 1).otherwise(F.col("size"))
+    )
     return inventory.import_bundle(seen, stored).select("bundle", "name", "state")
 
 
@@ -64,7 +96,9 @@ def base_package_choice(spark, sf_dir):
     """Conversations as bundles of their turns."""
     c = table(spark, sf_dir, "conversations")
     name = F.when(F.col("turn") == F.col("conv_id") % 4, "x/Base.APK").otherwise(_text("split_", F.col("turn"), ".apk"))
-    p = c.select(F.col("conv_id").alias("bundle"), name.alias("name"), (F.col("role") == "user").alias("has_dex"), "turn")
+    p = c.select(
+        F.col("conv_id").alias("bundle"), name.alias("name"), (F.col("role") == "user").alias("has_dex"), "turn"
+    )
     told = p.where("bundle % 5 = 0 and turn <= bundle % 3").select("bundle", "name")
     return inventory.base_packages(p, told)
 
@@ -72,25 +106,43 @@ def base_package_choice(spark, sf_dir):
 @query
 def member_references(spark, sf_dir):
     m = _members(spark, sf_dir).select(F.col("package").alias("bundle"), "name", "doc_id")
-    asked = m.select("bundle", F.when(F.col("doc_id") % 3 == 0, _text("./", F.col("name"))).when(F.col("doc_id") % 3 == 1, _text("x\\", F.substring_index("name", "/", -1))).otherwise(_text("gone", F.col("doc_id"))).alias("reference"))
+    asked = m.select(
+        "bundle",
+        F.when(F.col("doc_id") % 3 == 0, _text("./", F.col("name"))).when(
+            F.col("doc_id") % 3 == 1, _text("x\\", F.substring_index("name", "/", -1))
+        ).otherwise(_text("gone", F.col("doc_id"))).alias("reference"),
+    )
     return inventory.resolve(asked.distinct(), m)
 
 
 @query
 def split_ids(spark, sf_dir):
-    return _members(spark, sf_dir).select("package", "name", inventory.split_id(F.concat(F.lit("a/split_"), F.substring_index("name", "/", -1))).alias("split_id"))
+    return _members(spark, sf_dir).select(
+        "package",
+        "name",
+        inventory.split_id(F.concat(F.lit("a/split_"), F.substring_index("name", "/", -1))).alias("split_id"),
+    )
 
 
 def _output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as lines that a decompiler prints; users are runs."""
     e = table(spark, sf_dir, "events")
-    line = F.when(F.col("event_id") % 5 == 0, _text("ERROR - class ", F.col("event_id") % 20)).when(F.col("event_id") % 5 == 1, _text("  warning: method ", F.col("event_id") % 30)).when(F.col("event_id") % 50 == 2, _text("finished with errors, count: ", F.col("event_id") % 97)).otherwise("processing")
-    return e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("n"), line.alias("line"), (F.col("user_id") % 2).alias("code"))
+    line = F.when(F.col("event_id") % 5 == 0, _text("ERROR - class ", F.col("event_id") % 20)).when(F.col("event_id") % 5 == 1, _text("  warning: method ", F.col("event_id") % 30)).when(
+        F.col("event_id") % 50 == 2, _text("finished with errors, count: ", F.col("event_id") % 97)
+    ).otherwise("processing")
+    return e.select(
+        F.col("user_id").alias("run_id"),
+        F.col("event_id").alias("n"),
+        line.alias("line"),
+        (F.col("user_id") % 2).alias("code"),
+    )
 
 
 @query
 def tool_diagnostics(spark, sf_dir):
-    return inventory.diagnostics(_output(spark, sf_dir).where("run_id % 3 <> 1 or line = 'processing'"), "run_id", "code")
+    return inventory.diagnostics(
+        _output(spark, sf_dir).where("run_id % 3 <> 1 or line = 'processing'"), "run_id", "code"
+    )
 
 
 @query
@@ -101,22 +153,48 @@ def reported_error_counts(spark, sf_dir):
 @query
 def nested_evidence_count(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
-    signer = F.struct(F.array_repeat(F.lit("c"), F.lit(2)).alias("certificates"), F.array_repeat(F.lit("s"), F.lit(3)).alias("signatures"))
+    signer = F.struct(
+        F.array_repeat(F.lit("c"), F.lit(2)).alias("certificates"),
+        F.array_repeat(F.lit("s"), F.lit(3)).alias("signatures"),
+    )
     repeat = lambda k: F.array_repeat(F.lit("x"), F.col("n") * k)
-    rows = c.select("conv_id", repeat(1).alias("assets"), repeat(2).alias("resources"), repeat(0).alias("native"), repeat(1).alias("dex"), repeat(0).alias("legacy"), repeat(1).alias("unsupported"), F.array_repeat(F.struct(F.array_repeat(signer, F.col("n")).alias("signers")), F.lit(2)).alias("schemes"))
+    rows = c.select(
+        "conv_id",
+        repeat(1).alias("assets"),
+        repeat(2).alias("resources"),
+        repeat(0).alias("native"),
+        repeat(1).alias("dex"),
+        repeat(0).alias("legacy"),
+        repeat(1).alias("unsupported"),
+        F.array_repeat(F.struct(F.array_repeat(signer, F.col("n")).alias("signers")), F.lit(2)).alias("schemes"),
+    )
     return inventory.evidence_count(rows).select("conv_id", "evidence")
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    tool = F.element_at(F.array(*[F.lit(t) for t in [*TOOLS, "no_such_tool"]]), ((F.col("conv_id") + F.col("turn") * 5) % 9 + 1).cast("int"))
-    return c.select(F.col("conv_id").alias("plan_id"), F.col("turn").cast("int").alias("step"), tool.alias("tool"), F.array((F.col("turn") - 1 + F.col("conv_id") % 3).cast("int")).alias("depends_on"), (F.length("text") * 1.0).alias("timeout"))
+    tool = F.element_at(
+        F.array(*[F.lit(t) for t in [*TOOLS, "no_such_tool"]]),
+        ((F.col("conv_id") + F.col("turn") * 5) % 9 + 1).cast("int"),
+    )
+    return c.select(
+        F.col("conv_id").alias("plan_id"),
+        F.col("turn").cast("int").alias("step"),
+        tool.alias("tool"),
+        F.array((F.col("turn") - 1 + F.col("conv_id") % 3).cast("int")).alias("depends_on"),
+        (F.length("text") * 1.0).alias("timeout"),
+    )
 
 
 @query
 def plan_validation(spark, sf_dir):
     s = _steps(spark, sf_dir)
-    goals = s.select("plan_id").distinct().withColumn("goal", F.when(F.col("plan_id") % 2 == 0, "Look at it and finish the plan with `static_report`.").otherwise("Look at it."))
+    goals = s.select("plan_id").distinct().withColumn(
+        "goal",
+        F.when(
+            F.col("plan_id") % 2 == 0, "Look at it and finish the plan with `static_report`."
+        ).otherwise("Look at it."),
+    )
     return agentlog.plan_problems(s, goals, TOOLS, 3, 200.0)
 
 
@@ -126,8 +204,12 @@ def scope_gate(spark, sf_dir):
     i = F.col("plan_id")
     devices_ = F.when(i % 3 == 0, F.array(F.lit("emu-1"))).when(i % 3 == 1, F.array().cast("array<string>"))
     serial, package = _text("emu-", F.col("step")), F.when(F.col("step") % 2 == 0, "app.a").otherwise("app.b")
-    denied = agentlog.scope_denial(F.col("tool"), serial, package, i % 4 != 0, devices_, F.array(F.lit("app.a")), i % 5 == 0)
-    return s.select("plan_id", "step", "tool", denied.alias("denied"), agentlog.evidence_kind(F.col("tool")).alias("evidence_kind"))
+    denied = agentlog.scope_denial(
+        F.col("tool"), serial, package, i % 4 != 0, devices_, F.array(F.lit("app.a")), i % 5 == 0
+    )
+    return s.select(
+        "plan_id", "step", "tool", denied.alias("denied"), agentlog.evidence_kind(F.col("tool")).alias("evidence_kind")
+    )
 
 
 @query
@@ -140,8 +222,12 @@ def memory_merge(spark, sf_dir):
 @query
 def memory_order(spark, sf_dir):
     l = table(spark, sf_dir, "labels")
-    memory = l.groupBy((F.col("doc_id") % 50).alias("session_id")).agg(F.reverse(F.array_sort(F.collect_list("doc_id"))).alias("finding_ids"))
-    return agentlog.in_memory_order(memory, l.where("quality = 1").select(F.col("doc_id").alias("finding_id"), "toxic")).select("session_id", F.col("place").cast("long"), "finding_id", "toxic")
+    memory = l.groupBy((F.col("doc_id") % 50).alias("session_id")).agg(
+        F.reverse(F.array_sort(F.collect_list("doc_id"))).alias("finding_ids")
+    )
+    return agentlog.in_memory_order(
+        memory, l.where("quality = 1").select(F.col("doc_id").alias("finding_id"), "toxic")
+    ).select("session_id", F.col("place").cast("long"), "finding_id", "toxic")
 
 
 @query
@@ -154,7 +240,17 @@ def source_references(spark, sf_dir):
     """Outputs with good and bad places, as JSON."""
     d = table(spark, sf_dir, "documents").select("doc_id")
     i = F.col("doc_id")
-    place = lambda n: _text('{"path":"p', i, '","start_line":', i % 90 + n, ',"end_line":', F.when(i % 4 == n, F.lit('"9"')).otherwise((i % 90 + n + 3).cast("string")), ',"symbol":"', F.when(i % 2 == 0, "").otherwise("s"), '"}')
+    place = lambda n: _text(
+        '{"path":"p',
+        i,
+        '","start_line":',
+        i % 90 + n,
+        ',"end_line":',
+        F.when(i % 4 == n, F.lit('"9"')).otherwise((i % 90 + n + 3).cast("string")),
+        ',"symbol":"',
+        F.when(i % 2 == 0, "").otherwise("s"),
+        '"}',
+    )
     output = _text('{"hits":[', place(0), ",", place(1), ',7,{"path":5,"start_line":1,"end_line":2}]}')
     tool = F.when(i % 3 == 0, "source_search").when(i % 3 == 1, "context_query").otherwise("apk_import")
     r = d.select("doc_id", F.posexplode(agentlog.source_references(tool, output)).alias("nth", "r"))
@@ -164,14 +260,24 @@ def source_references(spark, sf_dir):
 @query
 def reviewer_payload(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    p = agentlog.reviewer_payload(F.lit("goal"), F.lit("t"), F.repeat(F.lit("ab"), (F.col("doc_id") % 3 * 15000).cast("int")), F.lit(None).cast("string"), F.col("doc_id"))
+    p = agentlog.reviewer_payload(
+        F.lit("goal"),
+        F.lit("t"),
+        F.repeat(F.lit("ab"), (F.col("doc_id") % 3 * 15000).cast("int")),
+        F.lit(None).cast("string"),
+        F.col("doc_id"),
+    )
     return d.select("doc_id", F.sha2(p, 256).alias("payload_sha256"), F.length(p).cast("long").alias("chars"))
 
 
 @query
 def scope_labels(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    s = c.groupBy((F.col("c_custkey") % 30).alias("project_id"), F.col("c_mktsegment").alias("kind")).agg(F.collect_set(F.when(F.col("c_nationkey") % 5 == 0, " ").otherwise(_text("N", F.col("c_nationkey")))).alias("values"))
+    s = c.groupBy((F.col("c_custkey") % 30).alias("project_id"), F.col("c_mktsegment").alias("kind")).agg(
+        F.collect_set(
+            F.when(F.col("c_nationkey") % 5 == 0, " ").otherwise(_text("N", F.col("c_nationkey")))
+        ).alias("values")
+    )
     return agentlog.scope_labels(s).select("project_id", F.array_join("labels", ",").alias("labels"))
 
 
@@ -183,25 +289,57 @@ def run_estimate(spark, sf_dir):
 @query
 def default_artifact(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    a = c.select(F.col("conv_id").alias("project_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("artifact_id"), F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, "in/BASE.apk").otherwise("x.apk").alias("original_name"), "turn")
+    a = c.select(
+        F.col("conv_id").alias("project_id"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("artifact_id"),
+        F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, "in/BASE.apk").otherwise("x.apk").alias("original_name"),
+        "turn",
+    )
     return agentlog.default_artifact(a.where("project_id % 4 <> 0 or turn = 0"))
 
 
 @query
 def artifact_ownership(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("project_id"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey")).alias("artifact_id"))
-    return agentlog.owned(o, table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("project_id"), F.col("c_custkey").alias("artifact_id"))).select("o_orderkey", "artifact_id")
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        (F.col("o_custkey") % 25).alias("project_id"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey")).alias("artifact_id"),
+    )
+    return agentlog.owned(
+        o,
+        table(spark, sf_dir, "customer").select(
+            F.col("c_nationkey").cast("long").alias("project_id"), F.col("c_custkey").alias("artifact_id")
+        ),
+    ).select("o_orderkey", "artifact_id")
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "labels").where("doc_id % 4 <> 0")
-    ref = F.struct(_text("src/F", F.col("doc_id"), ".java").alias("path"), F.col("doc_id").alias("start_line"), (F.col("doc_id") + F.col("quality")).alias("end_line"), F.when(F.col("toxic") == 1, "Sym").alias("symbol"))
-    return l.select(F.col("doc_id").alias("evidence_id"), _text("tool-run:", F.col("doc_id")).alias("locator"), F.lit("seen").alias("summary"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("tool_run_id"), F.array(ref).alias("source_references"))
+    ref = F.struct(
+        _text("src/F", F.col("doc_id"), ".java").alias("path"),
+        F.col("doc_id").alias("start_line"),
+        (F.col("doc_id") + F.col("quality")).alias("end_line"),
+        F.when(F.col("toxic") == 1, "Sym").alias("symbol"),
+    )
+    return l.select(
+        F.col("doc_id").alias("evidence_id"),
+        _text("tool-run:", F.col("doc_id")).alias("locator"),
+        F.lit("seen").alias("summary"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("tool_run_id"),
+        F.array(ref).alias("source_references"),
+    )
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "labels")
-    return l.select(F.col("doc_id").alias("finding_id"), (F.col("doc_id") % 20).alias("session_id"), F.array(F.col("doc_id"), F.col("doc_id") + 1).alias("evidence_ids"), _text("Finding ", F.col("doc_id")).alias("title"), F.when(F.col("toxic") == 1, "high").otherwise("low").alias("severity"), (F.col("doc_id") % 4 / 4.0).alias("confidence"))
+    return l.select(
+        F.col("doc_id").alias("finding_id"),
+        (F.col("doc_id") % 20).alias("session_id"),
+        F.array(F.col("doc_id"), F.col("doc_id") + 1).alias("evidence_ids"),
+        _text("Finding ", F.col("doc_id")).alias("title"),
+        F.when(F.col("toxic") == 1, "high").otherwise("low").alias("severity"),
+        (F.col("doc_id") % 4 / 4.0).alias("confidence"),
+    )
 
 
 @query
@@ -213,8 +351,20 @@ def finding_lines(spark, sf_dir):
 @query
 def session_report(spark, sf_dir):
     f = _findings(spark, sf_dir)
-    sessions = spark.range(25).select(F.col("id").alias("session_id"), _text("Goal\n ", F.col("id")).alias("goal"), F.lit("completed").alias("status"), (F.col("id") / 8.0).alias("cost"))
-    steps = spark.range(60).select((F.col("id") % 20).alias("session_id"), F.floor(F.col("id") / 20).cast("int").alias("step"), F.lit("look").alias("objective"), F.lit("source_search").alias("tool"), F.lit("completed").alias("status"), F.lit(1).alias("attempts"))
+    sessions = spark.range(25).select(
+        F.col("id").alias("session_id"),
+        _text("Goal\n ", F.col("id")).alias("goal"),
+        F.lit("completed").alias("status"),
+        (F.col("id") / 8.0).alias("cost"),
+    )
+    steps = spark.range(60).select(
+        (F.col("id") % 20).alias("session_id"),
+        F.floor(F.col("id") / 20).cast("int").alias("step"),
+        F.lit("look").alias("objective"),
+        F.lit("source_search").alias("tool"),
+        F.lit("completed").alias("status"),
+        F.lit(1).alias("attempts"),
+    )
     return agentlog.session_report(sessions, steps, f, agentlog.finding_lines(f, _evidence(spark, sf_dir)))
 
 
@@ -233,16 +383,50 @@ def report_lineage(spark, sf_dir):
     """Events as tool runs of 40 projects; digests, trees and indexes follow from ids."""
     e = table(spark, sf_dir, "events")
     i = F.col("event_id")
-    tool = F.element_at(F.array(*[F.lit(t) for t in ("apk_import", "apk_inspect", "apk_metadata", "jadx_decompile", "manifest_analyze", "source_index", "context_query", "detect_obfuscation")]), (i % 8 + 1).cast("int"))
+    tool = F.element_at(
+        F.array(
+            *[
+                F.lit(t)
+                for t in (
+                    "apk_import",
+                    "apk_inspect",
+                    "apk_metadata",
+                    "jadx_decompile",
+                    "manifest_analyze",
+                    "source_index",
+                    "context_query",
+                    "detect_obfuscation",
+                )
+            ]
+        ),
+        (i % 8 + 1).cast("int"),
+    )
     tree = _text("/w/t", i % 3)
-    runs = e.select((F.col("user_id") % 40).alias("project_id"), i.alias("run_id"), tool.alias("tool"), F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"), F.col("ts").alias("started_at"), _text("sha", F.col("user_id") % 3).alias("apk_sha"), F.when(i % 5 > 0, _text("art", F.col("user_id") % 2)).alias("artifact_id"), F.when(F.col("user_id") % 4 > 0, tree).alias("output_dir"), F.when(i % 2 == 0, _text(tree, "/AndroidManifest.xml")).otherwise("/w/t1x/m.xml").alias("path"), _text("idx", F.col("user_id") % 2).alias("index_id"), _text(tree, "/sources").alias("source_root"))
+    runs = e.select(
+        (F.col("user_id") % 40).alias("project_id"),
+        i.alias("run_id"),
+        tool.alias("tool"),
+        F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"),
+        F.col("ts").alias("started_at"),
+        _text("sha", F.col("user_id") % 3).alias("apk_sha"),
+        F.when(i % 5 > 0, _text("art", F.col("user_id") % 2)).alias("artifact_id"),
+        F.when(F.col("user_id") % 4 > 0, tree).alias("output_dir"),
+        F.when(i % 2 == 0, _text(tree, "/AndroidManifest.xml")).otherwise("/w/t1x/m.xml").alias("path"),
+        _text("idx", F.col("user_id") % 2).alias("index_id"),
+        _text(tree, "/sources").alias("source_root"),
+    )
     return lineage.report_lineage(runs)
 
 
 @query
 def report_sections(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("project_id"), "doc_id")
-    parts = {"project": d, "jadx": d.where("doc_id % 40 = 0"), "manifest": d.where("doc_id % 90 = 1"), "source_evidence": d.where("doc_id % 60 = 2")}
+    parts = {
+        "project": d,
+        "jadx": d.where("doc_id % 40 = 0"),
+        "manifest": d.where("doc_id % 90 = 1"),
+        "source_evidence": d.where("doc_id % 60 = 2"),
+    }
     return report.section_states(parts)
 
 
@@ -261,40 +445,71 @@ def retrieval_by_id_or_path(spark, sf_dir):
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     path = e.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("path"))
-    found = knn_exact(spark, sf_dir).where("id <> query_id").select(F.col("query_id").alias("case_id"), "rank", "id").join(path, "id")
-    cases = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("case_id"), F.array(F.col("vec_id") + 1, F.col("vec_id") + 2).alias("expected_ids"), F.array(((F.col("label") + 1) % 5).cast("string")).alias("expected_paths"))
-    return evaluate.relevant(found, cases).select("case_id", F.col("first_rank").cast("long"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+    found = knn_exact(spark, sf_dir).where("id <> query_id").select(
+        F.col("query_id").alias("case_id"), "rank", "id"
+    ).join(path, "id")
+    cases = e.where("vec_id % 50 = 0").select(
+        F.col("vec_id").alias("case_id"),
+        F.array(F.col("vec_id") + 1, F.col("vec_id") + 2).alias("expected_ids"),
+        F.array(((F.col("label") + 1) % 5).cast("string")).alias("expected_paths"),
+    )
+    return evaluate.relevant(found, cases).select(
+        "case_id", F.col("first_rank").cast("long"), F.round("reciprocal_rank", 6).alias("reciprocal_rank")
+    )
 
 
 @query
 def method_summaries(spark, sf_dir):
     c = chunks(spark, sf_dir).withColumn("end_line", F.lit(9))
-    return rollup.method_summaries(c).select("id", F.sha2("content", 256).alias("content_sha256"), F.length("content").cast("long").alias("chars"))
+    return rollup.method_summaries(c).select(
+        "id", F.sha2("content", 256).alias("content_sha256"), F.length("content").cast("long").alias("chars")
+    )
 
 
 @query
 def captured_bodies(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("request_body"), F.left("html", F.lit(20)).alias("response_body"))
-    return netflow.captured(p, 100).select("page_id", F.md5("request_body").alias("body_md5"), "request_body_cut", "response_body_cut")
+    p = table(spark, sf_dir, "pages").select(
+        "page_id", F.col("html").alias("request_body"), F.left("html", F.lit(20)).alias("response_body")
+    )
+    return netflow.captured(p, 100).select(
+        "page_id", F.md5("request_body").alias("body_md5"), "request_body_cut", "response_body_cut"
+    )
 
 
 @query
 def device_list(spark, sf_dir):
     c = table(spark, sf_dir, "supplier")
-    line = F.when(F.col("s_suppkey") % 7 == 0, "List of devices attached").when(F.col("s_suppkey") % 7 == 1, "* daemon started").when(F.col("s_suppkey") % 7 == 2, _text("only", F.col("s_suppkey"))).otherwise(_text("  emu-", F.col("s_suppkey"), "\tdevice product:p", F.col("s_nationkey"), " model:M1 transport_id:", F.col("s_suppkey") % 9))
+    line = F.when(F.col("s_suppkey") % 7 == 0, "List of devices attached").when(F.col("s_suppkey") % 7 == 1, "* daemon started").when(F.col("s_suppkey") % 7 == 2, _text("only", F.col("s_suppkey"))).otherwise(
+        _text(
+            "  emu-",
+            F.col("s_suppkey"),
+            "\tdevice product:p",
+            F.col("s_nationkey"),
+            " model:M1 transport_id:",
+            F.col("s_suppkey") % 9,
+        )
+    )
     return devices.devices(c.select(line.alias("value")))
 
 
 @query
 def process_list(spark, sf_dir):
     c = table(spark, sf_dir, "supplier")
-    return devices.processes(c.select(F.when(F.col("s_suppkey") % 3 == 0, " PID  Name").otherwise(_text("  ", F.col("s_suppkey"), "  app ", F.col("s_name"), " ")).alias("value")))
+    return devices.processes(
+        c.select(
+            F.when(F.col("s_suppkey") % 3 == 0, " PID  Name").otherwise(
+                _text("  ", F.col("s_suppkey"), "  app ", F.col("s_name"), " ")
+            ).alias("value")
+        )
+    )
 
 
 @query
 def log_lines(spark, sf_dir):
     c = table(spark, sf_dir, "supplier")
-    line = F.when(F.col("s_suppkey") % 5 == 0, "--------- beginning of main").otherwise(_text("01-02 03:04:05.678  ", F.col("s_suppkey"), "  12 I Tag", F.col("s_nationkey"), " : m: ", F.col("s_name")))
+    line = F.when(F.col("s_suppkey") % 5 == 0, "--------- beginning of main").otherwise(
+        _text("01-02 03:04:05.678  ", F.col("s_suppkey"), "  12 I Tag", F.col("s_nationkey"), " : m: ", F.col("s_name"))
+    )
     return devices.log_lines(c.select(line.alias("value"))).select("at", "pid", "tid", "level", "tag", "message")
 
 
@@ -303,15 +518,35 @@ def permission_rows(spark, sf_dir):
     """Permissions, SDK texts and flags: dangerous ones, the effective SDK, three-valued flags and their conjunction."""
     p = table(spark, sf_dir, "part")
     i = F.col("p_partkey")
-    name = F.when(i % 3 == 0, "android.permission.CAMERA").when(i % 3 == 1, "android.permission.INTERNET").otherwise("READ_SMS")
-    target, least = F.when(i % 4 == 0, F.lit(None).cast("string")).when(i % 4 == 1, "33").when(i % 4 == 2, "x").otherwise("16"), F.when(i % 5 == 0, F.lit(None).cast("string")).otherwise("21")
+    name = F.when(i % 3 == 0, "android.permission.CAMERA").when(
+        i % 3 == 1, "android.permission.INTERNET"
+    ).otherwise("READ_SMS")
+    target, least = F.when(
+        i % 4 == 0, F.lit(None).cast("string")
+    ).when(i % 4 == 1, "33").when(i % 4 == 2, "x").otherwise("16"), F.when(i % 5 == 0, F.lit(None).cast("string")).otherwise("21")
     flag = lambda n: F.element_at(F.array(F.lit("true"), F.lit("FALSE"), F.lit("@bool/a")), (i % n % 3 + 1).cast("int"))
     both = manifest.tri_state(flag(7)) & manifest.tri_state(flag(11))
-    return p.select("p_partkey", manifest.dangerous(name).alias("dangerous"), manifest.target_sdk(target, least).cast("long").alias("sdk"), both.alias("enabled"))
+    return p.select(
+        "p_partkey",
+        manifest.dangerous(name).alias("dangerous"),
+        manifest.target_sdk(target, least).cast("long").alias("sdk"),
+        both.alias("enabled"),
+    )
 
 
 @query
 def slugs_and_paths(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    path = F.when(F.col("p_partkey") % 4 == 0, _text("a\\", F.col("p_name"), ".kt")).when(F.col("p_partkey") % 4 == 1, "../x.java").when(F.col("p_partkey") % 4 == 2, "/abs/y.smali").otherwise(_text("b/c/", F.col("p_brand"), ".JAVA"))
-    return p.select("p_partkey", X.slug(F.col("p_name")).alias("slug"), X.normal_path(path).alias("path"), X.parent(path).alias("parent"), X.language_of(path).alias("language"), X.within(path, "b/c").alias("inside"))
+    path = F.when(
+        F.col("p_partkey") % 4 == 0, _text("a\\", F.col("p_name"), ".kt")
+    ).when(F.col("p_partkey") % 4 == 1, "../x.java").when(F.col("p_partkey") % 4 == 2, "/abs/y.smali").otherwise(_text(
+        "b/c/", F.col("p_brand"), ".JAVA"
+    ))
+    return p.select(
+        "p_partkey",
+        X.slug(F.col("p_name")).alias("slug"),
+        X.normal_path(path).alias("path"),
+        X.parent(path).alias("parent"),
+        X.language_of(path).alias("language"),
+        X.within(path, "b/c").alias("inside"),
+    )

@@ -132,7 +132,9 @@ TWINS = {
       SELECT id, CASE WHEN kind = 'provider' THEN CASE len(un) WHEN 0 THEN 'exported provider declares read and write permission guards' WHEN 2 THEN 'exported provider has no read or write permission guard' ELSE 'exported provider has no ' || un[1] || ' permission guard' END WHEN len(un) = 0 THEN 'exported component declares a permission guard' ELSE 'exported component has no permission guard' END AS reason, array_to_string(un, ',') AS unguarded FROM u""",
     "flow_stream_docs": "SELECT 'https://h' || (user_id % 3) || '/u/{id}' AS pattern, event_type AS method, 'h' || (user_id % 3) AS host, count(DISTINCT event_id) AS flow_count FROM events GROUP BY 1, 2, 3",
 }
-TWINS["retrieval_benchmark_json"] = f"""WITH {METRICS} SELECT '{{"cases":' || cases || ',"hit_at_1":' || hit_at_1 || ',"hit_at_3":' || hit_at_3 || ',"hit_at_5":' || hit_at_5 || ',"hit_rate_at_1":' || hit_rate_at_1 || ',"hit_rate_at_3":' || hit_rate_at_3 || ',"hit_rate_at_5":' || hit_rate_at_5 || ',"mrr":' || mrr || '}}' || chr(10) AS json FROM mm"""
+TWINS[
+    "retrieval_benchmark_json"
+] = f"""WITH {METRICS} SELECT '{{"cases":' || cases || ',"hit_at_1":' || hit_at_1 || ',"hit_at_3":' || hit_at_3 || ',"hit_at_5":' || hit_at_5 || ',"hit_rate_at_1":' || hit_rate_at_1 || ',"hit_rate_at_3":' || hit_rate_at_3 || ',"hit_rate_at_5":' || hit_rate_at_5 || ',"mrr":' || mrr || '}}' || chr(10) AS json FROM mm"""
 TWINS |= {name: sql for name, sql in RECORD_TWINS.items() if sql}
 TWINS["method_summaries"] = f"""WITH {CHUNKS}, {LINES.format('c')}, t AS (SELECT *, coalesce(list_filter(list_transform(ls, lambda x: trim(x, ' ')), lambda x: x <> '')[1], '<empty>') AS first FROM l WHERE kind = 'method'),
   x AS (SELECT id, symbol || ' in ' || path || ':1-9; signature `' || CASE WHEN length(first) > 240 THEN left(first, 237) || '...' ELSE first END || '`; indicators: ' || coalesce(nullif(array_to_string({INDICATED}, ', '), ''), 'none') || '.' AS content FROM t) SELECT id, sha256(content) AS content_sha256, length(content) AS chars FROM x"""

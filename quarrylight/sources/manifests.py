@@ -13,7 +13,13 @@ MOST_BYTES = 10 << 20
 COMPONENT = "file string, package string, kind string, name string, exported_attribute string, enabled boolean, has_filter boolean, permission string, read_permission string, write_permission string, application_permission string, target_sdk string, min_sdk string, problem string"
 # The attributes' namespace, and which elements are components.
 SPACE = "{http://schemas.android.com/apk/res/android}"
-KINDS = {"activity": "activity", "activity-alias": "activity", "service": "service", "receiver": "receiver", "provider": "provider"}
+KINDS = {
+    "activity": "activity",
+    "activity-alias": "activity",
+    "service": "service",
+    "receiver": "receiver",
+    "provider": "provider",
+}
 
 
 def components(raw: bytes) -> list[dict]:
@@ -36,9 +42,26 @@ def components(raw: bytes) -> list[dict]:
         if e.tag in KINDS:
             name = of(e, "name") or ""
             name = package + name if name.startswith(".") else f"{package}.{name}" if name and "." not in name and package else name
-            own, around = known.get((of(e, "enabled") or "true").lower()), known.get((of(app, "enabled") or "true").lower())
+            own, around = known.get((of(e, "enabled") or "true").lower()), known.get(
+                (of(app, "enabled") or "true").lower()
+            )
             both = False if own is False or around is False else None if own is None or around is None else True
-            out.append({"package": package, "kind": KINDS[e.tag], "name": name, "exported_attribute": of(e, "exported"), "enabled": both, "has_filter": e.find("intent-filter") is not None, "permission": of(e, "permission"), "read_permission": of(e, "readPermission"), "write_permission": of(e, "writePermission"), "application_permission": of(app, "permission"), "target_sdk": of(sdk, "targetSdkVersion"), "min_sdk": of(sdk, "minSdkVersion")})
+            out.append(
+                {
+                    "package": package,
+                    "kind": KINDS[e.tag],
+                    "name": name,
+                    "exported_attribute": of(e, "exported"),
+                    "enabled": both,
+                    "has_filter": e.find("intent-filter") is not None,
+                    "permission": of(e, "permission"),
+                    "read_permission": of(e, "readPermission"),
+                    "write_permission": of(e, "writePermission"),
+                    "application_permission": of(app, "permission"),
+                    "target_sdk": of(sdk, "targetSdkVersion"),
+                    "min_sdk": of(sdk, "minSdkVersion"),
+                }
+            )
     return out
 
 
@@ -51,7 +74,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"file": f, **c} for f, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in components(raw)]
+            rows = [
+                {"file": f, **c} for f,
+                raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in components(raw)
+            ]
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, COMPONENT)
+    return spark.read.format("binaryFile").option(
+        "recursiveFileLookup", "true"
+    ).load(path).select("path", "content").mapInArrow(run, COMPONENT)

@@ -65,7 +65,9 @@ def inspect(package: str, content: bytes, nested: bool = True) -> list[tuple]:
                 rows.append((package, i.filename, i.file_size, i.compress_size, digest, wrong))
                 if nested and digest and i.filename.lower().endswith(".apk"):
                     inner = f"{package}!/{i.filename}"
-                    rows += inspect(inner, z.read(i), False) if i.file_size <= MOST_NESTED else [(inner, None, None, None, None, "too-large")]
+                    rows += inspect(inner, z.read(i), False) if i.file_size <= MOST_NESTED else [
+                        (inner, None, None, None, None, "too-large")
+                    ]
     except (zipfile.BadZipFile, NotImplementedError):
         return [(package, None, None, None, None, "damaged")]
     return rows
@@ -81,17 +83,28 @@ def members(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if rows := inspect(name, content):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in MEMBER.split(", ")])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, k) for x, k in zip(zip(*rows), kinds)],
+                        names=[c.split()[0] for c in MEMBER.split(", ")],
+                    )
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    category = F.coalesce(member_category(F.col("name")), F.when(legacy_signature(F.col("name")), "signature"), F.when(F.endswith(F.lower("name"), F.lit(".apk")), "package"))
+    category = F.coalesce(
+        member_category(F.col("name")),
+        F.when(legacy_signature(F.col("name")), "signature"),
+        F.when(F.endswith(F.lower("name"), F.lit(".apk")), "package"),
+    )
     return files.mapInArrow(run, MEMBER).withColumn("category", category)
 
 
 def bundles(rows: DataFrame) -> DataFrame:
     """members' rows as (bundle, name, has_dex, size, sha256) of the packages that each outer package holds, for inventory.base_packages."""
     outer = F.substring_index("package", "!/", 1)
-    inside = rows.where(F.contains("package", F.lit("!/"))).groupBy(outer.alias("bundle"), F.substring_index("package", "!/", -1).alias("name"))
+    inside = rows.where(F.contains("package", F.lit("!/"))).groupBy(
+        outer.alias("bundle"), F.substring_index("package", "!/", -1).alias("name")
+    )
     code = inside.agg(F.coalesce(F.bool_or(F.col("category") == "dex"), F.lit(False)).alias("has_dex"))
-    own = rows.where("category = 'package' and problem is null").select(F.col("package").alias("bundle"), "name", "size", "sha256")
+    own = rows.where("category = 'package' and problem is null").select(
+        F.col("package").alias("bundle"), "name", "size", "sha256"
+    )
     return own.join(code, ["bundle", "name"], "left").withColumn("has_dex", F.coalesce("has_dex", F.lit(False)))

@@ -66,10 +66,13 @@ def signers(apk: bytes) -> list[tuple]:
             continue
         for i, signer in enumerate(_parts(_part(value)[0])):
             signed, at = _part(signer)
-            signatures = _algorithms(_part(signer, at + (0 if key == 0x7109871A else 8))[0])  # later schemes have SDK bounds between
+            # later schemes have SDK bounds between
+            signatures = _algorithms(_part(signer, at + (0 if key == 0x7109871A else 8))[0])
             digests, at = _part(signed)
             for j, c in enumerate(_parts(_part(signed, at)[0])):
-                out.append((SCHEMES[key], i, j, hashlib.sha256(c).hexdigest(), len(c), _algorithms(digests), signatures))
+                out.append(
+                    (SCHEMES[key], i, j, hashlib.sha256(c).hexdigest(), len(c), _algorithms(digests), signatures)
+                )
     return out
 
 
@@ -94,6 +97,10 @@ def certificates(spark: SparkSession, path: str) -> DataFrame:
                     rows += [(name, *[None] * 7, f"unknown-block-{k:#010x}") for k in unknown(apk)]
                 except (ValueError, struct.error) as e:
                     rows.append((name, *[None] * 7, str(e) if isinstance(e, ValueError) else "malformed"))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ([],) * 9, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, k) for x, k in zip(zip(*rows) if rows else ([],) * 9, kinds)], names=names
+            )
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, SIGNER)
+    return spark.read.format("binaryFile").option(
+        "recursiveFileLookup", "true"
+    ).load(path).select("path", "content").mapInArrow(run, SIGNER)

@@ -12,14 +12,20 @@ FLOW = "id string, url string, method string, status int, ts timestamp"
 
 def feed(spark: SparkSession, path: str, prefix: str = "FLOW:", most_files: int = 100) -> DataFrame:
     """Flows of new files of lines `prefix` + JSON; other lines and broken JSON give none."""
-    raw = spark.readStream.format("text").option("maxFilesPerTrigger", most_files).load(path).where(F.startswith("value", F.lit(prefix)))
-    parsed = raw.select(F.from_json(F.substring(F.col("value"), F.lit(len(prefix) + 1), F.length("value")), FLOW).alias("f"))
+    raw = spark.readStream.format("text").option("maxFilesPerTrigger", most_files).load(path).where(
+        F.startswith("value", F.lit(prefix))
+    )
+    parsed = raw.select(
+        F.from_json(F.substring(F.col("value"), F.lit(len(prefix) + 1), F.length("value")), FLOW).alias("f")
+    )
     return parsed.where("f.id is not null and f.url is not null").select("f.*")
 
 
 def running_endpoints(flows: DataFrame) -> DataFrame:
     """Counts by pattern, method and host; write it in complete or update mode."""
-    return flows.groupBy(url_pattern(F.col("url")).alias("pattern"), "method", url_host(F.col("url")).alias("host")).agg(F.count("*").alias("flow_count"))
+    return flows.groupBy(
+        url_pattern(F.col("url")).alias("pattern"), "method", url_host(F.col("url")).alias("host")
+    ).agg(F.count("*").alias("flow_count"))
 
 
 def once(flows: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -29,12 +35,16 @@ def once(flows: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Takes what there is, writes Parquet, and ends. A rerun goes on where the checkpoint is."""
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
-def upsert_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, buckets: int = 64) -> None:
+def upsert_latest(
+    stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, buckets: int = 64
+) -> None:
     """Keeps the latest row of each key below path, by buckets of the keys' hash: a micro-batch writes the buckets that it touches.
 
     A batch writes new files for its buckets under its own number and then the list of each bucket's number; a repeated batch does the
@@ -50,12 +60,20 @@ def upsert_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str]
         touched = [r["_bucket"] for r in placed.select("_bucket").distinct().collect()]  # at most `buckets`
         old = [f"{path}/table/{places[b]}/_bucket={b}" for b in touched if b in places]
         current = spark.read.schema(rows.schema).parquet(*old) if old else rows.limit(0)
-        merged = upsert(current, rows, keys, [F.desc(order)]).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        merged.repartition(len(touched) or 1, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/table/{number}")
+        merged = upsert(current, rows, keys, [F.desc(order)]).withColumn(
+            "_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        )
+        merged.repartition(
+            len(touched) or 1, "_bucket"
+        ).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/table/{number}")
         now = places | dict.fromkeys(touched, number)
-        spark.createDataFrame(sorted(now.items()) or [(-1, -1)], "bucket int, number long").coalesce(1).write.mode("overwrite").parquet(f"{path}/places/{number}")
+        spark.createDataFrame(
+            sorted(now.items()) or [(-1, -1)], "bucket int, number long"
+        ).coalesce(1).write.mode("overwrite").parquet(f"{path}/places/{number}")
 
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(batch).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start().awaitTermination()
 
 
 def index_flows(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> None:

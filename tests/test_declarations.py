@@ -48,12 +48,24 @@ SMALI = """.class public La/b/C;
 
 def test_java():
     got = declarations.constructs(JAVA, kotlin=False)
-    assert got == [("type", "Outer", 2, 14), ("method", "Outer.Outer", 4, 6), ("method", "Outer.run", 7, 10), ("type", "Outer.Inner", 11, 13), ("method", "Outer.Inner.size", 12, 12)]
+    assert got == [
+        ("type", "Outer", 2, 14),
+        ("method", "Outer.Outer", 4, 6),
+        ("method", "Outer.run", 7, 10),
+        ("type", "Outer.Inner", 11, 13),
+        ("method", "Outer.Inner.size", 12, 12)
+    ]
 
 
 def test_kotlin():
     got = declarations.constructs(KOTLIN, kotlin=True)
-    assert got == [("type", "K", 1, 9), ("method", "K.init", 2, 4), ("method", "K.long name", 5, 7), ("method", "K.short", 8, 8), ("type", "O", 10, 11)]
+    assert got == [
+        ("type", "K", 1, 9),
+        ("method", "K.init", 2, 4),
+        ("method", "K.long name", 5, 7),
+        ("method", "K.short", 8, 8),
+        ("type", "O", 10, 11)
+    ]
 
 
 def test_mask_keeps_offsets():
@@ -62,20 +74,36 @@ def test_mask_keeps_offsets():
 
 
 def test_every_line_is_in_a_chunk(spark):
-    files = spark.createDataFrame([("A.java", "java", JAVA), ("K.kt", "kotlin", KOTLIN), ("C.smali", "smali", SMALI), ("t.txt", "text", "a\nb"), ("e.java", "java", ""), ("n.java", "java", None)], "path string, language string, content string")
+    files = spark.createDataFrame(
+        [
+            ("A.java", "java", JAVA),
+            ("K.kt", "kotlin", KOTLIN),
+            ("C.smali", "smali", SMALI),
+            ("t.txt", "text", "a\nb"),
+            ("e.java", "java", ""),
+            ("n.java", "java", None)
+        ],
+        "path string, language string, content string",
+    )
     rows = declarations.chunks(files, size=3, overlap=1).collect()
     for path, text in (("A.java", JAVA), ("K.kt", KOTLIN), ("C.smali", SMALI), ("t.txt", "a\nb")):
         mine = [r for r in rows if r.path == path]
         lines = text.rstrip("\n").split("\n")
         assert {x for r in mine for x in range(r.start_line, r.end_line + 1)} == set(range(1, len(lines) + 1))
         assert all(r.content == "\n".join(lines[r.start_line - 1 : r.end_line]) for r in mine)
-    smali = {r.symbol: (r.start_line, r.end_line, r.start_instruction, r.end_instruction) for r in rows if r.path == "C.smali" and r.kind == "method"}
+    smali = {
+        r.symbol: (r.start_line, r.end_line, r.start_instruction, r.end_instruction)
+        for r in rows
+        if r.path == "C.smali" and r.kind == "method"
+    }
     assert smali == {"a.b.C->run(I)V": (2, 6, 1, 2), "a.b.C->x()I": (8, 10, 3, 3)}
 
 
 def test_manifest(spark, tmp_path):
     ns = 'xmlns:android="http://schemas.android.com/apk/res/android"'
-    (tmp_path / "a.xml").write_text(f'<manifest {ns} package="p.q"><uses-sdk android:targetSdkVersion="30"/><application android:permission="P"><activity android:name=".Main"><intent-filter/></activity><provider android:name="x.Y" android:exported="true" android:readPermission="R"/><service android:name="S" android:enabled="false"/></application></manifest>')
+    (tmp_path / "a.xml").write_text(
+        f'<manifest {ns} package="p.q"><uses-sdk android:targetSdkVersion="30"/><application android:permission="P"><activity android:name=".Main"><intent-filter/></activity><provider android:name="x.Y" android:exported="true" android:readPermission="R"/><service android:name="S" android:enabled="false"/></application></manifest>'
+    )
     (tmp_path / "b.xml").write_text('<!DOCTYPE x [<!ENTITY a "b">]><manifest/>')
     (tmp_path / "c.xml").write_bytes(b"\x03\x00\x08\x00")
     rows = manifests.read(spark, str(tmp_path))
@@ -83,5 +111,9 @@ def test_manifest(spark, tmp_path):
     c = rows.where("problem is null").withColumn("sdk", manifest.target_sdk(F.col("target_sdk"), F.col("min_sdk")))
     state = manifest.export_state(manifest.inherit_permissions(c, F.col("application_permission")))
     got = {r.name: (r.exported, r.exported_source, r.effective_permission) for r in state.collect()}
-    assert got == {"p.q.Main": (True, "inferred-from-intent-filter", "P"), "x.Y": (True, "explicit", "P"), "p.q.S": (False, "inferred-no-intent-filter", "P")}
+    assert got == {
+        "p.q.Main": (True, "inferred-from-intent-filter", "P"),
+        "x.Y": (True, "explicit", "P"),
+        "p.q.S": (False, "inferred-no-intent-filter", "P"),
+    }
     assert {r.name for r in manifest.attack_surface(state).collect()} == {"p.q.Main", "x.Y"}

@@ -34,15 +34,23 @@ def apk(schemes, broken=False):
 
 
 def test_certificates(spark, tmp_path):
-    (tmp_path / "a.apk").write_bytes(apk([(0x7109871A, [b"one", b"two"]), (0xF05368C0, [b"three"]), (0x42, [b"padding"])]))
+    (tmp_path / "a.apk").write_bytes(
+        apk([(0x7109871A, [b"one", b"two"]), (0xF05368C0, [b"three"]), (0x42, [b"padding"])])
+    )
     (tmp_path / "b.apk").write_bytes(apk([(0x7109871A, [b"one"])], broken=True))
     (tmp_path / "c.apk").write_bytes(apk([]))
     (tmp_path / "d.apk").write_bytes(b"no archive")
     rows = signing.certificates(spark, str(tmp_path)).collect()
     got = {(r.scheme, r.signer, r.certificate): (r.sha256, r.digests, r.signatures) for r in rows if r.problem is None}
     h = lambda x: hashlib.sha256(x).hexdigest()
-    assert got == {("v2", 0, 0): (h(b"one"), [0x103], [0x104]), ("v2", 0, 1): (h(b"two"), [0x103], [0x104]), ("v3", 0, 0): (h(b"three"), [0x103], [0x104])}
-    assert sorted((r.package.rsplit("/", 1)[1], r.problem) for r in rows if r.problem) == [("a.apk", "unknown-block-0x00000042"), ("b.apk", "malformed"), ("d.apk", "no-archive")]
+    assert got == {
+        ("v2", 0, 0): (h(b"one"), [0x103], [0x104]),
+        ("v2", 0, 1): (h(b"two"), [0x103], [0x104]),
+        ("v3", 0, 0): (h(b"three"), [0x103], [0x104]),
+    }
+    assert sorted((r.package.rsplit("/", 1)[1], r.problem) for r in rows if r.problem) == [
+        ("a.apk", "unknown-block-0x00000042"), ("b.apk", "malformed"), ("d.apk", "no-archive")
+    ]
 
 
 def test_report(spark):
