@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, SparkSession, functions as F
 
 # Regular expressions of the indicator categories. `(?i)`: case does not count.
@@ -48,19 +51,25 @@ def regex_occurrences(text: Column, pattern: str, ignore_case: bool = True) -> C
     The pattern is Java's, and Java judges it. There is no bound on its time: a nested repetition such as (a+)+ is refused,
     as it may take exponential time on one text.
     """
-    import re
-
+    flagged = ("(?im)" if ignore_case else "(?m)") + pattern
     if not 0 < len(pattern) <= 4096:
         raise ValueError("a pattern has 1 to 4096 characters")
     if re.search(r"[+*}]\)[+*{]", re.sub(r"\\.|\[[^\]]*\]", "x", pattern)):
         raise ValueError("the pattern repeats what repeats")
-    flagged = ("(?im)" if ignore_case else "(?m)") + pattern
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.range(1).select(F.regexp_count(F.lit(""), F.lit(flagged)).alias("n")).first().n:
+    if _matches_empty(flagged):
         raise ValueError("the pattern matches the empty text")
     return F.regexp_count(text, F.lit(flagged)).cast("long")
 
 
+@lru_cache(maxsize=1000)
+def _matches_empty(pattern: str) -> bool:
+    """By Java's regular expressions."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return re.search(pattern, "") is not None
+    return spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern).matcher("").find()
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased tokens, each followed by its parts (camel case, digits) that differ from it."""
     found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
