@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quarrylight.functions.text import lines
 from quarrylight.operators.chunking import gaps, line_windows, ordinal_ranges, ordinals
+from quarrylight.session import for_workers
 
 RANGE = "path string, kind string, symbol string, start_line int, end_line int"
 _BLANK = re.compile(
@@ -94,6 +95,8 @@ def constructs(text: str, kotlin: bool) -> list[tuple[str, str, int, int]]:
 def brace_constructs(files: DataFrame) -> DataFrame:
     """(path, kind, symbol, start_line, end_line) of Java and Kotlin files (path, language, content)."""
 
+    for_workers(files.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarrylight.session import for_workers
+
 
 def candidate_budget(total: int, limit: int) -> int:
     """How many semantic candidates a query of `limit` results looks at."""
@@ -37,6 +39,7 @@ def pack_budget(ranked: DataFrame, budget: int, key: str = "query_id", overhead:
     """
     if budget < 0 or overhead < 0:
         raise ValueError("budget and overhead are 0 or more")
+    for_workers(ranked.sparkSession)
     rows = ranked.select(
         key,
         F.col("rank").cast("int").alias("rank"),

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quarrylight.functions.text import tokens
+from quarrylight.session import for_workers
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,7 +36,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
     Queries are broadcast in blocks of at most `block`, by the hash of their id; each Arrow batch of vectors is multiplied with a block
     at once and leaves at most k rows for each query, so what is shuffled does not grow with pairs. All arrays have one length.
     """
-    spark = vectors.sparkSession
+    spark = for_workers(vectors.sparkSession)
     left = vectors.select(
         F.col(id_col).alias("id"), F.col("vector").cast("array<double>").alias("v")
     ).where("v is not null")
@@ -101,6 +102,7 @@ def hash_embedding(chunks: DataFrame, dimensions: int = 384, text_col: str = "co
     """
     if dimensions < 32:
         raise ValueError("32 dimensions at least")
+    for_workers(chunks.sparkSession)
     kept = [f for f in chunks.schema.fields if f.name != "vector"]
     name = "_words"
     while name in chunks.columns:

@@ -9,6 +9,8 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.session import for_workers
+
 MOST_BYTES = 10 << 20
 COMPONENT = "file string, package string, kind string, name string, exported_attribute string, enabled boolean, has_filter boolean, permission string, read_permission string, write_permission string, application_permission string, target_sdk string, min_sdk string, problem string"
 # The attributes' namespace, and which elements are components.
@@ -80,6 +82,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema)
 
-    return spark.read.format("binaryFile").option(
+    return for_workers(spark).read.format("binaryFile").option(
         "recursiveFileLookup", "true"
     ).load(path).select("path", "content").mapInArrow(run, COMPONENT)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylight.operators.inventory import legacy_signature, member_category
+from quarrylight.session import for_workers
 
 MEMBER = "package string, name string, size long, compressed long, sha256 string, problem string"
 # What an archive may have: members, bytes when expanded, and expansion of a member of a size and more.
@@ -88,7 +89,7 @@ def members(spark: SparkSession, path: str) -> DataFrame:
                         names=[c.split()[0] for c in MEMBER.split(", ")],
                     )
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = for_workers(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     category = F.coalesce(
         member_category(F.col("name")),
         F.when(legacy_signature(F.col("name")), "signature"),

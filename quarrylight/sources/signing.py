@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.session import for_workers
+
 SIGNER = "package string, scheme string, signer int, certificate int, sha256 string, bytes long, digests array<long>, signatures array<long>, problem string"
 # Fixed values of the format: its magic, the ids of the schemes, and the end record of a ZIP file.
 MAGIC, END = b"APK Sig Block 42", b"PK\x05\x06"
@@ -101,6 +103,6 @@ def certificates(spark: SparkSession, path: str) -> DataFrame:
                 [pa.array(x, k) for x, k in zip(zip(*rows) if rows else ([],) * 9, kinds)], names=names
             )
 
-    return spark.read.format("binaryFile").option(
+    return for_workers(spark).read.format("binaryFile").option(
         "recursiveFileLookup", "true"
     ).load(path).select("path", "content").mapInArrow(run, SIGNER)
