@@ -32,7 +32,7 @@ class Encoder:
     is full it becomes the elder. So frequent pieces stay and memory is bounded.
     """
 
-    def __init__(self, path: str, end_id: int, spaced: bool, remember: int = 600_000, longest: int = 80):
+    def __init__(self, path: str, end_id: int, spaced: bool, remember: int = 400_000, longest: int = 80):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrylight.llm.common import filesystem, prepare, ranges
+from quarrylight.llm.common import alone, filesystem, prepare, ranges
 from quarrylight.llm.encoding import encoder
 
 MAGIC, BLOCK = b"QPF2", 4096
@@ -245,6 +245,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     files = listed.repartitionById(max(1, len(rows)), "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in batches:
             for row in batch.to_pylist():
                 at, out, size = row["base"], [], 0
