@@ -15,12 +15,15 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from itertools import chain
 
 import numpy as np
 
 from quarrylight.llm.common import held
 
 _CUT, _ODD, _TAIL = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"[\s\x01]"), ",.!?;:#*$%&|"
+_LETTERS = frozenset(string.ascii_letters)
 #: Before a piece that has no space in front of it.
 _BARE = "\x02"
 
@@ -77,34 +80,39 @@ class Encoder:
         An ASCII letter and the punctuation behind it never share a pre-token, so these are learnt apart. Other letters may
         end in a combining mark once they are normalised, and a mark does share one with punctuation.
         """
-        parts: list[tuple[str, str, str, str]] = []  # piece, prefix, head, tail
-        elder, none = self.elder, object()
-        for p in pieces:
-            if (ids := elder.get(p, none)) is not none:
-                self.known[p] = ids
-                continue
-            prefix = p[0] if p[:1] in ("\n", _BARE) and self.spaced else ""
-            core = p[len(prefix) :]
-            if self.spaced and (not core or core[0].isspace() or core[-1].isspace()):
-                self.known[p] = b"" if p == _BARE else None
-                continue
+        known, elder, spaced = self.known, self.elder, self.spaced
+        old = pieces & elder.keys()
+        known.update(zip(old, map(elder.__getitem__, old)))
+        plain: set[str] = set()  # units behind a space (or on their own, where white space is dropped)
+        bare: set[str] = set()  # units with nothing before them; they are known by a mark and themselves
+        joined: list[tuple[str, str, str, bytes]] = []  # piece, what its head and its tail are known by, what comes first
+        for p in pieces - old:
+            core, mark, units, first = p, "", plain, b""
+            if spaced:
+                if p[:1] in ("\n", _BARE):
+                    core, mark, units, first = p[1:], _BARE, bare, self.feed if p[0] == "\n" else b""
+                if not core or core != core.strip():
+                    known[p] = b"" if p == _BARE else None
+                    continue
             head = core.rstrip(_TAIL)
-            if not head or not (head[-1].isascii() and head[-1].isalpha()):
-                head = core
-            parts.append((p, prefix, head, core[len(head) :]))
-        known, bare = self.known, _BARE if self.spaced else ""
-        for lead, prefix, need in (
-            ("", bare, {h for _, x, h, _ in parts if x or not self.spaced} | {t for *_, t in parts if t}),
-            (" ", "", {h for _, x, h, _ in parts if not x and self.spaced}),
-        ):
-            for u in need:
-                if prefix + u not in known and (ids := elder.get(prefix + u, none)) is not none:
-                    known[prefix + u] = ids
-            fresh = self._library(sorted(u for u in need if prefix + u not in known), lead)
-            known.update((prefix + u, ids) for u, ids in fresh.items())
-        for p, prefix, head, tail in parts:
-            ids = known[(bare if prefix else "") + head] + (known[bare + tail] if tail else b"")
-            known[p] = self.feed + ids if prefix == "\n" else ids
+            if len(head) < len(core) and head and head[-1] in _LETTERS:
+                tail = core[len(head) :]
+                units.add(head)
+                (bare if spaced else plain).add(tail)
+                joined.append((p, mark + head, (_BARE if spaced else "") + tail, first))
+            else:
+                units.add(core)
+                if first:
+                    joined.append((p, mark + core, "", first))
+        for lead, mark, units in ((" " if spaced else "", "", plain), ("", _BARE, bare)):
+            named = {mark + u: u for u in units} if mark else dict(zip(units, units))
+            wanted = named.keys() - known.keys()
+            old = wanted & elder.keys()
+            known.update(zip(old, map(elder.__getitem__, old)))
+            fresh = self._library([named[k] for k in wanted - old], lead)
+            known.update((mark + u, ids) for u, ids in fresh.items()) if mark else known.update(fresh)
+        for p, head, tail, first in joined:
+            known[p] = first + known[head] + (known[tail] if tail else b"")
 
     def _pieces(self, text: str) -> list[str] | None:
         if not self.spaced:
@@ -119,31 +127,22 @@ class Encoder:
             known = self.known
             some = texts[lo : lo + 1024]
             cut = [self._pieces(t) if t else None for t in some]
-            self._learn({p for pieces in cut if pieces for p in pieces if p not in known})
+            distinct = set(chain.from_iterable(filter(None, cut)))
+            self._learn(distinct - known.keys())
             for text, pieces in zip(some, cut):
                 try:
-                    out.append(
-                        (
-                            b"".join(map(known.__getitem__, pieces))
-                            if pieces
-                            else b"".join(self._each(_CUT.split(text)))
-                            if text
-                            else b""
-                        )
-                        + self.end
-                    )
-                except TypeError:
-                    out.append(b"".join(self._each(_CUT.split(text))) + self.end)
-            for p in [
-                p
-                for pieces in cut
-                if pieces and max(map(len, pieces)) > self.longest
-                for p in pieces
-                if len(p) > self.longest
-            ]:
+                    ids = b"".join(map(known.__getitem__, pieces)) if pieces else self._whole(text)
+                except TypeError:  # a piece that cannot stand alone
+                    ids = self._whole(text)
+                out.append(ids + self.end)
+            for p in [p for p in distinct if len(p) > self.longest]:
                 known.pop(p, None)  # long ones are rare and large
         return out
 
+    def _whole(self, text: str | None) -> bytes:
+        """Of a text by the library, cut only where that is safe whatever its white space is."""
+        return b"".join(self._each(_CUT.split(text))) if text else b""
+
 
 def encoder(path: str, end_id: int, spaced: bool) -> Encoder:
     """One encoder for each Python worker, kept between its tasks."""
