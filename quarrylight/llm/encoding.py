@@ -13,6 +13,7 @@ Texts with other white space keep it inside their pieces, where the library trea
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -35,7 +36,7 @@ class Encoder:
     is full it becomes the elder. So frequent pieces stay and memory is bounded.
     """
 
-    def __init__(self, path: str, end_id: int, spaced: bool, remember: int = 400_000, longest: int = 80):
+    def __init__(self, path: str, end_id: int, spaced: bool, remember: int = 300_000, longest: int = 80):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,6 +46,9 @@ class Encoder:
         self.spaced, self.remember, self.longest = spaced, remember, longest
         self.known: dict[str, bytes | None] = {}
         self.elder: dict[str, bytes | None] = {}
+        rules = json.loads(self.tokenizer.to_str()).get("normalizer") or {}
+        # where the normaliser lower-cases, an ASCII text may be lower-cased first: fewer pieces differ
+        self.lower = any(x.get("type") == "Lowercase" for x in [rules, *rules.get("normalizers", [])])
         self.feed = self._each(["\n"])[0]
         self.mark = "\n" if spaced else " \x01 "
         self.mark_ids = np.frombuffer(self._each([self.mark])[0], "<u4")
@@ -116,6 +120,8 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         if not self.spaced:
+            if self.lower and text.isascii():
+                text = text.lower()
             return text.replace("\n", " ").split(" ")
         return None if _BARE in text else (_BARE + text.replace("\n", " \n")).split(" ")
 
