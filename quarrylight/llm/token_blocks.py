@@ -171,8 +171,8 @@ def write_tokens(
     outliers: float = 0.02,
     id_col: str = "doc_id",
     text_col: str = "text",
-    fewest: int = 64,
-    least_bytes: int = 4 << 20,
+    fewest: int = 16,
+    least_bytes: int = 16 << 20,
 ) -> DataFrame:
     """Writes the files and returns their manifest, which lies in {folder}/manifest.
 
