@@ -158,6 +158,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "text", "n_chars", "n_lines", "n_removed")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every usable vector. Null vectors and those with a null, NaN or infinite component go; repeated rows each
+    come back; null labels are one label; an empty table gives no row.
+    """
+    from quarrylight.llm.common import written
+    from quarrylight.llm.vector_codes import digest, encode, train, with_total
+
+    vectors = table(spark, sf_dir, "embeddings")
+    books = train(vectors, parts=8, entries=16, rounds=6, scale=4096)
+    coded = written(encode(vectors, books, keep=["vec_id", "label"], scale=4096), "codes")
+    told = with_total(coded, "label", "error", "label_error")
+    return told.select(
+        "vec_id", "code", "error", "label_error", F.lit("" if books is None else digest(books)).alias("codebooks_sha256")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage of corpus_pipeline."""
     import corpus_pipeline
@@ -170,7 +186,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10}
+    return {"op10_line_dedup": OP10, "op11_vector_codes": op11()}
+
+
+def op11(rounds: int = 6) -> str:
+    """SQL of op11_vector_codes: one pair of tables for each round."""
+    near = """a{i} AS MATERIALIZED (
+SELECT row, part, min(far * 16 + entry) // 16 AS far, min(far * 16 + entry) % 16 AS entry FROM (
+SELECT v.row, v.part, c.entry, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS far FROM v JOIN c{i} c USING (part, place) GROUP BY ALL)
+GROUP BY ALL)"""
+    mean = """c{n} AS MATERIALIZED (
+SELECT c.part, c.entry, c.place, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+SELECT part, entry, place, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (
+SELECT part, entry, place, sum(x)::BIGINT AS s, count(*) AS n FROM v JOIN a{i} USING (row, part) GROUP BY ALL)) m USING (part, entry, place))"""
+    steps = [x.format(i=i, n=i + 1) for i in range(rounds) for x in (near, mean)] + [near.format(i=rounds)]
+    return f"""
+WITH kept AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS row FROM embeddings
+WHERE embedding IS NOT NULL AND len([z FOR z IN embedding IF z IS NULL OR NOT isfinite(z)]) = 0),
+cut AS (SELECT row, len(embedding) // 8 AS width, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS spot FROM kept),
+v AS MATERIALIZED (SELECT row, spot // width AS part, spot % width AS place, floor(4096 * e::DOUBLE)::BIGINT AS x FROM cut),
+c0 AS (SELECT part, row AS entry, place, x FROM v WHERE row < 16),
+{", ".join(steps)},
+found AS (SELECT row, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM a{rounds} GROUP BY 1),
+whole AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) AS books FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, books AS codebooks_sha256
+FROM kept JOIN found USING (row), whole
+"""
 
 
 #: Lines of at least 4 words on at least 8 distinct sources go; the rest of each text stays.
