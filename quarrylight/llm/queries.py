@@ -174,6 +174,51 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_repetition(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where h = crc32(doc_id as text) is a multiple of 10, each word i >= a is original word a + (i - a) % p, with
+    g = h // 10, a = g % n, p = 1 + (n - a) // (3 + g % 8). A null id leaves its text as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split("text", "[ \\t-\\r]+"), "")
+
+    def repeated(w: F.Column) -> F.Column:
+        n = F.size(w)
+        a = F.pmod(g, n)
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
+        return F.when(
+            n > 0,
+            F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " "),
+        )
+
+    # the words are bound once, as each word looks into them
+    bound = F.get(F.transform(F.array(words), repeated), 0)
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(bound, "text")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, the longest one, and digests. Null and empty texts have no words and no runs; repeated rows each come
+    back; an empty table gives no row.
+    """
+    from quarrylight.llm.periodic_runs import find_runs, longest
+
+    docs = _with_repetition(table(spark, sf_dir, "documents"))
+    found = find_runs(docs, keep=["doc_id"], min_words=12).select(
+        "doc_id", "repetition.runs", "repetition.collapsed", longest(F.col("repetition.runs")).alias("best")
+    )
+    line = F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage of corpus_pipeline."""
     import corpus_pipeline
