@@ -219,6 +219,26 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_license_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the phrases and labels of every document. Null and empty texts have no words; repeated rows each come back; an empty
+    table gives no row.
+    """
+    from quarrylight.llm.license_scan import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    at, label = F.transform("license.places", lambda p: p.at), F.transform("license.places", lambda p: p.label)
+    return found.select(
+        "doc_id",
+        "license.n_words",
+        F.size(at).cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(label)), ",").alias("base_labels"),
+        F.array_join("license.labels", ",").alias("labels"),
+        "license.score",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage of corpus_pipeline."""
     import corpus_pipeline
