@@ -7,7 +7,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import TypeVar
 from urllib.parse import urlparse
@@ -15,9 +15,9 @@ from urllib.parse import urlparse
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-T = TypeVar("T")
+Kept = TypeVar("Kept")
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -37,7 +37,7 @@ BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 _HELD: dict[str, object] = {}
 
 
-def held(name: str, make: Callable[[], T]) -> T:
+def held(name: str, make: Callable[[], Kept]) -> Kept:
     """What a Python worker keeps between its tasks: one operator's tables at a time, so that stages do not add up."""
     if name not in _HELD:
         alone()
@@ -112,6 +112,52 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def map_in_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """mapInArrow for columns of any name: it takes a dot in one for a field. run sees and gives the real names."""
+    names, inner = df.columns, [f"c{i}" for i in range(len(schema))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(inner)
+
+    plain = T.StructType([T.StructField(c, f.dataType, f.nullable) for c, f in zip(inner, schema)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
+def least_of_most(df: DataFrame, count: str, most: int, top: int) -> int:
+    """The least count that at most `most` rows reach; one more than the largest count, if more than `most` rows share that.
+
+    Counts are binned by value up to `top`. Where more rows than `most` reach that, the range above is cut into 4096 bins, and the
+    bin that holds the bound again, until the bound is exact. So no more than `top` sums reach the driver.
+    """
+    held, least = 0, None
+    for r in df.groupBy(F.least(F.col(count), F.lit(top)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
+        if held + r.n > most:
+            break
+        held, least = held + r.n, r.c
+    if least is not None:
+        return least
+    over = df.where(F.col(count) >= top).agg(F.min(count).alias("a"), F.max(count).alias("b")).first()
+    if over.a is None:
+        over = df.agg(F.min(count).alias("a"), F.max(count).alias("b")).first()
+    if over.a is None:
+        return 1
+    a, b, held = over.a, over.b, 0
+    while True:
+        width = (b - a) // 4096 + 1
+        cell = F.expr(f"(`{count}` - {a}) div {width}")
+        bins = df.where(F.col(count).between(a, b)).groupBy(cell.alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
+        for r in bins:
+            if held + r.n > most:
+                break
+            held += r.n
+        else:
+            return a
+        a, b = a + r.k * width, min(b, a + (r.k + 1) * width - 1)
+        if a == b:
+            return a + 1
+
+
 @dataclass(frozen=True)
 class Ranges:
     """Ranges of a long key with about `target` bytes each. Null keys come first. All rows of a key share a range but for a
@@ -132,14 +178,15 @@ class Ranges:
         first, base, parts, nulls = self.first, self.base, self.parts, self.null_parts  # a few longs for each range
 
         @F.pandas_udf("int")
-        def place(k: pd.Series, t: pd.Series) -> pd.Series:
-            missing = k.isna().to_numpy()
-            run = np.searchsorted(first, k.fillna(0).to_numpy(np.int64), side="right")
+        def place(k: pd.Series, null: pd.Series, t: pd.Series) -> pd.Series:
+            missing = null.to_numpy(bool)
+            run = np.searchsorted(first, k.to_numpy(np.int64), side="right")
             n = np.where(missing, nulls, parts[run])
             share = (t.to_numpy(np.int64) >> 32) + 2**31  # 0 to 2**32 - 1, in the order of t
             return pd.Series((np.where(missing, 0, base[run]) + share * n // 2**32).astype(np.int32))
 
-        return place(key.cast("long"), tie)
+        # a column with nulls would reach pandas as floats, in which large keys lose their low bits
+        return place(F.coalesce(key.cast("long"), F.lit(0)), key.isNull(), tie)
 
 
 def _cell(lo: np.ndarray, hi: np.ndarray, width: np.ndarray):

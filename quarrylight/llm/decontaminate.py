@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarrylight.llm.common import fresh, held, prepare
+from quarrylight.llm.common import fresh, held, map_in_arrow, prepare
 
 #: Upper to lower case; whatever is no part of a word to a space.
 TABLE = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
@@ -203,7 +203,7 @@ def mark(
         sent, last = spark.sparkContext.broadcast(some), block == blocks - 1
         names = keep if last else carried
         schema = T.StructType([*(out.schema[c] for c in names), T.StructField(out_col, kind)])
-        out = out.mapInArrow(_marker(sent, f"{run} {block}", names, text_col, out_col, window, schema), schema)
+        out = map_in_arrow(out, _marker(sent, f"{run} {block}", names, text_col, out_col, window, schema), schema)
     return out
 
 

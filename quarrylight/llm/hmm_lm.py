@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrylight.llm.common import prepare, written
+from quarrylight.llm.common import least_of_most, prepare, written
 
 END = b"\n"  # no word has white space
 DISCOUNT = 0.75
@@ -301,24 +301,15 @@ def language_model(
     sums = source.where("train").select("text").mapInArrow(_count, "word binary, c long")
     counts = written(sums.groupBy("word").agg(F.sum("c").alias("c")), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    least, size = 1 << 62, 0
-    for r in counts.groupBy(
-        F.least("c", F.lit(1_000_000)).alias("c")
-    ).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
-        size += r.n
-        if size > shape.cached:
-            break
-        least = r.c
+    least = least_of_most(counts, "c", shape.cached, 1_000_000)
     # at most `cached`
     top = sorted(
         ((bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0])
     )
-    if top and END not in dict(top[: shape.frequent]):  # the end is a symbol however few texts there are
-        end = counts.where(F.col("word") == END).first().c
+    if END not in dict(top[: shape.frequent]):  # the end is a symbol and known, however few texts there are
+        end = counts.where(F.col("word") == END).first()
         top = [x for x in top if x[0] != END]
-        top.insert(shape.frequent - 1, (END, end))
-    if not top:
-        top = [(END, 0)]
+        top.insert(shape.frequent - 1, (END, end.c if end else 0))
 
     last = F.pmod(
         F.crc32(F.when(F.octet_length("word") > 1, F.substring("word", -2, 2)).otherwise(F.col("word"))),

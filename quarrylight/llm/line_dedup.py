@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarrylight.llm.common import alone, fresh, prepare, written
+from quarrylight.llm.common import alone, fresh, map_in_arrow, prepare, written
 
 #: Relative standard error of a sketch with 2**k registers is about this over the square root of 2**k.
 ERROR = 1.04
@@ -102,7 +102,8 @@ def remove_boilerplate(
     for block in range(blocks):
         some = spread.where(F.pmod(F.xxhash64("line"), F.lit(blocks)) == block).toPandas()["line"]
         sent = spark.sparkContext.broadcast(np.sort(some.to_numpy(np.int64)))
-        out = out.mapInArrow(
+        out = map_in_arrow(
+            out,
             _strip(sent, out.columns.index(text_col), out.columns.index(gone), min_words),
             T.StructType(out.schema.fields),
         )

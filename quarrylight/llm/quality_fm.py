@@ -16,9 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from quarrylight.llm.common import alone, fresh, prepare
+from quarrylight.llm.common import alone, fresh, map_in_arrow, prepare
 
 SYMBOLS, UPPER, DIGITS, ENDS = b"#*$%&|<>", bytes(range(65, 91)), b"0123456789", b"!?"
 STATISTICS = (
@@ -283,4 +283,4 @@ def score(
                     names=[*keep, score_col, predicted_col],
                 )
 
-    return source.mapInArrow(run, schema)
+    return map_in_arrow(source, run, T.StructType.fromDDL(schema))
