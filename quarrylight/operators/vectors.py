@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quarrylight.functions.text import tokens
-from quarrylight.session import for_workers
+from quarrylight.session import filesystem, for_workers, shared_folder
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,63 +33,76 @@ def affine(cosine: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", block: int = 2000) -> DataFrame:
     """The k vectors of largest cosine (6 decimals) for each query (query_id, query), ties by id: (query_id, rank, id, cosine).
 
-    Queries are broadcast in blocks of at most `block`, by the hash of their id; each Arrow batch of vectors is multiplied with a block
-    at once and leaves at most k rows for each query, so what is shuffled does not grow with pairs. All arrays have one length.
+    Queries are written to the shared folder once, in unit length; a task multiplies some ten thousand vectors at a time with one block
+    of queries after the other, as it reads them there. So no more than a block of queries is held anywhere, the vectors are scanned
+    once however many queries there are, and at most k rows for each query leave such a step. All arrays have one length; null ones are
+    left out; no vectors or no queries give no row.
     """
     spark = for_workers(vectors.sparkSession)
     left = vectors.select(
         F.col(id_col).alias("id"), F.col("vector").cast("array<double>").alias("v")
     ).where("v is not null")
     asked = queries.select("query_id", F.col("query").cast("array<double>").alias("q")).where("q is not null")
-    blocks = max(1, -(-asked.count() // block))
-    kinds = {c: f.dataType for c, f in (("query_id", asked.schema["query_id"]), ("id", left.schema["id"]))}
-    schema = T.StructType(
-        [
-            T.StructField("query_id", kinds["query_id"]),
-            T.StructField("id", kinds["id"]),
-            T.StructField("cosine", T.DoubleType())
-        ]
-    )
-    best = None
-    for number in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()
-        sent = spark.sparkContext.broadcast((some.column("query_id").combine_chunks(), _unit(some.column("q"))))
-        found = left.mapInArrow(_products(sent, k), schema)
-        best = found if best is None else best.union(found)
+    path = shared_folder(spark, "queries")
+    asked.write.parquet(path)
+    schema = T.StructType([asked.schema["query_id"], left.schema["id"], T.StructField("cosine", T.DoubleType())])
+    found = left.mapInArrow(_products(path, k, block), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
-    return best.withColumn(
+    return found.withColumn(
         "rank", F.row_number().over(order)
     ).where(F.col("rank") <= k).select("query_id", "rank", "id", "cosine")
 
 
-def _unit(column) -> np.ndarray:
-    """Rows of length 1; zero vectors stay."""
-    v = np.array(column.to_pylist(), float).reshape(len(column), -1)
+def unit_rows(column) -> np.ndarray:
+    """An Arrow column of lists as rows of length 1; zero vectors stay."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
     n = np.sqrt((v * v).sum(axis=1, keepdims=True))
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
-def _products(sent, k: int):
+def closest(q: np.ndarray, v: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, cosine) of the k vectors of largest cosine (6 decimals) for each query, ties by id; unit rows."""
+    cosine = np.round(q @ v.T, 6) + 0.0
+    rank = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable")  # ids in their own order
+    n = min(k, len(v))
+    least = -np.partition(-cosine, n - 1, axis=1)[:, n - 1]
+    x, y = np.nonzero(cosine >= least[:, None])  # all ties with the k-th
+    order = np.lexsort((rank[y], -cosine[x, y], x))
+    x, y = x[order], y[order]
+    near = np.arange(len(x)) - np.searchsorted(x, x) < k
+    x, y = x[near], y[near]
+    return x, y, cosine[x, y]
+
+
+def _products(path: str, k: int, block: int, held: int = 16_384):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = sent.value
-        for batch in (whole.slice(lo, 2000) for whole in batches for lo in range(0, whole.num_rows, 2000)):
-            if not len(q):
-                continue
-            cosine = np.round(q @ _unit(batch.column(1)).T, 6) + 0.0
-            ids = batch.column(0)
-            # ids in their own order
-            rank = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable")
-            n = min(k, batch.num_rows)
-            least = -np.partition(-cosine, n - 1, axis=1)[:, n - 1]
-            x, y = np.nonzero(cosine >= least[:, None])  # all ties with the k-th
-            order = np.lexsort((rank[y], -cosine[x, y], x))
-            x, y = x[order], y[order]
-            nth = np.arange(len(x)) - np.searchsorted(x, x)
-            x, y = x[nth < k], y[nth < k]
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(x)), ids.take(pa.array(y)), pa.array(cosine[x, y])],
-                names=["query_id", "id", "cosine"],
-            )
+        import pyarrow.dataset as ds
+
+        where, inside = filesystem(path)
+        queries = ds.dataset(inside, filesystem=where, format="parquet", exclude_invalid_files=False)
+
+        def answer(some: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = pa.concat_arrays([b.column(0) for b in some])
+            v = np.concatenate([unit_rows(b.column(1)) for b in some])
+            for asked in queries.to_batches(columns=["query_id", "q"], batch_size=block):
+                for lo in range(0, asked.num_rows, 256):
+                    few = asked.slice(lo, 256)
+                    x, y, cosine = closest(unit_rows(few.column(1)), v, ids, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [few.column(0).take(pa.array(x)), ids.take(pa.array(y)), pa.array(cosine)], names=["query_id", "id", "cosine"]
+                    )
+
+        some: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                some.append(batch)
+            if sum(b.num_rows for b in some) >= held:
+                yield from answer(some)
+                some = []
+        if some:
+            yield from answer(some)
 
     return run
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarrylight.functions import text as X
-from quarrylight.operators import chunking, evaluate, lineage, manifest, netflow, ranking, report, retrieval, rollup, search, signals, store, vectors
+from quarrylight.operators import ann, chunking, evaluate, lineage, manifest, netflow, ranking, report, retrieval, rollup, search, signals, store, vectors
 from quarrylight.session import shared_folder
 from quarrylight.sources import corpus
 from quarrylight.streaming import flows as streaming
@@ -195,6 +195,28 @@ def knn_exact(spark, sf_dir):
     ).select("query_id", F.col("rank").cast("long"), "id", "cosine")
 
 
+@query
+def ivf_exact(spark, sf_dir):
+    """knn_exact's rows from the inverted file: the nearest lists first, then those that may still hold something nearer."""
+    index, asked = _ivf(spark, sf_dir)
+    found = ann.search_exact(index, asked, k=10, path=shared_folder(spark, "first"))
+    return found.select("query_id", F.col("rank").cast("long"), "id", "cosine")
+
+
+@query
+def ivf_approximate(spark, sf_dir):
+    """Nearest vectors in the nearest lists only, as many as a sample of queries needs for a recall of 0.95; tests measure all."""
+    index, asked = _ivf(spark, sf_dir)
+    found = ann.search(index, asked, k=10, probes=ann.calibrate(index, asked, 10, shared_folder(spark, "sample")))
+    return found.select("query_id", F.col("rank").cast("long"), "id", "cosine")
+
+
+def _ivf(spark: SparkSession, sf_dir: str):
+    e = table(spark, sf_dir, "embeddings")
+    index = ann.build(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), shared_folder(spark, "ivf"))
+    return index, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 @query
 def knn_affine_vs_cosine(spark, sf_dir):
     return knn_exact(spark, sf_dir).where("rank <= 5").select(

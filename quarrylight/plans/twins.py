@@ -141,3 +141,4 @@ TWINS["method_summaries"] = f"""WITH {CHUNKS}, {LINES.format('c')}, t AS (SELECT
 TWINS["retrieval_by_id_or_path"] = f"""WITH {KNN}, r AS (SELECT query_id AS case_id, rank, id, e.label::VARCHAR AS path FROM knn JOIN embeddings e ON e.vec_id = id WHERE id <> query_id),
   b AS (SELECT q.vec_id AS case_id, min(rank) FILTER (r.id IN (q.vec_id + 1, q.vec_id + 2) OR r.path = ((q.label + 1) % 5)::VARCHAR) AS first_rank FROM embeddings q LEFT JOIN r ON r.case_id = q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1)
   SELECT case_id, first_rank, round(coalesce(1.0::DOUBLE / first_rank, 0), 6) AS reciprocal_rank FROM b"""
+TWINS["ivf_exact"] = TWINS["knn_exact"]

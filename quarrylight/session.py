@@ -39,3 +39,13 @@ def for_workers(spark: SparkSession) -> SparkSession:
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
     return spark
+
+
+def filesystem(uri: str):
+    """pyarrow's file system and the path in it, for a URI or a plain path."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if uri.startswith("/") or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if scheme == "file" else uri).lstrip("/")
+    return fs.FileSystem.from_uri(uri)
