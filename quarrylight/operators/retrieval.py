@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quarrylight.functions.text import one_line
-from quarrylight.operators import chunking, ranking, rollup, store, vectors
+from quarrylight.operators import chunking, ranking, rollup, snapshots, vectors
 from quarrylight.operators.ranking import candidate_budget
 
 MOST_KNOWN = 1000
+#: Queries up to which their phrases are broadcast.
+BROADCAST_QUERIES = 100_000
 
 
 @dataclass(frozen=True)
@@ -51,63 +53,71 @@ def corpus_fingerprint(chunks: DataFrame) -> str:
     return hashlib.sha256(" ".join(map(str, r)).encode()).hexdigest()
 
 
+def place(path: str, index_id: str) -> str:
+    """Where an index's versions lie."""
+    from urllib.parse import quote
+
+    return f"{path}/{quote(index_id, safe='')}"
+
+
 def build(chunks: DataFrame, path: str, index_id: str, provider: Provider) -> dict:
-    """Writes chunks, vectors and summaries of an index below path; its marker, written last, makes them readable.
+    """Makes a version of an index below path: chunks, vectors and summaries in new folders, published together, last of all.
 
-    Vectors lie under a name that their chunks and provider give: they are made again only if these changed or the
-    rows are not all there. Returns what the marker holds, and whether the vectors were reused.
+    A reader of the version before sees all of that until the end and, if it keeps its snapshot, beyond. A failed or killed
+    build leaves the index as it was. Vectors are named by what they are made of, chunks and provider: those of the version before are
+    taken over if the name is equal and the rows are all there. Returns the version's properties, and whether vectors were reused.
+    Two builds at a time: the later one to publish is a Conflict. Old versions go by snapshots.vacuum.
     """
     spark = chunks.sparkSession
-    mark = corpus_fingerprint(chunks)
-    name = identity(mark, provider)
+    base = snapshots.snapshot(spark, place(path, index_id))
+    root = base.path
     kept = chunks.withColumn("index_id", F.lit(index_id))
-    store.replace_partition(kept, f"{path}/chunks", "index_id")
-    count = read_index(spark, path, "chunks", index_id).count()
-    place = f"{path}/vectors/{name}"
-    reused = _rows(spark, place) == count
+    staged = {"chunks": snapshots.stage(kept, root, "chunks")}
+    rows = spark.read.parquet(f"{root}/{staged['chunks']}")  # from here on the rows as written, however chunks were made
+    mark, count = corpus_fingerprint(rows), rows.count()
+    name = identity(mark, provider)
+    reused = base.properties.get("collection") == name and base.read(spark, "vectors").count() == count
     if not reused:
-        embedded(chunks.select("id", "content"), provider).select("id", "vector").write.mode("overwrite").parquet(place)
-        if _rows(spark, place) != count:
+        staged["vectors"] = snapshots.stage(embedded(rows.select("id", "content"), provider).select("id", "vector"), root, "vectors")
+        if spark.read.parquet(f"{root}/{staged['vectors']}").count() != count:
             raise ValueError("the collection has not as many vectors as the index has chunks")
-    summaries = rollup.summaries(read_index(spark, path, "chunks", index_id), index_id, mark)
-    store.replace_partition(summaries, f"{path}/summaries", "index_id")
-    row = (index_id, mark, name, provider.name, provider.dimensions, count)
-    marker = spark.createDataFrame(
-        [row], "index_id string, fingerprint string, collection string, provider string, dimensions int, chunks long"
-    )
-    store.replace_partition(marker.coalesce(1), f"{path}/markers", "index_id")
-    return dict(
-        zip(("index_id", "fingerprint", "collection", "provider", "dimensions", "chunks"), row)
-    ) | {"reused": reused}
-
-
-def read_index(spark: SparkSession, path: str, part: str, index_id: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{part}").where(F.col("index_id") == index_id)
-
-
-def _rows(spark: SparkSession, path: str) -> int:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path).count()
-    except AnalysisException:
-        return -1
-
-
-def ready(spark: SparkSession, path: str, index_id: str, provider: Provider) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, vectors, summaries) of an index that is complete and of this provider; an error says what is not so."""
-    mark = read_index(spark, path, "markers", index_id).first()
-    if mark is None:
+    staged["summaries"] = snapshots.stage(rollup.summaries(rows, index_id, mark), root, "summaries")
+    told = {
+        "index_id": index_id,
+        "fingerprint": mark,
+        "collection": name,
+        "provider": provider.name,
+        "dimensions": provider.dimensions,
+        "chunks": count,
+        "summaries": spark.read.parquet(f"{root}/{staged['summaries']}").count(),
+    }
+    new = snapshots.publish(spark, base, staged, told)
+    return told | {"reused": reused, "version": new.version}
+
+
+def read_index(spark: SparkSession, path: str, part: str, index_id: str, version: int | None = None) -> DataFrame:
+    """chunks, vectors or summaries of an index, as its latest version has them or the one named."""
+    return snapshots.snapshot(spark, place(path, index_id), version).read(spark, part)
+
+
+def ready(
+    spark: SparkSession, path: str, index_id: str, provider: Provider, version: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, vectors, summaries) of one version of an index (None: the latest) that is complete and of this provider; an error says
+    what is not so. All three stay those of that version, whatever is published later."""
+    now = snapshots.snapshot(spark, place(path, index_id), version)
+    mark = now.properties
+    if now.version < 0:
         raise ValueError(f"index {index_id} is not published")
-    if (mark.provider, mark.dimensions) != (provider.name, provider.dimensions):
+    if (mark["provider"], mark["dimensions"]) != (provider.name, provider.dimensions):
         raise ValueError(f"index {index_id} has vectors of another provider")
-    if mark.collection != identity(mark.fingerprint, provider):
+    if mark["collection"] != identity(mark["fingerprint"], provider):
         raise ValueError(f"index {index_id} names another collection than its chunks give")
-    place = f"{path}/vectors/{mark.collection}"
-    if _rows(spark, place) != mark.chunks:
-        raise ValueError(f"index {index_id} has not all its vectors")
-    current = read_index(spark, path, "summaries", index_id).where(F.col("source_fingerprint") == mark.fingerprint)
-    return read_index(spark, path, "chunks", index_id), spark.read.parquet(place), current
+    parts = [now.read(spark, n) for n in ("chunks", "vectors", "summaries")]
+    for name, rows, n in zip(("chunks", "vectors", "summaries"), parts, (mark["chunks"], mark["chunks"], mark["summaries"])):
+        if rows.count() != n:
+            raise ValueError(f"index {index_id} has not all its {name}")
+    return parts[0], parts[1], parts[2]
 
 
 def lexical(content: Column, location: Column, phrase: Column, words: Column) -> Column:
@@ -141,45 +151,47 @@ def hybrid(
     if not 1 <= limit <= 1000:
         raise ValueError("1 to 1000 results")
     most = candidate_budget(vectors_.count(), limit)
-    asked = queries.select("query_id", F.col("vector").alias("query"))
-    near = vectors.nearest(vectors_, asked, most) if most else None
     score = vectors.affine(F.col("cosine")) if scale == "affine" else F.greatest(
         F.lit(0.0), F.least(F.lit(1.0), F.col("cosine"))
     )
+    asked = queries.select("query_id", F.col("vector").alias("query"))
+    near = vectors.nearest(vectors_, asked, max(1, most))  # no vectors: no rows
     found = near.select("query_id", "id", score.alias("semantic_score"))
     location = F.lit(0.0)
     if known:
         from quarrylight.operators.search import path_prefixes
 
-        told = path_prefixes(chunks, known).select(
-            "id", "path", "start_line"
-        ).orderBy("path", "start_line", "id").limit(MOST_KNOWN).select("id")
-        every = told.join(F.broadcast(queries.select("query_id")), F.lit(True))  # at most MOST_KNOWN for each query
-        found = found.select("query_id", "id").unionByName(every.select("query_id", "id")).distinct().join(
-            found, ["query_id", "id"], "left"
-        )
+        told = path_prefixes(chunks, known).select("id", "path", "start_line").orderBy("path", "start_line", "id").limit(MOST_KNOWN)
+        ids = [r.id for r in told.collect()]  # at most MOST_KNOWN
+        every = queries.select("query_id", F.explode(F.array(*[F.lit(i) for i in ids]).cast(f"array<{chunks.schema['id'].dataType.simpleString()}>")).alias("id"))
+        both = found.unionByName(every.withColumn("semantic_score", F.lit(None).cast("double")))
+        found = both.groupBy("query_id", "id").agg(F.max("semantic_score").alias("semantic_score"))
         for p in known:
             location = F.when(F.startswith("path", F.lit(p)), 1.0).otherwise(location)
-    rows = chunks.join(found, "id").join(F.broadcast(queries.select("query_id", "phrase", "words")), "query_id")
-    place = F.concat("path", F.lit(" "), F.coalesce("symbol", F.lit("")))
-    scored = rows.withColumns(
-        {
-            "lexical_score": lexical(F.col("content"), place, F.col("phrase"), F.col("words")),
-            "semantic_score": F.coalesce("semantic_score", F.lit(0.0)),
-            "location_boost": location,
-        }
+    phrases = queries.select("query_id", "phrase", "words")
+    if queries.count() <= BROADCAST_QUERIES:
+        phrases = F.broadcast(phrases)
+    where = F.concat("path", F.lit(" "), F.coalesce("symbol", F.lit("")))
+    scored = chunks.select("id", "path", "symbol", "start_line", "content").join(found, "id").join(phrases, "query_id").select(
+        "query_id",
+        "id",
+        "path",
+        "start_line",
+        lexical(F.col("content"), where, F.col("phrase"), F.col("words")).alias("lexical_score"),
+        F.coalesce("semantic_score", F.lit(0.0)).alias("semantic_score"),
+        location.alias("location_boost"),
     )
     scored = scored.withColumn(
         "score", ranking.hybrid_score(F.col("lexical_score"), F.col("semantic_score"), F.col("location_boost"))
     ).where("score <> 0")
     scored = scored.withColumn("score", F.round("score", 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start_line", "id")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    # what is ranked has no content; the winners meet theirs afterwards
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("path", "start_line")
+    best = chunks.join(best, "id")
     if summaries is None:
-        return best.withColumn("summary", F.lit(None).cast("string")).drop("phrase", "words")
-    return best.join(
-        summaries.select(F.col("scope").alias("id"), F.col("content").alias("summary")), "id", "left"
-    ).drop("phrase", "words")
+        return best.withColumn("summary", F.lit(None).cast("string"))
+    return best.join(summaries.select(F.col("scope").alias("id"), F.col("content").alias("summary")), "id", "left")
 
 
 def render_source(row_symbol: str = "symbol") -> Column:
