@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.session import for_workers
+from quarrylight.sources.archives import Damaged, ends, opened
 
 SIGNER = "package string, scheme string, signer int, certificate int, sha256 string, bytes long, digests array<long>, signatures array<long>, problem string"
-# Fixed values of the format: its magic, the ids of the schemes, and the end record of a ZIP file.
-MAGIC, END = b"APK Sig Block 42", b"PK\x05\x06"
+# Fixed values of the format: its magic, and the ids of the schemes.
+MAGIC = b"APK Sig Block 42"
 SCHEMES = {0x7109871A: "v2", 0xF05368C0: "v3", 0x1B93AD61: "v3.1"}
 PADDING = 0x42726577
+#: A signing block is held whole, up to this size.
+MOST_BLOCK = 64 << 20
 
 
 def _part(data: bytes, at: int = 0) -> tuple[bytes, int]:
@@ -38,32 +41,42 @@ def _algorithms(data: bytes) -> list[int]:
     return [struct.unpack_from("<I", x)[0] for x in _parts(data)]
 
 
-def block(apk: bytes) -> dict[int, bytes]:
-    """The signing block's values by id; none if there is no block."""
-    end = apk.rfind(END)
-    if end < 0:
-        raise ValueError("no-archive")
-    (directory,) = struct.unpack_from("<I", apk, end + 16)
-    if directory < 32 or apk[directory - 16 : directory] != MAGIC:
+def block(file) -> dict[int, bytes]:
+    """The signing block's values by id; none if there is no block. Of the file only its end and the block are read."""
+    try:
+        directory = ends(file).start
+    except Damaged:
+        raise ValueError("no-archive") from None
+    if directory < 32:
         return {}
-    (size,) = struct.unpack_from("<Q", apk, directory - 24)
+    file.seek(directory - 24)
+    foot = file.read(24)
+    if foot[8:] != MAGIC:
+        return {}
+    (size,) = struct.unpack_from("<Q", foot)
     start = directory - size - 8
-    if start < 0 or struct.unpack_from("<Q", apk, start)[0] != size:
+    if start < 0:
+        raise ValueError("malformed")
+    if size > MOST_BLOCK:
+        raise ValueError("too-large")
+    file.seek(start)
+    data = file.read(size + 8 - 24)  # without its foot
+    if struct.unpack_from("<Q", data)[0] != size:
         raise ValueError("malformed")
-    out, at, stop = {}, start + 8, directory - 24
-    while at < stop:
-        n, key = struct.unpack_from("<QI", apk, at)
-        if n < 4 or at + 8 + n > stop:
+    out, at = {}, 8
+    while at < len(data):
+        n, key = struct.unpack_from("<QI", data, at)
+        if n < 4 or at + 8 + n > len(data):
             raise ValueError("malformed")
-        out[key] = apk[at + 12 : at + 8 + n]
+        out[key] = data[at + 12 : at + 8 + n]
         at += 8 + n
     return out
 
 
-def signers(apk: bytes) -> list[tuple]:
-    """(scheme, signer, certificate, sha256, bytes, digest algorithms, signature algorithms)."""
+def signers(values: dict[int, bytes]) -> list[tuple]:
+    """(scheme, signer, certificate, sha256, bytes, digest algorithms, signature algorithms) of a block's values."""
     out = []
-    for key, value in block(apk).items():
+    for key, value in values.items():
         if key not in SCHEMES:
             continue
         for i, signer in enumerate(_parts(_part(value)[0])):
@@ -78,9 +91,9 @@ def signers(apk: bytes) -> list[tuple]:
     return out
 
 
-def unknown(apk: bytes) -> list[int]:
-    """Ids of the signing block's values that are neither a scheme's nor padding."""
-    return sorted(k for k in block(apk) if k not in SCHEMES and k != PADDING)
+def unknown(values: dict[int, bytes]) -> list[int]:
+    """Ids of a block's values that are neither a scheme's nor padding."""
+    return sorted(k for k in values if k not in SCHEMES and k != PADDING)
 
 
 def certificates(spark: SparkSession, path: str) -> DataFrame:
@@ -93,10 +106,12 @@ def certificates(spark: SparkSession, path: str) -> DataFrame:
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), longs, longs, pa.string())
         for batch in batches:
             rows = []
-            for name, apk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name in batch.column(0).to_pylist():
                 try:
-                    rows += [(name, *x, None) for x in signers(apk)]
-                    rows += [(name, *[None] * 7, f"unknown-block-{k:#010x}") for k in unknown(apk)]
+                    with opened(name) as file:
+                        values = block(file)
+                    rows += [(name, *x, None) for x in signers(values)]
+                    rows += [(name, *[None] * 7, f"unknown-block-{k:#010x}") for k in unknown(values)]
                 except (ValueError, struct.error) as e:
                     rows.append((name, *[None] * 7, str(e) if isinstance(e, ValueError) else "malformed"))
             yield pa.RecordBatch.from_arrays(
@@ -105,4 +120,4 @@ def certificates(spark: SparkSession, path: str) -> DataFrame:
 
     return for_workers(spark).read.format("binaryFile").option(
         "recursiveFileLookup", "true"
-    ).load(path).select("path", "content").mapInArrow(run, SIGNER)
+    ).load(path).select("path").mapInArrow(run, SIGNER)

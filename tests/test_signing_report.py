@@ -6,7 +6,7 @@ import struct
 import zipfile
 
 from quarrylight.operators import report
-from quarrylight.sources import signing
+from quarrylight.sources import archives, signing
 
 
 def part(x):
@@ -18,7 +18,7 @@ def apk(schemes, broken=False):
     with zipfile.ZipFile(raw, "w") as z:
         z.writestr("classes.dex", b"x")
     data = raw.getvalue()
-    end = data.rfind(signing.END)
+    end = data.rfind(archives.END)
     (directory,) = struct.unpack_from("<I", data, end + 16)
     pairs = b""
     for key, certs in schemes:
