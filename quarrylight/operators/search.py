@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrylight.functions.text import lines, occurrences, regex_occurrences
+from quarrylight.session import for_workers
 
 
 def line_matches(content: Column, start_line: Column, hit, most: int = 200) -> Column:
@@ -16,15 +20,14 @@ def line_matches(content: Column, start_line: Column, hit, most: int = 200) -> C
 def search(
     chunks: DataFrame, query: str, regex: bool = False, ignore_case: bool = True, most_lines: int = 200
 ) -> DataFrame:
-    """Chunks with a match, each id once: match_count, distinct_match_line_count, match_lines, match_lines_truncated."""
+    """Chunks with a match: match_count, distinct_match_line_count, match_lines, match_lines_truncated. One scan without a shuffle; ids
+    are a corpus's own, each there once (first_places keeps one row of each where they are not)."""
     if not 1 <= most_lines <= 10_000:
         raise ValueError("1 to 10000 lines")
     count = (
         lambda c: regex_occurrences(c, query, ignore_case)
     ) if regex else (lambda c: occurrences(c, query, ignore_case))
-    every = chunks.withColumn("match_count", count(F.col("content"))).where("match_count > 0")
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("path", "start_line", F.xxhash64("content")))
-    found = every.withColumn("_nth", nth).where("_nth = 1").drop("_nth")  # of repeated ids the first place
+    found = chunks.withColumn("match_count", count(F.col("content"))).where("match_count > 0")
     every = line_matches(F.col("content"), F.col("start_line"), lambda x: count(x) > 0, 2**31 - 1)
     return found.withColumn("_lines", every).withColumns(
         {
@@ -35,6 +38,78 @@ def search(
     ).drop("_lines")
 
 
+def first_places(chunks: DataFrame) -> DataFrame:
+    """Of repeated ids the first place. Only ids and places are ordered; texts are joined back by a hash of theirs."""
+    order = Window.partitionBy("id").orderBy("path", "start_line", "_hash")
+    thin = chunks.select("id", "path", "start_line", F.xxhash64("content").alias("_hash"))
+    first = thin.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    same = chunks.withColumn("_hash", F.xxhash64("content")).dropDuplicates(["id", "path", "start_line", "_hash"])
+    return same.join(first, ["id", "path", "start_line", "_hash"], "left_semi").drop("_hash")
+
+
+def search_bounded(
+    chunks: DataFrame, pattern: str, seconds: float = 1.0, ignore_case: bool = True, most_lines: int = 200
+) -> DataFrame:
+    """As search with a regular expression, but a chunk takes at most about `seconds`: all chunks with a match, and those where the time
+    ran out, with state: found, or timed-out (no counts then).
+
+    The pattern is one of the `regex` library, whose matching checks its time as it goes: a pattern that repeats what repeats is
+    allowed, and the chunks on which it explodes are told. Each row with a match comes back; of repeated ids keep one beforehand.
+    """
+    import regex
+
+    if not 0 < len(pattern) <= 4096:
+        raise ValueError("a pattern has 1 to 4096 characters")
+    if not 1 <= most_lines <= 10_000 or seconds <= 0:
+        raise ValueError("1 to 10000 lines and more than 0 seconds")
+    flags = regex.MULTILINE | (regex.IGNORECASE if ignore_case else 0)
+    try:
+        if regex.compile(pattern, flags).search("", timeout=seconds) is not None:
+            raise ValueError("the pattern matches the empty text")
+    except regex.error as e:
+        raise ValueError(f"no regular expression: {e}") from None
+    except TimeoutError:
+        raise ValueError("the pattern takes too long on the empty text") from None
+    name = "_found"
+    while name in chunks.columns:
+        name += "_"
+
+    @F.pandas_udf("struct<state:string,n:long,distinct:long,lines:array<int>>")
+    def matches(contents: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        compiled, rows = regex.compile(pattern, flags), []
+        for text, start in zip(contents, starts):
+            n, lines, line, at, until = 0, [], start, 0, time.monotonic() + seconds
+            distinct, last = 0, None
+            try:
+                for m in compiled.finditer(text, timeout=seconds):
+                    n += 1
+                    line += text.count("\n", at, m.start())
+                    at = m.start()
+                    if line != last:
+                        distinct, last = distinct + 1, line
+                        if len(lines) < most_lines:
+                            lines.append(int(line))
+                    if time.monotonic() > until:
+                        raise TimeoutError
+                rows.append(("found" if n else None, n, distinct, lines))
+            except TimeoutError:
+                rows.append(("timed-out", None, None, None))
+        return pd.DataFrame(rows, columns=["state", "n", "distinct", "lines"]).astype({"n": "Int64", "distinct": "Int64"})
+
+    for_workers(chunks.sparkSession)
+    start = F.coalesce(F.col("start_line").cast("int"), F.lit(1))
+    told = chunks.withColumn(name, matches(F.coalesce("content", F.lit("")), start)).where(F.col(name).state.isNotNull())
+    return told.withColumns(
+        {
+            "state": F.col(name).state,
+            "match_count": F.col(name).n,
+            "distinct_match_line_count": F.col(name).distinct,
+            "match_lines": F.col(name).lines,
+            "match_lines_truncated": F.col(name).distinct > F.size(F.col(name).lines),
+        }
+    ).drop(name)
+
+
 def top_hits(hits: DataFrame, k: int) -> DataFrame:
     """Most matches first, then by path without regard to case, place and id. A bounded heap in each task, not a full sort."""
     if k < 1:

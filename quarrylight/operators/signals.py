@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Patterns that the signals count.
 CLASS_NAME = r"\b(?:class|interface|enum|object)\s+([A-Za-z_$][\w$]*)"
@@ -14,6 +14,8 @@ BASE64_STRING = r'"[A-Za-z0-9+/]{32,}={0,2}"'
 HEX_STRING = r'"(?:[0-9a-fA-F]{2}){16,}"'
 CONTROL_FLOW = r"\b(?:switch|tableswitch|lookupswitch|goto)\b"
 CONSTRUCTORS = ["<init>", "<clinit>"]
+# Products and the word that names each.
+PRODUCTS = {"DexGuard": "dexguard", "Allatori": "allatori", "StringFog": "stringfog"}
 
 
 def file_signals(files: DataFrame, language: Column | None = None) -> DataFrame:
@@ -85,6 +87,30 @@ def classify(scored: DataFrame, has_marker: Column | None = None) -> DataFrame:
     return scored.withColumns({"kind": kind, "confidence": F.round(confidence, 4)})
 
 
+def product_markers(files: DataFrame, products: dict[str, str] = PRODUCTS, text_col: str = "content") -> DataFrame:
+    """(product, path, line) of each line that holds a product's marker, without regard to case. A line is cut only in files with one."""
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    marks = {p: m.lower() for p, m in products.items()}
+    some = F.lit(False)
+    for m in marks.values():
+        some = some | F.contains(text, F.lit(m))
+    cut = files.select("path", text.alias("_t"), some.alias("_some")).where("_some").select("path", F.posexplode(F.split("_t", "\n")).alias("i", "l"))
+    held = F.array_compact(F.array(*[F.when(F.contains("l", F.lit(m)), F.lit(p)) for p, m in marks.items()]))
+    return cut.select(F.explode(held).alias("product"), "path", (F.col("i") + 1).cast("long").alias("line"))
+
+
+def marker_locators(marks: DataFrame, most: int = 20) -> DataFrame:
+    """(product, files, locators): how many files have a product's marker, and the first `most` of their paths. No task orders all files of
+    a product: each of 64 parts keeps its first ones."""
+    paths = marks.select("product", "path").distinct().withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(64)))
+    files = paths.groupBy("product").agg(F.count("*").alias("files"))
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("path"))
+    first = paths.withColumn("_n", nth("product", "_part")).where(F.col("_n") <= most)
+    first = first.withColumn("_n", nth("product")).where(F.col("_n") <= most)
+    told = first.groupBy("product").agg(F.array_sort(F.collect_list("path")).alias("locators"))
+    return files.join(told, "product")
+
+
 def name_entropy(signals: DataFrame, key: str) -> DataFrame:
     """Shannon entropy (bits) of each key's identifier characters: counts of characters, never their concatenation."""
     chars = signals.select(key, F.explode("identifiers").alias("n")).select(

@@ -416,6 +416,40 @@ def signal_classification(spark, sf_dir):
     ).select("k", "kind", "confidence")
 
 
+LICENSES = {"Mit": "MIT License", "Apache": "apache license", "Gpl": "General Public"}
+
+
+@query
+def product_markers(spark, sf_dir):
+    return signals.product_markers(chunks(spark, sf_dir), LICENSES)
+
+
+@query
+def marker_locators(spark, sf_dir):
+    told = signals.marker_locators(signals.product_markers(chunks(spark, sf_dir), LICENSES), most=3)
+    return told.select("product", "files", F.array_join("locators", ",").alias("locators"))
+
+
+@query
+def marked_classification(spark, sf_dir):
+    """Documents by language: a product's marker in one of its files decides where nothing else does."""
+    files_ = chunks(spark, sf_dir).select("path", "content", F.col("language").alias("k"))
+    marks = signals.product_markers(files_, {"Gpl": LICENSES["Gpl"]}).join(files_.select("path", "k"), "path")
+    scored = signals.scores(signals.totals(signals.file_signals(files_), "k")).join(
+        marks.groupBy("k").agg(F.lit(True).alias("marked")), "k", "left"
+    )
+    return signals.classify(scored, F.coalesce("marked", F.lit(False))).select(
+        "k", F.coalesce("marked", F.lit(False)).alias("marked"), "kind", "confidence"
+    )
+
+
+@query
+def search_regex_bounded(spark, sf_dir):
+    """As search_regex_topk, but all matches, and a pattern that may take exponential time under a limit for each chunk."""
+    found = search.search_bounded(chunks(spark, sf_dir), "th(?:[a-z]+)+tion", seconds=20.0, most_lines=3)
+    return found.select("id", "state", "match_count", "distinct_match_line_count", F.array_join("match_lines", ",").alias("match_lines"))
+
+
 @query
 def identifier_entropy(spark, sf_dir):
     return signals.name_entropy(_signals(spark, sf_dir), "k")

@@ -142,3 +142,15 @@ TWINS["retrieval_by_id_or_path"] = f"""WITH {KNN}, r AS (SELECT query_id AS case
   b AS (SELECT q.vec_id AS case_id, min(rank) FILTER (r.id IN (q.vec_id + 1, q.vec_id + 2) OR r.path = ((q.label + 1) % 5)::VARCHAR) AS first_rank FROM embeddings q LEFT JOIN r ON r.case_id = q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1)
   SELECT case_id, first_rank, round(coalesce(1.0::DOUBLE / first_rank, 0), 6) AS reciprocal_rank FROM b"""
 TWINS["ivf_exact"] = TWINS["knn_exact"]
+MARKS = f"""{CHUNKS}, mk AS (SELECT product, path, line FROM (SELECT path, unnest(string_split(lower(content), chr(10))) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM c)
+  JOIN (VALUES ('Mit', 'mit license'), ('Apache', 'apache license'), ('Gpl', 'general public')) v(product, m) ON contains(l, m))"""
+TWINS["product_markers"] = f"WITH {MARKS} SELECT * FROM mk"
+TWINS["marker_locators"] = f"WITH {MARKS}, p AS (SELECT DISTINCT product, path FROM mk) SELECT product, count(*) AS files, array_to_string(list_sort(list(path))[1:3], ',') AS locators FROM p GROUP BY 1"
+DOCUMENT_SCORES = SCORES.replace(CODE, f"{CHUNKS}, co AS (SELECT language AS k, coalesce(content, '') AS html FROM c)")
+TWINS["marked_classification"] = TWINS["signal_classification"].replace(SCORES, DOCUMENT_SCORES).replace(
+    "SELECT k, CASE", "SELECT k, marked, CASE WHEN marked AND strong = 0 THEN 'mixed-or-custom'"
+).replace(
+    "round(CASE", "round(CASE WHEN marked THEN greatest(0.9, CASE WHEN strong > 0 THEN best ELSE least(0.95, 1 - best) END)"
+).replace("FROM x", "FROM (SELECT x.*, EXISTS (SELECT 1 FROM c WHERE language IS NOT DISTINCT FROM k AND contains(lower(content), 'general public')) AS marked FROM x)")
+TWINS["search_regex_bounded"] = f"""WITH {CHUNKS}, r AS (SELECT id, string_split(content, chr(10)) AS ls FROM c), m AS (SELECT id, unnest(list_transform(ls, lambda x: len(regexp_extract_all(x, '(?i)th[a-z]+tion')))) AS n, unnest(range(1, len(ls) + 1)) AS line FROM r)
+  SELECT id, 'found' AS state, sum(n)::BIGINT AS match_count, count(*) AS distinct_match_line_count, array_to_string(list(line ORDER BY line)[1:3], ',') AS match_lines FROM m WHERE n > 0 GROUP BY id"""
