@@ -26,46 +26,45 @@ def report_lineage(runs: DataFrame, key: str = "project_id") -> DataFrame:
     decompiled tree; the index is of the imported artifact (if there is one) and of that tree's sources; query and signals are of that index.
     Returns (key, stage, run_id); a stage without such a run has no row, and a key without a package run none at all.
     """
-    good = runs.where("status = 'succeeded'")
-    order = [F.desc("started_at"), F.desc("run_id")]
-
-    def last(rows: DataFrame, tool: str, prefix: str) -> DataFrame:
-        return latest(rows, [key], order).select(
-            key,
-            *[
-                F.col(c).alias(f"{prefix}_{c}")
-                for c in ("run_id", "apk_sha", "artifact_id", "output_dir", "index_id", "source_root")
-            ]
-        )
-
-    package = good.where(
-        F.col("tool").isin("apk_import", "apk_inspect")
-    ).withColumn("_imported", F.col("tool") == "apk_import")
-    base = latest(package, [key], [F.desc("_imported"), *order]).select(
-        key,
-        F.col("run_id").alias("package_run_id"),
-        F.col("apk_sha").alias("_sha"),
-        F.when(F.col("_imported"), F.col("artifact_id")).alias("_artifact"),
+    residual = ["apk_sha", "artifact_id", "output_dir", "path", "index_id", "source_root"]
+    # of runs that are equal in all that a stage asks for only the newest can be chosen; these few meet in a row of their key
+    newest = runs.where("status = 'succeeded'").groupBy(key, "tool", *residual).agg(
+        F.max(F.struct("started_at", "run_id")).alias("at")
     )
+    run = F.struct("at.started_at", "at.run_id", "tool", *residual)
+    state = newest.groupBy(key).agg(F.collect_list(run).alias("_runs"))
 
-    def met(state: DataFrame, tool: str, residual: Column, prefix: str) -> DataFrame:
-        fit = good.where(F.col("tool") == tool).join(state, key).where(residual).select(*good.columns)
-        return state.join(last(fit, tool, prefix), key, "left")
+    def last(fits) -> Column:
+        return F.array_max(F.filter("_runs", fits))  # by time, then run
 
-    below = F.startswith("path", F.concat("tree_output_dir", F.lit("/"))) | (F.col("path") == F.col("tree_output_dir"))
-    of_artifact = F.col("_artifact").isNull() | (F.col("artifact_id") == F.col("_artifact"))
-    of_tree = F.when(
-        F.col("tree_output_dir").isNotNull(), F.col("source_root") == F.concat("tree_output_dir", F.lit("/sources"))
+    imported = last(lambda r: r.tool == "apk_import")
+    state = state.withColumn("package", F.coalesce(imported, last(lambda r: r.tool == "apk_inspect"))).where("package is not null")
+    state = state.withColumns(
+        {"_sha": F.col("package.apk_sha"), "_artifact": F.when(F.col("package.tool") == "apk_import", F.col("package.artifact_id"))}
+    )
+    same = lambda tool: last(lambda r: (r.tool == tool) & (r.apk_sha == F.col("_sha")))
+    state = state.withColumns({"metadata": same("apk_metadata"), "tree": same("jadx_decompile")})
+    root = F.col("tree.output_dir")
+    of_tree = lambda r: F.when(
+        root.isNotNull(), r.source_root == F.concat(root, F.lit("/sources"))
     ).otherwise(F.col("_artifact").isNotNull())
-    state = met(base, "apk_metadata", F.col("apk_sha") == F.col("_sha"), "metadata")
-    state = met(state, "jadx_decompile", F.col("apk_sha") == F.col("_sha"), "tree")
-    state = met(state, "manifest_analyze", below, "manifest")
-    state = met(state, "source_index", of_artifact & of_tree, "index")
-    state = met(state, "context_query", F.col("index_id") == F.col("index_index_id"), "query")
-    state = met(state, "detect_obfuscation", F.col("source_root") == F.col("index_source_root"), "signals")
+    of_artifact = lambda r: F.col("_artifact").isNull() | (r.artifact_id == F.col("_artifact"))
+    below = lambda r: F.startswith(r.path, F.concat(root, F.lit("/"))) | (r.path == root)
+    state = state.withColumns(
+        {
+            "manifest": last(lambda r: (r.tool == "manifest_analyze") & below(r)),
+            "index": last(lambda r: (r.tool == "source_index") & of_artifact(r) & of_tree(r)),
+        }
+    )
+    state = state.withColumns(
+        {
+            "query": last(lambda r: (r.tool == "context_query") & (r.index_id == F.col("index.index_id"))),
+            "signals": last(lambda r: (r.tool == "detect_obfuscation") & (r.source_root == F.col("index.source_root"))),
+        }
+    )
     stages = ["package", "metadata", "tree", "manifest", "signals", "index", "query"]
     each = F.explode(
-        F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"{s}_run_id").alias("run_id")) for s in stages])
+        F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"{s}.run_id").alias("run_id")) for s in stages])
     )
     return state.select(key, each.alias("r")).select(key, "r.stage", "r.run_id").where("run_id is not null")
 

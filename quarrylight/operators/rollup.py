@@ -58,13 +58,20 @@ def method_summaries(chunks: DataFrame) -> DataFrame:
 
 def file_summaries(chunks: DataFrame) -> DataFrame:
     """(path, chunks, methods, symbols, symbols_count, indicators, content). An indicator holds if one of the file's chunks has it."""
-    flags = {name: F.max(F.regexp_like("content", F.lit(p)).cast("int")) for name, p in INDICATORS.items()}
-    shown = F.array_compact(F.array(*[F.when(f == 1, F.lit(n)) for n, f in flags.items()]))
-    grouped = chunks.groupBy("path").agg(
-        F.count("*").alias("chunks"), F.count_if(F.col("kind") == "method").alias("methods"), shown.alias("indicators")
+    # one pass over the contents: what a symbol's chunks show; then a rank over a file's symbols
+    flag = {f"_f{i}": F.max(F.regexp_like("content", F.lit(p)).cast("int")).alias(f"_f{i}") for i, p in enumerate(INDICATORS.values())}
+    by_symbol = chunks.groupBy("path", "symbol").agg(
+        F.count("*").alias("n"), F.count_if(F.col("kind") == "method").alias("m"), *flag.values()
+    )
+    nth = F.row_number().over(Window.partitionBy("path").orderBy(F.col("symbol").asc_nulls_last()))
+    first = F.when(F.col("_nth") <= FILE_SYMBOLS, F.col("symbol"))
+    grouped = by_symbol.withColumn("_nth", nth).groupBy("path").agg(
+        F.sum("n").alias("chunks"),
+        F.sum("m").alias("methods"),
+        F.array_compact(F.array(*[F.when(F.max(c) == 1, F.lit(n)) for c, n in zip(flag, INDICATORS)])).alias("indicators"),
+        F.array_sort(F.collect_list(first)).alias("symbols"),
+        F.count("symbol").alias("symbols_count"),
     )
-    grouped = grouped.join(first_values(chunks, "path", "symbol", FILE_SYMBOLS, "symbols"), "path", "left")
-    grouped = grouped.withColumn("symbols_count", F.coalesce("symbols_count", F.lit(0)))
     text = F.concat(
         "path", F.lit(": "), F.col("chunks").cast("string"), F.lit(" chunks, "), F.col("methods").cast("string"), F.lit(
             " methods. Symbols: "

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrylight.functions.text import lines, occurrences, regex_occurrences
-from quarrylight.session import for_workers
+from quarrylight.session import for_workers, shared_folder
 
 
 def line_matches(content: Column, start_line: Column, hit, most: int = 200) -> Column:
@@ -17,6 +17,10 @@ def line_matches(content: Column, start_line: Column, hit, most: int = 200) -> C
     return F.slice(F.array_compact(numbered), 1, most)
 
 
+#: Keys, or pairs of rows, up to which they are broadcast.
+BROADCAST_KEYS = 1_000_000
+
+
 def search(
     chunks: DataFrame, query: str, regex: bool = False, ignore_case: bool = True, most_lines: int = 200
 ) -> DataFrame:
@@ -186,27 +190,36 @@ def containing(texts: DataFrame, phrases: DataFrame, text_col: str, phrase_col:
     a key that both have; `contains` decides. Phrases of fewer than three words have no such key and are looked for in every text:
     at most 10000 of these are allowed. Null and empty phrases are in no text.
     """
+    spark = texts.sparkSession
     cut = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
+    row = lambda df: F.struct(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.md5(F.concat_ws("\0", *[F.col(f"`{c}`").cast("string") for c in df.columns])))
     asked = phrases.where(F.length(phrase_col) > 0).withColumn(
         "_w", F.filter(F.split(F.col(phrase_col), r"\s+"), lambda w, i: i > 0)
     )
     asked = asked.withColumn(
         "_w", F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0)))
     ).withColumn("_n", F.least(F.size("_w"), F.lit(words)))
-    long = asked.where("_n > 0").withColumn("_key", F.xxhash64(F.slice("_w", 1, F.col("_n"))))
+    long = asked.where("_n > 0").withColumn("_key", F.xxhash64("_n", F.transform(F.slice("_w", 1, F.col("_n")), lambda w: F.xxhash64(w))))
+    wanted = long.select("_key").distinct()
+    lengths = sorted(r["_n"] for r in long.select("_n").distinct().collect())  # at most `words`
     out = None
-    have = texts.withColumn("_all", cut(text_col))
-    for r in long.select("_n").distinct().orderBy("_n").collect():  # at most `words` lengths
-        n = r["_n"]
-        some = long.where(F.col("_n") == n).drop("_w", "_n")
-        last = F.size("_all") - n + 1
-        keys = F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("_all", i, n)))
-        )
-        spread = have.where(last > 0).select(*texts.columns, F.explode(keys).alias("_key"))
-        wanted = spread.join(some.select("_key").distinct(), "_key", "left_semi")  # rows without a wanted key end here
-        met = wanted.join(some, "_key").where(F.contains(F.col(text_col), F.col(phrase_col))).drop("_key")
-        out = met if out is None else out.unionByName(met)
+    if lengths:
+        hashed = texts.select(row(texts).alias("_row"), F.transform(cut(text_col), lambda w: F.xxhash64(w)).alias("_h"))
+        windows = lambda n: F.when(
+            F.size("_h") >= n,
+            F.transform(F.sequence(F.lit(1), F.greatest(F.size("_h") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(n), F.slice("_h", i, n))),
+        ).otherwise(F.array().cast("array<bigint>"))
+        keys = F.array_distinct(F.concat(*[windows(n) for n in lengths]))
+        # what is spread is a row's hash and a key; texts themselves are met again by the few rows with a wanted key
+        spread = hashed.select("_row", F.explode(keys).alias("_key"))
+        met = spread.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "_key")
+        path = shared_folder(spark, "containing")
+        met.join(long.select("_key", row(phrases).alias("_phrase")).distinct(), "_key").select("_row", "_phrase").distinct().write.parquet(path)
+        pairs = spark.read.parquet(path)
+        small = pairs.count() <= BROADCAST_KEYS
+        named = texts.withColumn("_row", row(texts)).join(F.broadcast(pairs) if small else pairs, "_row")
+        told = phrases.withColumn("_phrase", row(phrases)).where(F.length(phrase_col) > 0)
+        out = named.join(told, "_phrase").where(F.contains(F.col(text_col), F.col(phrase_col))).select(*texts.columns, *phrases.columns)
     short = asked.where("_n = 0").drop("_w", "_n")
     n_short = short.limit(10_001).count()
     if n_short > 10_000:
