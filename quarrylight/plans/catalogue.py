@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quarrylight.functions import text as X
 from quarrylight.operators import ann, chunking, evaluate, lineage, manifest, netflow, ranking, report, retrieval, rollup, search, signals, store, vectors
 from quarrylight.session import shared_folder
-from quarrylight.sources import corpus
+from quarrylight.sources import corpus, manifests
 from quarrylight.streaming import flows as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -643,53 +643,89 @@ def store_update_by_key(spark, sf_dir):
     )
 
 
-def _components(spark: SparkSession) -> DataFrame:
-    """Every kind with every attribute, filter, SDK and permission."""
-    rows = [
-        (k, a, f, s, p)
-        for k in ("activity", "service", "provider")
-        for a in ("true", "false", "@bool/x", None)
-        for f in (True, False)
-        for s in (16, 17, 30, 31, None)
-        for p in ("p.OWN", None)
-    ]
-    return spark.createDataFrame(
-        [(i, *r) for i, r in enumerate(rows)],
-        "id long, kind string, exported_attribute string, has_filter boolean, sdk int, permission string",
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as components: every kind with every attribute, filter, SDK and permission, by the digits of the key."""
+    i = F.col("p_partkey")
+    digit = lambda by, n: (F.floor(i / by) % n).cast("int")
+    one = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at)
+    return table(spark, sf_dir, "part").select(
+        i.alias("id"),
+        one(["activity", "service", "provider"], digit(1, 3)).alias("kind"),
+        one(["true", "false", "@bool/x", None], digit(3, 4)).alias("exported_attribute"),
+        (digit(12, 2) == 0).alias("has_filter"),
+        one([16, 17, 30, 31, None], digit(24, 5)).alias("sdk"),
+        one(["p.OWN", None], digit(120, 2)).alias("permission"),
+        F.when(F.col("p_size") % 2 == 0, "p.READ").alias("read_permission"),
+        F.lit(None).cast("string").alias("write_permission"),
+        F.when(F.col("p_size") % 5 == 0, False).when(F.col("p_size") % 5 == 1, True).alias("enabled"),
+        F.when(F.col("p_size") % 3 == 0, "p.APP").alias("application_permission"),
     )
 
 
 @query
 def exported_state_table(spark, sf_dir):
-    return manifest.export_state(_components(spark)).select("id", "exported", "exported_source", "violation")
+    return manifest.export_state(_components(spark, sf_dir)).select("id", "exported", "exported_source", "violation")
 
 
 @query
 def permission_inheritance(spark, sf_dir):
-    c = _components(spark).withColumns(
-        {"read_permission": F.when(F.col("id") % 2 == 0, "p.READ"), "write_permission": F.lit(None).cast("string")}
-    )
-    app = F.when(F.col("id") % 3 == 0, "p.APP")
-    return manifest.inherit_permissions(c, app).select(
+    return manifest.inherit_permissions(_components(spark, sf_dir), F.col("application_permission")).select(
         "id", "effective_permission", "permission_source", "effective_read", "effective_write"
     )
 
 
 @query
 def attack_surface(spark, sf_dir):
-    c = _components(spark).withColumns(
-        {
-            "read_permission": F.when(F.col("id") % 2 == 0, "p.READ"),
-            "write_permission": F.lit(None).cast("string"),
-            "enabled": F.when(F.col("id") % 5 == 0, False).when(F.col("id") % 5 == 1, True),
-        }
-    )
-    s = manifest.attack_surface(
-        manifest.export_state(manifest.inherit_permissions(c, F.when(F.col("id") % 3 == 0, "p.APP")))
-    )
+    c = _components(spark, sf_dir)
+    s = manifest.attack_surface(manifest.export_state(manifest.inherit_permissions(c, F.col("application_permission"))))
     return s.select("id", "reason", F.array_join("unguarded", ",").alias("unguarded"))
 
 
+def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as manifests: each asks for permissions and has an activity with a filter and a provider."""
+    i = F.col("s_suppkey")
+    space = "xmlns:android='http://schemas.android.com/apk/res/android'"
+    asked = F.when(i % 3 == 0, "<uses-permission android:name='android.permission.SEND_SMS' android:maxSdkVersion='22'/>").otherwise("")
+    text = F.concat(
+        F.lit(f"<manifest {space} package='p"), i.cast("string"), F.lit("'><uses-permission android:name='android.permission.INTERNET'/>"), asked,
+        F.lit("<uses-sdk android:targetSdkVersion='"), F.when(i % 4 == 0, "@integer/x").otherwise((i % 40).cast("string")),
+        F.lit("'/><application android:debuggable='"), F.when(i % 5 == 0, "@bool/d").otherwise("false"),
+        F.lit("'><activity android:name='.A"), (i % 7).cast("string"), F.lit("'><intent-filter><action android:name='view'/><data android:scheme='h"),
+        (i % 2).cast("string"), F.lit("' android:host='x'/></intent-filter></activity><provider android:name='q.P' android:permission='own'/></application></manifest>"),
+    )
+    return manifests.elements(table(spark, sf_dir, "supplier").select(i.cast("string").alias("file"), text.alias("content")))
+
+
+@query
+def manifest_permissions(spark, sf_dir):
+    return manifests.permissions(_manifests(spark, sf_dir))
+
+
+@query
+def manifest_filters(spark, sf_dir):
+    f = manifests.filters(_manifests(spark, sf_dir))
+    pairs = F.array_join(F.transform(F.map_entries(F.get("data", F.lit(0))), lambda e: F.concat(e.key, F.lit("="), e.value)), ";")
+    return f.select("file", "component", "locator", F.array_join("actions", ",").alias("actions"), pairs.alias("data"))
+
+
+@query
+def manifest_warnings(spark, sf_dir):
+    """Warnings of the elements and of the export rules, by place."""
+    rows = _manifests(spark, sf_dir)
+    sdk = manifest.target_sdk(F.col("target_sdk"), F.col("min_sdk"))
+    state = manifest.export_state(manifests.components(rows).where("problem is null").withColumn("sdk", sdk))
+    return manifests.warnings(rows).unionByName(manifest.export_warnings(state))
+
+
+@query
+def manifest_surface(spark, sf_dir):
+    """Components that may be reachable, with the places that say so."""
+    sdk = manifest.target_sdk(F.col("target_sdk"), F.col("min_sdk"))
+    c = manifests.components(_manifests(spark, sf_dir)).where("problem is null").withColumn("sdk", sdk)
+    s = manifest.attack_surface(manifest.export_state(manifest.inherit_permissions(c, F.col("application_permission"))))
+    return s.select("file", "name", "reason", F.array_join("evidence", ",").alias("evidence"))
+
+
 @query
 def hash_embedding(spark, sf_dir):
     """Rows only: DuckDB has no BLAKE2b."""

@@ -42,10 +42,10 @@ SCORES = rf"""{NAMES}, su AS (SELECT k, count(*) AS files, sum(len(ids))::BIGINT
   sum(len(regexp_extract_all(html, '"[A-Za-z0-9+/]{{32,}}={{0,2}}"')) + len(regexp_extract_all(html, '"(?:[0-9a-fA-F]{{2}}){{16,}}"')))::BIGINT AS encoded,
   sum(len(regexp_extract_all(html, '\b(?:switch|tableswitch|lookupswitch|goto)\b')))::BIGINT AS control, sum(length(html) - length(replace(html, chr(10), '')) + 1)::BIGINT AS lines FROM sg GROUP BY k),
   sc AS (SELECT *, CASE WHEN names >= 20 THEN least(1, greatest(0, (short_names::DOUBLE / names - 0.2::DOUBLE) / 0.6::DOUBLE)) ELSE 0.0::DOUBLE END AS name_score, least(1, reflection::DOUBLE / files / 2) AS reflection_score, least(1, encoded::DOUBLE / files / 3) AS string_score, least(1, greatest(0, (control / greatest(lines / 1000.0::DOUBLE, 1) - 8) / 40::DOUBLE)) AS control_score FROM su)"""
-KINDS = "co AS (SELECT row_number() OVER (ORDER BY a, b, c, d, e) - 1 AS id, ['activity', 'service', 'provider'][a] AS kind, ['true', 'false', '@bool/x', NULL][b] AS attr, [true, false][c] AS has_filter, [16, 17, 30, 31, NULL][d] AS sdk, ['p.OWN', NULL][e] AS permission FROM range(1, 4) t1(a), range(1, 5) t2(b), range(1, 3) t3(c), range(1, 6) t4(d), range(1, 3) t5(e))"
+KINDS = "co AS (SELECT p_partkey AS id, ['activity', 'service', 'provider'][p_partkey % 3 + 1] AS kind, ['true', 'false', '@bool/x', NULL][(p_partkey // 3) % 4 + 1] AS attr, (p_partkey // 12) % 2 = 0 AS has_filter, [16, 17, 30, 31, NULL][(p_partkey // 24) % 5 + 1] AS sdk, ['p.OWN', NULL][(p_partkey // 120) % 2 + 1] AS permission, CASE WHEN p_size % 2 = 0 THEN 'p.READ' END AS own_read, CASE p_size % 5 WHEN 0 THEN false WHEN 1 THEN true END AS enabled, CASE WHEN p_size % 3 = 0 THEN 'p.APP' END AS app FROM part)"
 EXPORT = f"""{KINDS}, ex AS (SELECT *, CASE WHEN attr = '@bool/x' THEN 'indeterminate-nonliteral' WHEN attr IS NOT NULL THEN 'explicit' WHEN kind = 'provider' AND sdk IS NULL THEN 'indeterminate-target-sdk' WHEN kind = 'provider' AND sdk < 17 THEN 'inferred-provider-target-sdk-16-or-lower' WHEN kind = 'provider' THEN 'inferred-provider-target-sdk-17-or-higher' WHEN NOT has_filter THEN 'inferred-no-intent-filter' WHEN sdk IS NULL THEN 'indeterminate-target-sdk' WHEN sdk >= 31 THEN 'missing-required-explicit' ELSE 'inferred-from-intent-filter' END AS exported_source,
   CASE WHEN attr IN ('true', 'false') THEN attr = 'true' WHEN attr IS NOT NULL THEN NULL WHEN kind = 'provider' THEN sdk < 17 WHEN NOT has_filter THEN false WHEN sdk < 31 THEN true END AS exported FROM co)"""
-PERMISSIONS = "pe AS (SELECT *, coalesce(permission, CASE WHEN id % 3 = 0 THEN 'p.APP' END) AS effective_permission, CASE WHEN permission IS NOT NULL THEN 'component' WHEN id % 3 = 0 THEN 'application' ELSE 'none' END AS permission_source, CASE WHEN kind = 'provider' THEN coalesce(CASE WHEN id % 2 = 0 THEN 'p.READ' END, permission, CASE WHEN id % 3 = 0 THEN 'p.APP' END) END AS effective_read, CASE WHEN kind = 'provider' THEN coalesce(permission, CASE WHEN id % 3 = 0 THEN 'p.APP' END) END AS effective_write FROM {0})"
+PERMISSIONS = "pe AS (SELECT *, coalesce(permission, app) AS effective_permission, CASE WHEN permission IS NOT NULL THEN 'component' WHEN app IS NOT NULL THEN 'application' ELSE 'none' END AS permission_source, CASE WHEN kind = 'provider' THEN coalesce(own_read, permission, app) END AS effective_read, CASE WHEN kind = 'provider' THEN coalesce(permission, app) END AS effective_write FROM {0})"
 
 INDICATED = r"""list_filter([CASE WHEN regexp_matches(content, '(?i)\b(?:Cipher|SecretKey|MessageDigest|Mac|encrypt|decrypt)\b') THEN 'cryptography' END, CASE WHEN regexp_matches(content, '(?i)\b(?:https?|Retrofit|OkHttp|Request|Response|socket)\b') THEN 'networking' END, CASE WHEN regexp_matches(content, '(?i)\b(?:auth|login|token|jwt|oauth|credential)\b') THEN 'authentication' END, CASE WHEN regexp_matches(content, '\b(?:native|System\.loadLibrary|JNI)\b') THEN 'native/JNI' END, CASE WHEN regexp_matches(content, '\b(?:Class\.forName|getDeclaredMethod|reflect)\b') THEN 'reflection' END], lambda x: x IS NOT NULL)"""
 
@@ -128,8 +128,8 @@ TWINS = {
     "store_update_by_key": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders",
     "exported_state_table": f"WITH {EXPORT} SELECT id, exported, exported_source, exported_source = 'missing-required-explicit' AS violation FROM ex",
     "permission_inheritance": f"WITH {KINDS}, {PERMISSIONS.format('co')} SELECT id, effective_permission, permission_source, effective_read, effective_write FROM pe",
-    "attack_surface": f"""WITH {EXPORT}, {PERMISSIONS.format('ex')}, u AS (SELECT *, CASE WHEN kind = 'provider' THEN list_filter([CASE WHEN effective_read IS NULL THEN 'read' END, CASE WHEN effective_write IS NULL THEN 'write' END], lambda x: x IS NOT NULL) WHEN effective_permission IS NULL THEN ['invoke'] ELSE [] END AS un FROM pe WHERE id % 5 <> 0 AND coalesce(exported, true) AND exported_source <> 'missing-required-explicit')
-      SELECT id, CASE WHEN kind = 'provider' THEN CASE len(un) WHEN 0 THEN 'exported provider declares read and write permission guards' WHEN 2 THEN 'exported provider has no read or write permission guard' ELSE 'exported provider has no ' || un[1] || ' permission guard' END WHEN len(un) = 0 THEN 'exported component declares a permission guard' ELSE 'exported component has no permission guard' END AS reason, array_to_string(un, ',') AS unguarded FROM u""",
+    "attack_surface": f"""WITH {EXPORT}, {PERMISSIONS.format('ex')}, u AS (SELECT *, CASE WHEN kind = 'provider' THEN list_filter([CASE WHEN effective_read IS NULL THEN 'read' END, CASE WHEN effective_write IS NULL THEN 'write' END], lambda x: x IS NOT NULL) WHEN effective_permission IS NULL THEN ['invoke'] ELSE [] END AS un FROM pe WHERE coalesce(enabled, true) AND coalesce(exported, true) AND exported_source <> 'missing-required-explicit')
+      SELECT id, CASE WHEN exported IS NULL AND enabled IS NULL THEN 'potential attack surface (export state is indeterminate; enabled state is indeterminate); ' WHEN exported IS NULL THEN 'potential attack surface (export state is indeterminate); ' WHEN enabled IS NULL THEN 'potential attack surface (enabled state is indeterminate); ' ELSE '' END || CASE WHEN kind = 'provider' THEN CASE len(un) WHEN 0 THEN 'exported provider declares read and write permission guards' WHEN 2 THEN 'exported provider has no read or write permission guard' ELSE 'exported provider has no ' || un[1] || ' permission guard' END WHEN len(un) = 0 THEN 'exported component declares a permission guard' ELSE 'exported component has no permission guard' END AS reason, array_to_string(un, ',') AS unguarded FROM u""",
     "flow_stream_docs": "SELECT 'https://h' || (user_id % 3) || '/u/{id}' AS pattern, event_type AS method, 'h' || (user_id % 3) AS host, count(DISTINCT event_id) AS flow_count FROM events GROUP BY 1, 2, 3",
 }
 TWINS[
@@ -154,3 +154,15 @@ TWINS["marked_classification"] = TWINS["signal_classification"].replace(SCORES,
 ).replace("FROM x", "FROM (SELECT x.*, EXISTS (SELECT 1 FROM c WHERE language IS NOT DISTINCT FROM k AND contains(lower(content), 'general public')) AS marked FROM x)")
 TWINS["search_regex_bounded"] = f"""WITH {CHUNKS}, r AS (SELECT id, string_split(content, chr(10)) AS ls FROM c), m AS (SELECT id, unnest(list_transform(ls, lambda x: len(regexp_extract_all(x, '(?i)th[a-z]+tion')))) AS n, unnest(range(1, len(ls) + 1)) AS line FROM r)
   SELECT id, 'found' AS state, sum(n)::BIGINT AS match_count, count(*) AS distinct_match_line_count, array_to_string(list(line ORDER BY line)[1:3], ',') AS match_lines FROM m WHERE n > 0 GROUP BY id"""
+TWINS["manifest_permissions"] = """SELECT s_suppkey::VARCHAR AS file, 'android.permission.INTERNET' AS name, false AS dangerous, NULL::INT AS max_sdk, '/manifest/uses-permission[1]' AS locator FROM supplier
+  UNION ALL SELECT s_suppkey::VARCHAR, 'android.permission.SEND_SMS', true, 22, '/manifest/uses-permission[2]' FROM supplier WHERE s_suppkey % 3 = 0"""
+TWINS["manifest_filters"] = "SELECT s_suppkey::VARCHAR AS file, '/manifest/application/activity[1]' AS component, '/manifest/application/activity[1]/intent-filter[1]' AS locator, 'view' AS actions, 'host=x;scheme=h' || s_suppkey % 2 AS data FROM supplier"
+SDK = "su AS (SELECT s_suppkey AS k, s_suppkey::VARCHAR AS file, CASE WHEN s_suppkey % 4 <> 0 AND s_suppkey % 40 >= 1 THEN s_suppkey % 40 END AS sdk FROM supplier)"
+TWINS["manifest_warnings"] = f"""WITH {SDK} SELECT file, '/manifest/application/@android:debuggable' AS locator, 'value ''@bool/d'' is not a literal boolean; its effective value remains indeterminate without Android resource resolution.' AS warning FROM su WHERE k % 5 = 0
+  UNION ALL SELECT file, '/manifest/application/@android:debuggable', 'treated conservatively as true in the boolean summary.' FROM su WHERE k % 5 = 0
+  UNION ALL SELECT file, '/manifest/uses-sdk[1]/@android:targetSdkVersion', 'value is not a numeric API level; exported defaults that depend on target SDK remain indeterminate.' FROM su WHERE sdk IS NULL
+  UNION ALL SELECT file, '/manifest/application/provider[1]', 'provider omits android:exported and its default cannot be inferred without a numeric effective target SDK.' FROM su WHERE sdk IS NULL
+  UNION ALL SELECT file, '/manifest/application/activity[1]', 'activity has intent filters but omits android:exported; a nonnumeric target SDK prevents determining whether legacy inference or the Android 12 explicit requirement applies.' FROM su WHERE sdk IS NULL
+  UNION ALL SELECT file, '/manifest/application/activity[1]', 'targetSdkVersion ' || sdk || ' requires activity components with intent filters to declare android:exported explicitly; this manifest is invalid as declared and the effective export state was not inferred.' FROM su WHERE sdk >= 31"""
+TWINS["manifest_surface"] = f"""WITH {SDK} SELECT file, 'p' || k || '.A' || k % 7 AS name, CASE WHEN sdk IS NULL THEN 'potential attack surface (export state is indeterminate); ' ELSE '' END || 'exported component has no permission guard' AS reason, '/manifest/application/activity[1]' AS evidence FROM su WHERE sdk IS NULL OR sdk < 31
+  UNION ALL SELECT file, 'q.P', CASE WHEN sdk IS NULL THEN 'potential attack surface (export state is indeterminate); ' ELSE '' END || 'exported provider declares read and write permission guards', '/manifest/application/provider[1],/manifest/application/provider[1]/@android:permission' FROM su WHERE sdk IS NULL OR sdk < 17"""

@@ -117,3 +117,49 @@ def test_manifest(spark, tmp_path):
         "p.q.S": (False, "inferred-no-intent-filter", "P"),
     }
     assert {r.name for r in manifest.attack_surface(state).collect()} == {"p.q.Main", "x.Y"}
+
+
+def test_whole_manifest(spark):
+    """Permissions, features, filters with their data, flags, warnings, components with places, and files that are refused."""
+    ns = 'xmlns:android="http://schemas.android.com/apk/res/android"'
+    text = f"""<?xml version="1.0"?><manifest {ns} package="p.q" android:versionName="1.0">
+      <uses-sdk android:minSdkVersion="x"/>
+      <uses-permission android:name="android.permission.CAMERA" android:maxSdkVersion="q"/><uses-permission/>
+      <uses-permission-sdk-23 android:name="b"/><uses-feature android:name="f"/><uses-feature android:name="f"/><uses-feature/>
+      <application android:debuggable="@bool/d" android:allowBackup="FALSE" android:usesCleartextTraffic="@bool/c">
+        <activity android:name="A"><intent-filter><action android:name="z"/><action android:name="a"/><category android:name="c"/>
+          <data android:scheme="s" android:host="h"/><data android:path=" "/></intent-filter><intent-filter/></activity>
+        <activity android:name="x.B" android:enabled="@bool/e" android:exported="true"/>
+        <activity-alias/><service android:name="S" android:exported="@bool/s"/>
+        <activity android:name=".C"><meta-data><intent-filter/></meta-data></activity>
+      </application></manifest>"""
+    files = spark.createDataFrame([("a", text.encode()), ("b", b"<!DOCTYPE x>"), ("c", b"\\x03"), ("d", b"<a/>"), ("e", b"<manifest"), ("f", None)], "file string, content binary")
+    e = manifests.elements(files)
+    assert {r.file: r.problem for r in e.where("problem is not null").collect()} == {"b": "document-type", "c": "binary-xml", "d": "no-manifest", "e": "malformed", "f": "binary-xml"}
+    assert {tuple(r) for r in manifests.permissions(e).collect()} == {
+        ("a", "android.permission.CAMERA", True, None, "/manifest/uses-permission[1]"),
+        ("a", "<unnamed>", False, None, "/manifest/uses-permission[2]"),
+        ("a", "b", False, None, "/manifest/uses-permission-sdk-23[1]"),
+    }
+    assert [tuple(r) for r in manifests.features(e).collect()] == [("a", "f")]
+    f = {r.locator: (r.component, r.actions, r.categories, r.data) for r in manifests.filters(e).collect()}
+    one = "/manifest/application/activity[1]"
+    assert f == {f"{one}/intent-filter[1]": (one, ["a", "z"], ["c"], [{"host": "h", "scheme": "s"}, {}]), f"{one}/intent-filter[2]": (one, [], [], [])}
+    h = manifests.heads(e).first()
+    assert (h.package, h.version_name, h.debuggable, h.allow_backup, h.uses_cleartext_traffic, h.application_enabled) == ("p.q", "1.0", True, False, None, True)
+    c = {r.locator.rsplit("/", 1)[1]: (r.kind, r.name, r.enabled, r.has_filter) for r in manifests.components(e).where("problem is null").collect()}
+    assert c == {
+        "activity[1]": ("activity", "p.q.A", True, True),
+        "activity[2]": ("activity", "x.B", None, False),
+        "activity[3]": ("activity", "p.q.C", True, False),
+        "activity-alias[1]": ("activity-alias", "p.q.<unnamed>", True, False),
+        "service[1]": ("service", "p.q.S", True, False),
+    }
+    w = [(r.locator.replace("/manifest/application", "~"), r.warning) for r in manifests.warnings(e).collect()]
+    literal = "value '@bool/{}' is not a literal boolean; its effective value remains indeterminate without Android resource resolution."
+    assert sorted(w) == sorted([
+        ("~/@android:debuggable", literal.format("d")), ("~/@android:debuggable", manifests.TREATED), ("~/@android:usesCleartextTraffic", literal.format("c")),
+        ("~/activity[2]/@android:enabled", literal.format("e")), ("~/service[1]/@android:exported", literal.format("s")),
+        ("/manifest/uses-sdk[1]/@android:minSdkVersion", manifests.LEAST_SDK),
+    ])
+    assert not manifests.components(manifests.elements(files.limit(0))).collect()
