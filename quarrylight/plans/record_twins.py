@@ -99,3 +99,24 @@ RECORD_TWINS = {
     "slugs_and_paths": f"""WITH p AS (SELECT *, {PATH} AS path FROM part) SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE p_partkey % 4 WHEN 0 THEN replace(path, '\\', '/') WHEN 3 THEN path END AS path, CASE p_partkey % 4 WHEN 0 THEN '' ELSE regexp_replace(path, '/[^/]*$', '') END AS parent,
       CASE p_partkey % 4 WHEN 0 THEN 'kotlin' WHEN 2 THEN 'smali' ELSE 'java' END AS language, CASE WHEN p_partkey % 4 = 3 THEN path END AS inside FROM p""",
 }
+
+RECORD_TWINS["report_source_references"] = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS place FROM lineitem)
+  SELECT l_orderkey AS run_id, place, 'src/' || l_partkey AS path, l_linenumber::BIGINT AS start_line, (l_linenumber + 9)::BIGINT AS end_line, CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END AS symbol, 'c' || l_suppkey AS chunk_id,
+    'Retrieved for ' || CASE WHEN l_orderkey % 7 = 2 THEN 'context query' ELSE 'q' || l_orderkey END || '; hybrid score 0' AS summary
+  FROM l WHERE l_orderkey % 7 > 1 AND l_linenumber NOT IN (5, 6) AND l_linenumber % 3 <> 0"""
+RECORD_TWINS["report_index_inputs"] = """SELECT s_suppkey AS run_id, 'i' || s_suppkey AS index_id, NULL::BIGINT AS source_file_count, s_suppkey::BIGINT AS chunk_count, s_suppkey::BIGINT AS vector_document_count, 0::BIGINT AS summary_count, 'p (r' || s_suppkey || '): d' AS warning
+  FROM supplier WHERE s_suppkey % 5 <> 0"""
+SECTION = """SELECT {key} AS project_id, {place} AS place, '## {head}' || chr(10) || chr(10) || '| {columns} |' || chr(10) || '|{rule}|' || chr(10) || string_agg(line, chr(10) ORDER BY k) FILTER (nth <= {most}) || chr(10) || chr(10) || CASE WHEN count(*) > {most} THEN (count(*) - {most}) || ' more rows are not shown.' || chr(10) || chr(10) ELSE '' END AS text
+  FROM (SELECT *, {id} AS k, '| ' || {line} || ' |' AS line, row_number() OVER (PARTITION BY {key} ORDER BY {id}) AS nth FROM {rows}) GROUP BY 1"""
+PARTS = " UNION ALL ".join(
+    SECTION.format(key=key, place=place, head=head, columns=columns.replace(",", " | "), rule="|".join(["---"] * len(columns.split(","))), most=most, id=columns.split(",")[0], line=" || ' | ' || ".join(columns.split(",")), rows=rows)
+    for place, (head, key, columns, most, rows) in enumerate([
+        ("Package", "s_nationkey", "s_suppkey,s_name", 3, "supplier"),
+        ("Manifest", "c_nationkey", "c_custkey,c_mktsegment", 2, "customer WHERE c_custkey % 20 = 0"),
+        ("Obfuscation", "c_nationkey", "c_custkey", 2, "customer WHERE c_custkey % 90 = 1"),
+        ("Provenance", "s_nationkey", "s_suppkey", 5, "supplier WHERE s_suppkey % 4 <> 0"),
+    ])
+)
+RECORD_TWINS["static_reports"] = f"""WITH p AS ({PARTS}), w AS (SELECT n_nationkey AS project_id, n_name, [x FOR x IN ['Package', 'Manifest', 'Obfuscation'] IF NOT list_contains(h, x)] AS missing, h, body FROM nation LEFT JOIN (SELECT project_id AS k, string_agg(text, '' ORDER BY place) AS body, list(['Package', 'Manifest', 'Obfuscation', 'Provenance'][place + 1]) AS h FROM p GROUP BY 1) ON k = n_nationkey),
+  t AS (SELECT *, '# ' || n_name || chr(10) || chr(10) || '> **Scope notice:** for study' || chr(10) || chr(10) || coalesce(body, '') || CASE WHEN list_contains(h, 'Provenance') THEN '' ELSE '## Provenance' || chr(10) || chr(10) || 'No runs are recorded.' || chr(10) || chr(10) END || '## Limitations' || chr(10) || chr(10) || array_to_string(list_concat(['- Not included: ' || x FOR x IN missing], ['- no device']), chr(10)) || chr(10) AS text FROM w)
+  SELECT project_id, text, sha256(text) AS sha256, array_to_string(missing, ',') AS missing FROM t"""

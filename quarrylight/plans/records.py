@@ -430,6 +430,64 @@ def report_sections(spark, sf_dir):
     return report.section_states(parts)
 
 
+def _query_runs(spark, sf_dir):
+    """Orders as runs of a query: their lines are its matches, some of them broken."""
+    line = table(spark, sf_dir, "lineitem")
+    whole = F.to_json(
+        F.struct(
+            F.concat(F.lit("src/"), F.col("l_partkey").cast("string")).alias("path"),
+            F.col("l_linenumber").cast("int").alias("start_line"),
+            F.when(F.col("l_linenumber") % 3 != 0, (F.col("l_linenumber") + 9).cast("int")).alias("end_line"),
+            F.when(F.col("l_partkey") % 2 == 0, F.col("l_returnflag")).alias("symbol"),
+            F.concat(F.lit("c"), F.col("l_suppkey").cast("string")).alias("chunk_id"),
+        )
+    )
+    broken = F.when(F.col("l_linenumber") == 5, F.lit('{"path":1,"start_line":1,"end_line":2}')).when(F.col("l_linenumber") == 6, F.lit('"text"')).otherwise(whole)
+    matches = line.groupBy("l_orderkey").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", broken.alias("j")))), lambda x: x.j), ",").alias("m")
+    )
+    k = F.col("l_orderkey")
+    output = F.when(k % 7 == 0, F.lit("{broken")).when(k % 7 == 1, F.lit('{"matches":{}}')).otherwise(
+        F.concat(F.when(k % 7 == 2, F.lit("{")).otherwise(F.concat(F.lit('{"query":"q'), k.cast("string"), F.lit('",'))), F.lit('"matches":['), "m", F.lit("]}"))
+    )
+    return matches.select(k.alias("run_id"), output.alias("output"))
+
+
+@query
+def report_source_references(spark, sf_dir):
+    """References into the sources from the outputs of query runs; broken outputs and matches are left out."""
+    return report.source_references(_query_runs(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
+
+
+@query
+def report_index_inputs(spark, sf_dir):
+    """Index metrics and warnings from the outputs of index runs."""
+    n = F.col("s_suppkey")
+    warning = F.concat(F.lit('[{"path":"p","reason":"r'), n.cast("string"), F.lit('","detail":"d"},{"path":"p","reason":1,"detail":"d"},7]'))
+    output = F.when(n % 5 == 0, F.lit('{"index":[]}')).otherwise(
+        F.concat(F.lit('{"index":{"id":"i'), n.cast("string"), F.lit('"},"chunk_count":'), n.cast("string"), F.lit(',"source_index_warnings":'), warning, F.lit("}"))
+    )
+    runs = table(spark, sf_dir, "supplier").select(n.alias("run_id"), output.alias("output"))
+    told = report.index_metrics(runs).join(report.index_warnings(runs).select("run_id", "warning"), "run_id", "left")
+    return told.select("run_id", "index_id", "source_file_count", "chunk_count", "vector_document_count", "summary_count", "warning")
+
+
+@query
+def static_reports(spark, sf_dir):
+    """A report for each nation: suppliers as packages, large orders' customers as findings, parts of its runs as provenance."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("title"))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("project_id"), "s_suppkey", "s_name")
+    customer = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("project_id"), "c_custkey", "c_mktsegment")
+    sections = {
+        "package": report.section_tables(supplier, "project_id", ["s_suppkey", "s_name"], ["s_suppkey"], most=3),
+        "manifest": report.section_tables(customer.where("c_custkey % 20 = 0"), "project_id", ["c_custkey", "c_mktsegment"], ["c_custkey"], most=2),
+        "obfuscation": report.section_tables(customer.where("c_custkey % 90 = 1"), "project_id", ["c_custkey"], ["c_custkey"], most=2),
+    }
+    runs = report.section_tables(supplier.where("s_suppkey % 4 <> 0"), "project_id", ["s_suppkey"], ["s_suppkey"], most=5)
+    told = report.project_reports(nation, "for study", sections, runs, ["no device"])
+    return told.select("project_id", "text", "sha256", F.array_join("missing", ",").alias("missing"))
+
+
 @query
 def retrieval_benchmark_json(spark, sf_dir):
     from quarrylight.plans.catalogue import retrieval_metrics
