@@ -42,7 +42,7 @@ def pack_budget(ranked: DataFrame, budget: int, key: str = "query_id", overhead:
     for_workers(ranked.sparkSession)
     rows = ranked.select(
         key,
-        F.col("rank").cast("int").alias("rank"),
+        F.col("rank").cast("long").alias("rank"),
         F.col("id").cast("string").alias("id"),
         F.col("source_bytes").cast("long").alias("s"),
         F.col("summary_bytes").cast("long").alias("m"),
@@ -68,9 +68,9 @@ def pack_budget(ranked: DataFrame, budget: int, key: str = "query_id", overhead:
                         size, used, n = whole, cost, n + 1
                         break
             names = (key, "rank", "id", "representation", "estimated_tokens")
-            kinds = (batch.column(0).type, pa.int32(), pa.string(), pa.string(), pa.int64())
+            kinds = (batch.column(0).type, pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*out) if out else ([],) * 5, kinds)], names=list(names)
             )
 
-    return dealt.mapInArrow(fold, f"`{key}` {kind}, rank int, id string, representation string, estimated_tokens long")
+    return dealt.mapInArrow(fold, f"`{key}` {kind}, rank long, id string, representation string, estimated_tokens long")

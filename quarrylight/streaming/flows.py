@@ -7,6 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarrylight.functions.text import url_host, url_pattern
 
+#: Lists of an upserted table that stay readable.
+KEPT = 2
 FLOW = "id string, url string, method string, status int, ts timestamp"
 
 
@@ -47,8 +49,9 @@ def upsert_latest(
 ) -> None:
     """Keeps the latest row of each key below path, by buckets of the keys' hash: a micro-batch writes the buckets that it touches.
 
-    A batch writes new files for its buckets under its own number and then the list of each bucket's number; a repeated batch does the
-    same again. Read the table with upserted().
+    A batch writes new files for its buckets under its own number and then the list of each bucket's number, beginning from the latest
+    list of a batch before it; a repeated batch does the same again. What only lists older than the last `KEPT` name is removed. Read the
+    table with upserted().
     """
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -56,7 +59,7 @@ def upsert_latest(
 
         spark = rows.sparkSession
         placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        places = _places(spark, path, number - 1)
+        places = _places(spark, path, max([n for n in _numbers(spark, path) if n < number], default=-1))
         touched = [r["_bucket"] for r in placed.select("_bucket").distinct().collect()]  # at most `buckets`
         old = [f"{path}/table/{places[b]}/_bucket={b}" for b in touched if b in places]
         current = spark.read.schema(rows.schema).parquet(*old) if old else rows.limit(0)
@@ -70,6 +73,7 @@ def upsert_latest(
         spark.createDataFrame(
             sorted(now.items()) or [(-1, -1)], "bucket int, number long"
         ).coalesce(1).write.mode("overwrite").parquet(f"{path}/places/{number}")
+        _sweep(spark, path, number)
 
     stream.writeStream.foreachBatch(batch).option(
         "checkpointLocation", checkpoint
@@ -83,6 +87,39 @@ def index_flows(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64
     upsert_latest(flow_documents(stream, keep=("ts",)), path, checkpoint, ["doc_id"], "ts", buckets)
 
 
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The batches whose lists are there and whole."""
+    from quarrylight.operators.snapshots import _fs
+
+    fs, to = _fs(spark, path)
+    if not fs.exists(to(f"{path}/places")):
+        return []
+    found = [s.getPath() for s in fs.listStatus(to(f"{path}/places"))]
+    return sorted(int(p.getName()) for p in found if p.getName().isdigit() and fs.exists(to(f"{p}/_SUCCESS")))
+
+
+def _sweep(spark: SparkSession, path: str, number: int) -> None:
+    """Removes the lists before the last KEPT up to this batch, and the buckets that no list left names."""
+    from quarrylight.operators.snapshots import _fs
+
+    fs, to = _fs(spark, path)
+    before = [n for n in _numbers(spark, path) if n <= number]
+    kept = {(n, b) for at in before[-KEPT:] for b, n in _places(spark, path, at).items()}
+    for n in before[:-KEPT]:
+        fs.delete(to(f"{path}/places/{n}"), True)
+    for folder in fs.listStatus(to(f"{path}/table")):
+        n = folder.getPath().getName()
+        if not n.isdigit() or int(n) > number:
+            continue
+        buckets = [b.getPath() for b in fs.listStatus(folder.getPath()) if b.getPath().getName().startswith("_bucket=")]
+        left = [b for b in buckets if (int(n), int(b.getName().partition("=")[2])) in kept]
+        for b in buckets if left else ():
+            if b not in left:
+                fs.delete(b, True)
+        if not left:
+            fs.delete(folder.getPath(), True)
+
+
 def _places(spark: SparkSession, path: str, number: int) -> dict[int, int]:
     """Which batch wrote each bucket last, as batch `number` left it."""
     if number < 0:

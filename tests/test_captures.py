@@ -95,3 +95,26 @@ def test_sessions_end_by_duration_and_silence(spark, tmp_path):
         assert b - a <= 100 and reason == ("duration" if b - a == 100 else "silence")
     assert got == {k: [(s[0], s[2], s[3], s[4]) for s in v] for k, v in want.items()}
     assert {r[6] for r in closed} == {"duration", "silence"}
+
+
+def test_upserts_sweep_and_skip(spark, tmp_path):
+    """A table of upserts keeps what its last two lists name; a batch number that is not there does no harm."""
+    import os
+    import shutil
+
+    from quarrylight.streaming import flows
+
+    folder, up, schema = tmp_path / "in", str(tmp_path / "up"), "id string, v long, ts timestamp"
+    for n in range(5):
+        put(folder, n, [{"id": f"k{i}", "v": n, "ts": (T0 + dt.timedelta(seconds=n)).isoformat()} for i in range(n, n + 3)])
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+        flows.upsert_latest(stream, up, str(tmp_path / "cp"), ["id"], "ts", buckets=4)
+        if n == 2:  # as if the batch had never been
+            shutil.rmtree(f"{up}/places/1")
+    last = max(flows._numbers(spark, up))
+    got = {r.id: r.v for r in flows.upserted(spark, up, last, spark.createDataFrame([], schema).schema).collect()}
+    assert got == {"k0": 0, "k1": 1, "k2": 2, "k3": 3, "k4": 4, "k5": 4, "k6": 4} and flows._numbers(spark, up) == [last - 1, last]
+    flows.upserted(spark, up, last - 1, spark.createDataFrame([], schema).schema).count()
+    named = {f"{n}/_bucket={b}" for at in (last - 1, last) for b, n in flows._places(spark, up, at).items()}
+    there = {f"{n}/{b}" for n in os.listdir(f"{up}/table") for b in os.listdir(f"{up}/table/{n}") if b.startswith("_bucket")}
+    assert there == named
