@@ -117,6 +117,6 @@ PARTS = " UNION ALL ".join(
         ("Provenance", "s_nationkey", "s_suppkey", 5, "supplier WHERE s_suppkey % 4 <> 0"),
     ])
 )
-RECORD_TWINS["static_reports"] = f"""WITH p AS ({PARTS}), w AS (SELECT n_nationkey AS project_id, n_name, [x FOR x IN ['Package', 'Manifest', 'Obfuscation'] IF NOT list_contains(h, x)] AS missing, h, body FROM nation LEFT JOIN (SELECT project_id AS k, string_agg(text, '' ORDER BY place) AS body, list(['Package', 'Manifest', 'Obfuscation', 'Provenance'][place + 1]) AS h FROM p GROUP BY 1) ON k = n_nationkey),
+RECORD_TWINS["static_reports"] = f"""WITH p AS ({PARTS}), w AS (SELECT n_nationkey AS project_id, n_name, [x FOR x IN ['Package', 'Manifest', 'Obfuscation'] IF NOT list_contains(coalesce(h, []), x)] AS missing, coalesce(h, []) AS h, body FROM nation LEFT JOIN (SELECT project_id AS k, string_agg(text, '' ORDER BY place) AS body, list(['Package', 'Manifest', 'Obfuscation', 'Provenance'][place + 1]) AS h FROM p GROUP BY 1) ON k = n_nationkey),
   t AS (SELECT *, '# ' || n_name || chr(10) || chr(10) || '> **Scope notice:** for study' || chr(10) || chr(10) || coalesce(body, '') || CASE WHEN list_contains(h, 'Provenance') THEN '' ELSE '## Provenance' || chr(10) || chr(10) || 'No runs are recorded.' || chr(10) || chr(10) END || '## Limitations' || chr(10) || chr(10) || array_to_string(list_concat(['- Not included: ' || x FOR x IN missing], ['- no device']), chr(10)) || chr(10) AS text FROM w)
   SELECT project_id, text, sha256(text) AS sha256, array_to_string(missing, ',') AS missing FROM t"""
