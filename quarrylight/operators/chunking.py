@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quarrylight.functions.text import identity_sha, lines
+from quarrylight.session import for_workers
 
 
 def line_windows(files: DataFrame, size: int = 200, overlap: int = 20) -> DataFrame:
@@ -127,18 +131,53 @@ def ordinal_ranges(instructions: DataFrame, ranges: DataFrame, key: str = "path"
 
 
 def enclosing(points: DataFrame, spans: DataFrame, key: str = "path") -> DataFrame:
-    """names of the spans (open, close, name) around each point (offset), outermost first: a range join within a key."""
-    joined = points.join(
-        spans.select(F.col(key).alias("_k"), "open", "close", "name"),
-        (F.col(key) == F.col("_k")) & (F.col("open") < F.col("offset")) & (F.col("offset") < F.col("close")),
-        "left",
+    """Adds nesting: names of the spans (open, close, name) strictly around each point (offset), outermost first.
+
+    A sweep: points and openings of a key in order, spans still open in memory, so a key costs a sort (that spills) and not a
+    product. Spans may overlap. A point with a null key or offset, or without spans, has an empty nesting; spans with a null
+    bound or key surround nothing; null names are left out. Columns of points may have any other names.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    at = points.select(
+        F.col(key).alias("_key"),
+        F.col("offset").cast("long").alias("_at"),
+        none("long").alias("_close"),
+        none("string").alias("_name"),
+        F.struct("*").alias("_point"),
     )
-    named = F.array_sort(F.collect_list(F.struct("open", "name")))
-    return joined.groupBy(*points.columns).agg(
-        F.array_join(
-            F.transform(F.filter(named, lambda x: x.open.isNotNull()), lambda x: x.getField("name")), "."
-        ).alias("nesting")
+    opened = spans.where(F.col(key).isNotNull() & F.col("open").isNotNull() & F.col("close").isNotNull()).select(
+        F.col(key).alias("_key"),
+        F.col("open").cast("long").alias("_at"),
+        F.col("close").cast("long").alias("_close"),
+        F.col("name").cast("string").alias("_name"),
+        none(at.schema["_point"].dataType).alias("_point"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, around = None, []
+        for batch in batches:
+            kept, nesting = [], []
+            for i, (k, x, close, name) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                if k != now:
+                    now, around = k, []
+                if close is not None:
+                    around.append((x, name, close))
+                    continue
+                if x is not None:
+                    around = [y for y in around if y[2] > x]
+                kept.append(i)
+                names = [y[1] for y in sorted(around, key=lambda y: (y[0], y[1] or ""))] if x is not None else ()
+                nesting.append(".".join(y for y in names if y is not None))
+            point = batch.column(4).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([point, pa.array(nesting, pa.string())], names=["_point", "nesting"])
+
+    out = T.StructType([at.schema["_point"], T.StructField("nesting", T.StringType())])
+    # a point comes before what opens at its own place
+    for_workers(points.sparkSession)
+    rows = at.unionByName(opened).repartition("_key").sortWithinPartitions(
+        "_key", "_at", F.col("_close").isNotNull()
     )
+    return rows.mapInArrow(run, out).select("_point.*", "nesting")
 
 
 def fingerprint(chunks: DataFrame, key: str, version: str) -> DataFrame:

@@ -68,6 +68,119 @@ def test_kotlin():
     ]
 
 
+def found(text, kotlin):
+    return [(k, s, a, b) for k, s, a, b in declarations.constructs(text, kotlin)]
+
+
+def test_java_heads():
+    """Annotations belong to methods, not to types; heads over several lines; what is no method; arguments that nest."""
+    text = """@Entity
+public
+  final class A<T extends B> {
+    @Deprecated
+    @Named("a(b)") // note
+    public static <T> a.b.List<T> [ ]
+      make(@X(1) int a,
+           int b) throws java.io.IOException,
+      Other {
+    }
+    Map<String, List<T>> nested(int x) {
+    }
+    A(int x)
+    {
+        if (x) {
+        }
+        else if (x) {
+        }
+        for (int i = 0; i < 1; i++) {
+        }
+        synchronized (this) {
+        }
+        new Thread(this) {
+            public void run() {
+            }
+        };
+        call(x, new Runnable() {
+            void go() {}
+        });
+    }
+    B(int y) {
+    }
+    abstract int none(int x);
+    int x() { return 1; }  int hidden() { return 2; }
+    enum E implements F { P, Q }
+    enum record { R }
+    record Point(int x) {
+    }
+    @interface Mark {
+    }
+}
+class Open {
+"""
+    assert found(text, False) == [
+        ("type", "A", 2, 41),
+        ("method", "A.make", 4, 10),
+        ("method", "A.A", 13, 30),
+        ("method", "A.Thread", 23, 26),
+        ("method", "A.run", 24, 25),
+        ("method", "A.go", 28, 28),
+        ("method", "A.x", 34, 34),
+        ("type", "A.E", 35, 35),
+        ("type", "A.record", 36, 36),
+        ("type", "A.Point", 37, 38),
+        ("method", "A.Point", 37, 38),
+    ]
+
+
+def test_kotlin_heads():
+    """Files without semicolons: heads begin on their own lines; receivers, delegation, values, heads without a body."""
+    text = """package a
+
+import b.C
+val x = 1
+@JvmStatic
+private suspend inline fun <T> List<T>.second(
+    f: (T) -> Int,
+): Int? {
+}
+fun interface F {
+    fun call(x: Int): String
+}
+enum class E(val v: Int) {
+    A(1) {
+    };
+    internal constructor(x: String) : this(x.length) {
+    }
+    fun a() = g(1)
+    fun b(): Int =
+        2
+    fun `with space`() {
+    }
+}
+sealed class S
+data class D(val a: Int)
+object O : P {
+    init
+    {
+    }
+    companion object {
+    }
+    companion object Named { }
+}
+fun Map<A, B>.no() { }
+"""
+    assert found(text, True) == [
+        ("method", "second", 5, 9),
+        ("type", "F", 10, 12),
+        ("method", "call", 11, 23),
+        ("type", "E", 13, 23),
+        ("method", "E.constructor", 16, 17),
+        ("method", "E.a", 18, 18),
+        ("method", "E.a", 18, 22),
+        ("type", "S", 24, 33),
+    ]
+
+
 def test_mask_keeps_offsets():
     masked = declarations.mask(JAVA)
     assert len(masked) == len(JAVA) and masked.count("\n") == JAVA.count("\n") and "no()" not in masked
