@@ -52,7 +52,7 @@ def mask(text: str) -> str:
 
 
 class _Source:
-    """Masked code with the places that end a search. A run of lines of nothing but modifiers is still read anew from each line (quadratic)."""
+    """Masked code with the places that end a search. Runs of annotations and modifiers are read once for all lines they reach over."""
 
     def __init__(self, code: str):
         self.code = code
@@ -62,6 +62,8 @@ class _Source:
         self.places["body_close"] = [p for p in closes if self.char(self.space(p + 1)) == "{"]
         self.places["throws"] = [p for p in closes if self._throws(self.space(p + 1))]
         self.marked: dict[int, int] = {}
+        self.skipped: dict[frozenset, dict[int, int]] = {}
+        self.named: dict[int, tuple[str, int] | None] = {}
 
     def char(self, at: int) -> str:
         return self.code[at : at + 1]
@@ -98,10 +100,32 @@ class _Source:
         return at
 
     def skip(self, at: int, words: frozenset) -> int:
-        while (w := self.word(at)) in words and (behind := self.space(at + len(w))) > at + len(w):
+        known, seen = self.skipped.setdefault(words, {}), []
+        while at not in known and (w := self.word(at)) in words and (behind := self.space(at + len(w))) > at + len(w):
+            seen.append(at)
             at = behind
+        at = known.get(at, at)
+        known |= dict.fromkeys(seen, at)
         return at
 
+    def type_name(self, at: int) -> tuple[str, int] | None:
+        """The last word behind a kind, and its end, in the run of modifiers from here and the words that end it."""
+        seen, before, found = [], None, None
+        while w := self.word(at):
+            end = at + len(w)
+            if before is not None:
+                if at in self.named:
+                    found = self.named[at]
+                    break
+                seen.append((at, (w, end) if before in TYPE_KINDS and w[0] in _LETTER else None))
+            behind = self.space(end)
+            if (before is not None and before not in TYPE_MODIFIERS) or behind == end:
+                break
+            before, at = w, behind
+        for place, here in reversed(seen):
+            found = self.named[place] = found or here
+        return found
+
     def generic(self, at: int) -> int:
         """Behind the type arguments that begin here, up to the first closing bracket, or here."""
         end = self.after("angle", at + 1) if self.char(at) == "<" else 0
@@ -114,15 +138,7 @@ Head = tuple[str, int | None, int, bool]
 
 def _type(s: _Source, at: int) -> Head | None:
     """Modifiers, the kind, a name; then whatever is no semicolon up to the brace."""
-    found, before = None, None
-    while w := s.word(at):
-        end = at + len(w)
-        if before in TYPE_KINDS and w[0] in _LETTER:
-            found = w, end
-        behind = s.space(end)
-        if (before is not None and before not in TYPE_MODIFIERS) or behind == end:
-            break
-        before, at = w, behind
+    found = s.type_name(at)
     if not found:
         return None
     brace = s.after("body", found[1])
@@ -172,7 +188,7 @@ def _fun(s: _Source, at: int) -> tuple[str, int] | None:
     run = m[0] if (m := _RECEIVER.match(s.code, start)) else ""
     at = start + len(run)
     name = run.rpartition(".")[2]
-    if not name and (end := s.code.find("`", at + 1)) > at + 1 and s.char(at) == "`":
+    if not name and s.char(at) == "`" and (end := s.code.find("`", at + 1)) > at + 1:
         name, at = s.code[at + 1 : end], end + 1
     elif not name or name[0] not in _LETTER or not _WORD.fullmatch(name):
         return None

@@ -1,5 +1,7 @@
 """Chunks of Java, Kotlin and Smali sources, and components of manifests."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from quarrylight.operators import declarations, manifest
@@ -276,3 +278,16 @@ def test_whole_manifest(spark):
         ("/manifest/uses-sdk[1]/@android:minSdkVersion", manifests.LEAST_SDK),
     ])
     assert not manifests.components(manifests.elements(files.limit(0))).collect()
+
+
+def test_lines_of_lone_modifiers():
+    """Runs of modifiers over many lines are read once: 400,000 lines in seconds, the same types and methods as for few."""
+    for kotlin, words in ((False, ("static", "final", "public")), (True, ("open", "private", "data"))):
+        tail = "class C {\n fun f() {\n }\n}\n" if kotlin else "class C {\n void f() {\n }\n}\n"
+        few, many = ["\n".join((words * n)[:n]) + "\n" + tail for n in (5, 400_000)]
+        began = time.time()
+        got = found(many, kotlin)
+        assert time.time() - began < 30
+        assert [x[:2] for x in got] == [x[:2] for x in found(few, kotlin)] and ("type", "C") in [x[:2] for x in got]
+        assert got[0][2:] == (1, 400_004)
+    assert [x[1] for x in found("private\nenum\nclass A {\n}\nclass\nenum B {\n}\n", True)] == ["A", "enum"]
