@@ -8,7 +8,7 @@ Matches of one item at successive positions join into its longest verbatim match
 document and in the item, also where items share windows.
 
 The benchmark travels to the executors in blocks of bounded size; documents pass all blocks, one after
-the other, in one scan without a shuffle. A worker builds a block's sorted windows once.
+the other, in one scan without a shuffle. A block's sorted windows are built once, on the driver, and broadcast.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarrylight.llm.common import fresh, held, map_in_arrow, prepare
+from quarrylight.llm.common import alone, fresh, map_in_arrow, prepare
 
 #: Upper to lower case; whatever is no part of a word to a space.
 TABLE = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
@@ -36,27 +36,54 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The benchmark's suffixes: each distinct window with all its places in items (number of the item, first word)."""
+    """The benchmark's suffixes: each distinct window with all its places in items (number of the item, first word).
+
+    Built once, on the driver: what travels is the items' words as ranks, the sorted vocabulary, and for each window
+    length the sorted places (a suffix array of the benchmark). A worker only looks up, it sorts nothing.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], size: int):
         cut = [(name, w) for name, text in items if (w := words(text))]
-        self.names = [name for name, _ in cut]
+        self.names, self.size = [name for name, _ in cut], size
+        self.vocabulary = sorted({x for _, w in cut for x in w})
+        rank = {w: i + 1 for i, w in enumerate(self.vocabulary)}
+        self.base = np.cumsum([0, *(len(w) for _, w in cut)])
+        self.ids = np.fromiter((rank[x] for _, w in cut for x in w), np.uint32, self.base[-1])
+        lengths = np.diff(self.base)
+        self.sorted: dict[int, np.ndarray] = {}
+        for n in np.unique(np.minimum(lengths, size)).tolist():
+            chosen = np.flatnonzero(np.minimum(lengths, size) == n)
+            count = lengths[chosen] - n + 1
+            at = np.repeat(self.base[chosen] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            self.sorted[n] = at[np.argsort(self._keys(at, n), kind="stable")]
+        self._look_up()
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("names", "size", "vocabulary", "base", "ids", "sorted")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._look_up()
+
+    def _keys(self, at: np.ndarray, n: int) -> np.ndarray:
+        windows = np.lib.stride_tricks.sliding_window_view(self.ids, n)[at].astype(">u4")  # byte order sorts as numbers do
+        return np.ascontiguousarray(windows).view(f"S{4 * n}").reshape(-1)
+
+    def _look_up(self) -> None:
         # 0: no word of the benchmark
-        self.rank = {w: i + 1 for i, w in enumerate(sorted({x for _, w in cut for x in w}))}
-        self.size, self.by_length = size, {}
-        found: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-        for number, (_, w) in enumerate(cut):
-            ids = np.array([self.rank[x] for x in w], ">u4").tobytes()
-            n = min(size, len(w))
-            at = found.setdefault(n, {})
-            for i in range(len(w) - n + 1):
-                at.setdefault(ids[4 * i : 4 * (i + n)], []).append((number, i))
-        for n, windows in found.items():
-            keys = sorted(windows)
-            count = np.array([len(windows[k]) for k in keys])
-            places = np.array([p for k in keys for p in windows[k]], np.int64)
-            self.by_length[n] = (np.array(keys, f"V{4 * n}").view(f"S{4 * n}"), np.cumsum(count) - count, count, places)
-        self.shortest = min(found, default=0)
+        self.rank = {w: i + 1 for i, w in enumerate(self.vocabulary)}
+        self.shortest, self.by_length = min(self.sorted, default=0), {}
+        for n, at in self.sorted.items():
+            keys = self._keys(at, n)
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            count = np.diff(np.append(first, len(keys)))
+            # windows at the places before and behind each place of the same item, for the ends of a match
+            number = np.full(len(self.ids) + 2, -2)
+            number[at + 1] = np.repeat(np.arange(len(first)), count)
+            item = np.searchsorted(self.base, at, side="right") - 1
+            before = np.where(at > self.base[item], number[at], -2)
+            behind = np.where(at + n < self.base[item + 1], number[at + 2], -2)
+            self.by_length[n] = keys[first], first, count, np.stack([item, at - self.base[item], before, behind])
 
 
 def shard_matches(w: Windows, ids: np.ndarray, depth: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -76,11 +103,10 @@ def shard_matches(w: Windows, ids: np.ndarray, depth: int) -> list[tuple[int, np
     order = np.argsort(suffixes, kind="stable")
     ranked = suffixes[order]
     for n, (keys, *_) in w.by_length.items():
-        low = np.searchsorted(ranked, keys.astype(f"S{4 * depth}"), side="left")
-        top = np.frombuffer(
-            b"".join(k.tobytes().ljust(4 * n, b"\0") + b"\xff" * (4 * (depth - n)) for k in keys), f"S{4 * depth}"
-        ) if depth > n else keys
-        high = np.searchsorted(ranked, top, side="right")
+        heads = ranked  # the suffixes' first n words are in order too
+        if n < depth:
+            heads = np.ascontiguousarray(ranked.view(np.uint8).reshape(-1, 4 * depth)[:, : 4 * n]).view(f"S{4 * n}").reshape(-1)
+        low, high = (np.searchsorted(heads, keys, side=side) for side in ("left", "right"))
         hit = np.flatnonzero(high > low)
         if len(hit):
             count = (high - low)[hit]
@@ -100,31 +126,48 @@ def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _longest(
     w: Windows, n: int, at: np.ndarray, which: np.ndarray, doc: np.ndarray
 ) -> Iterator[tuple[np.ndarray, ...]]:
-    """(document, item, first position, words, first word in the item) of each longest match, some documents at a time."""
+    """(document, item, first position, words, first word in the item) of each longest match, some documents at a time.
+
+    A pair of a position and a place in an item begins a match if the windows before them differ, and ends one if those
+    behind them do. Only such pairs are kept, so words that repeat in both do not fill the memory.
+    """
     _, first, count, places = w.by_length[n]
-    many = count[which]
-    cuts, lo = [0], 0
-    total = np.cumsum(many)
-    while lo < len(at):
-        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + HELD, side="right"))
-        hi = max(hi, lo + 1)
-        if hi < len(at):  # a document's matches stay together
-            back = int(np.searchsorted(doc, doc[hi], side="left"))
-            hi = back if back > lo else int(np.searchsorted(doc, doc[hi], side="right"))
-        cuts.append(lo := hi)
-    for lo, hi in zip(cuts, cuts[1:]):
-        m = many[lo:hi]
-        flat = np.repeat(first[which[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        item, j = places[flat].T
-        p, d = np.repeat(at[lo:hi], m), np.repeat(doc[lo:hi], m)
-        order = np.lexsort((p, p - j, item, d))
-        item, j, p, d = item[order], j[order], p[order], d[order]
-        new = np.ones(len(p), bool)
-        new[1:] = (item[1:] != item[:-1]) | (d[1:] != d[:-1]) | (
-            p[1:] - j[1:] != p[:-1] - j[:-1]
-        ) | (p[1:] != p[:-1] + 1)
-        start = np.flatnonzero(new)
-        yield d[start], item[start], p[start], np.diff(np.append(start, len(p))) + n - 1, j[start]
+    joined = np.diff(at) == 1
+    before = np.append(-1, np.where(joined, which[:-1], -1))
+    behind = np.append(np.where(joined, which[1:], -1), -1)
+    edges = np.empty((4, 0), np.int64), np.empty((4, 0), np.int64)
+    for lo, hi, ahead, a, m in _shares(count[which], HELD):
+        i = np.repeat(np.arange(lo, hi), m)
+        item, j, earlier, later = places[:, np.repeat(first[which[lo:hi]] + a - np.cumsum(m) + m, m) + np.arange(m.sum())]
+        new = [np.flatnonzero(before[i] != earlier), np.flatnonzero(behind[i] != later)]
+        edges = tuple(
+            np.hstack([old, np.stack([doc[i[e]], item[e], at[i[e]] - j[e], at[i[e]]])]) for old, e in zip(edges, new)
+        )
+        if ahead < len(at) and edges[0].shape[1] < HELD:
+            continue
+        # a match never leaves its document
+        done = [x[0] < (doc[ahead] if ahead < len(at) else doc[-1] + 1) for x in edges]
+        (d, item, diagonal, p), last = (x[:, np.lexsort(x[::-1])] for x in (e[:, k] for e, k in zip(edges, done)))
+        edges = tuple(e[:, ~k] for e, k in zip(edges, done))
+        if len(d):
+            yield d, item, p, last[3] - p + n, p - diagonal
+
+
+def _shares(count: np.ndarray, most: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """(from, to, first position not done after it, first entry, entries of each), about `most` entries at a time, in order.
+
+    A position with more entries than that is divided.
+    """
+    total, lo = np.cumsum(count), 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        if count[lo] <= most:
+            yield lo, hi, hi, 0, count[lo:hi]
+        else:
+            for a in range(0, int(count[lo]), most):
+                m = min(most, int(count[lo]) - a)
+                yield lo, hi, hi if a + m == count[lo] else lo, a, np.array([m])
+        lo = hi
 
 
 def _scan(w: Windows, texts: list[bytes | None]) -> list[dict]:
@@ -137,7 +180,7 @@ def _scan(w: Windows, texts: list[bytes | None]) -> list[dict]:
     change = np.zeros(len(ids) + 1, np.int64)
     items: list[set] = [set() for _ in cut]
     best: list[dict] = [{} for _ in cut]
-    for n, at, which in shard_matches(w, ids, w.size + 3):
+    for n, at, which in shard_matches(w, ids, w.size):
         np.add.at(change, at, 1)
         np.add.at(change, at + n, -1)
         for found in _longest(w, n, at, which, np.searchsorted(first, at, side="right") - 1):
@@ -200,10 +243,10 @@ def mark(
             (r.i, bytes(r.t) if r.t is not None else None)
             for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
         ]
-        sent, last = spark.sparkContext.broadcast(some), block == blocks - 1
+        sent, last = spark.sparkContext.broadcast(Windows(some, window)), block == blocks - 1
         names = keep if last else carried
         schema = T.StructType([*(out.schema[c] for c in names), T.StructField(out_col, kind)])
-        out = map_in_arrow(out, _marker(sent, f"{run} {block}", names, text_col, out_col, window, schema), schema)
+        out = map_in_arrow(out, _marker(sent, f"{run} {block}", names, text_col, out_col, schema), schema)
     return out
 
 
@@ -225,13 +268,14 @@ def _merge(a: dict, b: dict) -> dict:
     }
 
 
-def _marker(sent, key: str, names: list[str], text_col: str, out_col: str, window: int, schema: T.StructType):
+def _marker(sent, key: str, names: list[str], text_col: str, out_col: str, schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(schema[out_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = held(key, lambda: Windows(sent.value, window))
+        alone()
+        w = sent.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)

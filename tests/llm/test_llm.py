@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import math
+import pickle
+import random
 import re
 import unicodedata
 import zlib
@@ -317,6 +319,46 @@ def test_longest_match(spark):
     assert [(x.doc_start, x.words, x.item_id, x.item_start) for x in s] == [(1, 5, "7", 1)]
 
 
+def longest(text, items, least):
+    """item -> (first word, words) of the longest match; of equal ones the one on the smallest diagonal."""
+    w, want = text.split(), {}
+    for name, t in items.items():
+        u = t.split()
+        found = []
+        for p, j in itertools.product(range(len(w)), range(len(u))):
+            k = 0
+            while p + k < len(w) and j + k < len(u) and w[p + k] == u[j + k]:
+                k += 1
+            if k >= least:
+                found.append((-k, p - j, p))
+        if found:
+            k, _, p = min(found)
+            want[name] = p, -k
+    return want
+
+
+@pytest.mark.parametrize("held", [1, 7, 10**6])
+def test_longest_matches_of_random_words(monkeypatch, held):
+    """Repeated words, several documents in a shard, shares that divide a position's places; a worker's copy of the arrays."""
+    monkeypatch.setattr(decontaminate, "HELD", held)
+    rng = random.Random(held)
+    for _ in range(40):
+        letters = "ab" if rng.random() < 0.5 else "abcde"
+        items = {f"i{k}": " ".join(rng.choices(letters, k=rng.randint(3, 14))) for k in range(4)}
+        texts = [" ".join(rng.choices(letters + "z", k=rng.randint(0, 30))) for _ in range(5)] + ["a " * 12]
+        w = pickle.loads(pickle.dumps(decontaminate.Windows([(k, v.encode()) for k, v in items.items()], 3)))
+        for text, got in zip(texts, decontaminate._scan(w, [t.encode() for t in texts])):
+            assert {s["item_id"]: (s["doc_start"], s["words"]) for s in got["spans"]} == longest(text, items, 3)
+
+
+def test_long_texts_of_one_repeated_word():
+    """4e8 pairs of places, of which only the ends of matches are held."""
+    many = 20_000
+    w = decontaminate.Windows([("i", b"the " * many)], 13)
+    (got,) = decontaminate._scan(w, [b"x " + b"the " * many])
+    assert got["n_hit"] == many and got["spans"] == [{"doc_start": 1, "words": many, "item_id": "i", "item_start": 0}]
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 30])
 def test_longest_match_of_each_item(spark, monkeypatch, block_bytes):
     """Also where items share windows: every item's longest match, its first place, by brute force."""
