@@ -24,9 +24,10 @@ import numpy as np
 from quarrylight.llm.common import held
 
 _CUT, _ODD, _TAIL = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"[\s\x01]"), ",.!?;:#*$%&|"
-_LETTERS = frozenset(string.ascii_letters)
+_LETTERS, _TAILS = frozenset(string.ascii_letters), frozenset(_TAIL)
 #: Before a piece that has no space in front of it.
 _BARE = "\x02"
+_LED = frozenset(("\n", _BARE))
 
 
 class Encoder:
@@ -61,8 +62,8 @@ class Encoder:
     def _library(self, units: list[str], lead: str) -> dict[str, bytes]:
         """The ids of each unit. Units without white space go many to a text, a mark of one id between them."""
         out: dict[str, bytes] = {}
-        simple = [u for u in units if _ODD.search(u) is None] if len(self.mark_ids) == 1 else []
-        texts = [simple[i : i + 500] for i in range(0, len(simple), 500)]
+        texts = [units[i : i + 500] for i in range(0, len(units), 500)] if len(self.mark_ids) == 1 else []
+        texts = [x if _ODD.search("".join(x)) is None else [u for u in x if _ODD.search(u) is None] for x in texts]
         for some, e in zip(
             texts,
             self.tokenizer.encode_batch_fast(
@@ -74,7 +75,7 @@ class Encoder:
             if len(cuts) == len(some) - 1:
                 raw, ends = ids.tobytes(), (cuts * 4).tolist()
                 out.update(zip(some, map(raw.__getitem__, map(slice, [0, *(x + 4 for x in ends)], [*ends, len(raw)]))))
-        rest = [u for u in units if u not in out]
+        rest = [u for u in units if u not in out] if len(out) < len(units) else []
         out.update(zip(rest, self._each([lead + u for u in rest])))
         return out
 
@@ -87,13 +88,18 @@ class Encoder:
         known, elder, spaced = self.known, self.elder, self.spaced
         old = pieces & elder.keys()
         known.update(zip(old, map(elder.__getitem__, old)))
-        plain: set[str] = set()  # units behind a space (or on their own, where white space is dropped)
+        # units behind a space (or on their own, where white space is dropped); most pieces are such as they are
+        fresh = pieces - old
+        if spaced:
+            plain = {p for p in fresh if p[-1:] not in _TAILS and p[:1] not in _LED and p == p.strip() and p}
+        else:
+            plain = {p for p in fresh if p[-1:] not in _TAILS}
         bare: set[str] = set()  # units with nothing before them; they are known by a mark and themselves
         joined: list[tuple[str, str, str, bytes]] = []  # piece, what its head and its tail are known by, what comes first
-        for p in pieces - old:
+        for p in fresh - plain:
             core, mark, units, first = p, "", plain, b""
             if spaced:
-                if p[:1] in ("\n", _BARE):
+                if p[:1] in _LED:
                     core, mark, units, first = p[1:], _BARE, bare, self.feed if p[0] == "\n" else b""
                 if not core or core != core.strip():
                     known[p] = b"" if p == _BARE else None
@@ -113,8 +119,8 @@ class Encoder:
             wanted = named.keys() - known.keys()
             old = wanted & elder.keys()
             known.update(zip(old, map(elder.__getitem__, old)))
-            fresh = self._library([named[k] for k in wanted - old], lead)
-            known.update((mark + u, ids) for u, ids in fresh.items()) if mark else known.update(fresh)
+            learnt = self._library([named[k] for k in wanted - old], lead)
+            known.update((mark + u, ids) for u, ids in learnt.items()) if mark else known.update(learnt)
         for p, head, tail, first in joined:
             known[p] = first + known[head] + (known[tail] if tail else b"")
 
