@@ -156,6 +156,6 @@ class Encoder:
         return b"".join(self._each(_CUT.split(text))) if text else b""
 
 
-def encoder(path: str, end_id: int, spaced: bool) -> Encoder:
+def encoder(path: str, end_id: int, spaced: bool, remember: int = 300_000) -> Encoder:
     """One encoder for each Python worker, kept between its tasks."""
-    return held(f"{path} {end_id} {spaced}", lambda: Encoder(path, end_id, spaced))
+    return held(f"{path} {end_id} {spaced} {remember}", lambda: Encoder(path, end_id, spaced, remember))

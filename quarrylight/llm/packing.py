@@ -26,6 +26,8 @@ from quarrylight.llm.encoding import encoder
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 #: Bits of sequence_id that count sequences in a partition.
 COUNTER_BITS = 33
+#: Pieces of text that each Python worker remembers the ids of: nothing is shuffled, so there is memory for many.
+REMEMBER = 1_200_000
 
 
 @dataclass(frozen=True)
@@ -162,7 +164,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer, end_id, spaced=True).encode
+        encode = encoder(tokenizer, end_id, spaced=True, remember=REMEMBER).encode
         first = TaskContext.get().partitionId() << COUNTER_BITS
 
         def rows() -> Iterator[tuple[list[tuple], list[int]]]:

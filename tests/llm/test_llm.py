@@ -64,6 +64,17 @@ def test_encoder_gives_the_library_ids(path, spaced):
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [ids(path, t, 1) for t in texts]
 
 
+def test_packing_remembers_many_pieces(monkeypatch):
+    """Half a million distinct pieces, met again, are not encoded again."""
+    e, seen = encoding.Encoder(BYTE, 1, True, packing.REMEMBER), []
+    texts = [" ".join(f"w{i:x}" for i in range(lo, lo + 1000)) for lo in range(0, 500_000, 1000)]
+    first = [e.encode(texts[lo : lo + 50]) for lo in range(0, 500, 50)]
+    real = e._library
+    monkeypatch.setattr(e, "_library", lambda units, lead: seen.extend(units) or real(units, lead))
+    assert [e.encode(texts[lo : lo + 50]) for lo in range(0, 500, 50)] == first and not seen
+    assert first[3][7] == np.array(ids(BYTE, texts[157], 1), "<u4").tobytes()
+
+
 def test_packing_round_trip(spark, odd, none):
     rows = packing.pack(odd, BYTE).collect()
     by = {}
