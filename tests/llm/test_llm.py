@@ -64,6 +64,29 @@ def test_encoder_gives_the_library_ids(path, spaced):
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [ids(path, t, 1) for t in texts]
 
 
+def test_words_are_encoded_once_whatever_their_case_and_points():
+    """In Latin-1 texts a word in capitals or before a point is no piece of its own."""
+    e, texts = encoding.Encoder(WORD, 1, False), ["Été été, ÉTÉ. été! été?\nété; été: Straße, STRASSE.", "ÉTÉ,"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [ids(WORD, t, 1) for t in texts]
+    assert set(e.known) == {"été", "straße", "strasse", *",.!?;:"}
+
+
+def test_latin_texts_of_odd_bytes_and_lengths(monkeypatch):
+    """Pieces are equal only if all their bytes are; texts longer than a run are cut; a clash of hashes changes nothing."""
+    some = ["a", "a\0", "\0", "abcdefgh", "abcdefg\0", "abcdefghi", "é" * 16, "é" * 17, "é" * 16 + "è", "é" * 200, "<|endoftext|>", "a</w>", "4.5", "'S.", "...", "a.,", "\x1c.", "\xa0", "ª.", "l'ÉTÉ,"]
+    texts = [*some, " ".join(some), "\n".join(some[::-1]), " ".join(some * 3), "", None, " ", "Σ. é,"]
+    want = [np.array(ids(WORD, t, 1), "<u4").tobytes() for t in texts]
+    assert encoding.Encoder(WORD, 1, False).encode(texts) == want
+    monkeypatch.setattr(encoding, "_RUN", 60)
+    sizes, real = [], encoding.latin_pieces
+    monkeypatch.setattr(encoding, "latin_pieces", lambda runs: sizes.append(sum(map(len, runs))) or real(runs))
+    assert encoding.Encoder(WORD, 1, False).encode(texts) == want
+    assert len(sizes) > 10 and max(sizes) == 200  # of one piece
+    monkeypatch.setattr(encoding.pd, "factorize", lambda x: (np.zeros(len(x), np.int64), x[:1]))
+    assert encoding.latin_pieces([b"a b"]) is None
+    assert encoding.Encoder(WORD, 1, False).encode(texts) == want
+
+
 def test_packing_remembers_many_pieces(monkeypatch):
     """Half a million distinct pieces, met again, are not encoded again."""
     e, seen = encoding.Encoder(BYTE, 1, True, packing.REMEMBER), []
