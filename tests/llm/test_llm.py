@@ -14,7 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from quarrylight.llm import common, components, decontaminate, encoding, hmm_lm, langid, line_dedup, near_copies, packing, quality_fm, quality_rules, simhash, token_blocks, warc
 
@@ -98,6 +98,48 @@ def test_packing_remembers_many_pieces(monkeypatch):
     assert first[3][7] == np.array(ids(BYTE, texts[157], 1), "<u4").tobytes()
 
 
+def test_spaced_words_go_to_the_model_once(monkeypatch):
+    """Words of letters are learnt without the pattern and whatever stands behind them; white space of any width is remembered."""
+    e = encoding.Encoder(BYTE, 1, True)
+    texts = ["Été, été! été?\nété; l'été: a.b 4,5", "two  spaces\n\nété\tété été\u3000x, ", " é.\n", "\n", " ", None, ""]
+    seen, real = [], e._library
+    monkeypatch.setattr(e, "_library", lambda units, lead: seen.extend(units) or real(units, lead))
+    want = [np.array(ids(BYTE, t, 1), "<u4").tobytes() for t in texts]
+    assert e.encode(texts) == want
+    assert set(seen) == {*",!?;:.", "\n", " l'été", ".b", " 4", ",5", "  spaces", "\n\nété", "\tété", "\u3000x", " "}
+    monkeypatch.setattr(e, "_each", None)  # nothing is encoded again, not as a whole either
+    assert e.encode(texts) == want
+
+
+def test_spaced_texts_of_odd_bytes_and_lengths(monkeypatch, tmp_path):
+    """As for Latin-1 texts, in UTF-8: white space of all widths, control characters, contractions, pieces of all lengths."""
+    some = ["a", "a\0", "\0", "abcdefg", "abcdefg\0", "é" * 12, "é" * 13, "é" * 12 + "è", "é" * 200, "<|endoftext|>", "4.5", "'s.", "don't,", "!'s", "a.'s", "a.,", "×,", "a\u0301,", "!\x1c", "\x1c", "字。", "’s", "İ."]
+    white = ["\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\t", "\r\n", "  ", "\n\n", " \n", "\n ", "\u200b"]
+    texts = [*some, *(f"{a}{w}{b}" for w in [" ", "\n", *white] for a, b in zip(["", *some], [*some, ""]))]
+    texts += [" ".join(some * 3), "\n".join(some[::-1]), "".join(white), "x" * 500]
+
+    def library(path):
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        return [np.array([*e.ids, 1], "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+
+    want = library(BYTE)
+    assert encoding.Encoder(BYTE, 1, True, remember=40).encode(texts) == want
+    monkeypatch.setattr(encoding, "_RUN", 60)
+    sizes, cut = [], encoding.spaced_pieces
+    monkeypatch.setattr(encoding, "spaced_pieces", lambda runs: sizes.append(sum(map(len, runs))) or cut(runs))
+    assert encoding.Encoder(BYTE, 1, True).encode(texts) == want
+    assert len(sizes) > 40 and max(sizes) == len("\n".join(some).encode())  # no space to cut at
+    monkeypatch.setattr(encoding.pd, "factorize", lambda x: (np.zeros(len(x), np.int64), x[:1]))
+    assert cut([b"a b"]) is None
+    assert encoding.Encoder(BYTE, 1, True).encode(texts) == want
+    # a tokenizer that does not cut at white space and points gets whole texts
+    whole = Tokenizer.from_file(BYTE)
+    whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    whole.save(path := str(tmp_path / "whole.json"))
+    assert encoding.Encoder(path, 1, True).encode(texts) == library(path)
+
+
 def test_packing_round_trip(spark, odd, none):
     rows = packing.pack(odd, BYTE).collect()
     by = {}
