@@ -48,13 +48,15 @@ def categorised(members: DataFrame) -> DataFrame:
     return own.unionByName(legacy)
 
 
-def category_totals(members: DataFrame) -> DataFrame:
-    """(package, category, entries, bytes) of each inventory, and as category `all` of the distinct names of all of them."""
+def category_totals(members: DataFrame, order: str = "size") -> DataFrame:
+    """(package, category, entries, bytes) of each inventory, and as category `all` of the distinct names of all of them. Of entries
+    with a package and name in common, `all` takes the size of the first by the column `order` that has one (then the least size)."""
     listed = categorised(members).where("category <> 'nonstandard-lib'")
     each = listed.groupBy("package", "category").agg(
         F.count("*").alias("entries"), F.sum("size").cast("long").alias("bytes")
     )
-    union = listed.dropDuplicates(["package", "name"]).groupBy("package").agg(
+    first = F.min(F.when(F.col("size").isNotNull(), F.struct(F.col(order).alias("order"), "size")))
+    union = listed.groupBy("package", "name").agg(first["size"].alias("size")).groupBy("package").agg(
         F.count("*").alias("entries"), F.sum("size").cast("long").alias("bytes")
     )
     return each.unionByName(union.withColumn("category", F.lit("all")))

@@ -51,7 +51,7 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def member_category_totals(spark, sf_dir):
-    return inventory.category_totals(_members(spark, sf_dir))
+    return inventory.category_totals(_members(spark, sf_dir), "doc_id")
 
 
 @query
