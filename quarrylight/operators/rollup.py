@@ -33,7 +33,7 @@ def listed(values: Column, count: Column) -> Column:
 
 def method_summaries(chunks: DataFrame) -> DataFrame:
     """(id, content) of method chunks: what they are, where, how they begin (240 characters at most) and what they show."""
-    first = F.get(F.filter(F.transform(lines(F.col("content")), F.trim), lambda x: x != ""), F.lit(0))
+    first = F.get(F.filter(F.transform(lines(F.col("content")), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
     begins = F.coalesce(first, F.lit("<empty>"))
     begins = F.when(
         F.length(begins) > METHOD_CHARS, F.concat(F.left(begins, F.lit(METHOD_CHARS - 3)), F.lit("..."))
